@@ -74,15 +74,17 @@ def edited_likeness(docs: DataFrame, k: int = 4, w: int = 5) -> DataFrame:
     document in descending doc_id (after the last: the first).  Returns doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next.  Null texts are empty; a single document follows
     itself; rows with a null doc_id have no next document (its text counts as empty); of rows that
-    repeat a doc_id the neighbour sees the longest text, then the first in code point order.
+    repeat a doc_id the neighbour sees the longest text, then the last in code point order.
     """
     links = materialize(following(docs), "document-links")
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(links, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # both joins deal the texts by doc_id in the same way, so that they are shuffled once
+    known = rows.where("doc_id is not null")
     piece = F.expr("substring(text, 1, cast(floor(prev_chars / 2) as int))")
-    heads = base.where("prev_id is not null").select(F.col("prev_id").alias("doc_id"), F.char_length("text").alias("n"), piece.alias("head"), selected("text", k, w).alias("next"))
+    heads = known.join(links, "doc_id").select(F.col("prev_id").alias("doc_id"), F.char_length("text").alias("n"), piece.alias("head"), selected("text", k, w).alias("next"))
     heads = heads.groupBy("doc_id").agg(F.max(F.struct("n", "head", "next")).alias("of")).select("doc_id", "of.head", "of.next")
-    both = base.select("doc_id", "text").join(heads, "doc_id", "left")
+    both = known.join(heads, "doc_id", "left").select("doc_id", "text", "head", "next")
+    both = both.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     n = F.char_length("text").cast("long")
     both = both.select("doc_id", n.alias("n_chars"), "text", "next", F.expr("concat(left(text, cast(char_length(text) - floor(char_length(text) / 2) as int)), coalesce(head, ''))").alias("edited"))
     both = both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), selected("text", k, w).alias("own"), selected("edited", k, w).alias("new"), F.coalesce("next", F.expr("cast(array() as array<bigint>)")).alias("next"))
