@@ -1,6 +1,356 @@
-"""Queries by name over the test tables, with the SQL that checks them."""
+"""Queries by name over the test tables, with the SQL that checks them.
+
+Views: E events by user, O daily orders, L daily shipments.  Doubles are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import basis, metrics, residuals
+from .functions.basis import Polynomial
+from .operators import adaptive, gram, lagging, predict, robust, select
+from .plans import model
+from .sources import series
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+E = "e as (select user_id series_id, row_number() over (partition by user_id order by ts, event_id) k, cast(value as double) y from events)"
+O = "o as (select 0::bigint series_id, row_number() over (order by d) k, y, x1 from (select cast(o_orderdate as date) d, sum(o_totalprice) / 1e6 y, cast(count(*) as double) x1 from orders group by 1))"
+L = "l as (select 0::bigint series_id, row_number() over (order by d) k, y, x1, x2 from (select cast(l_shipdate as date) d, sum(l_extendedprice) / 1e6 y, sum(l_quantity) / 1e3 x1, avg(l_discount) x2 from lineitem group by 1))"
+#: AR(2) by user: lags, normal equations, coefficients, one-step prediction.
+AR2 = f"""{E},
+ b as (select series_id, k, y, coalesce(lag(y, 1) over w, 0.0) y1, coalesce(lag(y, 2) over w, 0.0) y2 from e window w as (partition by series_id order by k)),
+ p as (select * from b where k > 2),
+ g as (select series_id, sum(y1*y1) a, sum(y1*y2) c, sum(y2*y2) d, sum(y1*y) e1, sum(y2*y) f from p group by series_id),
+ th as (select series_id, (e1*d-f*c)/(a*d-c*c) t1, (a*f-c*e1)/(a*d-c*c) t2 from g),
+ r as (select p.series_id, k, y, t1*y1 + t2*y2 yhat from p join th on p.series_id = th.series_id)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; -0 becomes 0."""
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _r(columns: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) + 0.0 {c}" for c in columns.split())
+
+
+COLS2 = ["y_1", "y_2"]
+TERMS2 = [basis.product((c,)) for c in COLS2]
+
+
+def ar2_models(e: DataFrame) -> DataFrame:
+    """(series_id, theta) of an AR(2) for every series, from grouped Gram sums in closed form."""
+    g = gram.grouped(lagging.regressors(e, COLS2, TERMS2), 2)
+    det = "(g[0] * g[3] - g[1] * g[2])"
+    return g.select("series_id", F.expr(f"array((b[0] * g[3] - b[1] * g[1]) / {det}, (g[0] * b[1] - g[1] * b[0]) / {det})").alias("theta"))
+
+
+def ar2(spark: SparkSession, sf: str) -> DataFrame:
+    e = series.events(spark, sf)
+    return predict.one_step_by_series(e, COLS2, TERMS2, ar2_models(e)).where("k > 2")
+
+
+@query("ar2_one_step_rrse", f"with {AR2}, m as (select *, avg(y) over (partition by series_id) m from r) select series_id, round(sqrt(sum((yhat-y)*(yhat-y)) / sum((y-m)*(y-m))), 6) rrse from m group by series_id")
+def ar2_one_step_rrse(spark, sf):
+    return _round(ar2(spark, sf).groupBy("series_id").agg(metrics.root_relative_squared_error().alias("rrse")))
+
+
+@query("ar2_one_step", f"with {AR2} select series_id, k, {_r('y yhat')} from r")
+def ar2_one_step(spark, sf):
+    return _round(ar2(spark, sf))
+
+
+@query("ar1_regression", f"with {E}, b as (select series_id, k, y, lag(y) over (partition by series_id order by k) y1 from e) select series_id, round(regr_slope(y, y1), 6) slope, round(regr_intercept(y, y1), 6) intercept from b where k > 1 group by series_id")
+def ar1_regression(spark, sf):
+    psi = lagging.regressors(series.events(spark, sf), ["y_1"], [basis.BIAS, ("y_1", "y_1")])
+    g = gram.grouped(psi, 2)
+    det = "(g[0] * g[3] - g[1] * g[2])"
+    return _round(g.select("series_id", F.expr(f"(g[0] * b[1] - g[1] * b[0]) / {det}").alias("slope"), F.expr(f"(b[0] * g[3] - b[1] * g[1]) / {det}").alias("intercept")))
+
+
+@query("series_split", f"with {E} select series_id, k, y, case when k <= floor(count(*) over (partition by series_id) * 0.75) then 'train' else 'test' end part from e")
+def series_split(spark, sf):
+    return series.split(series.events(spark, sf), 0.25)
+
+
+@query("series_decimate", f"with {E} select series_id, (k - 1) // 5 + 1 k, y from e where (k - 1) % 5 = 0")
+def series_decimate(spark, sf):
+    return series.decimate(series.events(spark, sf), 5)
+
+
+_SCALE = {
+    "series_minmax": ("minmax", "(y - min(y) over w) / nullif(max(y) over w - min(y) over w, 0)"),
+    "series_zscore": ("standard", "(y - avg(y) over w) / nullif(stddev_pop(y) over w, 0)"),
+    "series_maxabs": ("maxabs", "y / nullif(max(abs(y)) over w, 0)"),
+}
+for _name, (_method, _sql) in _SCALE.items():
+    QUERIES[_name] = lambda spark, sf, m=_method: _round(series.scale(series.events(spark, sf), ["y"], m))
+    ORACLE[_name] = f"with {E} select series_id, k, round({_sql}, 6) + 0.0 y from e window w as (partition by series_id)"
+
+
+@query("series_check", f"with {E} select count(*) n, count(*) filter (y is null) y_null, count(*) filter (isnan(y)) y_nan, count(*) filter (isinf(y)) y_inf from e")
+def series_check(spark, sf):
+    return series.check(series.events(spark, sf), ["y"])
+
+
+@query("series_index", "select event_id, row_number() over (order by ts, event_id) k from events")
+def series_index(spark, sf):
+    return series.index_series(series.read(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "k")
+
+
+def _lag_sql(columns: list[str]) -> str:
+    return ", ".join(f"coalesce(lag({c.rpartition('_')[0]}, {c.rpartition('_')[2]}) over w, 0.0) {c}" for c in columns)
+
+
+_VIEWS = {"E": (series.events, E, "e"), "O": (series.orders, O, "o"), "L": (series.shipments, L, "l")}
+_LAGS = {
+    "lag_nar": ("E", basis.lag_columns([1, 2, 3], [], "NAR")),
+    "lag_nfir": ("O", basis.lag_columns([], [[1, 2]], "NFIR")),
+    "lag_narmax_siso": ("O", basis.lag_columns([1, 2], [[1, 3]])),
+    "lag_narmax_miso": ("L", basis.lag_columns([1, 2], [[1, 2], [2]])),
+}
+for _name, (_view, _cols) in _LAGS.items():
+    _get, _cte, _alias = _VIEWS[_view]
+    QUERIES[_name] = lambda spark, sf, g=_get, c=_cols: _round(lagging.lagged(g(spark, sf), c).select("series_id", "k", *c), 8)
+    ORACLE[_name] = f"with {_cte}, z as (select series_id, k, {_lag_sql(_cols)} from {_alias} window w as (partition by series_id order by k)) select series_id, k, {_r(' '.join(_cols), 8)} from z"
+QUERIES["lag_bucketed"] = lambda spark, sf: _round(lagging.lagged(series.orders(spark, sf), _LAGS["lag_narmax_siso"][1], bucket=100).select("series_id", "k", *_LAGS["lag_narmax_siso"][1]), 8)
+ORACLE["lag_bucketed"] = ORACLE["lag_narmax_siso"]
+
+_BASIS_COLS = ["y_1", "x1_1"]
+_BASES = {
+    "basis_polynomial": Polynomial(3),
+    "basis_bilinear": basis.Bilinear(2),
+    "basis_fourier": basis.Fourier(n=2),
+    "basis_legendre": basis.Legendre(4),
+    "basis_hermite": basis.Hermite(3),
+    "basis_hermite_norm": basis.HermiteNormalized(3),
+    "basis_laguerre": basis.Laguerre(3),
+    "basis_bernstein": basis.Bernstein(3),
+}
+#: Orders scaled to [0, 1], as the bases are queried on them.
+O01 = O + ", s as (select series_id, k, (y - min(y) over ()) / (max(y) over () - min(y) over ()) y, (x1 - min(x1) over ()) / (max(x1) over () - min(x1) over ()) x1 from o), w as (select series_id, k, y, lag(y) over (order by k) y_1, lag(x1) over (order by k) x1_1 from s)"
+_DIRECT = {
+    "basis_polynomial": "1 y_1 x1_1 y_1*y_1 y_1*x1_1 x1_1*x1_1 y_1*y_1*y_1 y_1*y_1*x1_1 y_1*x1_1*x1_1 x1_1*x1_1*x1_1",
+    "basis_legendre": "1 " + " ".join(f"{c} (3*{c}*{c}-1)/2 (5*{c}*{c}*{c}-3*{c})/2 (35*{c}*{c}*{c}*{c}-30*{c}*{c}+3)/8" for c in _BASIS_COLS),
+    "basis_hermite": "1 " + " ".join(f"2*{c} 4*{c}*{c}-2 8*{c}*{c}*{c}-12*{c}" for c in _BASIS_COLS),
+    "basis_hermite_norm": "1 " + " ".join(f"{c} {c}*{c}-1 {c}*{c}*{c}-3*{c}" for c in _BASIS_COLS),
+    "basis_laguerre": "1 " + " ".join(f"1-{c} ({c}*{c}-4*{c}+2)/2 (-{c}*{c}*{c}+9*{c}*{c}-18*{c}+6)/6" for c in _BASIS_COLS),
+    "basis_bernstein": "1 " + " ".join(f"3*{c}*(1-{c})*(1-{c}) 3*{c}*{c}*(1-{c}) {c}*{c}*{c}" for c in _BASIS_COLS),
+    "basis_bilinear": "1 y_1 x1_1 y_1*x1_1",
+    "basis_fourier": "y_1 x1_1 " + " ".join(f"{f}({h}*{c})" for c in _BASIS_COLS for h in (1, 2) for f in ("cos", "sin")),
+}
+
+
+def _basis(spark: SparkSession, sf: str, b: basis.Basis) -> DataFrame:
+    scaled = series.scale(series.orders(spark, sf), ["y", "x1"], "minmax")
+    terms = b.terms(_BASIS_COLS)
+    return lagging.regressors(scaled, _BASIS_COLS, terms).select("k", *((F.round(f"t{i}", 5) + F.lit(0.0)).alias(f"t{i}") for i in range(len(terms))))
+
+
+def _order(name: str) -> list[str]:
+    """The expected expressions in the order of the basis' own terms."""
+    want = _DIRECT[name].split()
+    if name in ("basis_polynomial", "basis_bilinear"):
+        names = [n for n, _ in _BASES[name].terms(_BASIS_COLS)]
+        return [n if n != "1" else "1.0" for n in names if n in want]
+    return ["1.0" if w == "1" else w for w in want]
+
+
+for _name, _b in _BASES.items():
+    QUERIES[_name] = partial(_basis, b=_b)
+    ORACLE[_name] = f"with {O01} select k, " + ", ".join(f"round(cast({x} as double), 5) + 0.0 t{i}" for i, x in enumerate(_order(_name))) + " from w where k > 1"
+
+
+@query("gram_matrix", f"with {E}, z as (select series_id, k, y, {_lag_sql(COLS2)} from e window w as (partition by series_id order by k)), t as (select unnest([0, 1, 2, 3]) i, unnest([1.0, y_1, y_2, y]) v, series_id, k from z where k > 2) select a.i, b.i j, round(sum(a.v * b.v), 4) g from t a join t b using (series_id, k) where a.i <= b.i group by all")
+def gram_matrix(spark, sf):
+    psi = lagging.regressors(series.events(spark, sf), COLS2, [basis.BIAS, *TERMS2])
+    return gram.gram_rows(psi, 3).where("i < 4 and j < 4").select("i", "j", F.round("g", 4).alias("g"))
+
+
+_ERR_COLS = ["y_1", "y_2", "x1_1", "x1_2"]
+
+
+@query("err_round1", f"with {O}, z as (select series_id, k, y, {_lag_sql(_ERR_COLS)} from o window w as (partition by series_id order by k)), t as (select y, unnest(['1', 'y_1', 'y_2', 'x1_1', 'x1_2']) term, unnest([1.0, y_1, y_2, x1_1, x1_2]) v from z where k > 2) select term, round(sum(v*y) * sum(v*y) / (sum(v*v) * sum(y*y)), 6) err from t group by term")
+def err_round1(spark, sf):
+    terms = [basis.BIAS, *(basis.product((c,)) for c in _ERR_COLS)]
+    psi = lagging.regressors(series.orders(spark, sf), _ERR_COLS, terms)
+    long = psi.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("term"), F.col(f"t{i}").alias("v")) for i, (n, _) in enumerate(terms)))).alias("t")).select("y", "t.*")
+    return long.groupBy("term").agg(F.round(F.sum(F.expr("v * y")) * F.sum(F.expr("v * y")) / (F.sum(F.expr("v * v")) * F.sum(F.expr("y * y"))), 6).alias("err"))
+
+
+@query("ar2_n_step", f"with recursive {AR2}, s as (select b.*, (k - 3) % 5 j from b where k > 2), f as (select series_id, k, y, t1*y1 + t2*y2 yhat, y1 prev, j from s join th using (series_id) where j = 0 union all select s.series_id, s.k, s.y, t1*f.yhat + t2*f.prev, f.yhat, s.j from f join s on s.series_id = f.series_id and s.k = f.k + 1 and s.j > 0 join th on th.series_id = s.series_id) select series_id, k, round(yhat, 6) + 0.0 yhat from f")
+def ar2_n_step(spark, sf):
+    e = series.events(spark, sf)
+    return _round(predict.n_steps(e, COLS2, TERMS2, None, 5, ar2_models(e)).where("k > 2").select("series_id", "k", "yhat"))
+
+
+@query("ar2_free_run", f"with recursive {AR2}, f as (select series_id, k, t1*y1 + t2*y2 yhat, y1 prev from p join th using (series_id) where k = 3 union all select f.series_id, f.k + 1, t1*f.yhat + t2*f.prev, f.yhat from f join e on e.series_id = f.series_id and e.k = f.k + 1 join th on th.series_id = f.series_id) select series_id, k, round(yhat, 6) + 0.0 yhat from f")
+def ar2_free_run(spark, sf):
+    e = series.events(spark, sf)
+    return _round(predict.free_run(e, COLS2, TERMS2, None, ar2_models(e)).where("k > 2").select("series_id", "k", "yhat"))
+
+
+@query("ridge_ar2", f"with {AR2} select series_id, round((e1*(d+10)-f*c)/((a+10)*(d+10)-c*c), 6) t1, round(((a+10)*f-c*e1)/((a+10)*(d+10)-c*c), 6) t2 from g")
+def ridge_ar2(spark, sf):
+    g = gram.grouped(lagging.regressors(series.events(spark, sf), COLS2, TERMS2), 2)
+    det = "((g[0] + 10) * (g[3] + 10) - g[1] * g[2])"
+    return _round(g.select("series_id", F.expr(f"(b[0] * (g[3] + 10) - b[1] * g[1]) / {det}").alias("t1"), F.expr(f"((g[0] + 10) * b[1] - g[1] * b[0]) / {det}").alias("t2")))
+
+
+_FOLDS = {
+    "lms": "2 * 0.0001 * (y - t * y1) * y1",
+    "sign_error": "0.0001 * sign(y - t * y1) * y1",
+    "normalized": "2 * 0.0001 * (y - t * y1) * y1 / (2.220446049250313e-16 + y1 * y1)",
+    "normalized_sign_error": "2 * 0.0001 * sign(y - t * y1) * y1 / (2.220446049250313e-16 + y1 * y1)",
+    "sign_regressor": "0.0001 * (y - t * y1) * sign(y1)",
+    "normalized_sign_regressor": "0.0001 * (y - t * y1) * sign(y1) / (2.220446049250313e-16 + y1 * y1)",
+    "sign_sign": "2 * 0.0001 * sign(y - t * y1) * sign(y1)",
+    "normalized_sign_sign": "2 * 0.0001 * sign(y - t * y1) * sign(y1) / (2.220446049250313e-16 + y1 * y1)",
+    "normalized_leaky": "0.0001 * (y - t * y1) * y1 / (2.220446049250313e-16 + y1 * y1) - t * 0.0001 * 0.2",
+    "leaky": "0.0001 * (y - t * y1) * y1 - t * 0.0001 * 0.2",
+}
+for _name, _sql in _FOLDS.items():
+    QUERIES[f"adaptive_{_name}_ar1"] = lambda spark, sf, r=_name: _round(adaptive.lms(lagging.regressors(series.events(spark, sf), ["y_1"], [("y_1", "y_1")]), 1, r, mu=0.0001).select("series_id", F.col("theta")[0].alias("t")))
+    ORACLE[f"adaptive_{_name}_ar1"] = f"with recursive {E}, b as (select series_id, k, y, lag(y) over (partition by series_id order by k) y1 from e), f as (select series_id, k, 0.0::double t from e where k = 2 union all select b.series_id, b.k, t + {_sql} from f join b on b.series_id = f.series_id and b.k = f.k + 1), z as (select series_id, max(k) k from f group by 1) select series_id, round(t, 6) + 0.0 t from f join z using (series_id, k)"
+
+
+@query("rls_ar1", f"with recursive {E}, b as (select series_id, k, y, lag(y) over (partition by series_id order by k) y1 from e), f as (select series_id, k, 0.0::double t, 100.0::double p from e where k = 3 union all select b.series_id, b.k, t + p*y1/(0.98+p*y1*y1)*(y-t*y1), (p - p*y1*p*y1/(0.98+p*y1*y1))/0.98 from f join b on b.series_id = f.series_id and b.k = f.k + 1), z as (select series_id, max(k) k from f group by 1) select series_id, round(t, 6) + 0.0 t from f join z using (series_id, k)")
+def rls_ar1(spark, sf):
+    psi = lagging.regressors(series.events(spark, sf), ["y_1"], [("y_1", "y_1")])
+    return _round(adaptive.rls(psi, 1).select("series_id", F.col("theta")[0].alias("t")))
+
+
+_METRICS = {
+    "mean_forecast_error": "avg(y - yhat)",
+    "mean_squared_error": "avg((y - yhat)*(y - yhat))",
+    "root_mean_squared_error": "sqrt(avg((y - yhat)*(y - yhat)))",
+    "normalized_root_mean_squared_error": "sqrt(avg((y - yhat)*(y - yhat))) / (max(y) - min(y))",
+    "root_relative_squared_error": "sqrt(sum((y - yhat)*(y - yhat)) / (count(*) * var_pop(y)))",
+    "mean_absolute_error": "avg(abs(y - yhat))",
+    "mean_squared_log_error": "avg((ln(y + 1) - ln(yhat + 1)) * (ln(y + 1) - ln(yhat + 1)))",
+    "median_absolute_error": "median(abs(y - yhat))",
+    "explained_variance_score": "1 - var_pop(y - yhat) / var_pop(y)",
+    "r2_score": "1 - sum((y - yhat)*(y - yhat)) / (count(*) * var_pop(y))",
+    "symmetric_mean_absolute_percentage_error": "avg(case when abs(y) + abs(yhat) = 0 then 0 else 200 * abs(y - yhat) / (abs(y) + abs(yhat)) end)",
+}
+for _name, _sql in _METRICS.items():
+    QUERIES[f"metric_{_name}"] = lambda spark, sf, f=metrics.METRICS[_name]: _round(ar2(spark, sf).groupBy("series_id").agg(f().alias("value")))
+    ORACLE[f"metric_{_name}"] = f"with {AR2} select series_id, round({_sql}, 6) + 0.0 value from r group by series_id"
+
+
+@query("metric_mean_absolute_scaled_error", f"with {AR2}, s as (select series_id, avg(abs(d)) scale from (select series_id, y - lag(y) over (partition by series_id order by k) d from e) group by 1) select series_id, round(avg(abs(y - yhat)) / max(scale), 6) mase from r join s using (series_id) group by series_id")
+def metric_mase(spark, sf):
+    return _round(metrics.mean_absolute_scaled_error(series.events(spark, sf), ar2(spark, sf)))
+
+
+@query("metric_forecast_error", f"with {AR2} select series_id, k, round(y - yhat, 6) + 0.0 e from r")
+def metric_forecast_error(spark, sf):
+    return _round(residuals.residues(ar2(spark, sf)))
+
+
+_RES = f"{O}, q as (select k, y - avg(y) over () e, x1 from o)"
+
+
+def _residual(spark: SparkSession, sf: str) -> DataFrame:
+    o = series.orders(spark, sf)
+    return residuals.residues(o.withColumn("yhat", F.avg("y").over(Window.partitionBy("series_id"))))
+
+
+@query("residual_acf", f"with {_RES}, c as (select l.lag, sum(a.e * b.e) c from (select unnest(range(0, 21)) lag) l join q a on true join q b on b.k = a.k + l.lag group by l.lag) select 0::bigint series_id, lag, round(c / (select c from c where lag = 0), 6) + 0.0 acf, round(1.96 / sqrt(2 * (select count(*) from q) - 1), 6) bound from c")
+def residual_acf(spark, sf):
+    return _round(residuals.autocorrelation(_residual(spark, sf), 20))
+
+
+@query("residual_ccf", f"with {_RES}, m as (select l.lag, case when lag = 0 then (select avg(x1) from q) else (select avg(x1) from q where k <= lag) end x, (select avg(e) from q where k > lag) z from (select unnest(range(0, 21)) lag) l), c as (select lag, sum((a.x1 - x) * (b.e - z)) c, sum((a.x1 - x) * (a.x1 - x)) u, sum((b.e - z) * (b.e - z)) v from m join q a on true join q b on b.k = a.k + lag group by lag) select 0::bigint series_id, lag, round(c / sqrt(u * v), 5) + 0.0 ccf from c")
+def residual_ccf(spark, sf):
+    e = _residual(spark, sf).join(series.orders(spark, sf).select("k", F.col("x1").alias("a")), "k")
+    return residuals.cross_correlation(e.select("series_id", "k", "a", F.col("e").alias("b")), 20).select("series_id", "lag", (F.round("ccf", 5) + F.lit(0.0)).alias("ccf"))
+
+
+_CRITERIA = {
+    "aic": "n * ln(v) + 2 * m",
+    "aicc": "n * ln(v) + 2 * m + 2.0 * m * (m + 1) / (n - m - 1)",
+    "bic": "n * ln(v) + m * ln(n)",
+    "fpe": "n * ln(v) + n * ln((n + m) / (n - m))",
+    "lilc": "n * ln(v) + 2 * m * ln(ln(n))",
+    "apress": "(n / (n - m)) * (n / (n - m)) * mse",
+}
+
+
+def _by_order(spark: SparkSession, sf: str, criterion: str) -> DataFrame:
+    """Criterion of nested AR models of order 1 and 2 for every series, all from two grouped Gram matrices."""
+    e = series.events(spark, sf)
+    psi = lagging.regressors(e, COLS2, TERMS2)
+    first = gram.grouped(psi, 1).select("series_id", F.expr("array(b[0] / g[0], 0D)").alias("theta"), F.lit(1).cast("long").alias("m"))
+    models = first.unionByName(ar2_models(e).withColumn("m", F.lit(2).cast("long")))
+    err = psi.join(models, "series_id").withColumn("d", F.expr("y - theta[0] * t0 - theta[1] * t1"))
+    stats = err.groupBy("series_id", "m").agg(F.count("*").cast("double").alias("n"), F.var_samp("d").alias("v"), F.avg(F.col("d") * F.col("d")).alias("mse"))
+    return stats.select("series_id", "m", F.round(F.expr(_CRITERIA[criterion]), 4).alias("value"))
+
+
+for _name, _sql in _CRITERIA.items():
+    QUERIES[f"{_name}_by_order"] = partial(_by_order, criterion=_name)
+    ORACLE[f"{_name}_by_order"] = f"with {AR2}, h as (select series_id, 1 m, e1 / a t1, 0.0 t2 from g union all select series_id, 2, t1, t2 from th), d as (select p.series_id, m, y - t1*y1 - t2*y2 d from p join h on p.series_id = h.series_id), s as (select series_id, cast(m as bigint) m, cast(count(*) as double) n, var_samp(d) v, avg(d*d) mse from d group by 1, 2) select series_id, m, round({_sql}, 4) \"value\" from s"
+
+_W, _ = robust.kernel(1, 5)
+
+
+@query("uofr_modulated_bspline", f"with {O}, z as (select k, " + " + ".join(f"({float(a)!r}) * lead(y, {i}) over (order by k)" for i, a in enumerate(_W)) + " y from o) select k, round(y, 6) + 0.0 y from z where y is not null")
+def uofr_modulated_bspline(spark, sf):
+    return _round(robust.modulate(series.orders(spark, sf), ["y"], _W.tolist()).select("k", "y"))
+
+
+@query("loo_overall_mae", f"with {O}, z as (select k, y, lag(y) over (order by k) y1, lag(x1) over (order by k) x from o), p as (select *, row_number() over (order by k) i from z where k > 1 and k <= 60), v as (select a.i \"view\", 0 term, sum(b.y*b.y1)/sum(b.y1*b.y1) t from p a join p b on a.i <> b.i group by 1 union all select a.i, 1, sum(b.y*b.x)/sum(b.x*b.x) from p a join p b on a.i <> b.i group by 1), m as (select \"view\", term, avg(abs(p.y - t * case term when 0 then p.y1 else p.x end)) mae from v join p on p.i <> \"view\" group by 1, 2) select cast(term as integer) term, round(avg(mae), 6) mae from m group by term")
+def loo_overall_mae(spark, sf):
+    # the view is defined on the first 60 days
+    psi = lagging.regressors(series.orders(spark, sf).where("k <= 60"), ["y_1", "x1_1"], [("y_1", "y_1"), ("x1_1", "x1_1")])
+    rows = psi.select("series_id", "k", "y", F.array("t0", "t1").alias("t"))
+    return robust.view_errors(rows, gram.gram_of(psi, 2), [], [0, 1]).groupBy("term").agg(F.round(F.avg("mae"), 6).alias("mae"))
+
+
+@query("weights_grid", "with s as (select unnest(range(0, 11)) / 10.0 w) select round(a.w, 6)::double w1, round(b.w, 6)::double w2, round(1 - a.w - b.w, 6)::double w3 from s a, s b where round(a.w + b.w, 6) <= 1")
+def weights_grid(spark, sf):
+    w = spark.range(0, 11).select((F.col("id") / 10).alias("w1"))
+    # 11 steps for each weight
+    pairs = w.withColumn("w2", F.explode(F.array(*(F.lit(i / 10) for i in range(11))))).where(F.round(F.col("w1") + F.col("w2"), 6) <= 1)
+    return pairs.select(F.round("w1", 6).alias("w1"), F.round("w2", 6).alias("w2"), (F.round(1 - F.col("w1") - F.col("w2"), 6) + F.lit(0.0)).alias("w3"))
+
+
+for _search in ("frols", "aols", "osf", "oif", "oos"):
+    QUERIES[f"{_search}_terms"] = lambda spark, sf, s=_search: _round(model.fit(series.orders(spark, sf), model.Spec(2, (2,), basis=Polynomial(2), search=s, n_terms=4)).table(spark).drop("expression"))
+
+
+@query("uofr_terms")
+def uofr_terms(spark, sf):
+    cols = ["y_1", "y_2", "x1_1", "x1_2"]
+    terms = Polynomial(2).terms(cols)
+    q = robust.ultra_orthogonal(lagging.regressors(series.orders(spark, sf), cols, terms), len(terms), 2)
+    order, err = select.forward(q, 4)
+    return spark.createDataFrame([(i, terms[t][0], round(e, 6)) for i, (t, e) in enumerate(zip(order, err))], "pos int, term string, err double")
+
+
+@query("group_forecast")
+def group_forecast(spark, sf):
+    e = series.events(spark, sf)
+    return _round(predict.forecast(e, COLS2, TERMS2, None, 10, ar2_models(e)))
+
+
+@query("group_frols")
+def group_frols(spark, sf):
+    return _round(model.fit_by_series(series.events(spark, sf), model.Spec(3, (), "NAR", Polynomial(1), n_terms=2)))
