@@ -77,7 +77,9 @@ def edited_likeness(docs: DataFrame, k: int = 4, w: int = 5) -> DataFrame:
     repeat a doc_id the neighbour sees the longest text, then the last in code point order.
     """
     links = materialize(following(docs), "document-links")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # no alias on a doc_id that is long already: the two exchanges must be the same plan to be reused
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # both joins deal the texts by doc_id in the same way, so that they are shuffled once
     known = rows.where("doc_id is not null")
     piece = F.expr("substring(text, 1, cast(floor(prev_chars / 2) as int))")
