@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
-#: Runs of anything but space and U+0009..U+000D are words.
-SEPARATORS = "[\\x20\\x09-\\x0D]+"
+#: Runs of anything but space and U+0009..U+000D are words; with the backslashes that a SQL literal needs.
+SEPARATORS = r"[\\x20\\x09-\\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
