@@ -106,7 +106,7 @@ def validate(series: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _driven(spark: SparkSession, n: int, inputs: int, seed: int, sigma: float, colored: bool, n_series: int) -> DataFrame:
-    df = spark.range(1, n_series + 1).select(F.col("id").alias("series_id"), F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long").alias("k"))
+    df = spark.range(1, n_series + 1).select(F.col("id").alias("series_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("k"))
     for i in range(inputs):
         df = df.withColumn(f"x{i + 1}", F.rand(seed + i) * 2 - 1)
     df = df.withColumn("nu", F.randn(seed + 99) * sigma)
