@@ -27,7 +27,8 @@ from .common import materialize, scratch_dir, slices, tokens, word_hashes
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MODULUS = 1 << 64
-SLICE = 8 << 20
+#: Text bytes taken at a time; the arrays over a slice hold some twenty times as much.
+SLICE = 2 << 20
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
