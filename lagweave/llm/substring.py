@@ -178,7 +178,9 @@ def repeated_positions(docs: DataFrame, window: int = 50, batches: int = 2, fano
         older = list(index.runs)
         run = index.append(_anchors(batch, window))
         passed = docs.sparkSession.sparkContext.broadcast(bit_filter(index.repeated(run, older)))
-        first = _candidates(upto, window, passed).groupBy("key", "mark").agg(F.min("doc_id").alias("first"))
+        first = _candidates(upto, window, passed).groupBy("key", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        # as a table, so that the join reads two exchanges and a passage in very many documents can be split between tasks
+        first = materialize(first.where("first < last").select("key", "mark", "first"), "first-windows")
         marked = _candidates(batch, window, passed).join(first, ["key", "mark"]).where("first < doc_id").select("doc_id", "pos")
         found.append(materialize(marked, "repeated-windows"))
         index.compact()
