@@ -249,7 +249,8 @@ def links(reps: DataFrame, threshold: int = THRESHOLD, hot_homes: int = HOT_HOME
 def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) -> DataFrame:
     """(u, v): every node of ``edges`` but the least of its component, with that least node.
 
-    Alternating large and small star contractions; every round is written as a table.
+    Alternating large and small star contractions; every round is written as a table.  So are the least
+    neighbours that a round joins to: a join of two exchanges lets a node with very many links be split between tasks.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = materialize(e, name), None
@@ -259,9 +260,9 @@ def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) ->
             return e
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least")
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
