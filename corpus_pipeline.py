@@ -49,7 +49,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: SQL cannot express the stages (trained models, similarity); tests hold them against brute force.
+#: SQL cannot express the stages (trained models, similarity). The operators they call have tests; the whole has none yet.
 ORACLE_SQL = None
 
 
