@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import decontam, langid, mixing, simhash, substring
+from lagweave.llm import decontam, jaccard, langid, mixing, substring
 from lagweave.llm.common import materialize
 
 
@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more), that with the least doc_id."""
+    return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
