@@ -3,8 +3,10 @@
 Numbers, units after a number and names inside a sentence become typed placeholders.  Windows
 of ``width`` template words are hashed and hash-joined with those of the benchmark; for every
 match the values in the slots are compared along the alignment: one benchmark value must
-always meet one document value and the other way round.  Equal values make a copy, a
-consistent renaming makes a re-parameterised question, anything else is no leak.
+always meet one document value and the other way round.  A changed slot that breaks this takes
+away the windows over it and no others.  Equal values make a copy, a consistent renaming makes
+a re-parameterised question, anything else is no leak.  An item shorter than a window is one
+window of its own length.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ SPLIT = r"[^\\p{L}\\p{M}\\p{N}]+"
 #: Placeholder words, by type.
 SLOTS = {"znumz": NUMBER, "zunitz": UNIT, "znamez": NAME}
 WIDTH = 8
+#: Ordinary words that an item shorter than a window must have to be looked for.
+FEWEST = 3
+#: Consecutive template words that are a leak whatever their share of the item.
+RUN = 13
 
 
 def _steps(text: str) -> list[str]:
@@ -39,10 +45,24 @@ def template(text: str) -> Column:
     return F.expr(f"filter(split(lower({_steps(text)[-1]}), '{SPLIT}', -1), w -> w <> '')")
 
 
-def _windows(rows: DataFrame, key: str, width: int) -> DataFrame:
+def _hashes(width: str) -> str:
+    """SQL of the hashes of all windows of so many template words."""
+    return f"if(size(ws) < {width}, cast(array() as array<bigint>), transform(sequence(1, size(ws) - {width} + 1), i -> xxhash64(slice(ws, i, {width}))))"
+
+
+def _windows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
     """(key, pos, h) of every window of template words, pos from 1."""
-    hashed = F.expr(f"if(size(ws) < {width}, cast(array() as array<bigint>), transform(sequence(1, size(ws) - {width - 1}), i -> xxhash64(slice(ws, i, {width}))))")
-    return rows.select(key, template("text").alias("ws")).select(key, F.posexplode(hashed).alias("pos", "h")).select(key, (F.col("pos") + 1).alias("pos"), "h")
+    rows = rows.select(key, template("text").alias("ws"))
+    every = F.expr(" || ".join(f"transform({_hashes(str(w))}, (h, i) -> struct(i + 1 as pos, h as h))" for w in widths))
+    return rows.select(key, F.explode(every).alias("x")).select(key, "x.pos", "x.h")
+
+
+def _item_windows(items: DataFrame, width: int) -> DataFrame:
+    """(item_id, w, pos, h): windows of w template words, w less than ``width`` for the one window of a short item."""
+    slot = ", ".join(f"'{kind}'" for kind in SLOTS)
+    rows = items.select("item_id", template("text").alias("ws")).withColumn("w", F.expr(f"least({width}, size(ws))"))
+    rows = rows.where(f"w = {width} or size(filter(ws, x -> x not in ({slot}))) >= {FEWEST}")
+    return rows.select("item_id", "w", F.posexplode(F.expr(_hashes("w"))).alias("pos", "h")).select("item_id", "w", (F.col("pos") + 1).alias("pos"), "h")
 
 
 def _slots(rows: DataFrame, key: str) -> DataFrame:
@@ -62,44 +82,63 @@ def _values(steps: list[str], k: int, pattern: str) -> str:
     return f"regexp_extract_all({before}, '{pattern}', 0)"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = 0.3) -> DataFrame:
+def _has_run(starts: str, windows: Column) -> Column:
+    """Whether sorted distinct window starts hold so many consecutive ones."""
+    return F.exists(F.transform(starts, lambda p, i: F.get(F.col(starts), i + windows - 1) == p + windows - 1), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = 0.3, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, kind, n_windows, coverage): documents that hold a benchmark item.
 
-    docs: doc_id, text; benchmark: item_id, text.  A pair counts if its consistent alignments cover at least ``coverage`` of the
-    item's windows.  kind: ``copy`` if every slot has the same value, else ``reparameterised``.  Items of fewer
-    than ``width`` template words have no window and are not looked for; null texts count as
+    docs: doc_id, text; benchmark: item_id, text.  A pair counts if its consistent windows are at least ``coverage`` of the
+    item's, or if those of one alignment span ``run`` consecutive words.  kind: ``copy`` if the windows of alignments
+    without a consistent change are that many, else ``reparameterised``.  An item of fewer than ``width`` template words is
+    looked for as a whole if ``FEWEST`` of them are no placeholders; null texts count as
     empty; rows with a null id are left out; repeated rows count once.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    known = materialize(_windows(items, "item_id", width).distinct(), "benchmark-windows")
-    total = known.groupBy("item_id").agg(F.countDistinct("pos").alias("total"))
+    known = materialize(_item_windows(items, width).distinct(), "benchmark-windows")
+    total = known.groupBy("item_id").agg(F.countDistinct("pos").alias("total"), F.max("w").alias("w"))
     n = known.count()
-    known = known.withColumnRenamed("pos", "item_pos")
+    # at most ``width`` of them
+    widths = sorted(r.w for r in known.select("w").distinct().collect()) or [width]
+    known = known.select("item_id", F.col("pos").alias("item_pos"), "h")
     if n <= 1_000_000:  # 24 bytes a window
         known = F.broadcast(known)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = _windows(rows, "doc_id", width).join(known, "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = _windows(rows, "doc_id", widths).join(known, "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = materialize(hits, "template-hits")
-    pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n")).join(total, "item_id").where(F.col("n") >= F.col("total") * coverage)
-    hits = hits.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
-    spans = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("starts"))
+    # windows that span a run of words
+    long = F.lit(max(1, run - width + 1))
+    key = ["doc_id", "item_id", "shift"]
+    spans = hits.groupBy(*key).agg(F.array_sort(F.collect_set("item_pos")).alias("starts"))
+    spans = materialize(spans.withColumn("long", _has_run("starts", long)), "template-spans")
+    enough = F.col("n") >= F.col("total") * coverage
+    pairs = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n")).join(total, "item_id").where(enough).select("doc_id", "item_id")
+    pairs = pairs.unionByName(spans.where("long").select("doc_id", "item_id")).distinct()
+    spans = spans.drop("long").join(pairs, ["doc_id", "item_id"], "left_semi").join(total.select("item_id", "w"), "item_id")
     spans = materialize(spans, "alignments")
     few = materialize(spans.select("doc_id").distinct(), "leaking-documents")
     doc_slots = _slots(rows.where("text rlike '\\\\p{N}|[\\\\p{Ll}\\\\p{N},;:] \\\\p{Lu}'").join(few, "doc_id", "left_semi"), "doc_id").distinct()
     item_slots = _slots(items, "item_id").distinct()
-    inside = F.expr(f"exists(starts, p -> p <= at and at < p + {width})")
-    met = spans.join(item_slots.withColumnRenamed("value", "item_value"), "item_id").where(inside).withColumn("at", F.col("at") + F.col("shift"))
-    met = met.join(doc_slots, ["doc_id", "at", "kind"]).select("doc_id", "item_id", "shift", "kind", "item_value", "value")
-    key = ["doc_id", "item_id", "shift"]
-    forward = met.groupBy(*key, "kind", "item_value").agg(F.countDistinct("value").alias("m"))
-    backward = met.groupBy(*key, "kind", "value").agg(F.countDistinct("item_value").alias("m"))
-    broken = forward.where("m > 1").select(*key).unionByName(backward.where("m > 1").select(*key)).distinct()
-    changed = met.where("not (item_value <=> value)").select(*key).distinct().withColumn("changed", F.lit(True))
-    good = spans.join(broken, key, "left_anti").join(changed, key, "left")
-    found = good.select(*key, F.explode("starts").alias("p"), F.coalesce("changed", F.lit(False)).alias("changed"))
-    found = found.groupBy("doc_id", "item_id").agg(F.countDistinct("p").alias("n_windows"), F.countDistinct(F.when(~F.col("changed"), F.col("p"))).alias("same"))
-    found = found.join(total, "item_id").where(F.col("n_windows") >= F.col("total") * coverage)
-    kind = F.when(F.col("same") >= F.col("total") * coverage, "copy").otherwise("reparameterised")
+    inside = F.expr("exists(starts, p -> p <= at and at < p + w)")
+    met = spans.join(item_slots.withColumnRenamed("value", "item_value"), "item_id").where(inside).withColumn("item_at", F.col("at")).withColumn("at", F.col("at") + F.col("shift"))
+    met = met.join(doc_slots, ["doc_id", "at", "kind"]).select(*key, "item_at", "kind", "item_value", "value")
+    met = materialize(met, "slots-met")
+    forward = met.groupBy(*key, "kind", "item_value").agg(F.countDistinct("value").alias("m")).where("m > 1").drop("m").withColumn("torn", F.lit(True))
+    backward = met.groupBy(*key, "kind", "value").agg(F.countDistinct("item_value").alias("m")).where("m > 1").drop("m").withColumn("merged", F.lit(True))
+    changed = met.where("not (item_value <=> value)").join(forward, [*key, "kind", "item_value"], "left").join(backward, [*key, "kind", "value"], "left")
+    broken = F.coalesce("torn", "merged", F.lit(False))
+    changed = changed.groupBy(*key).agg(F.collect_set(F.when(broken, F.col("item_at"))).alias("broken"), F.max(~broken).alias("changed"))
+    good = spans.join(changed, key, "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
+    good = good.withColumn("starts", F.expr("filter(starts, p -> not exists(coalesce(broken, array()), at -> p <= at and at < p + w))"))
+    good = good.select(*key, "starts", "changed", _has_run("starts", long).alias("long"))
+    found = good.select(*key, F.explode("starts").alias("p"), "changed", "long")
+    found = found.groupBy("doc_id", "item_id").agg(
+        F.countDistinct("p").alias("n_windows"), F.countDistinct(F.when(~F.col("changed"), F.col("p"))).alias("same"), F.max("long").alias("long"), F.max(F.col("long") & ~F.col("changed")).alias("long_same")
+    )
+    found = found.join(total, "item_id").where((F.col("n_windows") >= F.col("total") * coverage) | F.col("long"))
+    kind = F.when((F.col("same") >= F.col("total") * coverage) | F.col("long_same"), "copy").otherwise("reparameterised")
     return found.select("doc_id", "item_id", kind.alias("kind"), "n_windows", (F.col("n_windows") / F.col("total")).alias("coverage"))
 
 
