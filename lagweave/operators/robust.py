@@ -95,25 +95,26 @@ def leave_one_out(psi: DataFrame, m: int, n_terms: int) -> tuple[list[int], np.n
 
 
 def view_errors(rows: DataFrame, q: Gram, chosen: list[int], candidates: list[int]) -> DataFrame:
-    """(view, term, theta, mae): for each leave-one-out view and candidate, the fit on chosen + candidate and its error over the view."""
+    """(view_series, view, term, theta, mae): for each view, all rows of all series but one, and each candidate, the fit on chosen + candidate and its error over the view."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            view, term, theta = [], [], []
+            series, view, term, theta = [], [], [], []
             y, t = np.asarray(batch["y"]), np.vstack([*batch["t"].to_numpy(zero_copy_only=False)]) if batch.num_rows else np.zeros((0, len(q.b)))
             for c in candidates:
                 idx = [*chosen, c]
-                for k, yi, ti in zip(batch["k"].to_pylist(), y, t[:, idx]):
+                for s, k, yi, ti in zip(batch["series_id"].to_pylist(), batch["k"].to_pylist(), y, t[:, idx]):
+                    series.append(s)
                     view.append(k)
                     term.append(c)
                     theta.append(np.linalg.pinv(q.g[np.ix_(idx, idx)] - np.outer(ti, ti), rcond=1e-12, hermitian=True) @ (q.b[idx] - ti * yi))
-            yield pa.RecordBatch.from_arrays([pa.array(view, pa.int64()), pa.array(term, pa.int32()), pa.array([x.tolist() for x in theta], pa.list_(pa.float64()))], ["view", "term", "theta"])
+            yield pa.RecordBatch.from_arrays([pa.array(series, batch["series_id"].type), pa.array(view, pa.int64()), pa.array(term, pa.int32()), pa.array([x.tolist() for x in theta], pa.list_(pa.float64()))], ["view_series", "view", "term", "theta"])
 
-    fits = rows.mapInArrow(fit, "view long, term int, theta array<double>")
+    fits = rows.mapInArrow(fit, f"view_series {rows.schema['series_id'].dataType.simpleString()}, view long, term int, theta array<double>")
     value = " + ".join([*(f"theta[{i}] * t[{c}]" for i, c in enumerate(chosen)), f"theta[{len(chosen)}] * t[term]"])
     # every view against every other row is the definition of this error; n is the length of one short series
-    joined = fits.join(rows, F.col("view") != F.col("k"))
-    return joined.groupBy("view", "term").agg(F.avg(F.abs(F.col("y") - F.expr(value))).alias("mae"), F.first("theta").alias("theta"))
+    joined = fits.join(rows, (F.col("view") != F.col("k")) | ~F.col("view_series").eqNullSafe(F.col("series_id")))
+    return joined.groupBy("view_series", "view", "term").agg(F.avg(F.abs(F.col("y") - F.expr(value))).alias("mae"), F.first("theta").alias("theta"))
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 2) -> float:

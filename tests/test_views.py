@@ -1,0 +1,20 @@
+"""Leave-one-out views of several series against their definition."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lagweave.operators import gram, robust
+
+
+def test_views_of_two_series_stay_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = [(s, k, *map(float, rng.normal(size=3))) for s in (1, 2) for k in range(5)]
+    psi = spark.createDataFrame(rows, "series_id long, k long, y double, t0 double, t1 double")
+    got = robust.view_errors(psi.select("series_id", "k", "y", F.array("t0", "t1").alias("t")), gram.gram_of(psi, 2), [], [0, 1]).collect()
+    want = {}
+    for s, k, *_ in rows:
+        y, t0, t1 = np.array([r[2:] for r in rows if r[:2] != (s, k)]).T
+        for c, t in enumerate((t0, t1)):
+            want[s, k, c] = np.abs(y - t * (t @ y) / (t @ t)).mean()
+    assert len(got) == len(want)
+    assert all(np.isclose(r.mae, want[r.view_series, r.view, r.term]) for r in got)
