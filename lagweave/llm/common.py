@@ -89,6 +89,30 @@ def tokens(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array,
     return codes, coded.dictionary, per_text
 
 
+def bit_filter(keys: DataFrame, column: str, most_bits: int = 1 << 28) -> np.ndarray:
+    """Bytes of a filter with the bit ``key mod size`` set for every key; 16 bits for each, up to ``most_bits``.
+
+    Its false positives must cost time only.
+    """
+    n = keys.count()
+    bits = 1 << 16
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    out = np.zeros(bits // 8, np.uint8)
+    if n:
+        at = keys.select(F.col(column).bitwiseAND(F.lit(bits - 1)).alias("at"))
+        parts = at.groupBy(F.expr("at div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("set"))
+        for r in parts.toLocalIterator():  # bits / 8 bytes in all
+            out[r["part"] * 4096 : (r["part"] + 1) * 4096] |= np.frombuffer(r["set"], np.uint8)
+    return out
+
+
+def in_filter(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which unsigned keys may be in a filter."""
+    bit = keys & np.uint64(len(held) * 8 - 1)
+    return (held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def word_hashes(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hash of each distinct word."""
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in dictionary.to_pylist()), np.uint64, len(dictionary))

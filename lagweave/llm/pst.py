@@ -1,363 +1,295 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Tokens are words and one end mark for each text.  The tree predicts the bytes of a token:
-the first byte of a word, or the end mark, after a word start; then byte by byte to the
-closing space.  Contexts reach back at most ``depth`` symbols and never past the start of
-the word, so a word's probability does not depend on the text around it and the product
-over tokens is a distribution over texts.
-
-Jobs: (A) count words in buckets by hash, then suffix contexts weighted by those counts;
-divergence tests as joins; the retained states, at most ``max_states``, form the model.
-(B) score every text with the model and send the postings of its rarer words to the
-buckets, where the exact corpus counts for the unigram base are looked up.  Words that hold
-over 1/``hot_words`` of all tokens have their counts broadcast, so no bucket is hot.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are the words of a text and one end mark; a word that training lacks is the one unknown
+symbol.  A state is a context of 1..``depth`` symbols before the next one, a start mark among
+them, never past the start of its text.  A context is a candidate if it occurs ``min_count``
+times; its distribution keeps the symbols that follow it ``min_edge`` times or more, each count
+less ``discount``, and gives the mass left over to the distribution of its longest proper suffix,
+down to the root c / (N + V) with V / (N + V) for the unknown symbol.  A candidate is retained if
+the divergence of its distribution from that of its suffix, as the gain in log likelihood over
+training, is ``divergence`` nats or more, or if a longer retained context ends in it.  Every
+symbol, known or not, is scored by the longest retained suffix of what stands before it.
+
+That score is a sum of looked-up numbers: log10 P(x | s) is the root's value of x plus, for each
+retained suffix of the context, its back-off weight and, if x is kept there, a correction.  So
+the model is one table (key, value) that grows with the corpus.  A pass over the texts adds up
+the values of the ``hot`` most frequent keys, which are broadcast, and leaves the other keys,
+a bit filter telling which exist, to a join by key and a sum by row.  Contexts and symbols are
+64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, tokens
+from .common import bit_filter, in_filter, materialize, slices, tokens, word_hashes
 
-START, END = 0x20, 0x0A
-SLICE = 6 << 20
-#: Text bytes for each bucket of words.
-BUCKET_BYTES = 16 << 20
 WORD_SEED = 7
+#: Hashes that stand for the end and start marks, and what parts a state's key from that of a symbol.
+END, START, STATE = np.uint64(0x8F3C1D5A96E2B471), np.uint64(0x2B9D64E07A51CF3D), np.uint64(0x5DEECE66D1B54A35)
+TURN = 17
+#: Text bytes taken at a time, and symbols of them worked on at a time.
+SLICE = 4 << 20
+WINDOW = 1 << 20
 
 
 @dataclass(frozen=True)
 class SuffixTree:
-    """States as packed contexts (oldest symbol highest) with their back-off, and (context, symbol) log10 probabilities."""
+    """Totals of the training texts and the table (key, n, base, score) of symbols, states and edges."""
 
     depth: int
-    states: np.ndarray
-    backoff: np.ndarray
-    edges: np.ndarray
-    logp: np.ndarray
-    floor: float
-
-
-def _pack(*parts) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, 5))
-
-
-def _unpack(data: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
-
-
-def _bucket(words: list[bytes], n: int) -> np.ndarray:
-    return (np.fromiter((xxhash.xxh64_intdigest(w, WORD_SEED) for w in words), np.uint64, len(words)) % np.uint64(n)).astype(np.int64)
-
-
-def symbols(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol predicted in the words (their bytes and a closing space): the packed
-    context of up to ``depth`` symbols since the word start, the symbol, and the word's index."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    flat = np.frombuffer(b" " + b"  ".join(words) + b" ", np.uint8) if words else np.zeros(0, np.uint8)
-    flat = np.where(flat == 0, 1, flat).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), size)
-    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    context = np.zeros(len(flat), np.uint64)
-    for back in range(1, depth + 1):
-        older = np.zeros(len(flat), np.uint64)
-        older[back:] = flat[:-back] if back < len(flat) else flat[:0]
-        context |= np.where(at >= back, older, np.uint64(0)) << np.uint64(8 * (back - 1))
-    predicted = at > 0
-    return context[predicted], flat[predicted], owner[predicted]
-
-
-def score_words(words: list[bytes], model: SuffixTree) -> np.ndarray:
-    """log10 probability of each word, its closing space included."""
-    context, symbol, owner = symbols(words, model.depth)
-    return np.bincount(owner, weights=_score(context, symbol, model), minlength=len(words))
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return i, keys[i] == wanted
-
-
-def _score(context: np.ndarray, symbol: np.ndarray, model: SuffixTree) -> np.ndarray:
-    out = np.zeros(len(context))
-    todo = np.arange(len(context))
-    for d in range(model.depth, -1, -1):
-        mask = np.uint64((1 << (8 * d)) - 1)
-        c = context[todo] & mask
-        full = c >= np.uint64(1 << (8 * (d - 1))) if d else np.ones(len(c), bool)
-        # contexts of exactly d symbols; shorter ones wait for their own length
-        at, held = _find(model.edges, (c << np.uint64(8)) | symbol[todo])
-        hit = full & held
-        out[todo[hit]] += model.logp[at[hit]]
-        miss = full & ~held
-        if d:
-            s, known = _find(model.states, c[miss])
-            out[todo[miss]] += np.where(known, model.backoff[s] if len(model.backoff) else 0.0, 0.0)
-        else:
-            out[todo[miss]] += model.floor
-        todo = todo[~hit]
-    return out
-
-
-def _count_words(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, payload) with the distinct words of a slice of training texts and their counts."""
+    tokens: int
+    distinct: int
+    texts: int
+    table: DataFrame | None
+    states: list[DataFrame] = field(default_factory=list)
+
+
+def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Key of a context with the symbol after it, which is also the next longer context."""
+    return ((context << np.uint64(TURN)) | (context >> np.uint64(64 - TURN))) ^ symbol
+
+
+def _joined_sql(context: str, symbol: str) -> Column:
+    return F.expr(f"(shiftleft({context}, {TURN}) | shiftrightunsigned({context}, {64 - TURN})) ^ {symbol}")
+
+
+def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all texts one after the other, an end mark after each; the place of each in its text; symbols per text."""
+    codes, dictionary, per = tokens(texts, lower=True)
+    ends = np.cumsum(per + 1) - 1
+    symbol = np.full(len(codes) + len(per), END, np.uint64)
+    inner = np.ones(len(symbol), bool)
+    inner[ends] = False
+    symbol[inner] = word_hashes(dictionary, WORD_SEED)[codes]
+    at = np.arange(len(symbol)) - np.repeat(ends - per, per + 1)
+    return symbol, at, per + 1
+
+
+def contexts(symbol: np.ndarray, at: np.ndarray, depth: int, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For d = 0..depth: the context of d symbols before each of symbol[low:high], and whether its text reaches back so far."""
+    first = max(0, low - depth)
+    s, a = symbol[first:high], at[first:high]
+    before = np.r_[np.uint64(0), s[:-1]]
+    before[a == 0] = START
+    ctx, own = np.zeros(len(s), np.uint64), slice(low - first, None)
+    yield ctx[own], np.ones(high - low, bool)
+    for d in range(1, depth + 1):
+        ctx = joined(np.r_[np.uint64(0), ctx[:-1]], before) if d > 1 else before
+        yield ctx[own], (a >= d - 1)[own]
+
+
+def _windows(symbol: np.ndarray) -> Iterator[tuple[int, int]]:
+    for low in range(0, len(symbol), WINDOW):
+        yield low, min(low + WINDOW, len(symbol))
+
+
+def _symbols(docs: DataFrame) -> DataFrame:
+    """(key, n) of every symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                codes, dictionary, _ = tokens(part["text"], lower=True)
-                count = np.bincount(codes, minlength=len(dictionary))
-                words = dictionary.cast(pa.large_binary()).to_pylist()
-                bucket = _bucket(words, buckets)
-                order = np.argsort(bucket, kind="stable")
-                order = order[count[order] > 0]
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [order[a:b] for a, b in zip(ends[:-1], ends[1:])]
-                payload = [_pack(b"\n".join([words[i] for i in r]), count[r]) for r in rows if len(r)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, r in enumerate(rows) if len(r)], pa.int32()), pa.array(payload, pa.binary())], ["bucket", "payload"])
-
-    return docs.select("text").mapInArrow(run, "bucket int, payload binary")
-
-
-def _merge(payloads: list[bytes]) -> tuple[pa.Array, np.ndarray, list[tuple]]:
-    """Distinct words of the payloads, the code of every entry, and the unpacked payloads."""
-    parts = [_unpack(p) for p in payloads]
-    coded = pa.array([w for p in parts if p[0] for w in p[0].split(b"\n")], pa.binary()).dictionary_encode()
-    return coded.dictionary, np.asarray(coded.indices).astype(np.int64), parts
-
-
-def _corpus_counts(train: DataFrame, buckets: int, depth: int, hot_words: int) -> DataFrame:
-    """Rows by kind: 0 totals (key 0 tokens, 1 distinct words), 1 (packed context and symbol, count), 2 (word, count) of each bucket's most frequent."""
-    schema = "kind int, key long, word binary, n long"
-    names = ["kind", "key", "word", "n"]
-
-    def table(kind: int, key: np.ndarray, word: list, n: np.ndarray) -> pa.Table:
-        return pa.table([pa.array(np.full(len(n), kind, np.int32)), pa.array(key.astype(np.int64)), pa.array(word, pa.binary()), pa.array(n.astype(np.int64))], names)
-
-    def run(group: pa.Table) -> pa.Table:
-        words, code, parts = _merge(group["payload"].to_pylist())
-        n = np.bincount(code, weights=np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
-        out = [table(0, np.array([0, 1]), [None, None], np.array([n.sum(), len(n)]))]
-        top = np.argsort(-n, kind="stable")[:hot_words]
-        out.append(table(2, np.zeros(len(top)), words.take(pa.array(top)).to_pylist(), n[top]))
-        words = words.to_pylist()
-        for at in range(0, len(words), 100_000):
-            context, symbol, owner = symbols(words[at : at + 100_000], depth)
-            key, where = np.unique((context << np.uint64(8)) | symbol, return_inverse=True)
-            out.append(table(1, key.view(np.int64), [None] * len(key), np.bincount(where, weights=n[at : at + 100_000][owner])))
-        return pa.concat_tables(out)
-
-    return materialize(_count_words(train, buckets).groupBy("bucket").applyInArrow(run, schema), "corpus-counts")
-
-
-def _retained(edges: DataFrame, depth: int, min_count: int, divergence: float, max_states: int) -> list:
-    """(depth, context, symbol, count) of the root and of every context that passes the test:
-    at least ``min_count`` occurrences, and a log-likelihood gain over its parent's distribution
-    of ``divergence`` or more.  Over ``max_states`` passing contexts the bar is raised."""
-    by_depth = F.array(*(F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("key")) for d in range(depth + 1)))
-    long = edges.select(F.explode(by_depth).alias("x"), "n").select("x.d", "x.key", "n")
-    # a context of d symbols has a non-zero oldest one
-    long = long.where("d = 0 or shiftrightunsigned(key, 8 * d) <> 0").groupBy("d", "key").agg(F.sum("n").alias("n"))
-    long = materialize(long.select("d", F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n"), "suffix-counts")
-    totals = long.groupBy("d", "context").agg(F.sum("n").alias("total")).where(f"total >= {min_count} or d = 0")
-    full = long.join(totals, ["d", "context"])
-    child = full.where("d > 0").withColumn("shorter", F.expr(f"context & (shiftleft(1L, 8 * (d - 1)) - 1)"))
-    parent = full.select((F.col("d") + 1).alias("d"), F.col("context").alias("shorter"), "symbol", F.col("n").alias("pn"), F.col("total").alias("pt"))
-    gain = child.join(parent, ["d", "shorter", "symbol"]).groupBy("d", "context").agg(F.sum(F.expr("n * ln((n / total) / (pn / pt))")).alias("gain")).where(F.col("gain") >= divergence)
-    gain = materialize(gain, "suffix-gains")
-    if gain.count() > max_states:
-        bar = gain.approxQuantile("gain", [1 - max_states / gain.count()], 0.005)[0]
-        gain = gain.where(F.col("gain") > bar).orderBy(F.desc("gain"), "d", "context").limit(max_states)
-    return long.join(gain.select("d", "context"), ["d", "context"], "left_semi").unionByName(long.where("d = 0")).select("d", "context", "symbol", "n").toPandas()
-
-
-def build_tree(table, depth: int, kappa: float = 4.0) -> SuffixTree:
-    """Smoothed distributions of the retained contexts: counts mixed with ``kappa`` draws from
-    the longest retained suffix, down to the root, which mixes with a uniform byte."""
-    columns = [table[c].to_numpy() for c in ("d", "context", "symbol", "n")]
-    d, context, symbol = (x.astype(np.uint64) for x in columns[:3])
-    n = columns[3].astype(float)
-    floor = 1 / 256
-    total0 = n[d == 0].sum()
-    edges, logp, states, backoff = [np.zeros(0, np.uint64)], [np.zeros(0)], [np.zeros(0, np.uint64)], [np.zeros(0)]
-    model = SuffixTree(depth, states[0], backoff[0], edges[0], logp[0], math.log10(kappa * floor / (total0 + kappa)))
-    for level in range(depth + 1):
-        here = d == level
-        c, s, m = context[here], symbol[here], n[here]
-        own, where = np.unique(c, return_inverse=True)
-        total = np.bincount(where, weights=m, minlength=len(own)) if level else np.array([total0])
-        shorter = c & np.uint64((1 << (8 * max(level - 1, 0))) - 1)
-        prior = 10 ** _score(shorter, s, model) if level else np.full(len(m), floor)
-        p = (m + kappa * prior) / ((total[where] if level else total0) + kappa)
-        edges.append((c << np.uint64(8)) | s)
-        logp.append(np.log10(p))
-        if level:
-            states.append(own)
-            backoff.append(np.log10(kappa / (total + kappa)))
-        e, st = np.concatenate(edges), np.concatenate(states)
-        i, j = np.argsort(e), np.argsort(st)
-        model = SuffixTree(depth, st[j], np.concatenate(backoff)[j], e[i], np.concatenate(logp)[i], model.floor)
-    return model
-
+                key, n = np.unique(stream(part["text"])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
-@dataclass(frozen=True)
-class CorpusModel:
-    """The tree, training totals, and the exact counts of words too frequent for one bucket."""
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-    tree: SuffixTree
-    tokens: int
-    distinct: int
-    texts: int
-    hot: dict
-    buckets: int
 
+def _edges(docs: DataFrame, d: int, shorter: DataFrame, min_count: int, min_edge: int, most_bits: int) -> DataFrame:
+    """(context, suffix, symbol, n): symbols that follow a context of d symbols ``min_edge`` times or more.
 
-def train(docs: DataFrame, depth: int = 5, min_count: int = 32, divergence: float = 12.0, max_states: int = 100_000, hot_words: int = 1024) -> CorpusModel:
-    """Count all texts of ``docs`` (column text; null: empty) and grow the tree.
+    ``shorter`` (key, n) holds the keys of one symbol less; a context and a suffix with the symbol cannot be more frequent than these.
+    """
+    spark = docs.sparkSession
+    often = bit_filter(shorter.where(F.col("n") >= min_count), "key", most_bits)
+    known = bit_filter(shorter.where(F.col("n") >= min_edge), "key", most_bits)
+    shared = spark.sparkContext.broadcast((often, known))  # at most 2 x most_bits / 8 bytes
 
-    What reaches the driver is bounded: the edges of at most ``max_states`` states and at most ``hot_words`` words.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, known = shared.value
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                symbol, at, _ = stream(part["text"])
+                for low, high in _windows(symbol):
+                    *_, (suffix, _), (ctx, whole) = contexts(symbol, at, d, low, high)
+                    now = symbol[low:high]
+                    # a start mark is a context as often as there are texts
+                    keep = whole & (in_filter(often, ctx) | (ctx == START)) & in_filter(known, joined(suffix, now))
+                    ctx, suffix, now = ctx[keep], suffix[keep], now[keep]
+                    _, first, n = np.unique(joined(ctx, now), return_index=True, return_counts=True)
+                    order = np.argsort(ctx[first], kind="stable")
+                    first, n = first[order], n[order]
+                    columns = [pa.array(x[first].view(np.int64)) for x in (ctx, suffix, now)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], ["context", "suffix", "symbol", "n"])
+
+    counted = docs.mapInArrow(run, "context long, suffix long, symbol long, n long")
+    counted = counted.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n")).where(F.col("n") >= min_edge)
+    frequent = shorter.where(F.col("n") >= min_count).select(F.col("key").alias("context"), F.col("n").alias("total"))
+    return materialize(counted.join(frequent, "context"), f"suffix-edges-{d}")
+
+
+def _level(edges: DataFrame, shorter: DataFrame, d: int, discount: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate states (context, suffix, total, backoff, gain) and their edges (.., p, q): p the symbol's probability after
+    the context, q that after its suffix."""
+    per = edges.groupBy("context", "suffix", "total").agg(F.sum("n").alias("kept"), F.count("*").alias("symbols"))
+    per = per.withColumn("backoff", (F.col("total") - F.col("kept") + discount * F.col("symbols")) / F.col("total"))
+    per = materialize(per, f"suffix-sums-{d}")
+    full = edges.join(per.select("context", "backoff"), "context").join(shorter, ["suffix", "symbol"])
+    full = full.withColumn("p", (F.col("n") - discount) / F.col("total") + F.col("backoff") * F.col("q"))
+    full = materialize(full.select("context", "suffix", "symbol", "n", "p", "q", "backoff"), f"suffix-level-{d}")
+    gains = full.groupBy("context").agg(F.sum(F.expr("n * ln(p / q)")).alias("gain"))
+    per = per.join(gains, "context").withColumn("gain", F.expr("gain + (total - kept) * ln(backoff)"))
+    return materialize(per.select("context", "suffix", "total", "backoff", "gain"), f"suffix-candidates-{d}"), full
+
+
+def grow(docs: DataFrame, depth: int = 2, min_count: int = 32, min_edge: int = 4, divergence: float = 6.0, discount: float = 0.75, most_bits: int = 1 << 27) -> SuffixTree:
+    """Tree of all texts of ``docs`` (column text, no nulls).
+
+    Every context and symbol that passes the tests above is kept, however many there are.
     """
-    docs = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("texts")).first()
-    buckets = max(4, math.ceil((size["bytes"] or 0) / BUCKET_BYTES))
-    counts = _corpus_counts(docs, buckets, depth, hot_words)
-    totals = {r["key"]: r["n"] for r in counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).collect()}
-    texts = size["texts"]
-    n_tokens, distinct = totals.get(0, 0) + texts, totals.get(1, 0) + (texts > 0)
-    hot = {r["word"]: r["n"] for r in counts.where((F.col("kind") == 2) & (F.col("n") * hot_words > n_tokens)).select("word", "n").collect()}
-    edges = counts.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    if texts:
-        mark = docs.sparkSession.createDataFrame([((START << 8) | END, texts)], "key long, n long")
-        edges = edges.unionByName(mark)
-    table = _retained(edges, depth, min_count, divergence, max_states)
-    return CorpusModel(build_tree(table, depth), n_tokens, distinct, texts, {bytes(k): v for k, v in hot.items()}, buckets)
-
-
-def _postings(docs: DataFrame, model: CorpusModel) -> DataFrame:
-    """(bucket, slice, payload): the words of a slice of texts with their training counts and postings, by bucket,
-    and in one of the buckets each text's own sums.  A slice is named by its partition and its number there."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if depth < 1 or min_edge < 1 or min_count < min_edge or not 0 < discount < 1:
+        raise ValueError("needs depth and min_edge from 1, min_count from min_edge, a discount in (0, 1)")
+    words = materialize(_symbols(docs), "symbol-counts")
+    sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("key") == F.lit(int(END.view(np.int64))), F.col("n"))).alias("texts")).first()
+    n, v, texts = sums["n"] or 0, sums["v"], sums["texts"] or 0
+    if not n:
+        return SuffixTree(depth, 0, 0, 0, None)
+    spark = docs.sparkSession
+    # the start mark is a context, not a symbol
+    shorter = words.unionByName(spark.createDataFrame([(int(START.view(np.int64)), texts)], "key long, n long"))
+    lower = words.select(F.lit(0).cast("long").alias("suffix"), F.col("key").alias("symbol"), (F.col("n") / (n + v)).alias("q"))
+    levels = []
+    for d in range(1, depth + 1):
+        states, full = _level(_edges(docs, d, shorter, min_count, min_edge, most_bits), lower, d, discount)
+        levels.append((states, full))
+        shorter = full.select(_joined_sql("context", "symbol").alias("key"), "n")
+        lower = full.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("q"))
+    kept, longer = [], None
+    for states, _ in reversed(levels):
+        keep = states.where(F.col("gain") >= divergence)
+        if longer is not None:
+            ends = longer.select(F.col("suffix").alias("context")).distinct()
+            keep = keep.unionByName(states.where(F.col("gain") < divergence).join(ends, "context", "left_semi"))
+        longer = materialize(keep, "suffix-states")
+        kept.insert(0, longer)
+    zero = F.lit(0.0)
+    rows = words.select("key", "n", F.log10(F.col("n") + 1).alias("base"), F.log10(F.col("n") / v).alias("score"))
+    for states, (_, full) in zip(kept, levels):
+        rows = rows.unionByName(states.select(F.col("context").bitwiseXOR(F.lit(int(STATE.view(np.int64)))).alias("key"), F.col("total").alias("n"), zero.alias("base"), F.log10("backoff").alias("score")))
+        own = full.join(states.select("context"), "context", "left_semi")
+        rows = rows.unionByName(own.select(_joined_sql("context", "symbol").alias("key"), "n", zero.alias("base"), F.expr("log10(p) - log10(q) - log10(backoff)").alias("score")))
+    return SuffixTree(depth, n, v, texts, materialize(rows, "suffix-tree"), kept)
+
+
+def _threshold(table: DataFrame, hot: int) -> int:
+    """Least count such that at most ``hot`` keys have it or more, from a histogram of some hundred bins."""
+    if table.count() <= hot:
+        return 0
+    bins = table.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.min("n").alias("low"), F.count("*").alias("keys"))
+    low, held = None, 0
+    for r in bins.orderBy(F.desc("bin")).collect():  # 16 for each doubling of n
+        held += r["keys"]
+        if held > hot:
+            break
+        low = r["low"]
+    return low or 1 << 62
+
+
+def _rows(docs: DataFrame, tree: SuffixTree, hot: int, most_bits: int) -> DataFrame:
+    """docs with the sums over hot keys, and the other keys each text needs with how often it needs them."""
+    low = _threshold(tree.table, hot)
+    # at most ``hot`` rows of 24 bytes
+    few = tree.table.where(F.col("n") >= low).select("key", "base", "score").toArrow()
+    key = np.asarray(few["key"]).view(np.uint64)
+    order = np.argsort(key)
+    every = bit_filter(tree.table, "key", most_bits)
+    shared = docs.sparkSession.sparkContext.broadcast((key[order], np.asarray(few["base"])[order], np.asarray(few["score"])[order], every))
+    depth = tree.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        end = 10 ** _score(np.array([START], np.uint64), np.array([END], np.uint64), m.tree)
-        end = float(mix(np.array([m.texts]), end, m.tokens, m.distinct)[0]) if m.texts else 0.0
-        name = TaskContext.get().partitionId() << 32
+        keys, base, score, every = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                learn = np.asarray(part["learn"]).astype(bool)
-                codes, dictionary, per = tokens(part["text"], lower=True)
-                words = dictionary.cast(pa.large_binary()).to_pylist()
+                symbol, at, per = stream(part["text"])
                 owner = np.repeat(np.arange(len(per)), per)
-                spelled = 10 ** np.concatenate([score_words(words[a : a + 50_000], m.tree) for a in range(0, len(words), 50_000)] or [np.zeros(0)])
-                hot = np.array([m.hot.get(w, 0) for w in words], np.int64)
-                mixed = np.where(hot > 0, mix(hot, spelled, m.tokens, m.distinct), 0.0)
-                score = np.bincount(owner, weights=mixed[codes], minlength=len(per)) + end
-                base = np.bincount(owner, weights=np.log10(hot + 1.0)[codes], minlength=len(per))
-                known = np.bincount(owner, weights=(hot > 0)[codes], minlength=len(per)).astype(np.int64)
-                cold = (hot == 0)[codes]
-                pair, tf = np.unique(codes[cold] * len(per) + owner[cold], return_counts=True)
-                word, doc = pair // len(per), pair % len(per)
-                count = np.bincount(codes[learn[owner]], minlength=len(words))
-                bucket = _bucket(words, m.buckets)[word]
-                order = np.argsort(bucket, kind="stable")
-                word, doc, tf = word[order], doc[order], tf[order]
-                ends = np.searchsorted(bucket[order], np.arange(m.buckets + 1))
-                home, out = name % m.buckets, []
-                for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-                    if a == b and k != home:
-                        continue
-                    w, sizes = np.unique(word[a:b], return_counts=True)
-                    own = (part["doc_id"].to_pylist(), learn, per + 1, known, base, score) if k == home else None
-                    payload = _pack(b"\n".join([words[i] for i in w]), count[w], spelled[w].astype(np.float32), sizes.astype(np.int32), doc[a:b].astype(np.int32), tf[a:b].astype(np.int32), own)
-                    out.append((k, name, payload))
-                name += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "slice", "payload"])
-
-    return docs.mapInArrow(run, "bucket int, slice long, payload binary")
-
-
-def mix(count: np.ndarray, spelled: np.ndarray, n_tokens: int, n_distinct: int) -> np.ndarray:
-    """log10 probability of tokens from their training counts and what the tree gives their spelling."""
-    if not n_tokens:
-        return np.log10(np.maximum(spelled, 1e-300))
-    return np.log10(np.maximum(count + n_distinct * spelled, 1e-300)) - math.log10(n_tokens + n_distinct)
-
-
-def _look_up(group: pa.Table, n_tokens: int, n_distinct: int) -> pa.Table:
-    """With one bucket's exact training counts: each slice's partial sums by text, packed, and, in a row
-    without a slice, the sum of the tree's probabilities over the bucket's known words."""
-    _, code, parts = _merge(group["payload"].to_pylist())
-    n = np.bincount(code, weights=np.concatenate([p[1] for p in parts])) if len(code) else np.zeros(0)
-    seen = np.zeros(len(n))
-    if len(code):
-        seen[code] = np.concatenate([p[2] for p in parts])
-    out, at = [], 0
-    for _, _, spelled, sizes, doc, tf, own in parts:
-        counted = n[code[at : at + len(sizes)]] if len(sizes) else np.zeros(0)
-        at += len(sizes)
-        some, local = np.unique(doc, return_inverse=True)
-        mixed = np.where(counted > 0, mix(counted, spelled.astype(np.float64), n_tokens, n_distinct), 0.0)
-        base = np.bincount(local, weights=tf * np.repeat(np.log10(counted + 1), sizes), minlength=len(some))
-        known = np.bincount(local, weights=tf * np.repeat(counted > 0, sizes), minlength=len(some)).astype(np.int32)
-        score = np.bincount(local, weights=tf * np.repeat(mixed, sizes), minlength=len(some))
-        out.append(_pack(some.astype(np.int32), known, base, score, own))
-    slices_ = pa.array([*group["slice"].to_pylist(), None], pa.int64())
-    mass = [*(0.0 for _ in out), float(seen[n > 0].sum())]
-    return pa.table([slices_, pa.array(mass), pa.array([*out, None], pa.binary())], ["slice", "mass", "payload"])
-
-
-def _add_up(group: pa.Table) -> pa.Table:
-    """A slice's texts with the sums over all buckets."""
-    parts = [_unpack(p) for p in group["payload"].to_pylist()]
-    ids, learn, per, known, base, score = next(p[4] for p in parts if p[4])
-    known, base, score = known.copy(), base.copy(), score.copy()
-    for some, k, b, s, _ in sorted(parts, key=lambda p: (len(p[0]), p[2].sum())):
-        known[some] += k
-        base[some] += b
-        score[some] += s
-    columns = [pa.array(ids, pa.int64()), pa.array(~learn), pa.array(per.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
-    return pa.table(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-
-
-def score_corpus(docs: DataFrame, held_out: Column, **options) -> DataFrame:
+                sums = np.zeros((3, len(per)))
+                cold_key, cold_owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for low, high in _windows(symbol):
+                    now, own = symbol[low:high], owner[low:high]
+                    alive = np.ones(high - low, bool)
+                    for d, (ctx, whole) in enumerate(contexts(symbol, at, depth, low, high)):
+                        wanted, whose = [now], own
+                        if d:
+                            # no longer context is retained where a shorter one is not
+                            alive &= whole
+                            alive[alive] = in_filter(every, ctx[alive] ^ STATE)
+                            wanted, whose = [(ctx ^ STATE)[alive], joined(ctx, now)[alive]], own[alive]
+                        for k in wanted:
+                            maybe = in_filter(every, k)
+                            k, o = k[maybe], whose[maybe]
+                            i = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
+                            hit = keys[i] == k if len(keys) else np.zeros(len(k), bool)
+                            i, there = i[hit], o[hit]
+                            for total, value in zip(sums, (base[i], score[i], base[i] > 0)):
+                                total += np.bincount(there, weights=value, minlength=len(per))
+                            cold_key.append(k[~hit])
+                            cold_owner.append(o[~hit])
+                k, o = np.concatenate(cold_key), np.concatenate(cold_owner)
+                order = np.lexsort((k, o))
+                k, o = k[order], o[order]
+                new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]) if len(k) else np.zeros(0, np.int64)
+                tf = np.diff(np.r_[new, len(k)])
+                offsets = pa.array(np.searchsorted(o[new], np.arange(len(per) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (k[new].view(np.int64), tf.astype(np.int32))]
+                values = [pa.array(x) for x in (row + np.arange(len(per)), per, *sums)]
+                row += len(per)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["learn"], *values, *lists], ["doc_id", "learn", "row", "n_tokens", "base", "score", "known", "cold", "tf"])
+
+    schema = "doc_id long, learn boolean, row long, n_tokens long, base double, score double, known double, cold array<long>, tf array<int>"
+    return materialize(docs.mapInArrow(run, schema), "scored-rows")
+
+
+def score_with(rows: DataFrame, tree: SuffixTree, hot: int = 300_000, most_bits: int = 1 << 27) -> DataFrame:
+    """rows (doc_id, text, learn) scored by a tree: (doc_id, learn, n_tokens, n_known, base, score)."""
+    if tree.table is None:
+        count = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).cast("long") + 1
+        return rows.select("doc_id", "learn", count.alias("n_tokens"), F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("score"))
+    scored = _rows(rows, tree, hot, most_bits)
+    wanted = scored.select("row", F.explode(F.arrays_zip("cold", "tf")).alias("x")).select("row", F.col("x.cold").alias("key"), F.col("x.tf").alias("tf"))
+    found = wanted.join(tree.table.select("key", "base", "score"), "key")
+    known = F.sum(F.when(F.col("base") > 0, F.col("tf")).otherwise(0))
+    found = found.groupBy("row").agg(F.sum(F.col("tf") * F.col("base")).alias("more_base"), F.sum(F.col("tf") * F.col("score")).alias("more"), known.alias("more_known"))
+    both = scored.drop("cold", "tf").join(found, "row", "left")
+    zero = F.lit(0.0)
+    unknown = math.log10(tree.distinct / (tree.tokens + tree.distinct))
+    return both.select(
+        "doc_id",
+        "learn",
+        "n_tokens",
+        (F.col("known").cast("long") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("base") + F.coalesce("more_base", zero) - F.col("n_tokens") * math.log10(tree.tokens + tree.distinct + 1)).alias("base"),
+        (F.col("score") + F.coalesce("more", zero) + F.col("n_tokens") * unknown).alias("score"),
+    )
+
+
+def score_corpus(docs: DataFrame, held_out: Column, hot: int = 300_000, **options) -> DataFrame:
     """Score all docs (doc_id, text) with a tree learned from those where ``held_out`` is not true.
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row for
-    each input row, null ids and repeated rows included.  A null text is empty (one token, the end
-    mark).  Without training rows every token is unknown and every score is 0.
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, a row for each input row, null ids
+    (never held out) and repeated rows included; other columns are ignored.  A null text is empty: one token, the
+    end mark.  Without training rows every token is unknown and both scores are 0.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("learn"))
-    model = train(rows.where("learn").select("text"), **options)
-    n_tokens, n_distinct = model.tokens, model.distinct
-    looked_up = _postings(rows, model).groupBy("bucket").applyInArrow(lambda group: _look_up(group, n_tokens, n_distinct), "slice long, mass double, payload binary")
-    looked_up = materialize(looked_up, "partial-scores")
-    mass = looked_up.agg(F.sum("mass")).first()[0] or 0.0
-    frequent = np.append(score_words(list(model.hot), model.tree), _score(np.array([START], np.uint64), np.array([END], np.uint64), model.tree))
-    left = max(1e-12, 1 - mass - float((10**frequent).sum()))
-    unknown = math.log10(left * n_distinct / (n_tokens + n_distinct)) if n_tokens else 0.0
-    unit = math.log10(n_tokens + n_distinct + 1)
-    sums = looked_up.where("slice is not null").select("slice", "payload").groupBy("slice").applyInArrow(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
-    known = F.col("n_known") + (1 if model.texts else 0)
-    return sums.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        known.alias("n_known"),
-        F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + math.log10(model.texts + 1) - F.col("n_tokens") * unit).alias("base_score"),
-        (F.col("score") + (F.col("n_tokens") - known) * unknown).alias("score"),
-    )
+    tree = grow(rows.where("learn").select("text"), **options)
+    out = score_with(rows, tree, hot)
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_dir, slices, tokens, word_hashes
+from .common import bit_filter, in_filter, materialize, scratch_dir, slices, tokens, word_hashes
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MODULUS = 1 << 64
@@ -127,32 +127,15 @@ class WindowIndex:
             p.getFileSystem(hadoop).delete(p, True)
 
 
-def bit_filter(anchors: DataFrame, most_bits: int = 1 << 28) -> np.ndarray:
-    """Bytes of a filter with the bit ``anchor mod size`` set for every anchor; 16 bits for each, up to ``most_bits``."""
-    n = anchors.count()
-    bits = 1 << 16
-    while bits < min(16 * n, most_bits):
-        bits *= 2
-    out = np.zeros(bits // 8, np.uint8)
-    if n:
-        at = anchors.select(F.col("anchor").bitwiseAND(F.lit(bits - 1)).alias("at"))
-        parts = at.groupBy(F.expr("at div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("set"))
-        for r in parts.toLocalIterator():  # bits / 8 bytes in all
-            out[r["part"] * 4096 : (r["part"] + 1) * 4096] |= np.frombuffer(r["set"], np.uint8)
-    return out
-
-
 def _candidates(docs: DataFrame, window: int, passed) -> DataFrame:
     """(key, mark, doc_id, pos) of the windows whose anchor passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = passed.value
-        size = np.uint64(len(held) * 8 - 1)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 owner, pos, at, anchor, hashed = windows(part["text"], window)
-                bit = anchor & size
-                hit = (held[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                hit = in_filter(held, anchor)
                 if not hit.any():
                     continue
                 owner, pos, at = owner[hit], pos[hit].astype(np.int32), at[hit]
@@ -177,7 +160,7 @@ def repeated_positions(docs: DataFrame, window: int = 50, batches: int = 2, fano
         batch = upto if low is None else upto.where(F.col("doc_id") > low)
         older = list(index.runs)
         run = index.append(_anchors(batch, window))
-        passed = docs.sparkSession.sparkContext.broadcast(bit_filter(index.repeated(run, older)))
+        passed = docs.sparkSession.sparkContext.broadcast(bit_filter(index.repeated(run, older), "anchor"))
         first = _candidates(upto, window, passed).groupBy("key", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         # as a table, so that the join reads two exchanges and a passage in very many documents can be split between tasks
         first = materialize(first.where("first < last").select("key", "mark", "first"), "first-windows")

@@ -126,52 +126,6 @@ def test_langid_pieces_do_not_matter():
     assert np.allclose(total[0], total[1]) and whole[0][0] == model.langs[int(total[1][0].argmax())]
 
 
-def test_suffix_tree_base_and_gain(spark, corpus):
-    import math
-    from collections import Counter
-
-    held = "doc_id % 5 = 2"
-    from pyspark.sql import functions as F
-
-    got = pst.score_corpus(docs(spark, corpus), F.expr(held), min_count=4, divergence=2.0).collect()
-    assert len(got) == len(corpus)
-    count = Counter()
-    for i, t, *_ in corpus:
-        if i is None or i % 5 != 2:
-            count.update([*(t or "").encode().lower().split(), " "])
-    n, v = sum(count.values()), len(count)
-    want = sorted((str(i), len((t or "").split()) + 1, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*(t or "").encode().lower().split(), " "]), 6)) for i, t, *_ in corpus)
-    assert sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-
-
-def test_suffix_tree_gains_on_held_out_texts(spark):
-    from pyspark.sql import functions as F
-
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = [r for r in pst.score_corpus(d, F.expr("doc_id % 5 = 2")).collect() if r.held_out]
-    assert sum(r.n_known for r in got) < sum(r.n_tokens for r in got)
-    assert sum(r.score for r in got) > 0.97 * sum(r.base_score for r in got)
-
-
-def test_tree_distribution_sums_to_one():
-    import pandas as pd
-
-    words = [b"abba", b"abab", b"baab"] * 20
-    context, symbol, _ = pst.symbols(words, 3)
-    rows = {}
-    for c, s in zip(context.tolist(), symbol.tolist()):
-        for d in range(4):
-            if d == 0 or c >> (8 * (d - 1)) & 255:
-                key = (d, c & ((1 << 8 * d) - 1), s)
-                rows[key] = rows.get(key, 0) + 1
-    table = pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["d", "context", "symbol", "n"])
-    tree = pst.build_tree(table, 3)
-    for c in sorted({0, *context.tolist()}):
-        p = 10 ** pst._score(np.full(256, c, np.uint64), np.arange(256, dtype=np.uint64), tree)
-        assert np.isclose(p.sum(), 1)
-
-
 def test_quality_separates(spark):
     rng = np.random.default_rng(0)
     rows, marks = [], []
