@@ -22,6 +22,7 @@ of the links it sees, never the pairs; components come from star contraction on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,10 @@ GOLAY = 0b110001110101
 BLOCK = 23
 #: Homes of an anchor from which it is salted.
 HOT_HOMES = 2048
+#: Distinct fingerprints from which anchors are over all 64 bits.
+MANY = 1 << 26
+#: Roles under an anchor and salt, in the order they are compared: homes of earlier salts, of this one, of later ones, probes.
+EARLIER, OWN, LATER, PROBE = range(4)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -98,8 +103,19 @@ def coset_tables(excess: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return tables
 
 
-def replicas(fp: np.ndarray, tables: list, excess: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(index of the fingerprint, anchor, excess) for every anchor up to the given excess."""
+def replicas(fp: np.ndarray, tables: list, excess: int, blocks: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(index of the fingerprint, anchor, excess) for every anchor up to the given excess.
+
+    With three blocks bits 46-63 are covered by all their 2**18 values, whose covering radius is 0.
+    """
+    if blocks == 3:
+        top = np.uint64(2 * BLOCK)
+        for c in range(excess + 1):
+            flips = np.array([sum(1 << b for b in bits) for bits in combinations(range(64 - 2 * BLOCK), c)], np.uint64)
+            for row, anchor, e in replicas(fp, tables, excess - c):
+                high = (fp.view(np.uint64)[row] >> top)[:, None] ^ flips
+                yield np.repeat(row, len(flips)), (anchor.view(np.uint64)[:, None] | (high << top)).ravel().view(np.int64), e + c
+        return
     mask = np.int64((1 << BLOCK) - 1)
     low, high = fp.view(np.int64) & mask, (fp.view(np.int64) >> BLOCK) & mask
     s_low, s_high = _syndrome(low), _syndrome(high)
@@ -115,7 +131,7 @@ def replicas(fp: np.ndarray, tables: list, excess: int) -> Iterator[tuple[np.nda
             yield row, first | ((high[row] ^ tb[s_high[row], col]) << BLOCK), a + b
 
 
-def _anchors(reps: DataFrame, excess: int) -> DataFrame:
+def _anchors(reps: DataFrame, excess: int, blocks: int) -> DataFrame:
     """(fp, anchor, home) of each fingerprint and anchor up to the excess; home: within radius plus 1."""
     tables = coset_tables(excess)
     shared = reps.sparkSession.sparkContext.broadcast(tables)  # about 1 MB, whatever the input
@@ -125,7 +141,7 @@ def _anchors(reps: DataFrame, excess: int) -> DataFrame:
             fp = np.asarray(batch["fp"])
             for at in range(0, len(fp), 2000):
                 part = np.ascontiguousarray(fp[at : at + 2000])
-                for row, anchor, e in replicas(part, shared.value, excess):
+                for row, anchor, e in replicas(part, shared.value, excess, blocks):
                     yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(anchor), pa.array(np.full(len(row), e <= 1))], ["fp", "anchor", "home"])
 
     return reps.select("fp").mapInArrow(run, "fp long, anchor long, home boolean")
@@ -151,14 +167,14 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
-def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the homes of each key, which come first, and the rows after them."""
-    n = len(key)
-    first = np.r_[True, key[1:] != key[:-1]]
+def _links(anchor: np.ndarray, salt: np.ndarray, role: np.ndarray, fp: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that the rows of each (anchor, salt) show: an own home with all homes before it, a probe with all homes."""
+    n = len(fp)
+    first = np.r_[True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])]
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     group = np.cumsum(first) - 1
-    homes = np.bincount(group, weights=home, minlength=group[-1] + 1).astype(np.int64)[group]
-    pairs = np.minimum(np.arange(n) - start, homes)
+    homes = np.bincount(group, weights=role < PROBE, minlength=group[-1] + 1).astype(np.int64)[group]
+    pairs = np.where(role == PROBE, homes, np.where(role == OWN, np.arange(n) - start, 0))
     ends, found = np.cumsum(pairs), ([], [])
     at = 0
     while at < n:
@@ -179,9 +195,8 @@ def _links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) ->
 def _compare(batches: Iterator[pa.RecordBatch], threshold: int, buffer: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, salt, role, fp) come sorted: the homes of a key, then its probes.
 
-    Of a key that outgrows the buffer only the homes stay (8 bytes each); its probes stream by.
+    Of a key that outgrows the buffer only the homes stay (8 bytes each, not compared with each other again); its probes stream by.
     """
-    kept: list[np.ndarray] = []
     out: tuple[list, list] = ([], [])
 
     def flush(rows: list[np.ndarray]) -> None:
@@ -195,21 +210,20 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int, buffer: int = 20
     for batch in batches:
         if not batch.num_rows:
             continue
-        anchor, salt = np.asarray(batch["anchor"]), np.asarray(batch["salt"]).astype(np.int64)
-        rows = [anchor | (salt << (2 * BLOCK)), np.asarray(batch["fp"]), np.asarray(batch["role"]) < 2]
-        waiting.append(rows)
+        waiting.append([np.asarray(batch[c]) for c in ("anchor", "salt", "role", "fp")])
         held += batch.num_rows
         if held < buffer:
             continue
         rows = [np.concatenate(x) for x in zip(*waiting)]
-        other = np.flatnonzero(rows[0] != rows[0][-1])
+        other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
         last = int(other[-1]) + 1 if len(other) else 0
         if last:
             flush([x[:last] for x in rows])
         rest = [x[last:] for x in rows]
         if len(rest[0]) > buffer // 2:
             flush(rest)
-            rest = [x[rest[2]] for x in rest]
+            rest = [x[rest[2] < PROBE] for x in rest]
+            rest[2] = np.full(len(rest[2]), EARLIER, rest[2].dtype)
         waiting, held = [rest], 0
         if len(out[0]) > 64:
             x, y = spanning(np.concatenate(out[0]), np.concatenate(out[1]))
@@ -224,37 +238,42 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int, buffer: int = 20
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]), pa.array(y[at : at + 50_000])], ["u", "v"])
 
 
-def links(reps: DataFrame, threshold: int = THRESHOLD, hot_homes: int = HOT_HOMES) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints whose components are those of all links at ``threshold`` bits or fewer."""
+def links(reps: DataFrame, threshold: int = THRESHOLD, hot_homes: int = HOT_HOMES, blocks: int | None = None) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints whose components are those of all links at ``threshold`` bits or fewer.
+
+    ``blocks``: 2 for anchors over 46 bits, 3 for anchors over all 64 (six times the replicas); by default 3 from the
+    number of fingerprints at which two blocks would compare each with more than some thousands of others.  No link is lost either way.
+    """
     if threshold > 3:
-        raise ValueError("the two-block cover splits a threshold of at most 3")
-    hot = materialize(_anchors(reps, 1).groupBy("anchor").count().where(F.col("count") > hot_homes).select("anchor", F.ceil(F.col("count") / hot_homes).cast("int").alias("salts")), "hot-anchors")
-    rows = _anchors(reps, 2)
-    own = F.lit(0)
+        raise ValueError("the cover splits a threshold of at most 3")
+    blocks = blocks or (2 if reps.count() < MANY else 3)
+    hot = materialize(_anchors(reps, 1, blocks).groupBy("anchor").count().where(F.col("count") > hot_homes).select("anchor", F.ceil(F.col("count") / hot_homes).cast("int").alias("salts")), "hot-anchors")
+    rows = _anchors(reps, 2, blocks)
     if n_hot := hot.count():
         # a row of 12 bytes for each hot anchor: broadcast while that is surely small, joined by key beyond
         rows = rows.join(F.broadcast(hot) if n_hot <= 100_000 else hot, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-        every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(own))
-        rows = rows.withColumn("own", own).withColumn("salt", F.explode(every))
-        role = F.when(~F.col("home"), 2).when(F.col("salt") == F.col("own"), 1).otherwise(0)
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+        # probes are dealt out, homes go to every salt; two homes are compared in the later of their own salts
+        every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("own"))
+        rows = rows.withColumn("salt", F.explode(every))
+        role = F.when(~F.col("home"), PROBE).when(F.col("own") < F.col("salt"), EARLIER).when(F.col("own") == F.col("salt"), OWN).otherwise(LATER)
     else:
-        rows = rows.withColumn("salt", own)
-        role = F.when(F.col("home"), 1).otherwise(2)
+        rows = rows.withColumn("salt", F.lit(0))
+        role = F.when(F.col("home"), OWN).otherwise(PROBE)
     rows = rows.select("anchor", "salt", role.cast("byte").alias("role"), "fp")
     rows = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "role")
     return rows.mapInArrow(lambda it: _compare(it, threshold), "u long, v long").distinct()
 
 
-def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(u, v): every node of ``edges`` but the least of its component, with that least node.
 
-    Alternating large and small star contractions; every round is written as a table.  So are the least
+    Rounds end when one changes nothing; their number grows with the logarithm of the edges.  Alternating large and small star contractions; every round is written as a table.  So are the least
     neighbours that a round joins to: a join of two exchanges lets a node with very many links be split between tasks.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = materialize(e, name), None
-    for _ in range(most_rounds):
+    while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return e
@@ -265,7 +284,6 @@ def components(edges: DataFrame, name: str = "stars", most_rounds: int = 60) ->
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, threshold: int = THRESHOLD, hot_homes: int = HOT_HOMES) -> DataFrame:
