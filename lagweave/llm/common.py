@@ -47,6 +47,11 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
+def held(doc_id: str | Column, n: int, part: int) -> Column:
+    """Whether an id's fold of n is ``part``; null ids are never held out."""
+    return F.coalesce(fold(doc_id, n) == part, F.lit(False))
+
+
 def words_sql(text: str) -> str:
     """SQL for the array of words of a text column (null: no words)."""
     return f"filter(split(coalesce({text}, ''), '{SEPARATORS}', -1), w -> w <> '')"
@@ -107,6 +112,20 @@ def bit_filter(keys: DataFrame, column: str, most_bits: int = 1 << 28) -> np.nda
     return out
 
 
+def _turn(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
+
+
+def xxhash64(values: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of every 64-bit value, as ``functions.xxhash64`` gives for a long."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = np.uint64((seed + int(p5) + 8) % (1 << 64)) ^ (_turn(values * p2, 31) * p1)
+    h = _turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def in_filter(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which unsigned keys may be in a filter."""
     bit = keys & np.uint64(len(held) * 8 - 1)

@@ -23,7 +23,7 @@ UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 #: Code points of a text that are hashed at a time; pieces overlap so that no n-gram is lost.
 PIECE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_CHARACTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,11 @@ class LanguageModel:
     logp: np.ndarray
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter; numerals such as those for halves, powers or Roman numbers are none."""
+    return any(m.group().isalpha() for m in _WORD_CHARACTER.finditer(text or ""))
+
+
 def pieces(texts: list[str | None], most: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Lower-cased texts as code points, in parts of about ``most``: (code points, start and
     length of each piece, index of the text it belongs to).  A piece is followed by two more
@@ -75,19 +80,19 @@ def _inside(start: np.ndarray, length: np.ndarray, total: int) -> np.ndarray:
     return np.cumsum(mark[:total]).astype(bool)
 
 
-def train(docs: DataFrame, bits: int = 14, alpha: float = 0.5, max_langs: int = 1000) -> LanguageModel:
-    """Fit on docs (text, lang); rows with a null lang are left out, null texts count as empty.
+def train(docs: DataFrame, bits: int = 14, alpha: float = 0.5, max_cells: int = 1 << 25) -> LanguageModel:
+    """Fit on docs (text, lang); rows with a null lang are left out, null texts count as empty, repeated rows count as often as they come.
 
-    Over ``max_langs`` languages is an error: the model's size must stay bounded.  Without any
-    labelled row the model has no languages and predicts ``und``.
+    The matrix has at most ``max_cells`` cells as long as there are under max_cells / 256 languages: it then has fewer
+    than 2**``bits`` buckets, 256 at least.  Without any labelled row the model has no languages and predicts ``und``.
     """
     spark = docs.sparkSession
     labelled = docs.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
-    rows = labelled.groupBy("lang").count().limit(max_langs + 1).collect()
-    if len(rows) > max_langs:
-        raise ValueError(f"over {max_langs} languages")
-    rows = sorted((r["lang"], r["count"]) for r in rows)
+    # a row for each language
+    rows = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())
     langs = tuple(x[0] for x in rows)
+    while bits > 8 and len(langs) << bits > max_cells:
+        bits -= 1
     index, size = {x: i for i, x in enumerate(langs)}, 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +128,7 @@ def score_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
         for b in buckets(cp, ORDERS, bits):
             sums = np.add.reduceat(np.r_[model.logp[b], np.zeros((1, len(model.langs)), np.float32)].astype(np.float64), cuts, axis=0)[::2]
             np.add.at(total, owner, sums)
-    known = np.array([bool(model.langs) and t is not None and _LETTER.search(t) is not None for t in texts], bool)
+    known = np.array([bool(model.langs) and has_letter(t) for t in texts], bool)
     if not model.langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     best = total.argmax(1)
@@ -135,9 +140,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with ``lang_pred`` and ``score`` (posterior of the prediction, 0 to 1) appended.
 
     ``und`` with score 0 where the text is null or has no letter.  Ties go to the first
-    language in code point order; other columns pass through unread.
+    language in code point order; repeated rows and null ids are rows like others; columns of docs
+    named ``lang_pred`` or ``score`` are replaced, all others pass through unread.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats, at most max_langs languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats, see train
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     schema = docs.select(keep).schema.add("lang_pred", "string").add("score", "double")
 

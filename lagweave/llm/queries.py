@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, mixing, pst, simhash, substring, warc, winnow, zquality
-from .common import fold
+from .common import held
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,20 +23,20 @@ def op2_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    model = langid.train(docs.where(~(fold("doc_id", 3) == 1)))
+    model = langid.train(docs.where(~held("doc_id", 3, 1)))
     out = langid.identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pst.score_corpus(_read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) == 2)
+    return pst.score_corpus(_read(spark, sf_dir, "documents").select("doc_id", "text"), held("doc_id", 7, 2))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = _read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    labels = _read(spark, sf_dir, "labels").where(~held("doc_id", 5, 0))
     out = zquality.classify(docs, zquality.train(docs, labels))
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 LEVEL = 3
 
@@ -70,16 +70,16 @@ def _features(mark: np.ndarray, knots: tuple[float, ...]) -> np.ndarray:
     return np.column_stack([np.ones(len(mark)), *(np.maximum(mark - k, 0) for k in knots)])
 
 
-def calibrate(mark: np.ndarray, label: np.ndarray, knots: tuple[float, ...], ridge: float = 1e-3, rounds: int = 50) -> tuple[float, ...]:
-    """Weights of a logistic curve over the mark, by Newton's method with a small ridge."""
+def calibrate(mark: np.ndarray, label: np.ndarray, knots: tuple[float, ...], share: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, ...]:
+    """Weights of a logistic curve over the mark, by Newton's method with a small ridge; ``share`` weighs the samples."""
     x = _features(mark, knots)
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     x = x / scale
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - label) + ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (share * (p - label)) + ridge * w
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-8:
@@ -91,30 +91,34 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_bytes:
     """Fit on docs (doc_id, text) with labels (doc_id, quality).
 
     Bounded sample: of each label the ``per_class`` documents of at most ``max_bytes`` bytes of text
-    with the least hash of their id; even ones build the dictionaries, odd ones calibrate.
-    Rows with null ids, texts or labels are left out.  With one label or none the score is a constant.
+    with the least hash of their id; even ones build the dictionaries, odd ones calibrate, weighted so that the
+    labels count as often as among all such documents.  Rows with null ids, texts or labels are left out, and so are documents with
+    both labels; a repeated label or document counts once, with its first text in code point order.  With one label or none the score is a constant.
     """
-    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).distinct()
-    texts = docs.where(f"octet_length(text) between 1 and {max_bytes}").select(F.col("doc_id").cast("long"))
-    known = marked.join(texts, "doc_id", "left_semi").select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
+    marked = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    marked = marked.agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other")).where("quality = other").drop("other")
+    fits = docs.where(f"octet_length(text) between 1 and {max_bytes}").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = materialize(marked.join(fits.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", F.xxhash64("doc_id").alias("h")), "labelled")
+    count = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     ids = None
     for q in (0, 1):
         part = known.where(F.col("quality") == q).orderBy("h", "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
     # at most 2 x per_class rows of ids, and as many texts of at most max_bytes
-    rows = docs.where(f"octet_length(text) between 1 and {max_bytes}").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids), "doc_id").select("quality", "h", "doc_id", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["quality"], r["h"], r["doc_id"], r["text"]))
+    rows = fits.join(F.broadcast(ids), "doc_id").groupBy("quality", "h", "doc_id").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: (r["quality"], r["h"], r["doc_id"]))
     by = {q: [r["text"] for r in rows if r["quality"] == q] for q in (0, 1)}
     if not by[0] or not by[1]:
-        share = (len(by[1]) + 0.5) / (len(rows) + 1)
-        return QualityModel(b"", b"", block, (float(np.log(share / (1 - share))),), ())
+        p = (count.get(1, 0) + 0.5) / (sum(count.values()) + 1)
+        return QualityModel(b"", b"", block, (float(np.log(p / (1 - p))),), ())
     dicts = [build_dictionary([t.encode() for t in by[q][::2]], dict_size, block) for q in (1, 0)]
     model = QualityModel(dicts[0], dicts[1], block, (), ())
-    held = by[0][1::2] + by[1][1::2] or by[0] + by[1]
-    label = np.r_[np.zeros(len(by[0][1::2])), np.ones(len(by[1][1::2]))] if len(by[0]) > 1 or len(by[1]) > 1 else np.array([0.0, 1.0])
-    mark = marks(held, model)
+    held = {q: by[q][1::2] or by[q] for q in (0, 1)}
+    label = np.r_[np.zeros(len(held[0])), np.ones(len(held[1]))]
+    share = np.r_[np.full(len(held[0]), count[0] / len(held[0])), np.full(len(held[1]), count[1] / len(held[1]))]
+    mark = marks(held[0] + held[1], model)
     knots = tuple(float(x) for x in (mark.min() - 1e-6, *np.unique(np.quantile(mark, (0.2, 0.5)))))
-    return QualityModel(dicts[0], dicts[1], block, calibrate(mark, label, knots), knots)
+    return QualityModel(dicts[0], dicts[1], block, calibrate(mark, label, knots, share / share.mean()), knots)
 
 
 def score(texts: list[str | None], model: QualityModel) -> np.ndarray:
@@ -126,7 +130,10 @@ def score(texts: list[str | None], model: QualityModel) -> np.ndarray:
 
 
 def classify(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """docs with ``score`` and ``predicted`` (1 from the threshold on) appended; a null text counts as empty."""
+    """docs with ``score`` and ``predicted`` (1 from the threshold on) appended; a null text counts as empty.
+
+    Columns of docs named so are replaced; repeated rows and null ids are rows like others.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(keep).schema.add("score", "double").add("predicted", "integer")

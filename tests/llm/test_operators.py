@@ -33,7 +33,7 @@ def corpus():
 
 
 def brute_components(rows):
-    fps = [simhash.fingerprint(t) for _, t, *_ in rows]
+    fps = [plain_fingerprint(t) for _, t, *_ in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -52,8 +52,20 @@ def brute_components(rows):
     return sorted((str(r[0]), f"{fps[i]:016x}", low.get(find(i))) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("hot", [2048, 2])
-def test_simhash_equals_all_pairs(spark, corpus, hot):
+def plain_fingerprint(text):
+    import xxhash
+
+    w = re.sub("[A-Z]+", lambda m: m.group().lower(), text or "")
+    w = [x for x in re.split("[\x20\x09-\x0d]+", w) if x]
+    shingles = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("hot,blocks", [(2048, 2), (2, 2), (2, 3), (2048, 3)])
+def test_simhash_equals_all_pairs(spark, corpus, hot, blocks, monkeypatch):
+    if blocks == 3:
+        monkeypatch.setattr(simhash, "MANY", 0)
     got = simhash.near_duplicates(docs(spark, corpus), hot_homes=hot).collect()
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == brute_components(corpus)
 
@@ -74,6 +86,36 @@ def test_anchors_cover_every_link():
     assert all(a & b for a, b in zip(sets(x, 1), sets(x ^ flips, 2)))
 
 
+def test_a_hot_anchor_is_shared_out():
+    """Comparisons of homes and probes under one anchor, by salt: together as many as without salts, none in two of them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    fp = np.sort(rng.integers(0, 1 << 12, 900)).astype(np.int64)
+    fp = np.unique(fp)
+    home = rng.random(len(fp)) < 0.5
+    whole = None
+    for salts in (1, 4):
+        own = fp % salts
+        found, most = set(), 0
+        for s in range(salts):
+            rows = [(simhash.PROBE, x) for x, h, o in zip(fp, home, own) if not h and o == s]
+            rows += [((simhash.EARLIER, simhash.OWN, simhash.LATER)[int(np.sign(s - o)) * -1 + 1], x) for x, h, o in zip(fp, home, own) if h]
+            role, x = (np.array(c) for c in zip(*sorted(rows)))
+            pairs = np.where(role == simhash.PROBE, (role < simhash.PROBE).sum(), np.where(role == simhash.OWN, np.arange(len(role)), 0)).sum()
+            most = max(most, pairs)
+            batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(x), np.int64)), pa.array(np.zeros(len(x), np.int32)), pa.array(role.astype(np.int8)), pa.array(x.astype(np.int64))], ["anchor", "salt", "role", "fp"])
+            for buffer in (10_000, 50):
+                for out in simhash._compare(iter([batch.slice(a, 40) for a in range(0, len(x), 40)]), 1, buffer):
+                    found |= set(zip(out["u"].to_pylist(), out["v"].to_pylist()))
+        whole = whole or most
+        u, v = (np.array(c) for c in zip(*found))
+        stars = simhash.spanning(u, v)
+        if salts == 1:
+            want = dict(zip(*(c.tolist() for c in stars)))
+    assert dict(zip(*(c.tolist() for c in stars))) == want and most < 0.4 * whole
+
+
 def test_spanning_keeps_components():
     a, b = np.array([1, 2, 5, 7]), np.array([2, 3, 6, 5])
     u, v = simhash.spanning(a, b)
@@ -234,6 +276,81 @@ def test_mix_reaches_targets(spark, corpus):
         assert np.isclose(target[s], want[s]) and taken[s] == round(want[s])
 
 
+def test_mix_gives_clashing_columns_back(spark):
+    names = ["s", "cut", "full", "left_over", "whole", "more", "extra", "lw_part", "lw_draw", "doc", "id", "part", "draw", "of", "upto", "n", "w", "cap", "place", "rank", "Taken"]
+    rows = [(i, "a b c " * (i + 1), f"s{i % 3}" if i % 4 else None, *(f"{n}-{i}" for n in names)) for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(d).collect()
+    assert len(got) == 30 and got[0].__fields__[:3] == ["doc_id", "text", "source"]
+    for r in got:
+        assert all(r[n] == f"{n}-{r.doc_id}" for n in names[:-1]) and r["size"] == 3 * (r.doc_id + 1) and isinstance(r["taken"], int)
+
+
+def test_langid_letters_are_letters():
+    assert [langid.has_letter(t) for t in ("½ ² Ⅷ", "12 _ !", "x", "½é", "字", None, "")] == [False, False, True, True, True, False, False]
+
+
+def test_langid_equals_plain_bayes(spark):
+    """Counts of the same hashed n-grams, added up one by one."""
+    rng = np.random.default_rng(8)
+    sound = {"aa": "abcd", "bb": "cdef", "cc": "efgh"}
+    rows = [(i, "".join(rng.choice(list(sound[lang] + " "), 30)), lang, "s") for i, lang in enumerate(list(sound) * 12)]
+    rows += [(100, "ab cd gh", None, None), (101, "EF gh", None, None), (None, "abba", "aa", None), (5, rows[5][1], rows[5][2], "s"), (102, "", "bb", "s")]
+    d = docs(spark, rows)
+    got = {r.doc_id: r for r in langid.identify(d, langid.train(d, bits=10)).collect()}
+
+    def grams(text):
+        cp = np.array([*map(ord, text.lower()), 0, 0], np.uint32)
+        return [int(b) for found in langid.buckets(cp, langid.ORDERS, 10) for b in found] if text else []
+
+    count = {lang: np.full(1 << 10, 0.5) for lang in sound}
+    prior = dict.fromkeys(sound, 0)
+    for _, t, lang, _ in rows:
+        if lang:
+            prior[lang] += 1
+            for b in grams(t):
+                count[lang][b] += 1
+    for i, t, *_ in rows:
+        if i is None or not t:
+            continue
+        logs = np.array([np.log(prior[x] / sum(prior.values())) + sum(np.log(count[x][b] / count[x].sum()) for b in grams(t)) for x in sound])
+        best = list(sound)[int(logs.argmax())]
+        assert got[i].lang_pred == best and np.isclose(got[i]["score"], 1 / np.exp(logs - logs.max()).sum(), rtol=1e-3)
+    assert got[102].lang_pred == "und" and got[None].lang_pred == "aa"
+    assert len(langid.train(d, max_cells=1).langs) == 3
+
+
+def test_quality_calibration_keeps_the_share_of_labels(spark):
+    """The bounded sample must not move the scores to even odds, whichever label it cuts."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["stone", "river", "garden", "window"] if rng.random() < 0.6 else ["cheap", "offer", "click"], 40)), "en", "s") for i in range(600)]
+    marks = [(i, int(i % 10 != 0)) for i in range(600)] + [(7, 1), (8, 0), (None, 1), (9999, 0), (10, None)]
+    d, labels = docs(spark, rows + [rows[3], (None, "x", "en", "s")]), spark.createDataFrame(marks, "doc_id long, quality int")
+    for per_class in (30, 1500):
+        got = zquality.classify(d, zquality.train(d, labels, per_class=per_class)).collect()
+        assert abs(np.mean([r["score"] for r in got]) - 0.9) < 0.05
+    assert len(got) == 602
+
+
+def test_quality_marks_equal_plain_compression(spark):
+    import zstandard
+
+    rows = [(i, ("stone river garden %d " % i) * 30 if i % 2 else ("!#%% && %d " % (i * 7919)) * 20, "en", "s") for i in range(60)]
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = zquality.train(d, labels)
+
+    def size(data, text):
+        coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(coder.compress(text[a : a + model.block])) for a in range(0, len(text), model.block))
+
+    texts = [t for _, t, *_ in rows]
+    want = [(size(model.bad, t.encode()) - size(model.good, t.encode())) / len(t.encode()) for t in texts]
+    assert np.allclose(zquality.marks(texts, model), want)
+    got = {r.doc_id: r["score"] for r in zquality.classify(d, model).collect()}
+    order = np.argsort(want)
+    assert (np.diff([got[int(i)] for i in order]) >= -1e-9).all()
+
+
 def test_preference_pairs(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (0, 2, "user", "more"), (1, 1, "assistant", "no"), (1, 0, "user", "hi"), (2, 0, "user", None), (7, 0, None, "x"), (6, 0, None, "x"), (None, 0, "user", "q")]
     got = {r.pair_id: r for r in chat.preference_pairs(spark.createDataFrame([(*t, 3) for t in turns], "conv_id long, turn long, role string, text string, prompt int")).collect()}
