@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import basis, metrics, residuals
 from .functions.basis import Polynomial
-from .operators import adaptive, gram, lagging, predict, robust, select
+from .operators import adaptive, affine, estimate, gram, lagging, predict, robust, select, swarm
 from .plans import model
 from .sources import series
 
@@ -55,10 +55,8 @@ TERMS2 = [basis.product((c,)) for c in COLS2]
 
 
 def ar2_models(e: DataFrame) -> DataFrame:
-    """(series_id, theta) of an AR(2) for every series, from grouped Gram sums in closed form."""
-    g = gram.grouped(lagging.regressors(e, COLS2, TERMS2), 2)
-    det = "(g[0] * g[3] - g[1] * g[2])"
-    return g.select("series_id", F.expr(f"array((b[0] * g[3] - b[1] * g[1]) / {det}, (g[0] * b[1] - g[1] * b[0]) / {det})").alias("theta"))
+    """(series_id, theta) of an AR(2) for every series by least squares."""
+    return estimate.by_series(lagging.regressors(e, COLS2, TERMS2), 2)
 
 
 def ar2(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,9 +77,7 @@ def ar2_one_step(spark, sf):
 @query("ar1_regression", f"with {E}, b as (select series_id, k, y, lag(y) over (partition by series_id order by k) y1 from e) select series_id, round(regr_slope(y, y1), 6) slope, round(regr_intercept(y, y1), 6) intercept from b where k > 1 group by series_id")
 def ar1_regression(spark, sf):
     psi = lagging.regressors(series.events(spark, sf), ["y_1"], [basis.BIAS, ("y_1", "y_1")])
-    g = gram.grouped(psi, 2)
-    det = "(g[0] * g[3] - g[1] * g[2])"
-    return _round(g.select("series_id", F.expr(f"(g[0] * b[1] - g[1] * b[0]) / {det}").alias("slope"), F.expr(f"(b[0] * g[3] - b[1] * g[1]) / {det}").alias("intercept")))
+    return _round(estimate.by_series(psi, 2).select("series_id", F.col("theta")[1].alias("slope"), F.col("theta")[0].alias("intercept")))
 
 
 @query("series_split", f"with {E} select series_id, k, y, case when k <= floor(count(*) over (partition by series_id) * 0.75) then 'train' else 'test' end part from e")
@@ -142,6 +138,8 @@ _BASES = {
     "basis_hermite_norm": basis.HermiteNormalized(3),
     "basis_laguerre": basis.Laguerre(3),
     "basis_bernstein": basis.Bernstein(3),
+    "basis_fourier_plain": basis.Fourier(n=1, ensemble=False),
+    "basis_legendre_ensemble": basis.Legendre(2, False, True),
 }
 #: Orders scaled to [0, 1], as the bases are queried on them.
 O01 = O + ", s as (select series_id, k, (y - min(y) over ()) / (max(y) over () - min(y) over ()) y, (x1 - min(x1) over ()) / (max(x1) over () - min(x1) over ()) x1 from o), w as (select series_id, k, y, lag(y) over (order by k) y_1, lag(x1) over (order by k) x1_1 from s)"
@@ -153,6 +151,8 @@ _DIRECT = {
     "basis_laguerre": "1 " + " ".join(f"1-{c} ({c}*{c}-4*{c}+2)/2 (-{c}*{c}*{c}+9*{c}*{c}-18*{c}+6)/6" for c in _BASIS_COLS),
     "basis_bernstein": "1 " + " ".join(f"3*{c}*(1-{c})*(1-{c}) 3*{c}*{c}*(1-{c}) {c}*{c}*{c}" for c in _BASIS_COLS),
     "basis_bilinear": "1 y_1 x1_1 y_1*x1_1",
+    "basis_fourier_plain": " ".join(f"{f}({c})" for c in _BASIS_COLS for f in ("cos", "sin")),
+    "basis_legendre_ensemble": "y_1 x1_1 " + " ".join(f"{c} (3*{c}*{c}-1)/2" for c in _BASIS_COLS),
     "basis_fourier": "y_1 x1_1 " + " ".join(f"{f}({h}*{c})" for c in _BASIS_COLS for h in (1, 2) for f in ("cos", "sin")),
 }
 
@@ -189,9 +189,27 @@ _ERR_COLS = ["y_1", "y_2", "x1_1", "x1_2"]
 @query("err_round1", f"with {O}, z as (select series_id, k, y, {_lag_sql(_ERR_COLS)} from o window w as (partition by series_id order by k)), t as (select y, unnest(['1', 'y_1', 'y_2', 'x1_1', 'x1_2']) term, unnest([1.0, y_1, y_2, x1_1, x1_2]) v from z where k > 2) select term, round(sum(v*y) * sum(v*y) / (sum(v*v) * sum(y*y)), 6) err from t group by term")
 def err_round1(spark, sf):
     terms = [basis.BIAS, *(basis.product((c,)) for c in _ERR_COLS)]
-    psi = lagging.regressors(series.orders(spark, sf), _ERR_COLS, terms)
-    long = psi.select("y", F.explode(F.array(*(F.struct(F.lit(n).alias("term"), F.col(f"t{i}").alias("v")) for i, (n, _) in enumerate(terms)))).alias("t")).select("y", "t.*")
-    return long.groupBy("term").agg(F.round(F.sum(F.expr("v * y")) * F.sum(F.expr("v * y")) / (F.sum(F.expr("v * v")) * F.sum(F.expr("y * y"))), 6).alias("err"))
+    q = gram.gram(series.orders(spark, sf), _ERR_COLS, terms)
+    err = select.ratios(q.g.diagonal(), q.b, q.yy, 0 * q.b)
+    return spark.createDataFrame([(n, round(float(e), 6)) for (n, _), e in zip(terms, err)], "term string, err double")
+
+
+#: Two rounds of forward regression: Gram entries of all pairs, the best term, and what it leaves of the others.
+_FROLS2 = f"""with {O}, z as (select series_id, k, y, {_lag_sql(_ERR_COLS)} from o window w as (partition by series_id order by k)),
+ t as (select k, y, unnest(['1', 'y_1', 'y_2', 'x1_1', 'x1_2']) term, unnest([1.0, y_1, y_2, x1_1, x1_2]) v from z where k > 2),
+ g as (select a.term p, b.term q, sum(a.v * b.v) g from t a join t b using (k) group by 1, 2),
+ b as (select term, sum(v * y) b, max((select sum(y * y) from z where k > 2)) yy from t group by 1),
+ e as (select b.term, b.b, yy, g.g, b.b * b.b / (g.g * yy) err from b join g on g.p = b.term and g.q = b.term),
+ f as (select * from e order by err desc limit 1),
+ r as (select e.term, (e.b - g.g / f.g * f.b) * (e.b - g.g / f.g * f.b) / ((e.g - g.g * g.g / f.g) * e.yy) err from e, f, g where e.term <> f.term and g.p = e.term and g.q = f.term),
+ s as (select * from r order by err desc limit 1)
+ select 0 pos, term, round(err, 6) err from f union all select 1, term, round(err, 6) from s"""
+
+
+@query("frols_two_rounds", _FROLS2)
+def frols_two_rounds(spark, sf):
+    m = model.fit(series.orders(spark, sf), model.Spec(2, (2,), basis=Polynomial(1), n_terms=2))
+    return m.table(spark).select("pos", "term", F.round("err", 6).alias("err"))
 
 
 @query("ar2_n_step", f"with recursive {AR2}, s as (select b.*, (k - 3) % 5 j from b where k > 2), f as (select series_id, k, y, t1*y1 + t2*y2 yhat, y1 prev, j from s join th using (series_id) where j = 0 union all select s.series_id, s.k, s.y, t1*f.yhat + t2*f.prev, f.yhat, s.j from f join s on s.series_id = f.series_id and s.k = f.k + 1 and s.j > 0 join th on th.series_id = s.series_id) select series_id, k, round(yhat, 6) + 0.0 yhat from f")
@@ -208,9 +226,38 @@ def ar2_free_run(spark, sf):
 
 @query("ridge_ar2", f"with {AR2} select series_id, round((e1*(d+10)-f*c)/((a+10)*(d+10)-c*c), 6) t1, round(((a+10)*f-c*e1)/((a+10)*(d+10)-c*c), 6) t2 from g")
 def ridge_ar2(spark, sf):
-    g = gram.grouped(lagging.regressors(series.events(spark, sf), COLS2, TERMS2), 2)
-    det = "((g[0] + 10) * (g[3] + 10) - g[1] * g[2])"
-    return _round(g.select("series_id", F.expr(f"(b[0] * (g[3] + 10) - b[1] * g[1]) / {det}").alias("t1"), F.expr(f"((g[0] + 10) * b[1] - g[1] * b[0]) / {det}").alias("t2")))
+    return _theta2(spark, sf, "ridge", alpha=10.0)
+
+
+def _theta2(spark: SparkSession, sf: str, estimator: str, **options) -> DataFrame:
+    found = estimate.by_series(lagging.regressors(series.events(spark, sf), COLS2, TERMS2), 2, estimator, **options)
+    return _round(found.select("series_id", F.col("theta")[0].alias("t1"), F.col("theta")[1].alias("t2")))
+
+
+def _theta1(spark: SparkSession, sf: str, estimator: str, **options) -> DataFrame:
+    found = estimate.by_series(lagging.regressors(series.events(spark, sf), ["y_1"], [("y_1", "y_1")]), 1, estimator, **options)
+    return _round(found.select("series_id", F.col("theta")[0].alias("t")))
+
+
+#: Sums of an AR(1): a of squared lags, b of lag times y, d of y squared, n samples.
+_SUMS1 = f"{E}, p as (select series_id, k, y, lag(y) over (partition by series_id order by k) y1 from e), s as (select series_id, sum(y1*y1) a, sum(y1*y) b, sum(y*y) d, count(*) n from p where k > 1 group by series_id)"
+_ONE = {
+    "total_least_squares_ar1": ("total_least_squares", {}, "(d - a + sqrt((d - a) * (d - a) + 4 * b * b)) / (2 * b)"),
+    "affine_lms_ar1": ("affine_lms", {}, "b / a * (1 - power(1 - 0.01 * a / (a + 0.2), n - 1))"),
+    "bounded_ar1": ("bounded", {"low": 0.2, "high": 0.9}, "least(0.9, greatest(0.2, b / a))"),
+}
+for _name, (_estimator, _options, _sql) in _ONE.items():
+    QUERIES[_name] = partial(_theta1, estimator=_estimator, **_options)
+    ORACLE[_name] = f"with {_SUMS1} select series_id, round({_sql}, 6) + 0.0 t from s"
+QUERIES["least_squares_ar2"] = partial(_theta2, estimator="least_squares")
+ORACLE["least_squares_ar2"] = f"with {AR2} select series_id, round(t1, 6) + 0.0 t1, round(t2, 6) + 0.0 t2 from th"
+QUERIES["minimal_residual_ar2"] = partial(_theta2, estimator="minimal_residual", damp=3.0)
+ORACLE["minimal_residual_ar2"] = f"with {AR2} select series_id, round((e1*(d+9)-f*c)/((a+9)*(d+9)-c*c), 6) + 0.0 t1, round(((a+9)*f-c*e1)/((a+9)*(d+9)-c*c), 6) + 0.0 t2 from g"
+QUERIES["non_negative_ar2"] = partial(_theta2, estimator="non_negative")
+# two lags: both free if that is feasible, else the better of the two alone
+ORACLE["non_negative_ar2"] = f"""with {AR2}, c as (select g.*, t1, t2, greatest(0, e1/a) o1, greatest(0, f/d) o2 from g join th using (series_id)),
+ h as (select *, 2*e1*o1 - a*o1*o1 as win1, 2*f*o2 - d*o2*o2 as win2 from c)
+ select series_id, round(case when t1 >= 0 and t2 >= 0 then t1 when win1 >= win2 then o1 else 0 end, 6) + 0.0 t1, round(case when t1 >= 0 and t2 >= 0 then t2 when win1 >= win2 then 0 else o2 end, 6) + 0.0 t2 from h"""
 
 
 _FOLDS = {
@@ -224,9 +271,11 @@ _FOLDS = {
     "normalized_sign_sign": "2 * 0.0001 * sign(y - t * y1) * sign(y1) / (2.220446049250313e-16 + y1 * y1)",
     "normalized_leaky": "0.0001 * (y - t * y1) * y1 / (2.220446049250313e-16 + y1 * y1) - t * 0.0001 * 0.2",
     "leaky": "0.0001 * (y - t * y1) * y1 - t * 0.0001 * 0.2",
+    "fourth": "1e-12 * y1 * (y - t * y1) * (y - t * y1) * (y - t * y1)",
+    "mixed_norm": "1e-12 * y1 * (y - t * y1) * (0.02 + 0.98 * (y - t * y1) * (y - t * y1))",
 }
 for _name, _sql in _FOLDS.items():
-    QUERIES[f"adaptive_{_name}_ar1"] = lambda spark, sf, r=_name: _round(adaptive.lms(lagging.regressors(series.events(spark, sf), ["y_1"], [("y_1", "y_1")]), 1, r, mu=0.0001).select("series_id", F.col("theta")[0].alias("t")))
+    QUERIES[f"adaptive_{_name}_ar1"] = lambda spark, sf, r=_name: _round(adaptive.lms(lagging.regressors(series.events(spark, sf), ["y_1"], [("y_1", "y_1")]), 1, r, mu=1e-12 if r in ("fourth", "mixed_norm") else 0.0001).select("series_id", F.col("theta")[0].alias("t")))
     ORACLE[f"adaptive_{_name}_ar1"] = f"with recursive {E}, b as (select series_id, k, y, lag(y) over (partition by series_id order by k) y1 from e), f as (select series_id, k, 0.0::double t from e where k = 2 union all select b.series_id, b.k, t + {_sql} from f join b on b.series_id = f.series_id and b.k = f.k + 1), z as (select series_id, max(k) k from f group by 1) select series_id, round(t, 6) + 0.0 t from f join z using (series_id, k)"
 
 
@@ -277,10 +326,10 @@ def residual_acf(spark, sf):
     return _round(residuals.autocorrelation(_residual(spark, sf), 20))
 
 
-@query("residual_ccf", f"with {_RES}, m as (select l.lag, case when lag = 0 then (select avg(x1) from q) else (select avg(x1) from q where k <= lag) end x, (select avg(e) from q where k > lag) z from (select unnest(range(0, 21)) lag) l), c as (select lag, sum((a.x1 - x) * (b.e - z)) c, sum((a.x1 - x) * (a.x1 - x)) u, sum((b.e - z) * (b.e - z)) v from m join q a on true join q b on b.k = a.k + lag group by lag) select 0::bigint series_id, lag, round(c / sqrt(u * v), 5) + 0.0 ccf from c")
+@query("residual_ccf", f"with {_RES}, m as (select l.lag, case when lag = 0 then (select avg(x1) from q) else (select avg(x1) from q where k <= lag) end x, (select avg(e) from q where k > lag) z from (select unnest(range(0, 21)) lag) l), c as (select lag, sum((a.x1 - x) * (b.e - z)) c, sum((a.x1 - x) * (a.x1 - x)) u, sum((b.e - z) * (b.e - z)) v from m join q a on true join q b on b.k = a.k + lag group by lag) select 0::bigint series_id, lag, round(c / sqrt(u * v), 5) + 0.0 ccf, round(1.96 / sqrt(2 * (select count(*) from q) - 1), 6) bound from c")
 def residual_ccf(spark, sf):
     e = _residual(spark, sf).join(series.orders(spark, sf).select("k", F.col("x1").alias("a")), "k")
-    return residuals.cross_correlation(e.select("series_id", "k", "a", F.col("e").alias("b")), 20).select("series_id", "lag", (F.round("ccf", 5) + F.lit(0.0)).alias("ccf"))
+    return residuals.cross_correlation(e.select("series_id", "k", "a", F.col("e").alias("b")), 20).select("series_id", "lag", (F.round("ccf", 5) + F.lit(0.0)).alias("ccf"), F.round("bound", 6).alias("bound"))
 
 
 _CRITERIA = {
@@ -297,11 +346,12 @@ def _by_order(spark: SparkSession, sf: str, criterion: str) -> DataFrame:
     """Criterion of nested AR models of order 1 and 2 for every series, all from two grouped Gram matrices."""
     e = series.events(spark, sf)
     psi = lagging.regressors(e, COLS2, TERMS2)
-    first = gram.grouped(psi, 1).select("series_id", F.expr("array(b[0] / g[0], 0D)").alias("theta"), F.lit(1).cast("long").alias("m"))
+    first = estimate.by_series(psi, 1).select("series_id", F.concat("theta", F.array(F.lit(0.0))).alias("theta"), F.lit(1).cast("long").alias("m"))
     models = first.unionByName(ar2_models(e).withColumn("m", F.lit(2).cast("long")))
     err = psi.join(models, "series_id").withColumn("d", F.expr("y - theta[0] * t0 - theta[1] * t1"))
     stats = err.groupBy("series_id", "m").agg(F.count("*").cast("double").alias("n"), F.var_samp("d").alias("v"), F.avg(F.col("d") * F.col("d")).alias("mse"))
-    return stats.select("series_id", "m", F.round(F.expr(_CRITERIA[criterion]), 4).alias("value"))
+    value = select.CRITERIA[criterion](F.col("n"), F.col("mse" if criterion == "apress" else "v"), F.col("m"), F.ln)
+    return stats.select("series_id", "m", F.round(value, 4).alias("value"))
 
 
 for _name, _sql in _CRITERIA.items():
@@ -316,20 +366,121 @@ def uofr_modulated_bspline(spark, sf):
     return _round(robust.modulate(series.orders(spark, sf), ["y"], _W.tolist()).select("k", "y"))
 
 
-@query("loo_overall_mae", f"with {O}, z as (select k, y, lag(y) over (order by k) y1, lag(x1) over (order by k) x from o), p as (select *, row_number() over (order by k) i from z where k > 1 and k <= 60), v as (select a.i \"view\", 0 term, sum(b.y*b.y1)/sum(b.y1*b.y1) t from p a join p b on a.i <> b.i group by 1 union all select a.i, 1, sum(b.y*b.x)/sum(b.x*b.x) from p a join p b on a.i <> b.i group by 1), m as (select \"view\", term, avg(abs(p.y - t * case term when 0 then p.y1 else p.x end)) mae from v join p on p.i <> \"view\" group by 1, 2) select cast(term as integer) term, round(avg(mae), 6) mae from m group by term")
-def loo_overall_mae(spark, sf):
-    # the view is defined on the first 60 days
-    psi = lagging.regressors(series.orders(spark, sf).where("k <= 60"), ["y_1", "x1_1"], [("y_1", "y_1"), ("x1_1", "x1_1")])
-    rows = psi.select("series_id", "k", "y", F.array("t0", "t1").alias("t"))
-    return robust.view_errors(rows, gram.gram_of(psi, 2), [], [0, 1]).groupBy("term").agg(F.round(F.avg("mae"), 6).alias("mae"))
+_LOO = f"""with {O}, z as (select k, y, lag(y) over (order by k) y1, lag(x1) over (order by k) x from o),
+ t as (select k, y, unnest([0, 1]) term, unnest([y1, x]) v from z where k > 1),
+ s as (select term, sum(v * y) b, sum(v * v) g from t group by 1),
+ v as (select k "view", t.term, (s.b - v * y) / (s.g - v * v) theta from t join s on s.term = t.term),
+ m as (select "view", v.term, {{}} e from v join t on t.term = v.term and t.k <> "view" group by 1, 2)
+ select cast(term as integer) term, round(avg(e), 6) error from m group by term"""
+_MEASURES = {
+    "mae": "avg(abs(y - theta * v))",
+    "mse": "avg((y - theta * v) * (y - theta * v))",
+    "phi3": "sum(abs(y - theta * v)) / (sum(abs(y)) + sum(abs(theta * v)))",
+    "rmse_ratio": "sqrt(avg((y - theta * v) * (y - theta * v))) / (sqrt(avg(y * y)) + sqrt(avg(theta * v * theta * v)))",
+}
+
+
+def _loo(spark: SparkSession, sf: str, measure: str) -> DataFrame:
+    """Overall leave-one-out error of two terms alone, every day left out once."""
+    psi = lagging.regressors(series.orders(spark, sf), ["y_1", "x1_1"], [("y_1", "y_1"), ("x1_1", "x1_1")])
+    return _round(robust.overall_errors(robust.view_errors(psi, 2, [], measure)))
+
+
+for _name, _sql in _MEASURES.items():
+    QUERIES[f"loo_overall_{_name}"] = partial(_loo, measure=_name)
+    ORACLE[f"loo_overall_{_name}"] = _LOO.format(_sql)
 
 
-@query("weights_grid", "with s as (select unnest(range(0, 11)) / 10.0 w) select round(a.w, 6)::double w1, round(b.w, 6)::double w2, round(1 - a.w - b.w, 6)::double w3 from s a, s b where round(a.w + b.w, 6) <= 1")
+@query("ksg_distance_counts", f"""with {O}, d as (select a.k, abs(a.x1 - b.x1) dx, abs(a.y - b.y) dy, greatest(abs(a.x1 - b.x1), abs(a.y - b.y)) r from o a join o b on a.k <> b.k),
+ q as (select k, list_sort(list(r))[2] r from d group by k)
+ select 0::bigint series_id, d.k, count(*) filter (dx < q.r) nx, count(*) filter (dy < q.r) ny from d join q using (k) group by d.k""")
+def ksg_distance_counts(spark, sf):
+    return robust.neighbour_counts(series.orders(spark, sf), ["x1"], neighbours=2)
+
+
+@query("weights_grid", """with s as (select power(2.71::double, -0.01 + (-5 + 0.01) * i / 49) w from range(50) t(i)) select round(a.w, 6) dynamic, round(1 - (a.w + b.w), 6) + 0.0 "function", round(b.w, 6) gain from s a, s b where a.w + b.w <= 1""")
 def weights_grid(spark, sf):
-    w = spark.range(0, 11).select((F.col("id") / 10).alias("w1"))
-    # 11 steps for each weight
-    pairs = w.withColumn("w2", F.explode(F.array(*(F.lit(i / 10) for i in range(11))))).where(F.round(F.col("w1") + F.col("w2"), 6) <= 1)
-    return pairs.select(F.round("w1", 6).alias("w1"), F.round("w2", 6).alias("w2"), (F.round(1 - F.col("w1") - F.col("w2"), 6) + F.lit(0.0)).alias("w3"))
+    return _round(affine.weights(spark))
+
+
+#: A model with an input whose coefficients are given, run freely from its first outputs.
+_GIVEN = ["1", "y_1", "y_2", "x1_1"]
+_THETA = [0.05, 0.4, -0.2, 0.03]
+_RUN = "0.05 + 0.4 * f.p1 - 0.2 * f.p2 + 0.03 * f.x"
+
+
+@query("narmax_free_run", f"with recursive {O}, f as (select k + 1 k, y p1, (select y from o where k = 1) p2, x1 x from o where k = 2 union all select f.k + 1, {_RUN}, f.p1, o.x1 from f join o on o.k = f.k) select 0::bigint series_id, f.k, round({_RUN}, 6) + 0.0 yhat from f where k <= (select max(k) from o)")
+def narmax_free_run(spark, sf):
+    _, run = model.simulate(series.orders(spark, sf), _GIVEN, _THETA)
+    return _round(run.where("k > 2").select("series_id", "k", "yhat"))
+
+
+_HALF = "h as (select max(k) - 90 n from o)"
+
+
+@query("narmax_forecast", f"with recursive {O}, {_HALF}, f as (select n + 1 k, (select y from o where k = n) p1, (select y from o where k = n - 1) p2, (select x1 from o where k = n) x from h union all select f.k + 1, {_RUN}, f.p1, o.x1 from f join o on o.k = f.k) select 0::bigint series_id, f.k, round({_RUN}, 6) + 0.0 yhat from f where k <= (select n from h) + 60")
+def narmax_forecast(spark, sf):
+    """The last 90 days are to come: only their inputs are known, and 60 of them are forecast."""
+    o = series.orders(spark, sf)
+    last = o.agg(F.max("k")).first()[0] - 90
+    known = o.where(F.col("k") <= last)
+    return _round(model.given(known, _GIVEN, _THETA).forecast(known, 60, o.drop("y")))
+
+
+_SIM = f"""{O}, z as (select k, y, {_lag_sql(["y_1", "x1_1"])} from o window w as (order by k)), p as (select * from z where k > 1),
+ g as (select sum(y_1*y_1) a, sum(y_1*x1_1) c, sum(x1_1*x1_1) d, sum(y_1*y) e, sum(x1_1*y) f, sum(y*y) yy from p),
+ th as (select *, (e*d-f*c)/(a*d-c*c) t1, (a*f-c*e)/(a*d-c*c) t2 from g),
+ r as (select *, e*e/(a*yy) r1, f*f/(d*yy) r2, (f-c/a*e)*(f-c/a*e)/((d-c*c/a)*yy) s2, (e-c/d*f)*(e-c/d*f)/((a-c*c/d)*yy) s1 from th)"""
+
+
+@query("simulate_model", f"with {_SIM} select 0 pos, 'x1_1' term, round(t2, 6) theta, round(case when r1 >= r2 then s2 else r2 end, 6) err from r union all select 1, 'y_1', round(t1, 6), round(case when r1 >= r2 then r1 else s1 end, 6) from r")
+def simulate_model(spark, sf):
+    """Terms in the order they are given, coefficients estimated, with their error reduction ratios."""
+    return _round(model.given(series.orders(spark, sf), ["x1_1", "y_1"]).table(spark).drop("expression"))
+
+
+@query("simulate_one_step", f"with {_SIM} select 0::bigint series_id, k, round(t1 * y_1 + t2 * x1_1, 6) + 0.0 yhat from p, th")
+def simulate_one_step(spark, sf):
+    _, run = model.simulate(series.orders(spark, sf), ["x1_1", "y_1"], steps_ahead=1)
+    return _round(run.where("k > 1").select("series_id", "k", "yhat"))
+
+
+@query("nfir_prediction", f"with {O}, z as (select k, y, lag(x1, 1) over (order by k) a, lag(x1, 2) over (order by k) b from o) select 0::bigint series_id, k, round(y, 6) + 0.0 y, round(case when k <= 2 then y else 0.5 * a - 0.25 * b end, 6) + 0.0 yhat from z")
+def nfir_prediction(spark, sf):
+    m = model.given(series.orders(spark, sf), ["x1_1", "x1_2"], [0.5, -0.25])
+    return _round(m.predict(series.orders(spark, sf)))
+
+
+@query("legendre_free_run", f"with recursive {O01}, f as (select k, (1.5 * y_1 * y_1 - 0.5) * 0.3 + 0.5 * x1_1 yhat from w where k = 2 union all select f.k + 1, (1.5 * f.yhat * f.yhat - 0.5) * 0.3 + 0.5 * w.x1_1 from f join w on w.k = f.k + 1) select 0::bigint series_id, k, round(yhat, 6) + 0.0 yhat from f")
+def legendre_free_run(spark, sf):
+    """A free run of a basis that is no polynomial of the lags' names: the second Legendre polynomial of the last output."""
+    scaled = series.scale(series.orders(spark, sf), ["y", "x1"], "minmax")
+    terms = [basis.Legendre(2).terms(["y_1"])[-1], ("x1_1", "x1_1")]
+    return _round(predict.free_run(scaled, ["y_1", "x1_1"], terms, [0.3, 0.5]).where("k > 1").select("series_id", "k", "yhat"))
+
+
+@query("regressor_space", "with c as (select * from (values (0, '1'), (1, 'y_1'), (2, 'y_2'), (3, 'x1_1'), (4, 'x1_2')) t(i, n)) select row_number() over (order by a.i, b.i) - 1 pos, case when a.i = 0 then b.n else a.n || '*' || b.n end term, b.n like 'y%' or a.n like 'y%' has_output, b.n like 'x%' or a.n like 'x%' has_input from c a join c b on a.i <= b.i")
+def regressor_space(spark, sf):
+    """All candidates of degree 2 over two lags of output and input, in order, and which variables they hold."""
+    terms = Polynomial(2).terms(basis.lag_columns([1, 2], [[1, 2]]))
+    out, put = {n for n, _ in basis.output_terms(terms)}, {n for n, _ in basis.input_terms(terms)}
+    return spark.createDataFrame([(i, n, n in out, n in put) for i, (n, _) in enumerate(terms)], "pos long, term string, has_output boolean, has_input boolean")
+
+
+@query("series_vectors", "select vec_id series_id, i k, round(cast(embedding[i] as double), 6) + 0.0 y from (select *, unnest(range(1, len(embedding) + 1)) i from embeddings)")
+def series_vectors(spark, sf):
+    return _round(series.vectors(spark, sf))
+
+
+@query("series_scale_train", f"with {E}, s as (select series_id, k, y, k <= floor(count(*) over (partition by series_id) * 0.75) train from e) select series_id, k, round((y - avg(y) filter (train) over w) / nullif(stddev_pop(y) filter (train) over w, 0), 6) + 0.0 y from s window w as (partition by series_id)")
+def series_scale_train(spark, sf):
+    """Scaled with the statistics of the training part alone."""
+    return _round(series.scale(series.split(series.events(spark, sf), 0.25), ["y"], "standard", "part = 'train'").select("series_id", "k", "y"))
+
+
+@query("count_regressors", "select * from (values ('NARMAX', 15), ('NAR', 6), ('NFIR', 6)) t(model_type, n)")
+def count_regressors(spark, sf):
+    return spark.createDataFrame([(t, len(model.Spec(2, (2,), t).candidates)) for t in ("NARMAX", "NAR", "NFIR")], "model_type string, n int")
 
 
 for _search in ("frols", "aols", "osf", "oif", "oos"):
@@ -345,7 +496,7 @@ def uofr_terms(spark, sf):
     return spark.createDataFrame([(i, terms[t][0], round(e, 6)) for i, (t, e) in enumerate(zip(order, err))], "pos int, term string, err double")
 
 
-@query("group_forecast")
+@query("group_forecast", f"with recursive {AR2}, n as (select series_id, max(k) n from e group by 1), f as (select e.series_id, n + 1 k, t1*e.y + t2*d.y yhat, e.y prev, 1 i from n join e on e.series_id = n.series_id and e.k = n join e d on d.series_id = n.series_id and d.k = n - 1 join th on th.series_id = n.series_id union all select f.series_id, f.k + 1, t1*f.yhat + t2*f.prev, f.yhat, i + 1 from f join th using (series_id) where i < 10) select series_id, k, round(yhat, 6) + 0.0 yhat from f")
 def group_forecast(spark, sf):
     e = series.events(spark, sf)
     return _round(predict.forecast(e, COLS2, TERMS2, None, 10, ar2_models(e)))
@@ -354,3 +505,54 @@ def group_forecast(spark, sf):
 @query("group_frols")
 def group_frols(spark, sf):
     return _round(model.fit_by_series(series.events(spark, sf), model.Spec(3, (), "NAR", Polynomial(1), n_terms=2)))
+
+
+#: For every series, the better of two lags by error reduction ratio, then the other with what is left of it.
+ORACLE["group_frols_ar2"] = f"""with {AR2}, q as (select series_id, sum(y*y) yy from p group by 1), h as (select g.*, yy, t1, t2, e1*e1/(a*yy) r1, f*f/(d*yy) r2 from g join q using (series_id) join th using (series_id))
+ select series_id, 'y_1' term, case when r1 >= r2 then 0 else 1 end pos, round(t1, 6) theta, round(case when r1 >= r2 then r1 else (e1-c/d*f)*(e1-c/d*f)/((a-c*c/d)*yy) end, 6) err from h
+ union all select series_id, 'y_2', case when r1 >= r2 then 1 else 0 end, round(t2, 6), round(case when r1 >= r2 then (f-c/a*e1)*(f-c/a*e1)/((d-c*c/a)*yy) else r2 end, 6) from h"""
+
+
+@query("group_frols_ar2", ORACLE["group_frols_ar2"])
+def group_frols_ar2(spark, sf):
+    return _round(model.fit_by_series(series.events(spark, sf), model.Spec(2, (), "NAR", Polynomial(1, False), n_terms=2)))
+
+
+@query("rmss_terms")
+def rmss_terms(spark, sf):
+    """Robust forward regression on all days of orders, with coefficients averaged over the views."""
+    cols = ["y_1", "y_2", "x1_1"]
+    terms = Polynomial(2).terms(cols)
+    psi = lagging.regressors(series.orders(spark, sf), cols, terms)
+    chosen, errors = robust.robust_forward(psi, len(terms), 3)
+    theta = robust.averaged_theta(psi, len(terms), chosen)
+    return _round(spark.createDataFrame([(i, terms[c][0], float(e), float(t)) for i, (c, e, t) in enumerate(zip(chosen, errors, theta))], "pos int, term string, error double, theta double"))
+
+
+@query("er_terms")
+def er_terms(spark, sf):
+    """Entropic regression of every user's series on three lags."""
+    cols = ["y_1", "y_2", "y_3"]
+    found = robust.entropic(lagging.regressors(series.events(spark, sf), cols, [basis.product((c,)) for c in cols]), 3, n_perm=20)
+    return found.select("series_id", F.array(*map(F.lit, cols))[F.col("term")].alias("term"))
+
+
+@query("metamss_terms")
+def metamss_terms(spark, sf):
+    """Swarm search over orders: trained on the first three quarters of the days, simulated over the rest."""
+    cols = basis.lag_columns([1, 2], [[1, 2]])
+    terms = Polynomial(2).terms(cols)
+    train, valid = swarm.tail(series.split(series.orders(spark, sf), 0.25), "part", basis.max_lag(cols))
+    chosen, theta, _ = swarm.swarm_search(train, valid, cols, terms, agents=8, rounds=5)
+    return _round(spark.createDataFrame([(i, terms[c][0], float(t)) for i, (c, t) in enumerate(zip(chosen, theta))], "pos int, term string, theta double"))
+
+
+@query("ails_weights")
+def ails_weights(spark, sf):
+    """Daily orders fitted together with a static curve through their monthly means, for a grid of weights."""
+    o = series.orders(spark, sf)
+    _, terms = basis.product_terms(["1", "y_1", "x1_1", "x1_1*x1_1"])
+    static = o.groupBy(F.expr("(k - 1) div 30").alias("month")).agg(F.avg("y").alias("y"), F.avg("x1").alias("x1"))
+    weighing = [tuple(r) for r in affine.weights(spark, gain=False, num=10).collect()]
+    found = affine.affine_least_squares(lagging.regressors(o, ["y_1", "x1_1"], terms), terms, weighing, static)
+    return _round(spark.createDataFrame([(float(r["weights"][0]), r["theta"].tolist(), r["errors"].tolist(), r["norm"]) for r in found], "dynamic double, theta array<double>, errors array<double>, norm double"))

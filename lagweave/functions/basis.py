@@ -42,6 +42,49 @@ def product(factors: tuple[str, ...]) -> Term:
     return ("*".join(factors), " * ".join(factors)) if factors else BIAS
 
 
+def factors(name: str) -> tuple[str, ...]:
+    """The lag columns of a product's name, sorted; none for the constant."""
+    return () if name == "1" else tuple(sorted(name.split("*")))
+
+
+def index_of(terms: list[Term], wanted: list[str]) -> list[int]:
+    """Place of every wanted term among the candidates, in the order asked for; factors may come in any order.
+
+    A term that is missing, asked for twice or held twice by the candidates is an error.
+    """
+    places: dict[tuple[str, ...], list[int]] = {}
+    for i, (name, _) in enumerate(terms):
+        places.setdefault(factors(name), []).append(i)
+    out = []
+    for name in wanted:
+        found = places.get(factors(name), [])
+        if len(found) != 1:
+            raise ValueError(f"{name} is {'ambiguous' if found else 'no candidate'}")
+        if found[0] in out:
+            raise ValueError(f"{name} is asked for twice")
+        out.append(found[0])
+    return out
+
+
+def output_terms(terms: list[Term]) -> list[Term]:
+    """Terms with a lag of the output."""
+    return [t for t in terms if any(variable(f) == "y" for f in factors(t[0]))]
+
+
+def input_terms(terms: list[Term]) -> list[Term]:
+    """Terms with a lag of an input."""
+    return [t for t in terms if any(variable(f) != "y" for f in factors(t[0]))]
+
+
+def product_terms(wanted: list[str]) -> tuple[list[str], list[Term]]:
+    """(lag columns, terms) of a model given by the names of its products."""
+    names = [tuple(n.split("*")) if n != "1" else () for n in wanted]
+    if any(not c.rpartition("_")[2].isdigit() or int(c.rpartition("_")[2]) < 1 for f in names for c in f):
+        raise ValueError(f"terms are products of lags such as y_1 or x1_2: {wanted}")
+    columns = sorted({c for f in names for c in f}, key=lambda c: (variable(c) != "y", variable(c), int(c.rpartition("_")[2])))
+    return columns, [product(f) for f in names]
+
+
 def horner(coefficients: list[float], x: str) -> str:
     """SQL of a polynomial from its coefficients, constant first."""
     out = f"{coefficients[-1]!r}D"

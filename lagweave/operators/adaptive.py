@@ -1,30 +1,38 @@
-"""Adaptive estimators as ordered SQL folds over each series: the LMS family and recursive least squares."""
+"""Adaptive estimators as ordered folds over each series: the LMS family and recursive least squares."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Update of one coefficient: t its value, p its regressor, e the error, g the step, n the regressors' squared norm.
-RULES = {
-    "lms": "t + 2D * g * e * p",
-    "sign_error": "t + g * signum(e) * p",
-    "normalized": "t + 2D * g * e * p / ({eps} + n)",
-    "normalized_sign_error": "t + 2D * g * signum(e) * p / ({eps} + n)",
-    "sign_regressor": "t + g * e * signum(p)",
-    "normalized_sign_regressor": "t + g * e * signum(p) / ({eps} + n)",
-    "sign_sign": "t + 2D * g * signum(e) * signum(p)",
-    "normalized_sign_sign": "t + 2D * g * signum(e) * signum(p) / ({eps} + n)",
-    "normalized_leaky": "t * (1D - g * {gama}) + g * e * p / ({eps} + n)",
-    "leaky": "t * (1D - g * {gama}) + g * e * p",
-    "fourth": "t + g * p * e * e * e",
-    "mixed_norm": "t + g * p * e * ({weight} + (1D - {weight}) * e * e)",
+from .fold import ordered
+
+
+def _sign(v: float) -> float:
+    return (v > 0) - (v < 0)
+
+
+#: Update of one coefficient: t its value, p its regressor, e the error, g the step, n eps plus the regressors' squared norm, a leak, a weight.
+RULES: dict[str, Callable] = {
+    "lms": lambda t, p, e, g, n, a, w: t + 2 * g * e * p,
+    "sign_error": lambda t, p, e, g, n, a, w: t + g * _sign(e) * p,
+    "normalized": lambda t, p, e, g, n, a, w: t + 2 * g * e * p / n,
+    "normalized_sign_error": lambda t, p, e, g, n, a, w: t + 2 * g * _sign(e) * p / n,
+    "sign_regressor": lambda t, p, e, g, n, a, w: t + g * e * _sign(p),
+    "normalized_sign_regressor": lambda t, p, e, g, n, a, w: t + g * e * _sign(p) / n,
+    "sign_sign": lambda t, p, e, g, n, a, w: t + 2 * g * _sign(e) * _sign(p),
+    "normalized_sign_sign": lambda t, p, e, g, n, a, w: t + 2 * g * _sign(e) * _sign(p) / n,
+    "normalized_leaky": lambda t, p, e, g, n, a, w: t * (1 - g * a) + g * e * p / n,
+    "leaky": lambda t, p, e, g, n, a, w: t * (1 - g * a) + g * e * p,
+    "fourth": lambda t, p, e, g, n, a, w: t + g * p * e * e * e,
+    "mixed_norm": lambda t, p, e, g, n, a, w: t + g * p * e * (w + (1 - w) * e * e),
 }
 
 
-def _rows(psi: DataFrame, m: int) -> DataFrame:
-    item = F.struct("k", "y", F.array(*(f"t{i}" for i in range(m))).alias("p"))
-    return psi.groupBy("series_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
+def _dot(a: list, b: list) -> float:
+    return sum(x * y for x, y in zip(a, b))
 
 
 def lms(psi: DataFrame, m: int, rule: str = "lms", mu: float = 0.01, eps: float = 2.220446049250313e-16, gama: float = 0.2, weight: float = 0.02) -> DataFrame:
@@ -33,24 +41,38 @@ def lms(psi: DataFrame, m: int, rule: str = "lms", mu: float = 0.01, eps: float
         raise ValueError(f"unknown rule {rule}")
     if not 0 <= weight <= 1:
         raise ValueError("weight must lie in [0, 1]")
-    update = RULES[rule].format(eps=f"{eps!r}D", gama=f"{float(gama)!r}D", weight=f"{float(weight)!r}D").replace("g *", f"{float(mu)!r}D *")
-    dot = "aggregate(zip_with(a, b.p, (t, p) -> t * p), 0D, (s, v) -> s + v)"
-    norm = "aggregate(b.p, 0D, (s, v) -> s + v * v)"
-    inner = f"transform(array(struct(b.y - {dot} as e, {norm} as n)), u -> zip_with(a, b.p, (t, p) -> {update.replace(' e', ' u.e').replace('(e)', '(u.e)').replace('+ n)', '+ u.n)')}))[0]"
-    fold = f"aggregate(slice(r, {m + 1}, greatest(size(r) - {m}, 0)), array_repeat(0D, {m}), (a, b) -> {inner})"
-    return _rows(psi, m).select("series_id", F.expr(fold).alias("theta"))
-
-
-def rls(psi: DataFrame, m: int, lam: float = 0.98, delta: float = 0.01) -> DataFrame:
-    """(series_id, theta, evolution): recursive least squares with forgetting, P = I / delta, from row 2 on."""
-    if not 0 <= lam <= 1:
-        raise ValueError("lam must lie in [0, 1]")
-    eye = "array(" + ", ".join("array(" + ", ".join(f"{(1 / delta if i == j else 0.0)!r}D" for j in range(m)) + ")" for i in range(m)) + ")"
-    pk = f"transform(a.c, row -> aggregate(zip_with(row, b.p, (x, y) -> x * y), 0D, (s, v) -> s + v))"
-    den = f"{lam!r}D + aggregate(zip_with(u.pk, b.p, (x, y) -> x * y), 0D, (s, v) -> s + v)"
-    err = "b.y - aggregate(zip_with(a.t, b.p, (x, y) -> x * y), 0D, (s, v) -> s + v)"
-    theta = f"zip_with(a.t, w.u.pk, (t, g) -> t + g / w.d * w.e)"
-    cov = f"transform(a.c, (row, i) -> zip_with(row, w.u.pk, (x, y) -> (x - w.u.pk[i] * y / w.d) / {lam!r}D))"
-    nxt = f"transform(transform(array(struct({pk} as pk)), u -> struct(u as u, {den} as d, {err} as e)), w -> transform(array({theta}), t -> struct(t as t, {cov} as c, array_append(a.h, t) as h))[0])[0]"
-    fold = f"aggregate(slice(r, 3, greatest(size(r) - 2, 0)), struct(array_repeat(0D, {m}) as t, {eye} as c, cast(array() as array<array<double>>) as h), (a, b) -> {nxt})"
-    return _rows(psi, m).select("series_id", F.expr(fold).alias("f")).select("series_id", F.col("f.t").alias("theta"), F.col("f.h").alias("evolution"))
+    if mu <= 0 or eps <= 0:
+        raise ValueError("mu and eps must be positive")
+    update = RULES[rule]
+
+    def step(state: dict, k: int, y: float, *p: float) -> list:
+        state["row"] += 1
+        if state["row"] > m:
+            e, n = y - _dot(state["theta"], p), eps + _dot(p, p)
+            state["theta"] = [update(t, v, e, mu, n, gama, weight) for t, v in zip(state["theta"], p)]
+        return state["theta"]
+
+    out = ordered(psi, ["y", *(f"t{i}" for i in range(m))], lambda *row: {"row": 0, "theta": [0.0] * m}, step, "array<double>", last_only=True)
+    return out.select("series_id", F.col("value").alias("theta"))
+
+
+def rls(psi: DataFrame, m: int, lam: float = 0.98, delta: float = 0.01, path: bool = False) -> DataFrame:
+    """(series_id, theta) by recursive least squares with forgetting, P = I / delta, from row 2 on; with ``path`` (series_id, k, theta) for every row."""
+    if not 0 < lam <= 1 or delta <= 0:
+        raise ValueError("lam must lie in (0, 1] and delta be positive")
+
+    def start(*row: float) -> dict:
+        return {"row": 0, "theta": [0.0] * m, "p": [[1 / delta if i == j else 0.0 for j in range(m)] for i in range(m)]}
+
+    def step(state: dict, k: int, y: float, *x: float) -> list:
+        state["row"] += 1
+        if state["row"] > 2:
+            gain = [_dot(r, x) for r in state["p"]]
+            d = lam + _dot(gain, x)
+            e = y - _dot(state["theta"], x)
+            state["theta"] = [t + v / d * e for t, v in zip(state["theta"], gain)]
+            state["p"] = [[(v - gain[i] * gain[j] / d) / lam for j, v in enumerate(r)] for i, r in enumerate(state["p"])]
+        return state["theta"]
+
+    out = ordered(psi, ["y", *(f"t{i}" for i in range(m))], start, step, "array<double>", last_only=not path)
+    return out.select("series_id", *(["k"] if path else []), F.col("value").alias("theta"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numerics
 from ..functions.basis import Term
-from .gram import Gram, gram_of
+from .gram import Gram, gram_of, grouped
 from .lagging import regressors
 
 
@@ -30,13 +30,14 @@ def total_least_squares(q: Gram) -> np.ndarray:
 
 
 def affine_lms(q: Gram, mu: float = 0.01, offset_covariance: float = 0.2) -> np.ndarray:
-    """Batch updates mu (G + cI)+ (b - G theta), one for each sample after the first m."""
-    m = len(q.b)
-    inverse = np.linalg.pinv(q.g + offset_covariance * np.eye(m))
-    theta = np.zeros(m)
-    for _ in range(q.n - m):
-        theta = theta + mu * inverse @ (q.b - q.g @ theta)
-    return theta
+    """n - m batch updates mu (G + cI)+ (b - G theta) from zero, summed up in the eigenvectors of G."""
+    value, vector = np.linalg.eigh(q.g)
+    value = np.maximum(value, 0.0)
+    gain = np.where(value + offset_covariance > 0, mu / np.where(value + offset_covariance > 0, value + offset_covariance, 1.0), 0.0)
+    rounds = max(0, q.n - len(q.b))
+    shrink = 1 - gain * value
+    total = np.where(shrink == 1, rounds * gain, (1 - shrink**rounds) / np.where(value > 0, value, 1.0))
+    return vector @ (total * (vector.T @ q.b))
 
 
 def non_negative(q: Gram) -> np.ndarray:
@@ -56,6 +57,20 @@ def minimal_residual(q: Gram, damp: float = 0.0) -> np.ndarray:
 ESTIMATORS = {"least_squares": least_squares, "ridge": ridge, "total_least_squares": total_least_squares, "affine_lms": affine_lms, "non_negative": non_negative, "bounded": bounded, "minimal_residual": minimal_residual}
 
 
+def by_series(psi: DataFrame, m: int, estimator: str = "least_squares", **options) -> DataFrame:
+    """(series_id, theta): an estimator for every series, from its Gram matrix summed in SQL."""
+    solve = ESTIMATORS[estimator]
+    sums = psi.groupBy("series_id").agg(F.array(*(F.sum(f"t{i}") for i in range(m))).alias("s"), F.sum("y").alias("ys"))
+    kind = psi.schema["series_id"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            theta = [solve(Gram(np.array(r.g).reshape(m, m), np.array(r.b), r.yy, np.array(r.s), r.ys, r.n), **options).tolist() for r in pdf.itertuples()]
+            yield pdf[["series_id"]].assign(theta=theta)
+
+    return grouped(psi, m).join(sums, "series_id").mapInPandas(run, f"series_id {kind}, theta array<double>")
+
+
 def unbiased(series: DataFrame, columns: list[str], terms: list[Term], theta: np.ndarray, elag: int = 2, rounds: int = 20, estimator=least_squares, tolerance: float = 1e-10) -> np.ndarray:
     """Extended least squares: residuals at ``elag`` lags join the regressors, and the fit is repeated.
 

@@ -52,12 +52,35 @@ def gram_rows(psi: DataFrame, m: int) -> DataFrame:
     return psi.select(*(F.col(c).cast("double") for c in names)).mapInArrow(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
+def add_up(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums by block of (block, values), values the bytes of doubles: added up by Spark, each block in one task."""
+
+    def run(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, float) for v in group["values"].to_pylist())
+        return pa.table([group["block"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["block", "values"])
+
+    return {r["block"]: np.frombuffer(r["values"], float) for r in parts.groupBy("block").applyInArrow(run, "block int, values binary").collect()}
+
+
+#: Rows of the Gram matrix that are sent together.
+BLOCK = 64
+
+
 def gram_of(psi: DataFrame, m: int) -> Gram:
-    """Collect the Gram matrix: (m + 2)^2 / 2 numbers, whatever the data."""
-    full = np.zeros((m + 2, m + 2))
-    for i, j, g in gram_rows(psi, m).collect():
-        full[i, j] = full[j, i] = g
-    return Gram(full[:m, :m], full[:m, m], float(full[m, m]), full[:m, m + 1], float(full[m, m + 1]), int(round(full[m + 1, m + 1])))
+    """Collect the Gram matrix: (m + 2)^2 numbers, whatever the data, in blocks of rows."""
+    names = [*(f"t{i}" for i in range(m)), "y"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m + 2, m + 2))
+        for batch in batches:
+            x = np.column_stack([*(np.asarray(batch[c], float) for c in names), np.ones(batch.num_rows)])
+            total += x.T @ x
+        blocks = range(0, m + 2, BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[a : a + BLOCK].tobytes() for a in blocks], pa.binary())], ["block", "values"])
+
+    blocks = add_up(psi.select(*(F.col(c).cast("double") for c in names)).mapInArrow(partial, "block int, values binary"))
+    full = np.concatenate([blocks[a] for a in sorted(blocks)]).reshape(m + 2, m + 2) if blocks else np.zeros((m + 2, m + 2))
+    return Gram(full[:m, :m], full[:m, m], float(full[m, m]), full[:m, m + 1], float(full[m, m + 1]), int(round(np.nan_to_num(full[m + 1, m + 1]))))
 
 
 def gram(series: DataFrame, columns: list[str], terms: list[Term], bucket: int | None = None) -> Gram:

@@ -1,7 +1,7 @@
-"""Prediction: one step (a projection), n steps and free run (ordered folds).
+"""Prediction: one step (a projection), n steps (a fold in SQL for each block), free run and forecast (ordered folds).
 
-A fold keeps the last max_lag outputs in its accumulator and runs inside SQL ``aggregate``; free runs are parallel
-over series, n-step predictions over blocks, each restarted from measured values.
+Blocks restart from measured values and are parallel; a free run or forecast carries the last max_lag outputs
+along its series and is parallel over series.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basis import Term, max_lag
+from ..functions.compiled import next_output
+from .fold import ordered
 from .lagging import lagged
 
 
@@ -41,19 +43,20 @@ def _step(columns: list[str], terms: list[Term], theta: list[str]) -> str:
 def n_steps(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, steps: int | None, models: DataFrame | None = None) -> DataFrame:
     """(series_id, k, y, yhat): blocks of ``steps`` samples, each started from measured values; None: one block, a free run.
 
-    Coefficients are given as ``theta`` or, one array a series, as models (series_id, theta).
+    Coefficients are given as ``theta`` or, one array a series, as models (series_id, theta).  A block is folded in one SQL row.
     """
-    if steps is not None and steps < 1:
-        raise ValueError("steps must be at least 1")
+    if steps is None:
+        return free_run(series, columns, terms, theta, models)
+    if isinstance(steps, bool) or steps < 1:
+        raise ValueError("steps must be an integer from 1")
     p = max_lag(columns)
     inputs = [c for c in columns if not c.startswith("y_")]
     rows = lagged(series, [*inputs, *(f"y_{i}" for i in range(1, p + 1))])
     names = [f"theta[{i}]" for i in range(len(terms))] if models is not None else [f"{float(t)!r}D" for t in theta or []]
-    block = F.expr(f"(k - 1 - {p}) div {steps}") if steps else F.lit(0)
     start = f"array({', '.join(f'y_{i}' for i in range(p, 0, -1))})"
     rows = rows.withColumn("start", F.expr(start))
     head = rows.where(f"k <= {p}").select("series_id", "k", "y", F.col("y").alias("yhat"))
-    tail = rows.where(f"k > {p}").withColumn("block", block)
+    tail = rows.where(f"k > {p}").withColumn("block", F.expr(f"(k - 1 - {p}) div {steps}"))
     folded = tail.groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("k", "y", *inputs, "start"))).alias("r"))
     if models is not None:
         folded = folded.join(models.select("series_id", "theta"), "series_id")
@@ -64,17 +67,75 @@ def n_steps(series: DataFrame, columns: list[str], terms: list[Term], theta: lis
 
 
 def free_run(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, models: DataFrame | None = None) -> DataFrame:
-    return n_steps(series, columns, terms, theta, None, models)
+    """(series_id, k, y, yhat): the first max_lag outputs as measured, then predictions from predictions and the inputs.
 
+    Where y is null beyond its start, as for samples to come of which only the inputs are known, it is not needed.
+    """
+    p = max_lag(columns)
+    inputs = [c for c in columns if not c.startswith("y_")]
+    step_of = next_output(terms, columns)
+    fixed = None if models is not None else [float(t) for t in theta or []]
+    rows = lagged(series, inputs).select("series_id", "k", "y", *inputs)
+    if models is not None:
+        rows = rows.join(models.select("series_id", "theta"), "series_id")
+
+    def start(*row) -> dict:
+        return {"h": [0.0] * p, "n": 0}
+
+    def step(state: dict, k: int, y: float, *row) -> float:
+        state["n"] += 1
+        x, coefficients = (row, fixed) if fixed is not None else (row[:-1], row[-1])
+        if state["n"] > p:
+            y = step_of(state["h"], x, coefficients)
+        elif y is None:
+            raise ValueError(f"the first {p} outputs of a series must be known")
+        state["h"].append(y)
+        del state["h"][0]
+        return y
+
+    out = ordered(rows, ["y", *inputs, *(["theta"] if models is not None else [])], start, step, "double")
+    return out.join(series.select("series_id", F.col("k").cast("long").alias("k"), "y"), ["series_id", "k"]).select("series_id", "k", "y", F.col("value").alias("yhat"))
 
-def forecast(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, horizon: int, models: DataFrame | None = None) -> DataFrame:
-    """(series_id, k, yhat): ``horizon`` samples after the end of each series, from its last outputs alone (NAR models)."""
+
+def forecast(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, horizon: int, models: DataFrame | None = None, future: DataFrame | None = None) -> DataFrame:
+    """(series_id, k, yhat): ``horizon`` samples after the end of each series, from its last outputs on.
+
+    A model with inputs needs ``future`` (series_id, k, x1..) with their values after the end; a series is forecast
+    as far as its future goes, ``horizon`` samples at most.
+    """
+    if isinstance(horizon, bool) or horizon < 1:
+        raise ValueError("horizon must be an integer from 1")
     p = max_lag(columns)
+    inputs = sorted({c.rpartition("_")[0] for c in columns if not c.startswith("y_")})
+    if inputs and future is None:
+        raise ValueError("a model with inputs needs their future values")
     last = series.groupBy("series_id").agg(F.max("k").alias("n"))
-    tail = series.join(last, "series_id").where(f"k > n - {p}").groupBy("series_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "y"))), lambda x: x["y"]).alias("h"))
+    tail = series.join(last, "series_id").where(f"k > n - {p}").select("series_id", "n", F.col("k").cast("long").alias("k"), "y", *inputs)
+    if future is None:
+        future = last.select("series_id", F.explode(F.expr(f"sequence(n + 1, n + {horizon})")).alias("k"))
+    ahead = future.join(last, "series_id").where(f"k > n and k <= n + {horizon}").select("series_id", "n", F.col("k").cast("long").alias("k"), F.lit(None).cast("double").alias("y"), *inputs)
+    short = tail.unionByName(ahead)
+    # a series under max_lag samples counts from zeros, as lags do
+    out = _run_on(short, columns, terms, theta, models, p)
+    return out.where("value is not null").select("series_id", "k", F.col("value").alias("yhat"))
+
+
+def _run_on(rows: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, models: DataFrame | None, p: int) -> DataFrame:
+    """(series_id, k, value): outputs are taken where they are known (value null) and predicted where they are not."""
+    inputs = [c for c in columns if not c.startswith("y_")]
+    step_of = next_output(terms, columns)
+    fixed = None if models is not None else [float(t) for t in theta or []]
+    rows = lagged(rows, inputs).select("series_id", "k", "y", *inputs)
     if models is not None:
-        tail = tail.join(models.select("series_id", "theta"), "series_id")
-    names = [f"theta[{i}]" for i in range(len(terms))] if models is not None else [f"{float(t)!r}D" for t in theta or []]
-    nxt = f"transform(array({_step(columns, terms, names)}), v -> struct(array_append(slice(a.h, 2, {p}), v) as h, array_append(a.o, v) as o))[0]"
-    fold = f"aggregate(sequence(1, {horizon}), struct(h as h, cast(array() as array<double>) as o), (a, b) -> {nxt}, a -> a.o)"
-    return tail.select("series_id", "n", F.posexplode(F.expr(fold)).alias("i", "yhat")).select("series_id", (F.col("n") + F.col("i") + 1).alias("k"), "yhat")
+        rows = rows.join(models.select("series_id", "theta"), "series_id")
+
+    def step(state: dict, k: int, y: float | None, *row) -> float | None:
+        x, coefficients = (row, fixed) if fixed is not None else (row[:-1], row[-1])
+        out = None
+        if y is None:
+            out = y = step_of(state["h"], x, coefficients)
+        state["h"].append(y)
+        del state["h"][0]
+        return out
+
+    return ordered(rows, ["y", *inputs, *(["theta"] if models is not None else [])], lambda *row: {"h": [0.0] * p}, step, "double")

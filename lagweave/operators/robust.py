@@ -1,4 +1,4 @@
-"""Searches that need more than one Gram matrix: modulated (ultra-orthogonal), leave-one-out and entropic."""
+"""Searches that need more than one Gram matrix: modulated (ultra-orthogonal), over resampled views, and entropic."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerics import digamma
 from .gram import Gram, gram_of
+from .pieces import in_pieces
 
 SUPPORT = {"bspline": 2.0, "gaussian": 3.0, "custom": 1.0}
 
@@ -50,24 +50,23 @@ def kernel(order: int, support: int = 9, kind: str = "bspline", sigma: float = 1
     return w, 1.0 if abs(w.sum()) < 1e-8 else float(1 / w.sum())
 
 
-def modulate(psi: DataFrame, columns: list[str], weights: list[float]) -> DataFrame:
+def modulate(psi: DataFrame, columns: list[str], weights: list[float], keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns replaced by sums of the weights with the samples from k on; the tail without a full kernel goes."""
     w = Window.partitionBy("series_id").orderBy("k")
     whole = F.lead("k", len(weights) - 1).over(w).isNotNull()
     sums = [sum((F.lit(float(a)) * F.lead(c, i).over(w) for i, a in enumerate(weights)), F.lit(0.0)).alias(c) for c in columns]
-    return psi.select("series_id", "k", *sums, whole.alias("_whole")).where("_whole").drop("_whole")
+    return psi.select("series_id", "k", *keep, *sums, whole.alias("_whole")).where("_whole").drop("_whole")
 
 
 def augment(psi: DataFrame, m: int, orders: int, support: int = 9, **options) -> DataFrame:
     """psi (series_id, k, y, t0..) stacked with its modulated copies of orders 1..orders, each scaled by the area factor and sqrt(n / n modulated)."""
     columns = ["y", *(f"t{i}" for i in range(m))]
-    out = psi.select("series_id", "k", *columns)
-    n = F.count("*").over(Window.partitionBy("series_id"))
-    base = psi.withColumn("_n", n)
+    base = psi.select("series_id", "k", *columns, F.count("*").over(Window.partitionBy("series_id")).alias("_n"))
+    out = base.drop("_n")
     for j in range(1, orders + 1):
         w, area = kernel(j, support, **options)
-        part = modulate(psi, columns, w.tolist()).join(base.select("series_id", "k", "_n"), ["series_id", "k"])
         size = area * F.sqrt(F.col("_n") / (F.col("_n") - (support - 1)))
+        part = modulate(base, columns, w.tolist(), keep=("_n",))
         out = out.unionByName(part.select("series_id", "k", *((F.col(c) * size).alias(c) for c in columns)))
     return out
 
@@ -77,44 +76,120 @@ def ultra_orthogonal(psi: DataFrame, m: int, orders: int = 1, **options) -> Gram
     return gram_of(augment(psi, m, orders, **options), m)
 
 
-def leave_one_out(psi: DataFrame, m: int, n_terms: int) -> tuple[list[int], np.ndarray]:
-    """Terms that minimise the mean over all leave-one-out views of the view's mean absolute error, and the mean coefficients.
+MEASURES = ("mae", "mse", "phi3", "rmse_ratio")
 
-    A view's Gram matrix is the full one less one row's products, so each row of psi yields its own
-    view's coefficients; errors over the rest of a view come from the rows and the coefficients by a
-    join per series of n views and n rows: use it on short series.
+
+def _measure(name: str, w: np.ndarray, e: np.ndarray, y: np.ndarray, fit: np.ndarray, eps: float) -> np.ndarray:
+    """Weighted error of every column of e = y - fit."""
+    n = w.sum()
+    if name == "mae":
+        return w @ np.abs(e) / n
+    if name == "mse":
+        return w @ (e * e) / n
+    if name == "phi3":
+        top, bottom = w @ np.abs(e), w @ np.abs(y) + w @ np.abs(fit)
+    else:
+        top, bottom = np.sqrt(w @ (e * e) / n), np.sqrt(w @ (y * y) / n) + np.sqrt(w @ (fit * fit) / n)
+    return top / np.where(bottom < eps, eps, bottom)
+
+
+def _views(resampling: str, k: np.ndarray, piece: np.ndarray, subsets: int | None, size: int | None, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, weight of every sample) of the views of a piece."""
+    n = len(k)
+    if resampling == "loo":
+        for i in piece:
+            w = np.ones(n)
+            w[i] = 0.0
+            yield int(k[i]), w
+    elif resampling == "bootstrap":
+        total = subsets or n
+        # the pieces share the views out, whatever their number
+        for view in range(int(piece[0] * total // n), int((piece[-1] + 1) * total // n)):
+            drawn = np.random.default_rng([seed, view]).integers(0, n, size or max(1, n - 1))
+            yield view, np.bincount(drawn, minlength=n).astype(float)
+    elif piece[0] == 0:
+        yield 0, np.ones(n)
+
+
+def view_errors(psi: DataFrame, m: int, chosen: list[int], measure: str = "mae", resampling: str = "loo", subsets: int | None = None, size: int | None = None, seed: int = 0, eps: float = 1e-12) -> DataFrame:
+    """(series_id, view, term, error): for every view of every series and every term not yet chosen, the error of the view's
+    y fitted by that term alone, after what the chosen terms explain of the term in the view is taken away.
+
+    Views of a series leave one sample out (named by its k), draw samples with replacement, or (None) take it whole.
+    """
+    if measure not in MEASURES or resampling not in ("loo", "bootstrap", None):
+        raise ValueError("unknown measure or resampling")
+    rest = [i for i in range(m) if i not in chosen]
+
+    def work(k: np.ndarray, data: np.ndarray, piece: np.ndarray) -> Iterator[dict]:
+        y, t = data[:, 0], data[:, 1:]
+        views, terms, errors = [], [], []
+        for view, w in _views(resampling, k, piece, subsets, size, seed):
+            q = t[:, rest]
+            if chosen:
+                c = t[:, chosen]
+                q = q - c @ (np.linalg.pinv((c * w[:, None]).T @ c, rcond=1e-12, hermitian=True) @ ((c * w[:, None]).T @ q))
+            power = w @ (q * q)
+            fit = q * ((w * y) @ q / np.where(power < eps, eps, power))
+            errors.append(_measure(measure, w, y[:, None] - fit, y[:, None], fit, eps))
+            views += [view] * len(rest)
+            terms += rest
+        if views:
+            yield {"view": np.array(views, np.int64), "term": np.array(terms, np.int32), "error": np.concatenate(errors)}
+
+    return in_pieces(psi, ["y", *(f"t{i}" for i in range(m))], work, "view long, term int, error double")
+
+
+def overall_errors(errors: DataFrame) -> DataFrame:
+    """(term, error): the mean over the views of a series, then over the series."""
+    return errors.groupBy("series_id", "term").agg(F.avg("error").alias("error")).groupBy("term").agg(F.avg("error").alias("error"))
+
+
+def robust_forward(psi: DataFrame, m: int, n_terms: int, measure: str = "mae", resampling: str | None = "loo", subsets: int | None = None, size: int | None = None, seed: int = 0, err_tol: float | None = None) -> tuple[list[int], list[float]]:
+    """Terms that one by one have the least overall error over the views of all series, and these errors.
+
+    Several series are several data sets of one structure.  Ends early when the errors add up to ``err_tol``.
     """
-    q = gram_of(psi, m)
     chosen: list[int] = []
-    rows = psi.select("series_id", "k", "y", F.array(*(f"t{i}" for i in range(m))).alias("t"))
+    found: list[float] = []
     for _ in range(min(n_terms, m)):
-        best = view_errors(rows, q, chosen, [i for i in range(m) if i not in chosen]).groupBy("term").agg(F.avg("mae").alias("e")).orderBy(F.round("e", 12), "term").first()
+        best = overall_errors(view_errors(psi, m, chosen, measure, resampling, subsets, size, seed)).orderBy(F.round("error", 12), "term").first()
+        if best is None:
+            break
         chosen.append(best["term"])
-    theta = view_errors(rows, q, chosen[:-1], chosen[-1:]).select(F.posexplode("theta").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").collect()
-    return chosen, np.array([r["v"] for r in theta])
+        found.append(best["error"])
+        if err_tol is not None and sum(found) >= err_tol:
+            break
+    return chosen, found
+
 
+def averaged_theta(psi: DataFrame, m: int, chosen: list[int], resampling: str | None = "loo", subsets: int | None = None, size: int | None = None, seed: int = 0) -> np.ndarray:
+    """Least-squares coefficients of the chosen terms: the mean over the views of a series, then over the series."""
 
-def view_errors(rows: DataFrame, q: Gram, chosen: list[int], candidates: list[int]) -> DataFrame:
-    """(view_series, view, term, theta, mae): for each view, all rows of all series but one, and each candidate, the fit on chosen + candidate and its error over the view."""
+    def work(k: np.ndarray, data: np.ndarray, piece: np.ndarray) -> Iterator[dict]:
+        y, c = data[:, 0], data[:, 1:]
+        found = [np.linalg.pinv((c * w[:, None]).T @ c, rcond=1e-12, hermitian=True) @ (c.T @ (w * y)) for _, w in _views(resampling, k, piece, subsets, size, seed)]
+        if found:
+            yield {"i": np.tile(np.arange(len(chosen), dtype=np.int32), len(found)), "v": np.concatenate(found)}
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            series, view, term, theta = [], [], [], []
-            y, t = np.asarray(batch["y"]), np.vstack([*batch["t"].to_numpy(zero_copy_only=False)]) if batch.num_rows else np.zeros((0, len(q.b)))
-            for c in candidates:
-                idx = [*chosen, c]
-                for s, k, yi, ti in zip(batch["series_id"].to_pylist(), batch["k"].to_pylist(), y, t[:, idx]):
-                    series.append(s)
-                    view.append(k)
-                    term.append(c)
-                    theta.append(np.linalg.pinv(q.g[np.ix_(idx, idx)] - np.outer(ti, ti), rcond=1e-12, hermitian=True) @ (q.b[idx] - ti * yi))
-            yield pa.RecordBatch.from_arrays([pa.array(series, batch["series_id"].type), pa.array(view, pa.int64()), pa.array(term, pa.int32()), pa.array([x.tolist() for x in theta], pa.list_(pa.float64()))], ["view_series", "view", "term", "theta"])
+    views = in_pieces(psi, ["y", *(f"t{i}" for i in chosen)], work, "i int, v double")
+    means = views.groupBy("series_id", "i").agg(F.avg("v").alias("v")).groupBy("i").agg(F.avg("v").alias("v"))
+    return np.array([r["v"] for r in means.orderBy("i").collect()])
 
-    fits = rows.mapInArrow(fit, f"view_series {rows.schema['series_id'].dataType.simpleString()}, view long, term int, theta array<double>")
-    value = " + ".join([*(f"theta[{i}] * t[{c}]" for i, c in enumerate(chosen)), f"theta[{len(chosen)}] * t[term]"])
-    # every view against every other row is the definition of this error; n is the length of one short series
-    joined = fits.join(rows, (F.col("view") != F.col("k")) | ~F.col("view_series").eqNullSafe(F.col("series_id")))
-    return joined.groupBy("view_series", "view", "term").agg(F.avg(F.abs(F.col("y") - F.expr(value))).alias("mae"), F.first("theta").alias("theta"))
+
+def neighbour_counts(rows: DataFrame, columns: list[str], y: str = "y", neighbours: int = 2) -> DataFrame:
+    """(series_id, k, nx, ny): for every sample, how many others of its series lie nearer than its ``neighbours``-th nearest
+    one in x and y together, in x (``columns``, largest difference) and in y."""
+
+    def work(k: np.ndarray, data: np.ndarray, piece: np.ndarray) -> Iterator[dict]:
+        x, v = data[:, 1:], data[:, 0]
+        dx, dy = np.abs(x[piece, None] - x[None]).max(-1), np.abs(v[piece, None] - v[None])
+        both = np.maximum(dx, dy)
+        both[np.arange(len(piece)), piece] = np.inf
+        radius = np.partition(both, neighbours - 1, axis=1)[:, neighbours - 1 : neighbours]
+        yield {"k": k[piece].astype(np.int64), "nx": np.maximum((dx < radius).sum(1) - 1, 0), "ny": np.maximum((dy < radius).sum(1) - 1, 0)}
+
+    return in_pieces(rows.select("series_id", "k", y, *columns), [y, *columns], work, "k long, nx long, ny long")
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 2) -> float:
@@ -139,29 +214,36 @@ def conditional_information(x: np.ndarray, y: np.ndarray, z: np.ndarray | None,
     return mutual_information(x, np.column_stack([y, z]), k) - mutual_information(x, z, k)
 
 
-def entropic(psi: DataFrame, m: int, k: int = 2, n_perm: int = 50, quantile: float = 0.99, seed: int = 0) -> DataFrame:
+def entropic(psi: DataFrame, m: int, k: int = 2, n_perm: int = 200, quantile: float = 0.99, seed: int = 0, constant: int | None = None, least: float = 0.01) -> DataFrame:
     """(series_id, term): entropic regression for each series on its own, in parallel over series.
 
     Forward: add the term whose fit together with those chosen shares most information with y given the present fit, while that
-    exceeds the tolerance, a quantile of the information under permutation; backward: drop what adds nothing.
+    exceeds the tolerance, a quantile of the information under ``n_perm`` permutations; backward: drop what adds nothing.  The
+    term ``constant``, if given, is left out of the search, joins the terms found, and goes if its coefficient is below ``least``.
     The estimate compares all pairs of a series' samples, so it is meant for short series.
     """
+    by = psi.schema["series_id"].dataType.simpleString()
 
     def run(pdf):
+        pdf = pdf.sort_values("k")
         y = pdf["y"].to_numpy()
         t = pdf[[f"t{i}" for i in range(m)]].to_numpy()
         rng = np.random.default_rng(seed)
 
+        def coefficients(idx: list[int]) -> np.ndarray:
+            return np.linalg.lstsq(t[:, idx], y, rcond=None)[0]
+
         def fit(idx: list[int]) -> np.ndarray:
-            return t[:, idx] @ np.linalg.lstsq(t[:, idx], y, rcond=None)[0] if idx else np.zeros(0)
+            return t[:, idx] @ coefficients(idx)
 
         def tolerance(x: np.ndarray, z: np.ndarray | None) -> float:
             return float(np.quantile([conditional_information(rng.permutation(x), y, z, k) for _ in range(n_perm)], quantile))
 
         chosen: list[int] = []
-        while len(chosen) < m:
+        free = [j for j in range(m) if j != constant]
+        while len(chosen) < len(free):
             now = fit(chosen) if chosen else None
-            gain = {j: conditional_information(fit([*chosen, j]), y, now, k) for j in range(m) if j not in chosen}
+            gain = {j: conditional_information(fit([*chosen, j]), y, now, k) for j in free if j not in chosen}
             best = max(gain, key=lambda j: (gain[j], -j))
             if gain[best] <= tolerance(fit([*chosen, best]), now):
                 break
@@ -172,6 +254,8 @@ def entropic(psi: DataFrame, m: int, k: int = 2, n_perm: int = 50, quantile: flo
             if loss[worst] > tolerance(fit(chosen), fit([i for i in chosen if i != worst])):
                 break
             chosen.remove(worst)
-        return pdf.head(1)[["series_id"]].merge(pd.DataFrame({"term": np.array(sorted(chosen), np.int32)}), how="cross")
+        if constant is not None and abs(coefficients([constant, *chosen])[0]) >= least:
+            chosen.append(constant)
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]] * len(chosen), "term": np.array(sorted(chosen), np.int32)})
 
-    return psi.groupBy("series_id").applyInPandas(run, "series_id long, term int")
+    return psi.groupBy("series_id").applyInPandas(run, f"series_id {by}, term int")

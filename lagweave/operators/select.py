@@ -16,51 +16,60 @@ from .gram import Gram
 EPS = float(np.finfo(float).eps)
 
 
+def ratios(d: np.ndarray, b: np.ndarray, yy: float, floor: np.ndarray, alpha: float = 0.0) -> np.ndarray:
+    """Error reduction ratio of every term from the diagonal of the Gram matrix and its products with y; 0 where nothing is left of a term."""
+    usable = d > floor
+    return np.where(usable, b * b / np.where(usable, (d + alpha) * yy, 1.0), 0.0) if yy > 0 else np.zeros(len(b))
+
+
 def forward(q: Gram, n_terms: int, alpha: float = 0.0, err_tol: float | None = None) -> tuple[list[int], list[float]]:
     """Orthogonal forward regression: each step takes the term with the largest error reduction ratio and
     removes its direction from the others, which is one elimination step on the Gram matrix.  Ties: first term."""
     g, b = q.g.copy(), q.b.copy()
     floor = 1e-13 * np.maximum(np.diag(q.g), 1e-300)
-    chosen, ratios = [], []
+    chosen, found = [], []
     for _ in range(min(n_terms, len(b))):
         d = np.diag(g)
-        usable = d > floor
-        err = np.where(usable, b * b / np.where(usable, (d + alpha) * q.yy, 1.0), 0.0) if q.yy > 0 else np.zeros(len(b))
+        err = ratios(d, b, q.yy, floor, alpha)
         err[chosen] = -1
         k = int(np.argmax(np.round(err, 14)))
         chosen.append(k)
-        ratios.append(float(err[k]))
-        if usable[k]:
+        found.append(float(err[k]))
+        if d[k] > floor[k]:
             row = g[k] / d[k]
             b = b - row * b[k]
             g = g - np.outer(g[:, k], row)
-        if err_tol is not None and sum(ratios) >= err_tol:
+        if err_tol is not None and sum(found) >= err_tol:
             break
-    return chosen, ratios
+    return chosen, found
 
 
-def aic(n: int, var: float, m: int) -> float:
-    return n * math.log(var) + 2 * m
+def aic(n, var, m, log=math.log):
+    """Criteria take numbers, or columns with ``log`` = ``functions.ln``."""
+    return n * log(var) + 2 * m
 
 
-def aicc(n: int, var: float, m: int) -> float:
-    return aic(n, var, m) + 2 * m * (m + 1) / (n - m - 1)
+def aicc(n, var, m, log=math.log):
+    return aic(n, var, m, log) + 2 * m * (m + 1) / (n - m - 1)
 
 
-def bic(n: int, var: float, m: int) -> float:
-    return n * math.log(var) + m * math.log(n)
+def bic(n, var, m, log=math.log):
+    return n * log(var) + m * log(n)
 
 
-def fpe(n: int, var: float, m: int) -> float:
-    return n * math.log(var) + n * math.log((n + m) / (n - m))
+def fpe(n, var, m, log=math.log):
+    return n * log(var) + n * log((n + m) / (n - m))
 
 
-def lilc(n: int, var: float, m: int) -> float:
-    return n * math.log(var) + 2 * m * math.log(math.log(n))
+def lilc(n, var, m, log=math.log):
+    return n * log(var) + 2 * m * log(log(n))
 
 
-def apress(n: int, mse: float, m: int, penalty: float = 1.0) -> float:
+def apress(n, mse, m, log=math.log, penalty: float = 1.0):
+    """Infinite, or null for columns, without room for the terms."""
     room = n - penalty * m
+    if not isinstance(room, (int, float)):
+        return (n / room) * (n / room) * mse
     return (n / room) ** 2 * mse if room > 0 else math.inf
 
 
@@ -170,7 +179,12 @@ class Floating:
     def oif(self, k: int) -> list[int]:
         return self.osf(k, swap=True)
 
-    def oos(self, k: int, max_depth: int | None = None) -> list[int]:
+    def oos(self, k: int, max_depth: int | None = None, sets: int = 2000) -> list[int]:
+        """Oscillating search: drop the best set of ``depth`` terms and add the best one of that size, or the other way round,
+        with the depth growing while neither swing gains.
+
+        Up to ``sets`` sets are compared as a whole; a swing with more of them goes term by term.
+        """
         k = min(k, self.m)
         if max_depth is not None and max_depth < 1:
             raise ValueError("max_depth must be at least 1")
@@ -178,20 +192,26 @@ class Floating:
         now: tuple = ()
         while len(now) < k:
             now = self.add(now)
+
+        def swing(subset: tuple, move, room: int, depth: int) -> tuple:
+            if math.comb(room, depth) <= sets:
+                return move(subset, depth)
+            for _ in range(depth):
+                subset = move(subset)
+            return subset
+
         depth = 1
         while depth <= limit:
             before = self.score(now)
-            down = now
-            for _ in range(min(depth, len(down) - 1)):
-                down = self.drop(down)
-            while len(down) < k:
-                down = self.add(down)
-            up = now
-            for _ in range(min(depth, self.m - len(up))):
-                up = self.add(up)
-            while len(up) > k:
-                up = self.drop(up)
-            better = self._best([now, down, up])
+            down, up = min(depth, len(now) - 1), min(depth, self.m - len(now))
+            swings = [now]
+            if down:
+                less = swing(now, self.drop, len(now), down)
+                swings.append(swing(less, self.add, self.m - len(less), down))
+            if up:
+                more = swing(now, self.add, self.m - len(now), up)
+                swings.append(swing(more, self.drop, len(more), up))
+            better = self._best(swings)
             if self.score(better) > before + 1e-9 * max(before, EPS):
                 now, depth = better, 1
             else:

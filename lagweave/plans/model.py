@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import basis as bases
-from ..functions.basis import Basis, Polynomial, Term, lag_columns, lags
-from ..operators import estimate, predict, select
+from ..functions.basis import Basis, Polynomial, Term, index_of, lag_columns, lags, product_terms
+from ..functions.equations import equation, results
+from ..operators import estimate, predict, select, wide
 from ..operators.gram import Gram, gram
 from ..operators.lagging import regressors
+from ..sources.series import validate
 
 SEARCHES = ("frols", "aols", "osf", "oif", "oos", "all")
+#: Candidates from which forward regression fetches columns of the Gram matrix as it needs them.
+WIDE = 1000
 
 
 @dataclass(frozen=True)
@@ -59,12 +63,24 @@ class Model:
 
     def predict(self, series: DataFrame, steps_ahead: int | None = None) -> DataFrame:
         """(series_id, k, y, yhat): 1 step, blocks of several, or a free run (None); models without y lags always one step."""
+        self._check_inputs(series)
+        if steps_ahead is not None and (isinstance(steps_ahead, bool) or not isinstance(steps_ahead, int) or steps_ahead < 1):
+            raise ValueError("steps_ahead must be an integer from 1, or None")
         if steps_ahead == 1 or not any(c.startswith("y_") for c in self.columns):
             return predict.one_step(series, self.columns, self.terms, self.theta)
         return predict.n_steps(series, self.columns, self.terms, self.theta, steps_ahead)
 
-    def forecast(self, series: DataFrame, horizon: int) -> DataFrame:
-        return predict.forecast(series, self.columns, self.terms, self.theta, horizon)
+    def forecast(self, series: DataFrame, horizon: int, future: DataFrame | None = None) -> DataFrame:
+        """(series_id, k, yhat) after the end of each series; a model with inputs takes theirs from ``future`` (series_id, k, x1..)."""
+        self._check_inputs(series)
+        if future is not None:
+            self._check_inputs(future)
+        return predict.forecast(series, self.columns, self.terms, self.theta, horizon, future=future)
+
+    def _check_inputs(self, series: DataFrame) -> None:
+        missing = sorted({c.rpartition("_")[0] for c in self.columns} - {"y", *series.columns})
+        if missing:
+            raise ValueError(f"the model needs {missing}")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(pos, term, expression, theta, err)."""
@@ -78,27 +94,17 @@ class Model:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         rows = spark.read.parquet(path).orderBy("pos").collect()
+        if not rows:
+            return Model([], [], [], [])
         return Model(list(rows[0]["columns"]), [(r["term"], r["expression"]) for r in rows], [r["theta"] for r in rows], [r["err"] for r in rows])
 
     def equation(self, digits: int = 4, style: str = "text") -> str:
-        """y(k) = ... in text or latex."""
-        parts = [f"{t:+.{digits}f}" + ("" if n == "1" else (" " if style == "text" else " \\, ") + render(n, style)) for (n, _), t in zip(self.terms, self.theta)]
-        return ("y(k) = " if style == "text" else "y_{k} = ") + " ".join(parts)
-
+        """y(k) = ... in text, latex or ascii."""
+        return equation([n for n, _ in self.terms], self.theta, digits, style)
 
-def render(name: str, style: str = "text") -> str:
-    """``y_1*x1_2*x1_2`` as y(k-1) x1(k-2)^2."""
-    import re
-
-    out = []
-    for f in dict.fromkeys(name.split("*")):
-        power = name.split("*").count(f)
-        if style == "latex":
-            f = re.sub(r"(y|x\d+)_(\d+)", r"\1_{k-\2}", f)
-        else:
-            f = re.sub(r"(y|x\d+)_(\d+)", r"\1(k-\2)", f)
-        out.append(f + (f"^{power}" if power > 1 else ""))
-    return " ".join(out)
+    def results(self, theta_digits: int = 4, err_digits: int = 8, scientific: bool = False) -> list[tuple[str, str, str]]:
+        """(regressor, coefficient, error reduction ratio) as text."""
+        return results([n for n, _ in self.terms], self.theta, self.err, theta_digits, err_digits, scientific)
 
 
 def choose(q: Gram, spec: Spec, residual=None) -> tuple[list[int], list[float], list[float]]:
@@ -123,25 +129,75 @@ def choose(q: Gram, spec: Spec, residual=None) -> tuple[list[int], list[float],
     return order, [by.get(i, 0.0) for i in range(len(order))], values
 
 
+def _finite(series: DataFrame, columns: list[str], *sums) -> None:
+    """An error that names the column if a sum shows that a value was null, NaN or infinite."""
+    import numpy as np
+
+    if not all(np.isfinite(x).all() for x in sums):
+        validate(series, sorted({"y", *(c.rpartition("_")[0] for c in columns)}))
+        raise ValueError("a term overflows on these values")
+
+
 def fit(series: DataFrame, spec: Spec) -> Model:
-    """Lag, expand, one Gram pass, search, estimate.  Values must be finite (see ``sources.series.validate``)."""
+    """Lag, expand, one Gram pass, search, estimate; from ``WIDE`` candidates on forward regression takes a pass for some chosen terms."""
     columns, terms = spec.columns, spec.candidates
-    q = gram(series, columns, terms, spec.bucket)
 
     def residual(idx: list[int], theta) -> float:
         value = sum((F.lit(float(t)) * F.col(f"t{i}") for i, t in enumerate(theta)), F.lit(0.0))
         psi = regressors(series, columns, [terms[i] for i in idx], spec.bucket)
         return float(psi.agg(F.var_samp(F.col("y") - value)).first()[0])
 
-    order, err, values = choose(q, spec, residual)
-    theta = estimate.ESTIMATORS[spec.estimator](q.sub(order))
+    solve = estimate.ESTIMATORS[spec.estimator]
+    if spec.search == "frols" and len(terms) >= WIDE:
+        held = wide.Columns(series, columns, terms, spec.bucket)
+        try:
+            _finite(series, columns, held.d, held.b)
+            order, err = wide.forward(held, spec.n_terms or spec.n_info_values, err_tol=spec.err_tol)
+            q = held.gram(order)
+        finally:
+            held.close()
+        values: list[float] = []
+        if spec.n_terms is None:
+            values = select.by_order(q, list(range(len(order))), spec.criterion, solve, lambda idx, theta: residual([order[i] for i in idx], theta))
+            order = order[: select.best_order(values, spec.criterion)]
+            err = err[: len(order)]
+        theta = solve(q.sub(range(len(order))))
+    else:
+        q = gram(series, columns, terms, spec.bucket)
+        _finite(series, columns, q.g, q.b)
+        order, err, values = choose(q, spec, residual)
+        theta = solve(q.sub(order))
     return Model(columns, [terms[i] for i in order], [float(t) for t in theta], err, values)
 
 
+def given(series: DataFrame, wanted: list[str], theta: list[float] | None = None, estimator: str = "least_squares") -> Model:
+    """A model whose terms are given by name, in that order: coefficients as given, or estimated on the series.
+
+    The ratios are those of the terms in the order in which they reduce the error most.
+    """
+    columns, terms = product_terms(wanted)
+    index_of(terms, wanted)
+    if theta is not None and len(theta) != len(terms):
+        raise ValueError(f"{len(terms)} terms need as many coefficients")
+    q = gram(series, columns, terms)
+    _finite(series, columns, q.g, q.b)
+    position, found = select.forward(q, len(terms))
+    by = dict(zip(position, found))
+    if theta is None:
+        theta = estimate.ESTIMATORS[estimator](q)
+    return Model(columns, terms, [float(t) for t in theta], [by.get(i, 0.0) for i in range(len(terms))])
+
+
+def simulate(series: DataFrame, wanted: list[str], theta: list[float] | None = None, steps_ahead: int | None = None, train: DataFrame | None = None, estimator: str = "least_squares") -> tuple[Model, DataFrame]:
+    """A given model and its prediction of ``series``; without ``theta`` it is estimated on ``train``, or on the series itself."""
+    model = given(train if train is not None else series, wanted, theta, estimator)
+    return model, model.predict(series, steps_ahead)
+
+
 def fit_by_series(series: DataFrame, spec: Spec) -> DataFrame:
     """(series_id, term, pos, theta, err): the same search for every series, from its Gram matrix summed in SQL.
 
-    What meets in a task is one Gram matrix a series, never its samples.
+    What meets in a task is one Gram matrix a series, never its samples.  A series without a sample beyond its lags has no row.
     """
     from ..operators.gram import grouped
 
@@ -160,6 +216,8 @@ def fit_by_series(series: DataFrame, spec: Spec) -> DataFrame:
             rows = []
             for r in pdf.itertuples():
                 q = Gram(np.array(r.g).reshape(m, m), np.array(r.b), r.yy, np.array(r.s), r.ys, r.n)
+                if q.n <= 0:
+                    continue
                 order, err, _ = choose(q, spec)
                 theta = estimate.ESTIMATORS[spec.estimator](q.sub(order))
                 rows += [(r.series_id, names[i], p, float(t), float(e)) for p, (i, t, e) in enumerate(zip(order, theta, err))]
@@ -168,4 +226,4 @@ def fit_by_series(series: DataFrame, spec: Spec) -> DataFrame:
     return grams.mapInPandas(run, "series_id long, term string, pos int, theta double, err double")
 
 
-__all__ = ["Spec", "Model", "fit", "fit_by_series", "bases"]
+__all__ = ["Spec", "Model", "fit", "fit_by_series", "given", "simulate", "bases"]
