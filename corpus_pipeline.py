@@ -13,22 +13,35 @@ from lagweave.llm import decontam, jaccard, langid, mixing, substring
 from lagweave.llm.common import materialize
 
 
+def _packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns and all of docs in the struct ``row``, so that no other column can meet one an operator adds."""
+    return docs.select(*names, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; the model learns from those with a lang."""
+    """Documents with a recognised language; the model learns from those with a lang.
+
+    Without a single lang nothing can be told apart and all documents stay.
+    """
     model = langid.train(docs)
-    return langid.identify(docs, model).where(f"lang_pred <> '{langid.UNKNOWN}'").select(docs.columns)
+    if not model.langs:
+        return docs
+    return langid.identify(_packed(docs, "text"), model).where(f"lang_pred <> '{langid.UNKNOWN}'").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more), that with the least doc_id."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard of 0.8 or more), that with the least doc_id.
+
+    Candidates come from SimHash anchors and, as no anchor reaches fingerprints so far apart, from min-hash bands; all are checked.
+    """
     return jaccard.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a smaller doc_id has; n_chars follows the text, and a text left without words goes."""
-    out = substring.remove_repeats(docs).where("n_words = 0 or n_removed < n_words")
+    out = substring.remove_repeats(_packed(docs, "doc_id", "text")).where("n_words = 0 or n_removed < n_words")
     n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", n_chars).select(docs.columns)
+    return out.select(F.col("row").withField("text", F.col("text")).withField("n_chars", n_chars).alias("row")).select("row.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +62,7 @@ STAGES = [
     ("source_mix", source_mix),
 ]
 
-#: SQL cannot express the stages (trained models, similarity). The operators they call have tests; the whole has none yet.
+#: SQL cannot express the stages (trained models, similarity); tests compare the whole with a version in plain Python.
 ORACLE_SQL = None
 
 
