@@ -4,7 +4,7 @@ Numbers, units after a number and names inside a sentence become typed placehold
 of ``width`` template words are hashed and hash-joined with those of the benchmark; for every
 match the values in the slots are compared along the alignment: one benchmark value must
 always meet one document value and the other way round.  A changed slot that breaks this takes
-away the windows over it and no others.  Equal values make a copy, a consistent renaming makes
+away the windows over it and no others.  A window with hardly an ordinary word is hashed with its values.  Equal values make a copy, a consistent renaming makes
 a re-parameterised question, anything else is no leak.  An item shorter than a window is one
 window of its own length.
 """
@@ -27,6 +27,8 @@ SLOTS = {"znumz": NUMBER, "zunitz": UNIT, "znamez": NAME}
 WIDTH = 8
 #: Ordinary words that an item shorter than a window must have to be looked for.
 FEWEST = 3
+#: Ordinary words below which a window is compared with its values, not as a template.
+LITERAL = 2
 #: Consecutive template words that are a leak whatever their share of the item.
 RUN = 13
 
@@ -45,23 +47,37 @@ def template(text: str) -> Column:
     return F.expr(f"filter(split(lower({_steps(text)[-1]}), '{SPLIT}', -1), w -> w <> '')")
 
 
+#: Text whose words pair up with the template words: numbers on their own, without inner signs.
+RAW = f"regexp_replace(regexp_replace(coalesce(text, ''), '{NUMBER}', ' $0 '), '(?<=\\\\p{{N}})[.,:](?=\\\\p{{N}})', '')"
+_SLOT = ", ".join(f"'{kind}'" for kind in SLOTS)
+
+
 def _hashes(width: str) -> str:
-    """SQL of the hashes of all windows of so many template words."""
-    return f"if(size(ws) < {width}, cast(array() as array<bigint>), transform(sequence(1, size(ws) - {width} + 1), i -> xxhash64(slice(ws, i, {width}))))"
+    """SQL of the hashes of all windows of so many template words ``ws`` of ``text``.
+
+    A window of under ``LITERAL`` ordinary words says nothing as a template, and every table of numbers would match every other:
+    it is hashed with the values in its slots.
+    """
+    plain = f"xxhash64(slice(ws, i, {width}))"
+    either = f"if(size(filter(slice(ws, i, {width}), x -> x not in ({_SLOT}))) >= {LITERAL}, {plain}, xxhash64('', slice(rw, i, {width})))"
+    places = f"sequence(1, size(ws) - {width} + 1)"
+    words = f"filter(split(lower({RAW}), '{SPLIT}', -1), w -> w <> '')"
+    valued = f"element_at(transform(array({words}), rw -> if(size(rw) = size(ws), transform({places}, i -> {either}), transform({places}, i -> {plain}))), 1)"
+    few = f"size(filter(ws, x -> x in ({_SLOT}))) <= {width} - {LITERAL}"
+    return f"if(size(ws) < {width}, cast(array() as array<bigint>), if({few}, transform({places}, i -> {plain}), {valued}))"
 
 
 def _windows(rows: DataFrame, key: str, widths: list[int]) -> DataFrame:
     """(key, pos, h) of every window of template words, pos from 1."""
-    rows = rows.select(key, template("text").alias("ws"))
+    rows = rows.select(key, "text", template("text").alias("ws"))
     every = F.expr(" || ".join(f"transform({_hashes(str(w))}, (h, i) -> struct(i + 1 as pos, h as h))" for w in widths))
     return rows.select(key, F.explode(every).alias("x")).select(key, "x.pos", "x.h")
 
 
 def _item_windows(items: DataFrame, width: int) -> DataFrame:
     """(item_id, w, pos, h): windows of w template words, w less than ``width`` for the one window of a short item."""
-    slot = ", ".join(f"'{kind}'" for kind in SLOTS)
-    rows = items.select("item_id", template("text").alias("ws")).withColumn("w", F.expr(f"least({width}, size(ws))"))
-    rows = rows.where(f"w = {width} or size(filter(ws, x -> x not in ({slot}))) >= {FEWEST}")
+    rows = items.select("item_id", "text", template("text").alias("ws")).withColumn("w", F.expr(f"least({width}, size(ws))"))
+    rows = rows.where(f"w = {width} or size(filter(ws, x -> x not in ({_SLOT}))) >= {FEWEST}")
     return rows.select("item_id", "w", F.posexplode(F.expr(_hashes("w"))).alias("pos", "h")).select("item_id", "w", (F.col("pos") + 1).alias("pos"), "h")
 
 
