@@ -2,15 +2,16 @@
 
 A window is ``window`` consecutive words.  Its anchor is the least hash among the grams
 (half a window long) inside it, so equal windows have equal anchors and about one word in
-thirteen starts a new one.  The index holds, for every anchor seen, the first document with
-it: immutable runs sorted by anchor, one for each batch, compacted when there are several.
+thirteen starts a new one.  The index holds every (anchor, doc_id): immutable runs sorted by
+anchor, one for each batch, compacted when there are several.  It lives in a folder and can be
+opened again for a later batch.
 
 A batch of documents goes through four jobs.  Its anchors become a run; that run is
-merge-joined with the older ones, which leaves the anchors that occur in a second document;
-these pass into a bit filter (bounded size; its false positives cost time, not results) and
-windows whose anchor passes are verified by their own hash, 64 bits of one polynomial and 32
+merge-joined with the older ones, which leaves the anchors that occur in a second document and
+the earlier documents that have them; the anchors pass into a bit filter (bounded size; its false positives cost time,
+not results) and windows of the batch and of those earlier documents whose anchor passes are verified by their own hash, 64 bits of one polynomial and 32
 of another: the least document of each such window is aggregated, and joined back to mark
-what a smaller document has.  Batches follow each other by doc_id.
+what a smaller document has.  Other earlier texts are not read.  Batches follow each other by doc_id.
 """
 
 from __future__ import annotations
@@ -85,46 +86,52 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 class WindowIndex:
-    """Immutable runs (anchor, first, last), each sorted by anchor within its partitions."""
+    """Immutable runs (anchor, doc_id) in a folder, each sorted by anchor within its files; opening a folder finds the runs there.
+
+    A run counts once it is written whole.  Runs may overlap, as after a compaction that was cut short: they are read as a set.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 2):
         self.spark, self.fanout = spark, fanout
         self.path = path or f"{scratch_dir(spark)}/lagweave-runs-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        held = self._files.listStatus(folder) if self._files.exists(folder) else []
+        paths = sorted(str(f.getPath().toString()) for f in held)
+        self.runs = [x for x in paths if self._files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS"))]
 
     def append(self, anchors: DataFrame) -> DataFrame:
         """Write a batch's anchors as a new run."""
-        run = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        return self._write(run)
+        return self._write(anchors)
 
     def _write(self, run: DataFrame) -> DataFrame:
         path = f"{self.path}/run-{len(self.runs):04d}-{uuid.uuid4().hex}"
-        run = materialize(run.sortWithinPartitions("anchor"), "run", path)
+        run = materialize(run.distinct().sortWithinPartitions("anchor"), "run", path)
         self.runs.append(path)
         return run
 
     def read(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.schema("anchor long, first long, last long").parquet(*runs)
+        return self.spark.read.schema("anchor long, doc_id long").parquet(*runs)
 
-    def repeated(self, run: DataFrame, older: list[str]) -> DataFrame:
-        """Anchors of a run that a second document has, in the run itself or in an older one."""
-        inside = run.where("first < last").select("anchor")
+    def repeated(self, run: DataFrame, older: list[str]) -> tuple[DataFrame, DataFrame | None]:
+        """(anchors of a run that a second document has, in the run itself or in an older one; the older documents with them)."""
+        ends = materialize(run.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "run-anchors")
+        inside = ends.where("first < last").select("anchor")
         if not older:
-            return inside
-        return inside.unionByName(run.where("first = last").join(self.read(older), "anchor", "left_semi").select("anchor"))
+            return inside, None
+        met = materialize(self.read(older).join(ends.select("anchor"), "anchor", "left_semi"), "met-anchors")
+        return inside.unionByName(met.select("anchor")).distinct(), met.select("doc_id").distinct()
 
     def compact(self) -> None:
         """Merge the runs into one, once there are ``fanout`` of them."""
         if len(self.runs) < max(2, self.fanout):
             return
         old = self.runs
-        merged = self.read(old).groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        merged = self.read(old)
         self.runs = []
         self._write(merged)
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in old:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(hadoop).delete(p, True)
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def _candidates(docs: DataFrame, window: int, passed) -> DataFrame:
@@ -149,19 +156,33 @@ def _candidates(docs: DataFrame, window: int, passed) -> DataFrame:
     return docs.mapInArrow(run, "key long, mark int, doc_id long, pos int")
 
 
-def repeated_positions(docs: DataFrame, window: int = 50, batches: int = 2, fanout: int = 2) -> DataFrame:
-    """(doc_id, pos): windows, by the position of their first word, that a document of smaller id also has."""
+def repeated_positions(docs: DataFrame, window: int = 50, batches: int = 2, fanout: int = 2, index: WindowIndex | None = None, older: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos): windows of docs, by the position of their first word, that a document of smaller id also has.
+
+    With an ``index`` of earlier batches the documents ``older`` (doc_id, text) that it was built from count as well; the batch is added to it.
+    """
+    spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     cuts = rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = [None, *sorted({int(c) for c in cuts}), None]
-    index, found = WindowIndex(docs.sparkSession, fanout=fanout), []
+    index, found = index or WindowIndex(spark, fanout=fanout), []
+    if index.runs and older is None:
+        raise ValueError("an index of earlier batches needs their documents")
+    if older is not None:
+        older = older.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for low, high in zip(edges[:-1], edges[1:]):
-        upto = rows if high is None else rows.where(F.col("doc_id") <= high)
-        batch = upto if low is None else upto.where(F.col("doc_id") > low)
-        older = list(index.runs)
+        batch = rows if low is None else rows.where(F.col("doc_id") > low)
+        batch = batch if high is None else batch.where(F.col("doc_id") <= high)
+        runs = list(index.runs)
         run = index.append(_anchors(batch, window))
-        passed = docs.sparkSession.sparkContext.broadcast(bit_filter(index.repeated(run, older), "anchor"))
-        first = _candidates(upto, window, passed).groupBy("key", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        anchors, partners = index.repeated(run, runs)
+        passed = spark.sparkContext.broadcast(bit_filter(anchors, "anchor"))
+        every = batch
+        if partners is not None:
+            before = older if low is None else rows.where(F.col("doc_id") <= low)
+            before = before if older is None or low is None else before.unionByName(older)
+            every = every.unionByName(before.join(materialize(partners, "partners"), "doc_id", "left_semi"))
+        first = _candidates(every, window, passed).groupBy("key", "mark").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         # as a table, so that the join reads two exchanges and a passage in very many documents can be split between tasks
         first = materialize(first.where("first < last").select("key", "mark", "first"), "first-windows")
         marked = _candidates(batch, window, passed).join(first, ["key", "mark"]).where("first < doc_id").select("doc_id", "pos")
@@ -173,16 +194,17 @@ def repeated_positions(docs: DataFrame, window: int = 50, batches: int = 2, fano
     return out
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, batches: int = 2, fanout: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, batches: int = 2, fanout: int = 2, index: WindowIndex | None = None, older: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text and any more columns) with ``text`` cut down to the kept words, joined by one space,
     and ``n_words``, ``n_removed`` appended.
 
     A word goes if a window over it also starts in a document of smaller doc_id; windows are
     judged on the input.  A text that loses nothing still has its words joined by one space.
     Null texts have no words and become empty; rows with a null doc_id are kept whole and never a
-    source; rows that repeat a doc_id are treated alike and never a source for each other.
+    source; rows that repeat a doc_id are treated alike and never a source for each other.  With an open ``index``
+    and the documents ``older`` that are in it, docs is a later batch: theirs count as sources too, and docs join the index.
     """
-    at = repeated_positions(docs, window, batches, fanout).groupBy("doc_id").agg(F.collect_list("pos").alias("lagweave_pos"))
+    at = repeated_positions(docs, window, batches, fanout, index, older).groupBy("doc_id").agg(F.collect_list("pos").alias("lagweave_pos"))
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "lagweave_pos")]
     kind = docs.schema["doc_id"].dataType
     joined = docs.select(keep).join(at.withColumn("doc_id", F.col("doc_id").cast(kind)), "doc_id", "left").select(*keep, "lagweave_pos")
