@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing, with SQL functions only.
 
-The hashes of all runs of ``k`` consecutive words are taken; of every ``w`` consecutive
-hashes the least is selected, the rightmost of equal ones, and kept with its position.
-Any run of w + k - 1 words that two texts share therefore gives them a common
-fingerprint entry; runs under k words never match.
+A text is cut into pieces: words in parts of at most four characters, and each character of a script
+that puts no spaces between words.  The hashes of all runs of ``k`` consecutive pieces are taken; of every
+``w`` consecutive hashes the least is selected, the rightmost of equal ones, and kept with its position.
+Any run of w + k - 1 pieces that two texts share, which is any run of so many characters without spaces or about four times as many
+from a word's start on, therefore gives them a common fingerprint entry; runs under k pieces never match.
 """
 
 from __future__ import annotations
@@ -11,20 +12,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_sql
+from .common import materialize
 
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han and Hangul, as ranges of code points.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
+PIECE = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,4}}"
 #: An entry packs 35 bits of hash above 28 bits of (largest position - position).
 POSITION_BITS = 28
 LAST = (1 << POSITION_BITS) - 1
 
 
 def selected(text: str, k: int = 4, w: int = 5) -> Column:
-    """Entries of a text column as an array of longs; a text under k words has one entry over all of them, one without words none."""
+    """Entries of a text column as an array of longs; a text under k pieces has one entry over all of them, one without pieces none."""
     gram = f"(xxhash64(slice(ws, i + 1, {k})) & {(1 << 35) - 1}L)"
     keys = f"transform(sequence(0, greatest(size(ws) - {k}, 0)), i -> shiftleft({gram}, {POSITION_BITS}) | ({LAST}L - i))"
     least = f"array_distinct(transform(sequence(1, greatest(size(ks) - {w} + 1, 1)), i -> array_min(slice(ks, i, {w}))))"
-    per_words = f"if(size(ws) = 0, cast(array() as array<bigint>), element_at(transform(array({keys}), ks -> {least}), 1))"
-    return F.expr(f"element_at(transform(array({words_sql(text)}), ws -> {per_words}), 1)")
+    per_text = f"if(size(ws) = 0, cast(array() as array<bigint>), element_at(transform(array({keys}), ks -> {least}), 1))"
+    pieces = "regexp_extract_all(coalesce({}, ''), '{}', 0)".format(text, PIECE.replace("\\", "\\\\"))
+    return F.expr(f"element_at(transform(array({pieces}), ws -> {per_text}), 1)")
 
 
 def hashes(entries: str) -> Column:
