@@ -1,12 +1,14 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash candidates, exact check.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and min-hash candidates, exact check.
 
 A text is the set of its runs of five words (a shorter one: one run of all its words), A-Z
-lower-cased.  Two texts link if their sets have a similarity of 0.8 or more.  Candidates share
-one of 20 bands of four min-hashes, which misses a pair at 0.8 with a chance of
-(1 - 0.8**4)**20 < 3e-5 and one above it more rarely; every candidate is then checked by the
+lower-cased.  Two texts link if their sets have a similarity of 0.8 or more.  Candidates are, first,
+sets whose SimHash fingerprints meet under an anchor of the covering code (``simhash.links``).  At a similarity of 0.8
+two fingerprints differ in about ten of 64 bits, beyond any radius that anchors can cover, so that, second,
+sets which share one of 20 bands of four min-hashes are candidates too: that misses a pair at 0.8 with a chance of
+(1 - 0.8**4)**20 < 3e-5 and one above it more rarely.  Every candidate is checked by the
 sets themselves (64-bit hashes of the runs).
 
-What scales: equal sets are grouped first; neighbours in a band are checked and joined to groups
+What scales: equal sets are grouped first; sets with near fingerprints and neighbours in a band are checked and joined to groups
 before any pairs are formed, and pairs only between different groups of a band, so that a
 large band of mutual copies costs no pairs.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, tokens, word_hashes
-from .simhash import components
+from .simhash import components, links
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -66,6 +68,17 @@ def set_hashes(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is 1 if set in over half the hashes; the empty set: 0."""
+    out = np.zeros(len(size), np.uint64)
+    full = size > 0
+    if full.any():
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, (np.cumsum(size) - size)[full], axis=0, dtype=np.int64)
+        out[full] = np.packbits(2 * ones > size[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def bands(h: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A key for each set and band; sets without a member have keys of their own kind."""
     full = size > 0
@@ -83,7 +96,7 @@ def bands(h: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, n, bands) of every row: hash and size of its set, and its band keys."""
+    """(doc_id, fp, n, sim, bands) of every row: hash, size and SimHash of its set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +104,9 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                 h, n = shingles(part["text"], words)
                 keys = pa.array(bands(h, n).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), keys)
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(set_hashes(h, n).view(np.int64)), pa.array(n), lists], ["doc_id", "fp", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(set_hashes(h, n).view(np.int64)), pa.array(n), pa.array(fingerprints(h, n).view(np.int64)), lists], ["doc_id", "fp", "n", "sim", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long, n long, sim long, bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -120,6 +133,17 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, si
     return materialize(both.where(F.col("c") / (F.col("n") - F.col("c")) >= similarity).select("u", "v").distinct(), "near-pairs")
 
 
+def _anchored(reps: DataFrame) -> DataFrame:
+    """(u, v): sets with equal SimHash fingerprints, and one set for each of two fingerprints that anchors link."""
+    full = reps.where("n > 0")
+    by = materialize(full.groupBy("sim").agg(F.min("fp").alias("one")), "set-fingerprints")
+    linked = links(by.select(F.col("sim").alias("fp")))
+    ends = [by.select(F.col("sim").alias(c), F.col("one").alias(f"{c}_one")) for c in ("u", "v")]
+    pairs = linked.join(ends[0], "u").join(ends[1], "v").select(F.col("u_one").alias("u"), F.col("v_one").alias("v"))
+    pairs = pairs.unionByName(full.join(by, "sim").where("fp <> one").select(F.col("fp").alias("u"), F.col("one").alias("v")))
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id) of every row of docs (doc_id, text) that has a doc_id.
 
@@ -128,7 +152,8 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialize(_signatures(rows, words), "shingle-signatures")
-    reps = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "distinct-sets")
+    reps = materialize(signed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("sim").alias("sim"), F.any_value("bands").alias("bands")), "distinct-sets")
+    met = _anchored(reps)
     keys = reps.where("n > 0").select("fp", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").count().where("count > 1").select("key")
     keys = materialize(keys.join(shared, "key", "left_semi"), "shared-bands")
@@ -136,7 +161,7 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     # neighbours by size first: they join a band of mutual copies without its pairs
     by_size = Window.partitionBy("key").orderBy("n", "fp")
     near = keys.select("fp", "n", F.lag("fp").over(by_size).alias("o"), F.lag("n").over(by_size).alias("m")).where(f"o is not null and {close}")
-    near = materialize(near.select(F.greatest("fp", "o").alias("u"), F.least("fp", "o").alias("v")).distinct(), "band-neighbours")
+    near = materialize(met.unionByName(near.select(F.greatest("fp", "o").alias("u"), F.least("fp", "o").alias("v"))).distinct(), "band-neighbours")
     stars = components(_verified(near, reps, rows, words, similarity), "band-stars")
     rooted = keys.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted-bands")

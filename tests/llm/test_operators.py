@@ -142,6 +142,24 @@ def test_substring_equals_brute_force(spark, corpus, batches):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in got) == sorted(want)
 
 
+def test_substring_index_takes_a_later_batch(spark, corpus, tmp_path):
+    """Two calls with one index folder, opened anew for the second, equal one call over all; only partners' texts are read again."""
+    d = docs(spark, corpus)
+    early, late = d.where("doc_id < 78"), d.where("doc_id >= 78 or doc_id is null")
+    path = f"file://{tmp_path}/index"
+    first = substring.remove_repeats(early, index=substring.WindowIndex(spark, path)).collect()
+    index = substring.WindowIndex(spark, path)
+    assert len(index.runs) == 1
+    second = substring.remove_repeats(late, batches=1, index=index, older=early).collect()
+    want = substring.remove_repeats(d).collect()
+    row = lambda r: (str(r.doc_id), r.n_words, r.n_removed, r.text)
+    assert sorted(map(row, [*first, *second])) == sorted(map(row, want)) and sum(r.n_removed for r in second) > 0
+    again = substring.WindowIndex(spark, path)
+    assert len(again.runs) == 1 and again.read(again.runs).count() == again.read(again.runs).distinct().count()
+    with pytest.raises(ValueError):
+        substring.remove_repeats(late, index=again)
+
+
 def test_langid_learns_and_rejects(spark):
     rows = [(i, f"the house and the garden {i}" if i % 2 else f"la maison et le jardin {i}", "en" if i % 2 else "fr", "s") for i in range(40)]
     rows += [(50, None, None, "s"), (51, "", None, "s"), (52, "12 34 !!", None, "s"), (53, "the garden", None, None)]
@@ -218,12 +236,63 @@ def test_winnowing(spark, corpus):
     for r in got:
         by.setdefault(text.get(r.doc_id), set()).add(r.fingerprint)
     assert all(len(v) == 1 for t, v in by.items() if t is not None)
-    entries = {r.doc_id: r.entries for r in winnow.fingerprint(d).collect()}
-    for i, e in entries.items():
-        words = [w for w in re.split("[\x20\x09-\x0d]+", text.get(i, "") or "") if w]
-        at = sorted(winnow.LAST - (x & winnow.LAST) for x in e)
-        if i is not None and len(words) >= 8:
-            assert at[0] < 5 and at[-1] >= len(words) - 8 and max(np.diff(at), default=0) <= 5
+
+
+def plain_winnow(text, k=4, w=5):
+    """(hash, position) of every entry: least of each window, rightmost of equal ones."""
+    import xxhash
+
+    pieces = [p for p in re.findall(winnow.PIECE, text or "")]
+    if not pieces:
+        return []
+    hashes = []
+    for i in range(max(1, len(pieces) - k + 1)):
+        h = 42
+        for p in pieces[i : i + k]:
+            h = xxhash.xxh64_intdigest(p.encode(), h)
+        hashes.append(h & ((1 << 35) - 1))
+    out = []
+    for i in range(max(1, len(hashes) - w + 1)):
+        least = min(hashes[i : i + w])
+        at = max(j for j in range(i, min(i + w, len(hashes))) if hashes[j] == least)
+        if (least, at) not in out:
+            out.append((least, at))
+    return out
+
+
+def test_winnowing_equals_brute_force(spark, corpus):
+    rows = [*corpus, (200, "漢字かな交じり文とカタカナ " * 3, "ja", "s"), (201, "ab cd " * 30, "en", "s"), (202, "x" * 500, "en", "s"), (None, "zz " * 9, None, None)]
+    d = docs(spark, rows)
+    got = winnow.edited_likeness(d).collect()
+    assert len(got) == len(rows)
+    text = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            text[i] = max(text.get(i, ""), t or "")
+    order = sorted(text, reverse=True)
+    as_text = lambda e: ",".join(f"{h:x}:{p}" for h, p in e)
+
+    def likeness(a, b):
+        a, b = {h for h, _ in a}, {h for h, _ in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for r in got:
+        if r.doc_id is None:
+            continue
+        t, n = text[r.doc_id], text[order[(order.index(r.doc_id) + 1) % len(order)]]
+        edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        a, b, c = plain_winnow(t), plain_winnow(edited), plain_winnow(n)
+        assert (r.fingerprint, r.edited_fingerprint) == (as_text(a), as_text(b))
+        assert np.isclose(r.near_edited, likeness(a, b)) and np.isclose(r.near_next, likeness(a, c))
+    entries = {r.doc_id: len(r.entries) for r in winnow.fingerprint(d).collect()}
+    assert entries[85] == entries[87] == 0 < entries[202]
+
+
+def test_texts_without_spaces_share_entries(spark):
+    block = "春眠暁を覚えず処処啼鳥を聞く夜来風雨の声花落つること知る多少"
+    rows = [(1, "あ" + block, None, None), (2, "違う前置き" + block + "後", None, None), (3, "全然関係のない文章をここに書いておきますからね", None, None)]
+    e = {r.doc_id: {x >> winnow.POSITION_BITS for x in r.entries} for r in winnow.fingerprint(docs(spark, rows)).collect()}
+    assert len(e[1] & e[2]) >= 3 and not e[1] & e[3]
 
 
 def test_warc_round_trip(spark):
