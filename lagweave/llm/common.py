@@ -1,46 +1,19 @@
-"""Shared helpers: scratch tables, token arrays and the crc32 fold of a document id."""
+"""Shared helpers: scratch tables (as in the rest of the library), token arrays, bit filters and the crc32 fold of a document id."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-#: Runs of anything but space and U+0009..U+000D are words; with the backslashes that a SQL literal needs.
-SEPARATORS = r"[\\x20\\x09-\\x0D]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a local temporary one only for a local master without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-lagweave-"))
-    return _LOCAL[0]
-
-
-def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation past the table.
-    """
-    spark = df.sparkSession
-    path = path or f"{scratch_dir(spark)}/lagweave-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.scratch import materialize, scratch_dir
 
+__all__ = ["materialize", "scratch_dir", "fold", "held", "slices", "tokens", "bit_filter", "xxhash64", "in_filter", "word_hashes"]
 
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids: null)."""
@@ -52,11 +25,6 @@ def held(doc_id: str | Column, n: int, part: int) -> Column:
     return F.coalesce(fold(doc_id, n) == part, F.lit(False))
 
 
-def words_sql(text: str) -> str:
-    """SQL for the array of words of a text column (null: no words)."""
-    return f"filter(split(coalesce({text}, ''), '{SEPARATORS}', -1), w -> w <> '')"
-
-
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no part has much over ``max_bytes`` of text, but at least one row."""
     if batch.num_rows == 0:
