@@ -25,12 +25,12 @@ def cross_correlation(pair: DataFrame, lags: int) -> DataFrame:
     At lag t the means are those of a's first t and of b's samples after the first t; the sums run
     over a without its last t samples and b without its first t; at lag 0 over all samples and means.
     """
-    per = Window.partitionBy("series_id")
-    upto = per.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count("*").over(per)
-    p = pair.select("*", n.alias("n"), F.avg("a").over(upto).alias("head"), F.sum("b").over(upto).alias("sb"), F.sum("b").over(per).alias("tb"), F.avg("a").over(per).alias("ma"), F.avg("b").over(per).alias("mb"))
-    means = p.where(f"k <= {lags}").select("series_id", F.col("k").alias("lag"), F.col("head").alias("x"), ((F.col("tb") - F.col("sb")) / F.nullif(F.col("n") - F.col("k"), F.lit(0))).alias("z"), "n")
-    means = means.unionByName(p.where("k = 1").select("series_id", F.lit(0).cast("long").alias("lag"), F.col("ma").alias("x"), F.col("mb").alias("z"), "n")).where(F.col("lag") < F.floor(F.col("n") / 2))
+    total = pair.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.sum("b").alias("tb"))
+    # running sums over the first samples only, one for each lag
+    upto = Window.partitionBy("series_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = pair.where(f"k <= {lags}").select("series_id", F.col("k").cast("long").alias("lag"), F.avg("a").over(upto).alias("x"), F.sum("b").over(upto).alias("sb")).join(total, "series_id")
+    means = heads.select("series_id", "lag", "x", ((F.col("tb") - F.col("sb")) / F.nullif(F.col("n") - F.col("lag"), F.lit(0))).alias("z"), "n")
+    means = means.unionByName(total.select("series_id", F.lit(0).cast("long").alias("lag"), F.col("ma").alias("x"), F.col("mb").alias("z"), "n")).where(F.col("lag") < F.floor(F.col("n") / 2))
     a = means.join(pair.select("series_id", "k", "a"), "series_id").withColumn("k", F.col("k") + F.col("lag"))
     both = a.join(pair.select("series_id", "k", "b"), ["series_id", "k"])
     u, v = F.col("a") - F.col("x"), F.col("b") - F.col("z")

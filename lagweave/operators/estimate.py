@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,17 @@ def least_squares(q: Gram) -> np.ndarray:
     return numerics.min_norm(q.g, q.b)
 
 
+def check_rank(q: Gram) -> None:
+    """A warning if the terms are not independent: their coefficients are then one choice among many."""
+    scale = np.sqrt(np.where(np.diag(q.g) > 0, np.diag(q.g), 1.0))
+    rank = np.linalg.matrix_rank(q.g / np.outer(scale, scale), tol=1e-12 * max(1, len(q.b)), hermitian=True) if len(q.b) else 0
+    if rank < len(q.b):
+        warnings.warn(f"{len(q.b)} terms have rank {rank}", stacklevel=2)
+
+
 def ridge(q: Gram, alpha: float = float(np.finfo(float).eps)) -> np.ndarray:
+    if alpha < 0:
+        raise ValueError("alpha must not be negative")
     return np.linalg.solve(q.g + alpha * np.eye(len(q.b)), q.b)
 
 
@@ -30,6 +42,13 @@ def total_least_squares(q: Gram) -> np.ndarray:
 
 
 def affine_lms(q: Gram, mu: float = 0.01, offset_covariance: float = 0.2) -> np.ndarray:
+    """Affine least mean squares over the whole sample."""
+    if mu <= 0 or offset_covariance < 0:
+        raise ValueError("mu must be positive and offset_covariance not negative")
+    return _affine(q, mu, offset_covariance)
+
+
+def _affine(q: Gram, mu: float, offset_covariance: float) -> np.ndarray:
     """n - m batch updates mu (G + cI)+ (b - G theta) from zero, summed up in the eigenvectors of G."""
     value, vector = np.linalg.eigh(q.g)
     value = np.maximum(value, 0.0)

@@ -91,3 +91,42 @@ def grouped(psi: DataFrame, m: int, by: str = "series_id") -> DataFrame:
     """One row for each group: n, yy, array b and array g (row by row), as SQL sums; for narrow models over many series."""
     t = [F.col(f"t{i}") for i in range(m)]
     return psi.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.array(*(F.sum(a * F.col("y")) for a in t)).alias("b"), F.array(*(F.sum(a * c) for a in t for c in t)).alias("g"))
+
+
+def packed(psi: DataFrame, m: int) -> DataFrame:
+    """(series_id, values): for each series the bytes of its (m + 2)^2 sums of products over [t0..tm-1, y, 1].
+
+    A task keeps one matrix while the series stays the same and sends it when it changes.
+    """
+    names = [*(f"t{i}" for i in range(m)), "y"]
+    kind = psi.schema["series_id"].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, total = None, None
+        for batch in batches:
+            x = np.column_stack([*(np.asarray(batch[c], float) for c in names), np.ones(batch.num_rows)])
+            ids = batch["series_id"].to_pylist()
+            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)] if ids else [0]
+            done = ([], [])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if total is None or ids[a] != series:
+                    if total is not None:
+                        done[0].append(series)
+                        done[1].append(total.tobytes())
+                    series, total = ids[a], np.zeros((m + 2, m + 2))
+                total += x[a:b].T @ x[a:b]
+            yield pa.RecordBatch.from_arrays([pa.array(done[0], batch["series_id"].type), pa.array(done[1], pa.binary())], ["series_id", "values"])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([series], batch["series_id"].type), pa.array([total.tobytes()], pa.binary())], ["series_id", "values"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(v, float) for v in group["values"].to_pylist())
+        return pa.table([group["series_id"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["series_id", "values"])
+
+    parts = psi.select("series_id", *(F.col(c).cast("double") for c in names)).mapInArrow(partial, f"series_id {kind}, values binary")
+    return parts.groupBy("series_id").applyInArrow(add, f"series_id {kind}, values binary")
+
+
+def unpack(values: bytes, m: int) -> Gram:
+    full = np.frombuffer(values, float).reshape(m + 2, m + 2)
+    return Gram(full[:m, :m], full[:m, m], float(full[m, m]), full[:m, m + 1], float(full[m, m + 1]), int(round(np.nan_to_num(full[m + 1, m + 1]))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numerics import digamma
 from .gram import Gram, gram_of
 from .pieces import in_pieces
+from .select import best_order, by_order
 
 SUPPORT = {"bspline": 2.0, "gaussian": 3.0, "custom": 1.0}
 
@@ -61,8 +62,8 @@ def modulate(psi: DataFrame, columns: list[str], weights: list[float], keep: tup
 def augment(psi: DataFrame, m: int, orders: int, support: int = 9, **options) -> DataFrame:
     """psi (series_id, k, y, t0..) stacked with its modulated copies of orders 1..orders, each scaled by the area factor and sqrt(n / n modulated)."""
     columns = ["y", *(f"t{i}" for i in range(m))]
-    base = psi.select("series_id", "k", *columns, F.count("*").over(Window.partitionBy("series_id")).alias("_n"))
-    out = base.drop("_n")
+    out = psi.select("series_id", "k", *columns)
+    base = out.join(psi.groupBy("series_id").agg(F.count("*").alias("_n")), "series_id")
     for j in range(1, orders + 1):
         w, area = kernel(j, support, **options)
         size = area * F.sqrt(F.col("_n") / (F.col("_n") - (support - 1)))
@@ -163,6 +164,12 @@ def robust_forward(psi: DataFrame, m: int, n_terms: int, measure: str = "mae", r
     return chosen, found
 
 
+def robust_order(psi: DataFrame, chosen: list[int], criterion: str = "aic") -> int:
+    """How many of the chosen terms, in their order, a criterion keeps."""
+    q = gram_of(psi.select("series_id", "k", "y", *(F.col(f"t{c}").alias(f"t{i}") for i, c in enumerate(chosen))), len(chosen))
+    return best_order(by_order(q, list(range(len(chosen))), criterion), criterion)
+
+
 def averaged_theta(psi: DataFrame, m: int, chosen: list[int], resampling: str | None = "loo", subsets: int | None = None, size: int | None = None, seed: int = 0) -> np.ndarray:
     """Least-squares coefficients of the chosen terms: the mean over the views of a series, then over the series."""
 

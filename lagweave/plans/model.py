@@ -11,7 +11,7 @@ from ..functions import basis as bases
 from ..functions.basis import Basis, Polynomial, Term, index_of, lag_columns, lags, product_terms
 from ..functions.equations import equation, results
 from ..operators import estimate, predict, select, wide
-from ..operators.gram import Gram, gram
+from ..operators.gram import Gram, gram, packed, unpack
 from ..operators.lagging import regressors
 from ..sources.series import validate
 
@@ -161,12 +161,14 @@ def fit(series: DataFrame, spec: Spec) -> Model:
             values = select.by_order(q, list(range(len(order))), spec.criterion, solve, lambda idx, theta: residual([order[i] for i in idx], theta))
             order = order[: select.best_order(values, spec.criterion)]
             err = err[: len(order)]
-        theta = solve(q.sub(range(len(order))))
+        q = q.sub(range(len(order)))
     else:
         q = gram(series, columns, terms, spec.bucket)
         _finite(series, columns, q.g, q.b)
         order, err, values = choose(q, spec, residual)
-        theta = solve(q.sub(order))
+        q = q.sub(order)
+    estimate.check_rank(q)
+    theta = solve(q)
     return Model(columns, [terms[i] for i in order], [float(t) for t in theta], err, values)
 
 
@@ -199,31 +201,32 @@ def fit_by_series(series: DataFrame, spec: Spec) -> DataFrame:
 
     What meets in a task is one Gram matrix a series, never its samples.  A series without a sample beyond its lags has no row.
     """
-    from ..operators.gram import grouped
-
     columns, terms = spec.columns, spec.candidates
     m = len(terms)
     psi = regressors(series, columns, terms)
-    sums = psi.groupBy("series_id").agg(F.array(*(F.sum(f"t{i}") for i in range(m))).alias("s"), F.sum("y").alias("ys"))
-    grams = grouped(psi, m).join(sums, "series_id")
     names = [n for n, _ in terms]
+    kind = series.schema["series_id"].dataType.simpleString()
 
     def run(frames):
-        import numpy as np
         import pandas as pd
 
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
-                q = Gram(np.array(r.g).reshape(m, m), np.array(r.b), r.yy, np.array(r.s), r.ys, r.n)
-                if q.n <= 0:
-                    continue
+                q = unpack(r.values, m)
                 order, err, _ = choose(q, spec)
                 theta = estimate.ESTIMATORS[spec.estimator](q.sub(order))
                 rows += [(r.series_id, names[i], p, float(t), float(e)) for p, (i, t, e) in enumerate(zip(order, theta, err))]
             yield pd.DataFrame(rows, columns=["series_id", "term", "pos", "theta", "err"])
 
-    return grams.mapInPandas(run, "series_id long, term string, pos int, theta double, err double")
+    return packed(psi, m).mapInPandas(run, f"series_id {kind}, term string, pos int, theta double, err double")
+
+
+def coefficients(models: DataFrame, spec: Spec) -> DataFrame:
+    """(series_id, theta): the coefficients of ``fit_by_series`` over all candidates in order, 0 where a term was not chosen."""
+    by = models.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "theta"))).alias("by"))
+    names = F.array(*(F.lit(n) for n, _ in spec.candidates))
+    return by.select("series_id", F.transform(names, lambda n: F.coalesce(F.element_at("by", n), F.lit(0.0))).alias("theta"))
 
 
-__all__ = ["Spec", "Model", "fit", "fit_by_series", "given", "simulate", "bases"]
+__all__ = ["Spec", "Model", "fit", "fit_by_series", "coefficients", "given", "simulate", "bases"]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.fold import ordered
+from .scratch import materialize
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -46,7 +49,8 @@ def index_series(df: DataFrame, order: list[str], series: str | None = None) ->
     range-partitioned and each partition counts on from those before it, so nothing meets in one task but the counts."""
     if series:
         return df.withColumn("k", F.row_number().over(Window.partitionBy(series).orderBy(*order)).cast("long"))
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    # written, so that counts and ranks see the same ranges
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "series-ranges")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     counts = parts.groupBy("_part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -57,8 +61,9 @@ def split(series: DataFrame, test_size: float) -> DataFrame:
     """Add ``part``: 'train' for the first int(n (1 - test_size)) samples of each series, else 'test'."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    n = F.count("*").over(Window.partitionBy("series_id"))
-    return series.withColumn("part", F.when(F.col("k") <= F.floor(n * (1 - test_size)), "train").otherwise("test"))
+    n = series.groupBy("series_id").agg(F.count("*").alias("_n"))
+    part = F.when(F.col("k") <= F.floor(F.col("_n") * (1 - test_size)), "train").otherwise("test")
+    return series.join(n, "series_id").select(*series.columns, part.alias("part"))
 
 
 def decimate(series: DataFrame, step: int) -> DataFrame:
@@ -70,22 +75,21 @@ def decimate(series: DataFrame, step: int) -> DataFrame:
 
 def scale(series: DataFrame, columns: list[str], method: str, train: str | None = None) -> DataFrame:
     """Columns scaled by series with statistics of the rows where ``train`` holds: standard, minmax or maxabs; a zero spread leaves the centred value."""
-    w = Window.partitionBy("series_id")
-
-    def stat(f, c):
-        return f(F.when(F.expr(train), F.col(c)) if train else F.col(c)).over(w)
-
-    for c in columns:
-        if method == "standard":
-            centre, width = stat(F.avg, c), stat(F.stddev_pop, c)
-        elif method == "minmax":
-            centre, width = stat(F.min, c), stat(F.max, c) - stat(F.min, c)
-        elif method == "maxabs":
-            centre, width = F.lit(0.0), (F.max(F.abs(F.when(F.expr(train), F.col(c)) if train else F.col(c)))).over(w)
-        else:
-            raise ValueError(f"unknown method {method}")
-        series = series.withColumn(c, (F.col(c) - centre) / F.when(width == 0, 1.0).otherwise(width))
-    return series
+    if method not in ("standard", "minmax", "maxabs"):
+        raise ValueError(f"unknown method {method}")
+    stats = []
+    for i, c in enumerate(columns):
+        v = F.when(F.expr(train), F.col(c)) if train else F.col(c)
+        centre, width = {
+            "standard": (F.avg(v), F.stddev_pop(v)),
+            "minmax": (F.min(v), F.max(v) - F.min(v)),
+            "maxabs": (F.lit(0.0), F.max(F.abs(v))),
+        }[method]
+        stats += [centre.alias(f"_c{i}"), width.alias(f"_w{i}")]
+    # sums by series, joined back: no series has to fit in a task
+    joined = series.join(series.groupBy("series_id").agg(*stats), "series_id")
+    scaled = {c: ((F.col(c) - F.col(f"_c{i}")) / F.when(F.col(f"_w{i}") == 0, 1.0).otherwise(F.col(f"_w{i}"))).alias(c) for i, c in enumerate(columns)}
+    return joined.select(*(scaled.get(c, F.col(c)) for c in series.columns))
 
 
 def check(series: DataFrame, columns: list[str]) -> DataFrame:
@@ -114,22 +118,28 @@ def _driven(spark: SparkSession, n: int, inputs: int, seed: int, sigma: float, c
     return df.withColumn("e", 0.8 * F.lag("nu", 1, 0.0).over(w) + F.col("nu") if colored else F.col("nu"))
 
 
-def _fold(df: DataFrame, step: str, inputs: list[str]) -> DataFrame:
-    """Ordered fold: y from the two samples before; acc holds ys and the previous row."""
-    rows = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("k", "e", *inputs))).alias("r"))
-    zero = f"struct(cast(array() as array<double>) as ys, 0D as y1, 0D as y2, {', '.join(f'0D as {x}p, 0D as {x}q' for x in inputs)})"
-    nxt = f"struct(array_append(a.ys, v) as ys, v as y1, a.y1 as y2, {', '.join(f'b.{x} as {x}p, a.{x}p as {x}q' for x in inputs)})"
-    fold = f"aggregate(r, {zero}, (a, b) -> element_at(transform(array({step}), v -> {nxt}), 1), a -> a.ys)"
-    out = rows.select("series_id", "r", F.expr(fold).alias("ys")).select("series_id", F.explode(F.arrays_zip("r", "ys")).alias("z"))
-    return out.select("series_id", "z.r.*", F.col("z.ys").alias("y")).drop("e")
+def _fold(df: DataFrame, step, inputs: list[str]) -> DataFrame:
+    """y = step(y1, y2, x1, x2, ..) + e from the third sample on, for each input its last two values; 0 before."""
+
+    def run(state: dict, k: int, e: float, *x: float) -> float:
+        v = step(*state["y"], *(v for pair in zip(*state["x"]) for v in pair)) + e if k > 2 else 0.0
+        state["y"] = [v, state["y"][0]]
+        state["x"] = [list(x), state["x"][0]]
+        return v
+
+    out = ordered(df, ["e", *inputs], lambda e, *x: {"y": [0.0, 0.0], "x": [[0.0] * len(x)] * 2}, run, "double")
+    return df.drop("e").join(out, ["series_id", "k"]).select("series_id", "k", *inputs, F.col("value").alias("y"))
 
 
 def siso(spark: SparkSession, n: int = 1000, sigma: float = 0.0, colored: bool = False, seed: int = 42, n_series: int = 1) -> DataFrame:
     """y = 0.2 y1 + 0.1 y1 x1 + 0.9 x2 + e with x uniform on (-1, 1)."""
-    return _fold(_driven(spark, n, 1, seed, sigma, colored, n_series), "if(b.k <= 2, 0D, 0.2D * a.y1 + 0.1D * a.y1 * a.x1p + 0.9D * a.x1q + b.e)", ["x1"])
+    return _fold(_driven(spark, n, 1, seed, sigma, colored, n_series), lambda y1, y2, x1, x2: 0.2 * y1 + 0.1 * y1 * x1 + 0.9 * x2, ["x1"])
 
 
 def miso(spark: SparkSession, n: int = 1000, sigma: float = 0.0, colored: bool = False, seed: int = 42, n_series: int = 1) -> DataFrame:
     """y = 0.4 y1^2 + 0.1 y1 x1 + 0.6 x2 - 0.3 x1 x2(2) + e with two inputs."""
-    step = "if(b.k <= 2, 0D, 0.4D * a.y1 * a.y1 + 0.1D * a.y1 * a.x1p + 0.6D * a.x2p - 0.3D * a.x1p * a.x2q + b.e)"
+
+    def step(y1: float, y2: float, a1: float, a2: float, b1: float, b2: float) -> float:
+        return 0.4 * y1 * y1 + 0.1 * y1 * a1 + 0.6 * b1 - 0.3 * a1 * b2
+
     return _fold(_driven(spark, n, 2, seed, sigma, colored, n_series), step, ["x1", "x2"])

@@ -363,3 +363,49 @@ def test_free_runs_of_several_series_with_their_own_coefficients(spark):
     models = spark.createDataFrame([(1, [0.5]), (2, [2.0])], "series_id long, theta array<double>")
     got = {(r.series_id, r.k): r.yhat for r in predict.free_run(df, ["y_1"], [("y_1", "y_1")], None, models).collect()}
     assert got == {**{(1, k): 2.0 * 0.5 ** (k - 1) for k in range(1, 6)}, **{(2, k): 3.0 * 2.0 ** (k - 1) for k in range(1, 6)}}
+
+
+def test_modulated_copies_equal_their_definition(two):
+    data, psi = two
+    for kind, options in (("bspline", {}), ("gaussian", {"sigma": 0.7}), ("custom", {"custom": lambda t, order: np.cos(t) ** order})):
+        w, area = robust.kernel(1, 5, kind, **options)
+        assert np.isclose(np.linalg.norm(w), 1) and (area == 1 or np.isclose(area * w.sum(), 1))
+        q = robust.ultra_orthogonal(psi, 3, 1, support=5, kind=kind, **options)
+        want = 0
+        for d in data.values():
+            n = len(d)
+            smooth = np.array([w @ d[k : k + 5] for k in range(n - 4)]) * area * math.sqrt(n / (n - 4))
+            want = want + d.T @ d + smooth.T @ smooth
+        assert np.allclose(q.g, want[1:, 1:]) and np.allclose(q.b, want[1:, 0])
+    for bad in (4, 1):
+        with pytest.raises(ValueError):
+            robust.kernel(1, bad)
+
+
+def test_packed_sums_by_series_and_coefficients(spark, two):
+    data, psi = two
+    for r in gram.packed(psi, 3).collect():
+        q = gram.unpack(r["values"], 3)
+        d = data[r.series_id]
+        assert np.allclose(q.g, d[:, 1:].T @ d[:, 1:]) and np.isclose(q.yy, d[:, 0] @ d[:, 0]) and q.n == len(d)
+    spec = Spec(2, (), "NAR", Polynomial(1), n_terms=2)
+    found = model.fit_by_series(psi.select("series_id", "k", "y"), spec)
+    theta = {r.series_id: r.theta for r in model.coefficients(found, spec).collect()}
+    for r in found.collect():
+        assert theta[r.series_id][[n for n, _ in spec.candidates].index(r.term)] == r.theta
+    assert all(sum(t != 0 for t in v) <= 2 for v in theta.values())
+
+
+def test_order_of_a_robust_search_and_rank(known):
+    terms = [basis.product((c,)) for c in COLS]
+    psi = lagging.regressors(known, COLS, terms)
+    rows = np.array([[r.y, r.t3, r.t1, r.t0, r.t2] for r in psi.collect()])
+    y, n, values = rows[:, 0], len(rows), []
+    for m in range(1, 5):
+        e = y - rows[:, 1 : m + 1] @ np.linalg.lstsq(rows[:, 1 : m + 1], y, rcond=None)[0]
+        values.append(n * math.log(e.var(ddof=1)) + m * math.log(n))
+    first = next((m for m in range(1, 4) if values[m] > values[m - 1]), 4)
+    assert robust.robust_order(psi, [3, 1, 0, 2], "bic") == first
+    twice = gram.gram(known, COLS, [terms[0], terms[0]])
+    with pytest.warns(UserWarning):
+        estimate.check_rank(twice)
