@@ -22,7 +22,7 @@ POSITION_BITS = 28
 LAST = (1 << POSITION_BITS) - 1
 
 
-def selected(text: str, k: int = 4, w: int = 5) -> Column:
+def selected(text: str, k: int = 4, w: int = 6) -> Column:
     """Entries of a text column as an array of longs; a text under k pieces has one entry over all of them, one without pieces none."""
     gram = f"(xxhash64(slice(ws, i + 1, {k})) & {(1 << 35) - 1}L)"
     keys = f"transform(sequence(0, greatest(size(ws) - {k}, 0)), i -> shiftleft({gram}, {POSITION_BITS}) | ({LAST}L - i))"
@@ -47,7 +47,7 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"transform(array(size(array_intersect({a}, {b}))), n -> if(size({a}) + size({b}) = 0, 1D, n / cast(size({a}) + size({b}) - n as double)))[0]")
 
 
-def fingerprint(docs: DataFrame, k: int = 4, w: int = 5) -> DataFrame:
+def fingerprint(docs: DataFrame, k: int = 4, w: int = 6) -> DataFrame:
     """docs (text and any other columns) with ``entries`` and ``fingerprint`` appended; a null text counts as empty."""
     keep = [c for c in docs.columns if c not in ("entries", "fingerprint")]
     return docs.select(*keep, selected("text", k, w).alias("entries")).withColumn("fingerprint", as_text("entries"))
@@ -72,7 +72,7 @@ def following(docs: DataFrame) -> DataFrame:
     return inner.unionByName(heads)
 
 
-def edited_likeness(docs: DataFrame, k: int = 4, w: int = 5) -> DataFrame:
+def edited_likeness(docs: DataFrame, k: int = 4, w: int = 6) -> DataFrame:
     """Fingerprints of docs (doc_id, text) and of their edited texts, a row for each row.
 
     The edited text has its last floor(n/2) code points replaced by the first as many (or all) of the next
@@ -89,11 +89,13 @@ def edited_likeness(docs: DataFrame, k: int = 4, w: int = 5) -> DataFrame:
     known = rows.where("doc_id is not null")
     piece = F.expr("substring(text, 1, cast(floor(prev_chars / 2) as int))")
     heads = known.join(links, "doc_id").select(F.col("prev_id").alias("doc_id"), F.char_length("text").alias("n"), piece.alias("head"), selected("text", k, w).alias("next"))
+    # its hashes alone are needed there
+    heads = heads.withColumn("next", hashes("next"))
     heads = heads.groupBy("doc_id").agg(F.max(F.struct("n", "head", "next")).alias("of")).select("doc_id", "of.head", "of.next")
     both = known.join(heads, "doc_id", "left").select("doc_id", "text", "head", "next")
     both = both.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     n = F.char_length("text").cast("long")
     both = both.select("doc_id", n.alias("n_chars"), "text", "next", F.expr("concat(left(text, cast(char_length(text) - floor(char_length(text) / 2) as int)), coalesce(head, ''))").alias("edited"))
     both = both.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), selected("text", k, w).alias("own"), selected("edited", k, w).alias("new"), F.coalesce("next", F.expr("cast(array() as array<bigint>)")).alias("next"))
-    named = both.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"), hashes("own").alias("a"), hashes("new").alias("b"), hashes("next").alias("c"))
+    named = both.select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"), hashes("own").alias("a"), hashes("new").alias("b"), F.col("next").alias("c"))
     return named.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))

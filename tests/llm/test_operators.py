@@ -238,7 +238,7 @@ def test_winnowing(spark, corpus):
     assert all(len(v) == 1 for t, v in by.items() if t is not None)
 
 
-def plain_winnow(text, k=4, w=5):
+def plain_winnow(text, k=4, w=6):
     """(hash, position) of every entry: least of each window, rightmost of equal ones."""
     import xxhash
 
