@@ -79,12 +79,12 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("depth,hot", [(1, 300_000), (2, 0), (3, 40)])
-def test_equals_a_plain_tree(spark, texts, depth, hot, monkeypatch):
+@pytest.mark.parametrize("depth,hot,most", [(1, 1, 9000), (2, 1, 0), (3, 8, 20)])
+def test_equals_a_plain_tree(spark, texts, depth, hot, most, monkeypatch):
     monkeypatch.setattr(pst, "WINDOW", 97)
     options = dict(depth=depth, min_count=8, min_edge=2, divergence=3.0, discount=0.6)
     df = spark.createDataFrame([(i, t, 1.0, 2, 3) for i, t in texts], "doc_id long, text string, score double, key long, row int")
-    got = pst.score_corpus(df, F.expr("doc_id % 4 = 1"), hot=hot, **options).collect()
+    got = pst.score_corpus(df, F.expr("doc_id % 4 = 1"), hot=hot, most=most, **options).collect()
     plain = Plain([t for i, t in texts if i is None or i % 4 != 1], **options)
     lengths = {len(c) for c in plain.states}
     assert lengths == set(range(1, depth + 1))
@@ -94,6 +94,14 @@ def test_equals_a_plain_tree(spark, texts, depth, hot, monkeypatch):
     assert [s.count() for s in tree.states] == [sum(len(c) == d for c in plain.states) for d in range(1, depth + 1)]
 
 
+def test_hashes_are_those_of_spark(spark):
+    from lagweave.llm.common import xxhash64
+
+    v = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 50)
+    got = spark.createDataFrame([(int(x),) for x in v], "v long").select("v", F.xxhash64("v").alias("h")).collect()
+    assert all(int(xxhash64(np.array([r.v]).view(np.uint64)).view(np.int64)[0]) == r.h for r in got)
+
+
 def test_probabilities_sum_to_one(texts):
     plain = Plain([t for _, t in texts], 2, 8, 2, 3.0, 0.6)
     for c in [(), *plain.states]:
