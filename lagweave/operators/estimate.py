@@ -79,7 +79,6 @@ ESTIMATORS = {"least_squares": least_squares, "ridge": ridge, "total_least_squar
 def by_series(psi: DataFrame, m: int, estimator: str = "least_squares", **options) -> DataFrame:
     """(series_id, theta): an estimator for every series, from its Gram matrix summed in SQL."""
     solve = ESTIMATORS[estimator]
-    sums = psi.groupBy("series_id").agg(F.array(*(F.sum(f"t{i}") for i in range(m))).alias("s"), F.sum("y").alias("ys"))
     kind = psi.schema["series_id"].dataType.simpleString()
 
     def run(frames):
@@ -87,7 +86,7 @@ def by_series(psi: DataFrame, m: int, estimator: str = "least_squares", **option
             theta = [solve(Gram(np.array(r.g).reshape(m, m), np.array(r.b), r.yy, np.array(r.s), r.ys, r.n), **options).tolist() for r in pdf.itertuples()]
             yield pdf[["series_id"]].assign(theta=theta)
 
-    return grouped(psi, m).join(sums, "series_id").mapInPandas(run, f"series_id {kind}, theta array<double>")
+    return grouped(psi, m).mapInPandas(run, f"series_id {kind}, theta array<double>")
 
 
 def unbiased(series: DataFrame, columns: list[str], terms: list[Term], theta: np.ndarray, elag: int = 2, rounds: int = 20, estimator=least_squares, tolerance: float = 1e-10) -> np.ndarray:

@@ -88,9 +88,9 @@ def gram(series: DataFrame, columns: list[str], terms: list[Term], bucket: int |
 
 
 def grouped(psi: DataFrame, m: int, by: str = "series_id") -> DataFrame:
-    """One row for each group: n, yy, array b and array g (row by row), as SQL sums; for narrow models over many series."""
+    """One row for each group: n, yy, ys, arrays s (sums), b and g (row by row), as SQL sums; for narrow models over many series."""
     t = [F.col(f"t{i}") for i in range(m)]
-    return psi.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.array(*(F.sum(a * F.col("y")) for a in t)).alias("b"), F.array(*(F.sum(a * c) for a in t for c in t)).alias("g"))
+    return psi.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.sum("y").alias("ys"), F.array(*(F.sum(a) for a in t)).alias("s"), F.array(*(F.sum(a * F.col("y")) for a in t)).alias("b"), F.array(*(F.sum(a * c) for a in t for c in t)).alias("g"))
 
 
 def packed(psi: DataFrame, m: int) -> DataFrame:
