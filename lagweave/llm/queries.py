@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, mixing, pst, simhash, substring, warc, winnow, zquality
+from . import chat, decontam, langid, mixing, negatives, pst, resample, simhash, substring, toxicity, warc, winnow, zquality
 from .common import held
 
 
@@ -61,7 +61,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_preference, op3_langid, op4_suffix_tree, op5_quality, op6_substring, op7_decontam, op8_winnow, op9_warc, op10_mixing)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _read(spark, sf_dir, "labels").where(~held("doc_id", 4, 2))
+    out = toxicity.classify(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", held("doc_id", 4, 2).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.importance(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_preference, op3_langid, op4_suffix_tree, op5_quality, op6_substring, op7_decontam, op8_winnow, op9_warc, op10_mixing, op11_toxicity, op12_resample, op13_negatives)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -103,3 +121,13 @@ r as (select d.*, source_size, target, whole, cast(round(target) as bigint) - wh
   sum(size) over (partition by d.source order by draw, doc_id, size rows unbounded preceding) upto from d join q on d.source is not distinct from q.source)
 select doc_id, size, source_size, target, cast(size * whole + greatest(0, least(size, more - upto + size)) as bigint) taken from r
 """
+
+ORACLE["op13_negatives"] = """
+with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor, b.vec_id other, a.label = b.label same, cast(list_inner_product(a.v, b.v) as bigint) score from r a join r b on a.vec_id % 100 = 0),
+p as (select anchor, other, score from s where same and anchor <> other qualify row_number() over (partition by anchor order by score desc, other) <= 5),
+n as (select p.anchor, p.other positive, p.score ps, s.other negative, s.score ns, row_number() over (partition by p.anchor, p.other order by s.score desc, s.other) k
+  from p join s on s.anchor = p.anchor and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor anchor_id, positive positive_id, cast(k as integer) "rank", negative negative_id, ps positive_score, ns negative_score from n where k <= 10
+"""
