@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import basis, metrics, residuals
 from .functions.basis import Polynomial
-from .operators import adaptive, affine, estimate, gram, lagging, predict, robust, select, swarm
+from .operators import adaptive, affine, estimate, gram, lagging, predict, qr, robust, select, swarm
 from .plans import model
 from .sources import series
 
@@ -445,6 +445,45 @@ def simulate_one_step(spark, sf):
     return _round(run.where("k > 1").select("series_id", "k", "yhat"))
 
 
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with yesterday's value and number."""
+    return lagging.regressors(series.orders(spark, sf), ["y_1", "x1_1"], [("y_1", "y_1"), ("x1_1", "x1_1")])
+
+
+def _coefficients(spark: SparkSession, theta) -> DataFrame:
+    return _round(spark.createDataFrame([(i, float(t)) for i, t in enumerate(theta)], "term int, theta double"))
+
+
+@query("qr_least_squares", f"with {_SIM} select 0 term, round(t1, 6) + 0.0 theta from th union all select 1, round(t2, 6) + 0.0 from th")
+def qr_least_squares(spark, sf):
+    """Least squares from a tree of R factors."""
+    return _coefficients(spark, qr.solve(qr.factor(_days(spark, sf), 2)))
+
+
+@query("qr_ridge", f"with {_SIM} select 0 term, round((e*(d+50)-f*c)/((a+50)*(d+50)-c*c), 6) + 0.0 theta from g union all select 1, round(((a+50)*f-c*e)/((a+50)*(d+50)-c*c), 6) + 0.0 from g")
+def qr_ridge(spark, sf):
+    return _coefficients(spark, qr.solve(qr.factor(_days(spark, sf), 2), ridge=50.0))
+
+
+@query("minimal_residual_krylov", f"with {_SIM} select 0 term, round((e*(d+49)-f*c)/((a+49)*(d+49)-c*c), 6) + 0.0 theta from g union all select 1, round(((a+49)*f-c*e)/((a+49)*(d+49)-c*c), 6) + 0.0 from g")
+def minimal_residual_krylov(spark, sf):
+    """Damped least squares by bidiagonalisation, a pass a step."""
+    return _coefficients(spark, qr.minimal_residual(_days(spark, sf), 2, damp=7.0)[0])
+
+
+@query("qr_by_series_ar2", f"with {AR2} select series_id, round(t1, 6) + 0.0 t1, round(t2, 6) + 0.0 t2 from th")
+def qr_by_series_ar2(spark, sf):
+    found = qr.by_series(lagging.regressors(series.events(spark, sf), COLS2, TERMS2), 2)
+    return _round(found.select("series_id", F.col("theta")[0].alias("t1"), F.col("theta")[1].alias("t2")))
+
+
+@query("rls_path_ar1", f"with recursive {E}, b as (select series_id, k, y, lag(y) over (partition by series_id order by k) y1 from e), f as (select series_id, k, 0.0::double t, 100.0::double p from e where k = 3 union all select b.series_id, b.k, t + p*y1/(0.98+p*y1*y1)*(y-t*y1), (p - p*y1*p*y1/(0.98+p*y1*y1))/0.98 from f join b on b.series_id = f.series_id and b.k = f.k + 1) select series_id, k, round(t, 6) + 0.0 t from f where k > 3")
+def rls_path_ar1(spark, sf):
+    """The coefficient after every sample, each series cut into stretches of 16 samples."""
+    psi = lagging.regressors(series.events(spark, sf), ["y_1"], [("y_1", "y_1")])
+    return _round(adaptive.rls(psi, 1, path=True, length=16).where("k > 3").select("series_id", "k", F.col("theta")[0].alias("t")))
+
+
 @query("nfir_prediction", f"with {O}, z as (select k, y, lag(x1, 1) over (order by k) a, lag(x1, 2) over (order by k) b from o) select 0::bigint series_id, k, round(y, 6) + 0.0 y, round(case when k <= 2 then y else 0.5 * a - 0.25 * b end, 6) + 0.0 yhat from z")
 def nfir_prediction(spark, sf):
     m = model.given(series.orders(spark, sf), ["x1_1", "x1_2"], [0.5, -0.25])

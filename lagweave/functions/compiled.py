@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import math
 import re
 from collections.abc import Callable
@@ -13,7 +14,23 @@ from .basis import Term
 _NUMBER = re.compile(r"(?<![\w.])([0-9]+(?:\.[0-9]+)?(?:e[+-]?[0-9]+)?)D\b")
 _INSIDE = re.compile(r"case when (\w+) between 0D and 1D then (.*?) else 0D end")
 _LAG = re.compile(r"\b(?:y|x\d+)_\d+\b")
-_SCALAR = {"cos": math.cos, "sin": math.sin, "exp": math.exp, "sqrt": math.sqrt, "ln": math.log, "abs": abs, "tanh": math.tanh, "pow": math.pow, "signum": lambda v: math.copysign(1.0, v) if v else 0.0}
+
+
+def _safe(f: Callable) -> Callable:
+    """f with NaN where it has no value and infinity where it overflows, as doubles have in a column."""
+
+    def run(*v: float) -> float:
+        try:
+            return f(*v)
+        except OverflowError:
+            return math.inf
+        except ValueError:
+            return math.nan
+
+    return run
+
+
+_SCALAR = {"cos": _safe(math.cos), "sin": _safe(math.sin), "exp": _safe(math.exp), "sqrt": _safe(math.sqrt), "ln": _safe(math.log), "abs": abs, "tanh": math.tanh, "pow": _safe(math.pow), "signum": lambda v: math.copysign(1.0, v) if v else v}
 _VECTOR = {"cos": np.cos, "sin": np.sin, "exp": np.exp, "sqrt": np.sqrt, "ln": np.log, "abs": np.abs, "tanh": np.tanh, "pow": np.power, "signum": np.sign, "where": np.where}
 
 
@@ -22,16 +39,33 @@ def _python(sql: str, vector: bool) -> str:
     return _NUMBER.sub(r"\1", _INSIDE.sub(inside, sql))
 
 
-def _compile(body: str, names: list[str], known: dict) -> Callable:
-    code = compile(f"lambda {', '.join(names)}: {body}", "<terms>", "eval")
-    unknown = set(code.co_consts[0].co_names) - set(known) if hasattr(code.co_consts[0], "co_names") else set()
-    if unknown:
-        raise ValueError(f"no Python form of {sorted(unknown)}")
-    return eval(code, {"__builtins__": {}, **known})  # noqa: S307 - text written by the bases
+_NODES = (ast.Expression, ast.BinOp, ast.UnaryOp, ast.Call, ast.Name, ast.Constant, ast.Subscript, ast.Compare, ast.IfExp, ast.Tuple, ast.Slice, ast.Load)
+_NODES += (ast.Add, ast.Sub, ast.Mult, ast.Div, ast.BitAnd, ast.USub, ast.UAdd, ast.Lt, ast.LtE, ast.Gt, ast.GtE)
+
+
+def _compile(body: str, names: list[str], known: dict, term: str = "") -> Callable:
+    """lambda names: body, of numbers, operators, the names and calls of ``known`` only; anything else is an error that names the term."""
+    try:
+        tree = ast.parse(body, mode="eval")
+    except SyntaxError:
+        raise ValueError(f"no Python form of the term {term or body}") from None
+    calls = {n.func for n in ast.walk(tree) if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in known and not n.keywords}
+    for n in ast.walk(tree):
+        fine = isinstance(n, _NODES)
+        fine &= not isinstance(n, ast.Call) or n.func in calls
+        fine &= not isinstance(n, ast.Name) or n in calls or n.id in names
+        fine &= not isinstance(n, ast.Constant) or isinstance(n.value, (int, float)) or n.value is None
+        fine &= not isinstance(n, ast.Subscript) or isinstance(n.value, ast.Name)
+        if not fine:
+            raise ValueError(f"no Python form of the term {term or body}")
+    return eval(compile(f"lambda {', '.join(names)}: {body}", "<terms>", "eval"), {"__builtins__": {}, **known})  # noqa: S307 - its tree was looked through above
 
 
 def next_output(terms: list[Term], columns: list[str]) -> Callable:
-    """f(h, x, theta): the output after the outputs h (last at the end), with the input lags x in the order of ``columns``."""
+    """f(h, x, theta): the output after the outputs h (last at the end), with the input lags x in the order of ``columns``.
+
+    It gives infinity or NaN where a term overflows or has no value, never an exception.
+    """
     inputs = {c: f"x[{i}]" for i, c in enumerate(c for c in columns if not c.startswith("y_"))}
 
     def place(match: re.Match) -> str:
@@ -39,7 +73,17 @@ def next_output(terms: list[Term], columns: list[str]) -> Callable:
         return inputs[c] if c in inputs else f"h[-{c.rpartition('_')[2]}]"
 
     parts = [f"theta[{i}] * ({_LAG.sub(place, _python(sql, False))})" for i, (_, sql) in enumerate(terms)]
-    return _compile(" + ".join(parts) or "0.0", ["h", "x", "theta"], _SCALAR)
+    for (name, _), part in zip(terms, parts):
+        _compile(part, ["h", "x", "theta"], _SCALAR, name)
+    step = _compile(" + ".join(parts) or "0.0", ["h", "x", "theta"], _SCALAR)
+
+    def run(h: list[float], x: tuple, theta: list[float]) -> float:
+        try:
+            return step(h, x, theta)
+        except (ZeroDivisionError, OverflowError):
+            return math.nan
+
+    return run
 
 
 def design(terms: list[Term], columns: list[str]) -> Callable:
@@ -57,7 +101,7 @@ def design(terms: list[Term], columns: list[str]) -> Callable:
         if all(f in place for f in factors):
             wanted.append((i, factors))
         else:
-            other.append((i, _compile(_LAG.sub(lambda m: f"lags[:, {place[m[0]]}]", _python(sql, True)), ["lags"], _VECTOR)))
+            other.append((i, _compile(_LAG.sub(lambda m: f"lags[:, {place[m[0]]}]", _python(sql, True)), ["lags"], _VECTOR, name)))
     for _, factors in wanted:
         for d in range(1, len(factors) + 1):
             if factors[:d] not in products:

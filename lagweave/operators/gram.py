@@ -105,15 +105,16 @@ def packed(psi: DataFrame, m: int) -> DataFrame:
         series, total = None, None
         for batch in batches:
             x = np.column_stack([*(np.asarray(batch[c], float) for c in names), np.ones(batch.num_rows)])
-            ids = batch["series_id"].to_pylist()
-            cuts = [0, *(i for i in range(1, len(ids)) if ids[i] != ids[i - 1]), len(ids)] if ids else [0]
+            coded = batch["series_id"].dictionary_encode()
+            code, ids = np.asarray(coded.indices.fill_null(-1)), [*coded.dictionary.to_pylist(), None]
+            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)] if len(code) else [0]
             done = ([], [])
             for a, b in zip(cuts[:-1], cuts[1:]):
-                if total is None or ids[a] != series:
+                if total is None or ids[code[a]] != series:
                     if total is not None:
                         done[0].append(series)
                         done[1].append(total.tobytes())
-                    series, total = ids[a], np.zeros((m + 2, m + 2))
+                    series, total = ids[code[a]], np.zeros((m + 2, m + 2))
                 total += x[a:b].T @ x[a:b]
             yield pa.RecordBatch.from_arrays([pa.array(done[0], batch["series_id"].type), pa.array(done[1], pa.binary())], ["series_id", "values"])
         if total is not None:

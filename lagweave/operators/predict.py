@@ -1,18 +1,22 @@
 """Prediction: one step (a projection), n steps (a fold in SQL for each block), free run and forecast (ordered folds).
 
-Blocks restart from measured values and are parallel; a free run or forecast carries the last max_lag outputs
-along its series and is parallel over series.
+Blocks restart from measured values and are parallel.  A free run or forecast carries the last max_lag outputs
+along its series: where every term holds one output lag at most, the run is affine in them and a scan over stretches, so
+that one long series uses many tasks; other models are folds, parallel over series.  Values that overflow are infinite or NaN.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basis import Term, max_lag
+from ..functions.basis import Term, factors, max_lag
 from ..functions.compiled import next_output
+from . import scan
 from .fold import ordered
 from .lagging import lagged
 
@@ -66,35 +70,82 @@ def n_steps(series: DataFrame, columns: list[str], terms: list[Term], theta: lis
     return head.unionByName(out.select("series_id", "z.r.k", "z.r.y", F.col("z.o").alias("yhat")))
 
 
-def free_run(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, models: DataFrame | None = None) -> DataFrame:
-    """(series_id, k, y, yhat): the first max_lag outputs as measured, then predictions from predictions and the inputs.
-
-    Where y is null beyond its start, as for samples to come of which only the inputs are known, it is not needed.
-    """
+def affine_form(columns: list[str], terms: list[Term], theta: list[str]) -> tuple[list[str], str] | None:
+    """(SQL of the factor of each output lag 1..max_lag, SQL of the rest), or None if the next output is not affine in them."""
+    lags: list[list[str]] = [[] for _ in range(max_lag(columns))]
+    rest: list[str] = []
+    for value, (name, sql) in zip(theta, terms):
+        parts = factors(name)
+        if all(f in columns for f in parts):
+            outputs = [f for f in parts if f.startswith("y_")]
+            if len(outputs) > 1:
+                return None
+            others = [f for f in parts if not f.startswith("y_")]
+            (lags[int(outputs[0][2:]) - 1] if outputs else rest).append(" * ".join([value, *others]))
+        elif re.search(r"\by_\d+\b", sql):
+            return None
+        else:
+            rest.append(f"{value} * ({sql})")
+    return [" + ".join(x) or "0D" for x in lags], " + ".join(rest) or "0D"
+
+
+def _companion(p: int):
+    """Steps of the last p outputs, newest first, over rows (a1..ap, u, ..): y = a1 y1 + .. + ap yp + u."""
+
+    def steps(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.zeros((len(data), p, p)), np.zeros((len(data), p, 1))
+        a[:, 0] = data[:, :p]
+        a[:, np.arange(1, p), np.arange(p - 1)] = 1.0
+        b[:, 0, 0] = data[:, p]
+        return a, b
+
+    return steps
+
+
+def _run(rows: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, models: DataFrame | None, known: Column, single: bool) -> DataFrame:
+    """(series_id, k, value): the outputs of rows (series_id, stretch, k, y, known, inputs), y where ``known`` holds (value null) and predicted from the outputs before elsewhere."""
     p = max_lag(columns)
     inputs = [c for c in columns if not c.startswith("y_")]
-    step_of = next_output(terms, columns)
-    fixed = None if models is not None else [float(t) for t in theta or []]
-    rows = lagged(series, inputs).select("series_id", "k", "y", *inputs)
     if models is not None:
         rows = rows.join(models.select("series_id", "theta"), "series_id")
+    names = [f"theta[{i}]" for i in range(len(terms))] if models is not None else [f"({float(t)!r}D)" for t in theta or []]
+    rows = rows.withColumn("known", known)
+    form = affine_form(columns, terms, names)
+    if form is not None:
+        lag = [F.when(F.col("known"), 0.0).otherwise(F.expr(sql)).alias(f"a{i}") for i, sql in enumerate(form[0])]
+        whole = rows.select("series_id", "stretch", "k", *lag, F.when(F.col("known"), F.col("y")).otherwise(F.expr(form[1])).alias("u"), F.col("known").cast("double").alias("known"))
+        value = lambda held, data: pa.array(held[:, 0, 0], mask=data[:, -1] > 0)
+        return scan.run(whole, [*(f"a{i}" for i in range(p)), "u", "known"], (p, 1), _companion(p), value, "double", single)
+    step_of = next_output(terms, columns)
+    fixed = None if models is not None else [float(t) for t in theta or []]
 
-    def start(*row) -> dict:
-        return {"h": [0.0] * p, "n": 0}
-
-    def step(state: dict, k: int, y: float, *row) -> float:
-        state["n"] += 1
-        x, coefficients = (row, fixed) if fixed is not None else (row[:-1], row[-1])
-        if state["n"] > p:
-            y = step_of(state["h"], x, coefficients)
-        elif y is None:
-            raise ValueError(f"the first {p} outputs of a series must be known")
+    def step(state: dict, k: int, y: float | None, known: bool, *row) -> float | None:
+        out = None
+        if not known:
+            x, coefficients = (row, fixed) if fixed is not None else (row[:-1], row[-1])
+            out = y = step_of(state["h"], x, coefficients)
         state["h"].append(y)
         del state["h"][0]
-        return y
+        return out
+
+    return ordered(rows, ["y", "known", *inputs, *(["theta"] if models is not None else [])], lambda *row: {"h": [0.0] * p}, step, "double")
 
-    out = ordered(rows, ["y", *inputs, *(["theta"] if models is not None else [])], start, step, "double")
-    return out.join(series.select("series_id", F.col("k").cast("long").alias("k"), "y"), ["series_id", "k"]).select("series_id", "k", "y", F.col("value").alias("yhat"))
+
+def free_run(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, models: DataFrame | None = None, length: int | None = None) -> DataFrame:
+    """(series_id, k, y, yhat): the first max_lag outputs as measured, then predictions from predictions and the inputs.
+
+    Where y is null beyond its start, as for samples to come of which only the inputs are known, it is not needed.  k is dense; ``length``: samples of a stretch.
+    """
+    p = max_lag(columns)
+    inputs = [c for c in columns if not c.startswith("y_")]
+    rows, single = scan.placed(series, length)
+    # a long series is cut with a halo, so that it does not pass through one task
+    rows = lagged(rows, inputs, None if single else max(p, length or scan.LEAST))
+    missing = F.raise_error(F.lit(f"the first {p} outputs of a series must be known"))
+    known = F.col("row") <= p
+    out = _run(rows.withColumn("y", F.when(known & F.col("y").isNull(), missing.cast("double")).otherwise(F.col("y"))), columns, terms, theta, models, known, single)
+    both = out.join(series.select("series_id", F.col("k").cast("long").alias("k"), "y"), ["series_id", "k"])
+    return both.select("series_id", "k", "y", F.coalesce("value", "y").alias("yhat"))
 
 
 def forecast(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, horizon: int, models: DataFrame | None = None, future: DataFrame | None = None) -> DataFrame:
@@ -116,26 +167,6 @@ def forecast(series: DataFrame, columns: list[str], terms: list[Term], theta: li
     ahead = future.join(last, "series_id").where(f"k > n and k <= n + {horizon}").select("series_id", "n", F.col("k").cast("long").alias("k"), F.lit(None).cast("double").alias("y"), *inputs)
     short = tail.unionByName(ahead)
     # a series under max_lag samples counts from zeros, as lags do
-    out = _run_on(short, columns, terms, theta, models, p)
+    rows = lagged(short, [c for c in columns if not c.startswith("y_")]).withColumn("stretch", F.lit(0).cast("long"))
+    out = _run(rows, columns, terms, theta, models, F.col("y").isNotNull(), True)
     return out.where("value is not null").select("series_id", "k", F.col("value").alias("yhat"))
-
-
-def _run_on(rows: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, models: DataFrame | None, p: int) -> DataFrame:
-    """(series_id, k, value): outputs are taken where they are known (value null) and predicted where they are not."""
-    inputs = [c for c in columns if not c.startswith("y_")]
-    step_of = next_output(terms, columns)
-    fixed = None if models is not None else [float(t) for t in theta or []]
-    rows = lagged(rows, inputs).select("series_id", "k", "y", *inputs)
-    if models is not None:
-        rows = rows.join(models.select("series_id", "theta"), "series_id")
-
-    def step(state: dict, k: int, y: float | None, *row) -> float | None:
-        x, coefficients = (row, fixed) if fixed is not None else (row[:-1], row[-1])
-        out = None
-        if y is None:
-            out = y = step_of(state["h"], x, coefficients)
-        state["h"].append(y)
-        del state["h"][0]
-        return out
-
-    return ordered(rows, ["y", *inputs, *(["theta"] if models is not None else [])], lambda *row: {"h": [0.0] * p}, step, "double")

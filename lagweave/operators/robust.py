@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerics import digamma
+from . import loo
 from .gram import Gram, gram_of
 from .pieces import in_pieces
 from .select import best_order, by_order
@@ -117,9 +118,15 @@ def view_errors(psi: DataFrame, m: int, chosen: list[int], measure: str = "mae",
     y fitted by that term alone, after what the chosen terms explain of the term in the view is taken away.
 
     Views of a series leave one sample out (named by its k), draw samples with replacement, or (None) take it whole.
+    Leave-one-out views cost the samples once for mse and rmse_ratio, and a sort for mae and phi3 of terms alone (``loo``); other
+    views are formed one by one.
     """
     if measure not in MEASURES or resampling not in ("loo", "bootstrap", None):
         raise ValueError("unknown measure or resampling")
+    if resampling == "loo" and measure in ("mse", "rmse_ratio"):
+        return loo.squared_errors(psi, m, chosen, measure, eps)
+    if resampling == "loo" and not chosen:
+        return loo.absolute_errors(psi, m, measure, eps)
     rest = [i for i in range(m) if i not in chosen]
 
     def work(k: np.ndarray, data: np.ndarray, piece: np.ndarray) -> Iterator[dict]:
@@ -173,6 +180,10 @@ def robust_order(psi: DataFrame, chosen: list[int], criterion: str = "aic") -> i
 def averaged_theta(psi: DataFrame, m: int, chosen: list[int], resampling: str | None = "loo", subsets: int | None = None, size: int | None = None, seed: int = 0) -> np.ndarray:
     """Least-squares coefficients of the chosen terms: the mean over the views of a series, then over the series."""
 
+    if resampling == "loo":
+        means = loo.coefficients(psi.select("series_id", "k", "y", *(F.col(f"t{c}").alias(f"t{i}") for i, c in enumerate(chosen))), len(chosen))
+        return np.array([r["v"] for r in means.groupBy("i").agg(F.avg("v").alias("v")).orderBy("i").collect()])
+
     def work(k: np.ndarray, data: np.ndarray, piece: np.ndarray) -> Iterator[dict]:
         y, c = data[:, 0], data[:, 1:]
         found = [np.linalg.pinv((c * w[:, None]).T @ c, rcond=1e-12, hermitian=True) @ (c.T @ (w * y)) for _, w in _views(resampling, k, piece, subsets, size, seed)]
