@@ -392,7 +392,7 @@ for _name, _sql in _MEASURES.items():
 
 
 @query("ksg_distance_counts", f"""with {O}, d as (select a.k, abs(a.x1 - b.x1) dx, abs(a.y - b.y) dy, greatest(abs(a.x1 - b.x1), abs(a.y - b.y)) r from o a join o b on a.k <> b.k),
- q as (select k, list_sort(list(r))[2] r from d group by k)
+ q as (select k, min(r, 2)[2] r from d group by k)
  select 0::bigint series_id, d.k, count(*) filter (dx < q.r) nx, count(*) filter (dy < q.r) ny from d join q using (k) group by d.k""")
 def ksg_distance_counts(spark, sf):
     return robust.neighbour_counts(series.orders(spark, sf), ["x1"], neighbours=2)

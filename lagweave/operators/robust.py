@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerics import digamma
-from . import loo
+from . import loo, near
 from .gram import Gram, gram_of
 from .pieces import in_pieces
 from .select import best_order, by_order
@@ -197,17 +197,8 @@ def averaged_theta(psi: DataFrame, m: int, chosen: list[int], resampling: str |
 
 def neighbour_counts(rows: DataFrame, columns: list[str], y: str = "y", neighbours: int = 2) -> DataFrame:
     """(series_id, k, nx, ny): for every sample, how many others of its series lie nearer than its ``neighbours``-th nearest
-    one in x and y together, in x (``columns``, largest difference) and in y."""
-
-    def work(k: np.ndarray, data: np.ndarray, piece: np.ndarray) -> Iterator[dict]:
-        x, v = data[:, 1:], data[:, 0]
-        dx, dy = np.abs(x[piece, None] - x[None]).max(-1), np.abs(v[piece, None] - v[None])
-        both = np.maximum(dx, dy)
-        both[np.arange(len(piece)), piece] = np.inf
-        radius = np.partition(both, neighbours - 1, axis=1)[:, neighbours - 1 : neighbours]
-        yield {"k": k[piece].astype(np.int64), "nx": np.maximum((dx < radius).sum(1) - 1, 0), "ny": np.maximum((dy < radius).sum(1) - 1, 0)}
-
-    return in_pieces(rows.select("series_id", "k", y, *columns), [y, *columns], work, "k long, nx long, ny long")
+    one in x and y together, in x (``columns``, largest difference) and in y; of series of any length (``near``)."""
+    return near.neighbour_counts(rows, columns, [y], neighbours)
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 2) -> float:

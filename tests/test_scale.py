@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.functions.compiled import next_output
-from lagweave.operators import adaptive, loo, predict, qr, ranges, robust, scan
+from lagweave.operators import adaptive, loo, near, predict, qr, ranges, robust, scan
 
 
 @pytest.fixture(scope="module")
@@ -188,3 +188,38 @@ def test_left_out_coefficients(spark):
     found = [r.v for r in loo.coefficients(psi, 2, length=16).orderBy("i").collect()]
     want = np.mean([np.linalg.pinv(np.delete(d[:, 1:], i, 0)) @ np.delete(d[:, 0], i) for i in range(40)], 0)
     assert np.allclose(found, want)
+
+
+def all_pairs(x, y, k):
+    dx, dy = (np.abs(v[:, None] - v[None]).max(-1) for v in (x, y))
+    both = np.maximum(dx, dy)
+    np.fill_diagonal(both, np.inf)
+    r = np.partition(both, k - 1, axis=1)[:, k - 1 : k]
+    return np.maximum((dx < r).sum(1) - 1, 0), np.maximum((dy < r).sum(1) - 1, 0)
+
+
+@pytest.mark.parametrize("columns,y", [(["u"], ["y"]), (["u", "v"], ["y"])])
+def test_neighbours_in_cells_equal_all_pairs(spark, columns, y):
+    """Many ties, a series of one cell, and one whose samples all come ten times."""
+    rng = np.random.default_rng(0)
+    data = {"a": np.round(rng.normal(size=(500, 3)), 2), "b": rng.normal(size=(40, 3)), "c": np.repeat(rng.normal(size=(20, 3)), 10, 0)}
+    rows = [(s, k + 1, *map(float, r)) for s, d in data.items() for k, r in enumerate(d)]
+    d = spark.createDataFrame(rows, "series_id string, k long, y double, u double, v double").cache()
+    found = {(r.series_id, r.k): (r.nx, r.ny) for r in near.neighbour_counts(d, columns, y, 2, size=32).collect()}
+    at = {"y": 0, "u": 1, "v": 2}
+    for s, m in data.items():
+        nx, ny = all_pairs(m[:, [at[c] for c in columns]], m[:, [at[c] for c in y]], 2)
+        assert [found[s, k + 1] for k in range(len(m))] == list(zip(nx, ny))
+    if columns == ["u"]:
+        for r in near.information(d, columns, y, size=32).collect():
+            m = data[r.series_id]
+            assert np.isclose(r.value, robust.mutual_information(m[:, 1], m[:, 0]))
+        for r in near.conditional_information(d, columns, y, ["v"], size=32).collect():
+            m = data[r.series_id]
+            assert np.isclose(r.value, robust.conditional_information(m[:, 1], m[:, 0], m[:, 2]))
+
+
+def test_fewer_samples_than_neighbours(spark):
+    d = spark.createDataFrame([("a", 1, 0.0, 1.0), ("a", 2, 1.0, 1.0)], "series_id string, k long, y double, u double")
+    assert [r.r for r in near.radius(d, ["u", "y"], 2).collect()] == [math.inf, math.inf]
+    assert [r.r for r in near.radius(d, ["u", "y"], 1).collect()] == [1.0, 1.0]
