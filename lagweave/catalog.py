@@ -332,6 +332,21 @@ def residual_ccf(spark, sf):
     return residuals.cross_correlation(e.select("series_id", "k", "a", F.col("e").alias("b")), 20).select("series_id", "lag", (F.round("ccf", 5) + F.lit(0.0)).alias("ccf"), F.round("bound", 6).alias("bound"))
 
 
+@query("raw_acf", f"with {_RES}, c as (select b.k - a.k lag, sum(a.e * b.e) c from q a join q b on b.k >= a.k group by 1) select 0::bigint series_id, lag, round(c / (select c from c where lag = 0), 6) + 0.0 acf from c")
+def raw_acf(spark, sf):
+    """Autocorrelation over all lags."""
+    return _round(residuals.autocorrelation(_residual(spark, sf)).drop("bound"))
+
+
+@query("input_ccf_all_lags", f"""with {_RES}, n as (select count(*) n from q), l as (select lag, case when lag = 0 then (select avg(x1) from q) else (select avg(x1) from q where k <= lag) end x, (select avg(e) from q where k > lag) z from (select unnest(range(0, (select n // 2 from n))) lag)),
+ c as (select l.lag, sum((a.x1 - x) * (b.e - z)) c, sum((a.x1 - x) * (a.x1 - x)) u, sum((b.e - z) * (b.e - z)) v from l join q a on a.k <= (select n from n) - l.lag join q b on b.k = a.k + l.lag group by l.lag)
+ select 0::bigint series_id, lag, round(c / sqrt(u * v), 5) + 0.0 ccf from c""")
+def input_ccf_all_lags(spark, sf):
+    """Cross-correlation of the number of orders with the residual, over all lags under half the days."""
+    e = _residual(spark, sf).join(series.orders(spark, sf).select("k", F.col("x1").alias("a")), "k")
+    return _round(residuals.cross_correlation(e.select("series_id", "k", "a", F.col("e").alias("b"))).drop("bound"), 5)
+
+
 _CRITERIA = {
     "aic": "n * ln(v) + 2 * m",
     "aicc": "n * ln(v) + 2 * m + 2.0 * m * (m + 1) / (n - m - 1)",

@@ -95,7 +95,7 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, pa.Table]]:
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, int, pa.Table]]:
     """(series, cell, rows) of batches sorted by series and cell."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -137,7 +137,7 @@ def radius(points: DataFrame, dims: list[str], neighbours: int, size: int = CELL
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each sample the least distances in its cell, and a row for each cell it has to visit."""
-        for series, cell, rows in _groups(batches):
+        for series, cell, rows in groups(batches):
             x, k, ids = _matrix(rows, dims), np.asarray(rows["k"]), rows["series_id"].combine_chunks()
             for a in range(0, len(x), STEP):
                 some = x[a : a + STEP]
@@ -161,7 +161,7 @@ def radius(points: DataFrame, dims: list[str], neighbours: int, size: int = CELL
     visits = here.unionByName(found.where("cell is not null").select("series_id", "cell", "k", *dims, "r", F.lit(1).alias("role")))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, rows in _groups(batches):
+        for _, _, rows in groups(batches):
             cut = int(np.searchsorted(np.asarray(rows["role"]), 1))
             x, q = _matrix(rows.slice(0, cut), dims), _matrix(rows.slice(cut), dims)
             for a in range(0, len(q), STEP):
@@ -193,7 +193,7 @@ def within(points: DataFrame, dims: list[str], size: int = CELL) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each sample the sum over the cells inside its radius, and a row for each cell on its edge."""
-        for series, _, rows in _groups(batches):
+        for series, _, rows in groups(batches):
             x, k, r, ids = _matrix(rows, dims), np.asarray(rows["k"]), np.asarray(rows["r"]), rows["series_id"].combine_chunks()
             for a in range(0, len(x), STEP):
                 some, near = x[a : a + STEP], r[a : a + STEP]
@@ -215,7 +215,7 @@ def within(points: DataFrame, dims: list[str], size: int = CELL) -> DataFrame:
     visits = here.unionByName(found.where("cell is not null").select("series_id", "cell", "k", *dims, "r", F.lit(1).alias("role")))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, rows in _groups(batches):
+        for _, _, rows in groups(batches):
             cut = int(np.searchsorted(np.asarray(rows["role"]), 1))
             x, q, r = _matrix(rows.slice(0, cut), dims), _matrix(rows.slice(cut), dims), np.asarray(rows["r"])[cut:]
             for a in range(0, len(q), STEP):

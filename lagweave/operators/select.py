@@ -6,14 +6,22 @@ The data is read once for the Gram matrix; every search below needs only its ent
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from typing import TYPE_CHECKING
 
 import numpy as np
 
 from .estimate import least_squares
+from .floating import Dense, Floating
 from .gram import Gram
 
+if TYPE_CHECKING:
+    from .wide import Columns
+
+__all__ = ["ratios", "forward", "CRITERIA", "by_order", "best_order", "accelerated", "Floating"]
+
 EPS = float(np.finfo(float).eps)
+#: Columns fetched together as the likely next ones.
+AHEAD = 16
 
 
 def ratios(d: np.ndarray, b: np.ndarray, yy: float, floor: np.ndarray, alpha: float = 0.0) -> np.ndarray:
@@ -100,120 +108,38 @@ def best_order(values: list[float], criterion: str) -> int:
     return next((i + 1 for i in range(len(values) - 1) if values[i + 1] > values[i]), len(values))
 
 
-def accelerated(q: Gram, k: int, width: int = 1, threshold: float = 1e-9, estimator=least_squares) -> tuple[list[int], np.ndarray]:
+def accelerated(q: Gram | Columns, k: int, width: int = 1, threshold: float = 1e-9, estimator=least_squares) -> tuple[list[int], np.ndarray]:
     """Accelerated orthogonal least squares: ``width`` terms an iteration by their projected contribution.
 
-    Terms come back in column order without zero coefficients.
+    Only the columns of the terms taken are needed.  Terms come back in column order without zero coefficients.
     """
-    g, b, left = q.g.copy(), q.b.copy(), q.yy
+    q = Dense(q) if isinstance(q, Gram) else q
+    d, b, left = q.d.copy(), q.b.copy(), q.yy
+    floor = 1e-13 * np.maximum(q.d, 1e-300)
+    rows = np.zeros((0, q.m))
     chosen: list[int] = []
     for _ in range(min(k, q.n // max(1, width))):
-        if math.sqrt(max(left, 0.0)) <= threshold or len(chosen) >= len(b):
+        if math.sqrt(max(left, 0.0)) <= threshold or len(chosen) >= q.m:
             break
-        d = np.diag(g)
-        ok = d > 1e-13 * np.maximum(np.diag(q.g), 1e-300)
+        ok = d > floor
         gain = np.where(ok, b * b / np.where(ok, d, 1.0), 0.0)
         gain[chosen] = 0
-        for j in np.argsort(-gain, kind="stable")[:width].tolist():
-            if j in chosen or g[j, j] <= 1e-13 * max(q.g[j, j], 1e-300):
+        order = np.argsort(-gain, kind="stable")
+        q.fetch(order[: max(width, AHEAD)].tolist())
+        for j in order[:width].tolist():
+            if j in chosen or d[j] <= floor[j]:
                 continue
             chosen.append(j)
-            row = g[j] / g[j, j]
-            left -= b[j] * b[j] / g[j, j]
-            b = b - row * b[j]
-            g = g - np.outer(g[:, j], row)
-    theta = estimator(q.sub(chosen))
+            # the direction that the term adds, as its products with all candidates
+            row = (q.column(j) - rows[:, j] @ rows) / math.sqrt(d[j])
+            along = b[j] / math.sqrt(d[j])
+            left -= along * along
+            b = b - row * along
+            d = d - row * row
+            rows = np.vstack([rows, row])
+    theta = estimator(q.gram(chosen))
     if width > 1 and len(chosen) > k:
         chosen = [chosen[i] for i in np.argsort(-np.abs(theta), kind="stable")[:k]]
-        theta = estimator(q.sub(chosen))
+        theta = estimator(q.gram(chosen))
     kept = sorted((c, t) for c, t in zip(chosen, theta) if t != 0)
     return [c for c, _ in kept], np.array([t for _, t in kept])
-
-
-class Floating:
-    """Orthogonal floating searches: ``osf`` adds and drops, ``oif`` also swaps, ``oos`` oscillates with growing depth."""
-
-    def __init__(self, q: Gram):
-        self.q, self.m = q, len(q.b)
-
-    def score(self, subset) -> float:
-        """Share of y'y that the subset explains."""
-        if not len(subset):
-            return 0.0
-        s = self.q.sub(sorted(subset))
-        return float(s.b @ np.linalg.pinv(s.g, rcond=1e-12, hermitian=True) @ s.b / self.q.yy)
-
-    def _best(self, candidates: list[tuple]) -> tuple:
-        """Highest score; within 1e-9 relative the first candidate."""
-        best, top = candidates[0], self.score(candidates[0])
-        for c in candidates[1:]:
-            if (s := self.score(c)) > top + 1e-9 * max(abs(top), EPS):
-                best, top = c, s
-        return best
-
-    def add(self, subset: tuple, depth: int = 1) -> tuple:
-        rest = [i for i in range(self.m) if i not in subset]
-        return self._best([tuple(sorted((*subset, *c))) for c in combinations(rest, min(depth, len(rest)))])
-
-    def drop(self, subset: tuple, depth: int = 1) -> tuple:
-        return self._best([tuple(i for i in subset if i not in c) for c in combinations(sorted(subset), min(depth, len(subset)))])
-
-    def osf(self, k: int, swap: bool = False) -> list[int]:
-        best: dict[int, float] = {}
-        now: tuple = ()
-        while len(now) < min(k, self.m):
-            now = self.add(now)
-            best[len(now)] = max(best.get(len(now), -1.0), self.score(now))
-            while len(now) > 2:
-                less = self.drop(now)
-                if self.score(less) <= best.get(len(less), -1.0) * (1 + 1e-9):
-                    break
-                now = less
-                best[len(now)] = self.score(now)
-            if swap and len(now) < self.m:
-                swapped = self._best([now, *(tuple(sorted((*(i for i in now if i != out), new))) for out in now for new in range(self.m) if new not in now)])
-                now = swapped
-                best[len(now)] = max(best[len(now)], self.score(now))
-        return list(now)
-
-    def oif(self, k: int) -> list[int]:
-        return self.osf(k, swap=True)
-
-    def oos(self, k: int, max_depth: int | None = None, sets: int = 2000) -> list[int]:
-        """Oscillating search: drop the best set of ``depth`` terms and add the best one of that size, or the other way round,
-        with the depth growing while neither swing gains.
-
-        Up to ``sets`` sets are compared as a whole; a swing with more of them goes term by term.
-        """
-        k = min(k, self.m)
-        if max_depth is not None and max_depth < 1:
-            raise ValueError("max_depth must be at least 1")
-        limit = max_depth or max(1, int(0.25 * min(k, self.m - k)))
-        now: tuple = ()
-        while len(now) < k:
-            now = self.add(now)
-
-        def swing(subset: tuple, move, room: int, depth: int) -> tuple:
-            if math.comb(room, depth) <= sets:
-                return move(subset, depth)
-            for _ in range(depth):
-                subset = move(subset)
-            return subset
-
-        depth = 1
-        while depth <= limit:
-            before = self.score(now)
-            down, up = min(depth, len(now) - 1), min(depth, self.m - len(now))
-            swings = [now]
-            if down:
-                less = swing(now, self.drop, len(now), down)
-                swings.append(swing(less, self.add, self.m - len(less), down))
-            if up:
-                more = swing(now, self.add, self.m - len(now), up)
-                swings.append(swing(more, self.drop, len(more), up))
-            better = self._best(swings)
-            if self.score(better) > before + 1e-9 * max(before, EPS):
-                now, depth = better, 1
-            else:
-                depth += 1
-        return list(now)

@@ -1,4 +1,4 @@
-"""Forward regression over very many candidate terms: columns of the Gram matrix are computed as they are needed.
+"""Structure searches over very many candidate terms: columns of the Gram matrix are computed as they are needed.
 
 A pass evaluates the terms in NumPy inside each batch, from the lags alone, and adds up their
 products with y or with some chosen terms.  What reaches the driver is a vector of the number of
@@ -66,9 +66,13 @@ class Columns:
         sums = self._pass(3, lambda psi, y: np.column_stack([np.einsum("ij,ij->j", psi, psi), psi.T @ y, psi.sum(0)]))
         return *sums.T.copy(), self.tail
 
+    def column(self, i: int) -> np.ndarray:
+        self.fetch([i])
+        return self.known[i]
+
     def fetch(self, wanted: list[int]) -> None:
         """Columns of the Gram matrix, in one pass for those not yet known."""
-        new = [i for i in wanted if i not in self.known]
+        new = [i for i in dict.fromkeys(wanted) if i not in self.known]
         if new:
             for i, column in zip(new, self._pass(len(new), lambda psi, y: psi.T @ psi[:, new]).T):
                 self.known[i] = column.copy()

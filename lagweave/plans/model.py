@@ -16,7 +16,7 @@ from ..operators.lagging import regressors
 from ..sources.series import validate
 
 SEARCHES = ("frols", "aols", "osf", "oif", "oos", "all")
-#: Candidates from which forward regression fetches columns of the Gram matrix as it needs them.
+#: Candidates from which a search fetches columns of the Gram matrix as it needs them.
 WIDE = 1000
 
 
@@ -139,7 +139,7 @@ def _finite(series: DataFrame, columns: list[str], *sums) -> None:
 
 
 def fit(series: DataFrame, spec: Spec) -> Model:
-    """Lag, expand, one Gram pass, search, estimate; from ``WIDE`` candidates on forward regression takes a pass for some chosen terms."""
+    """Lag, expand, one Gram pass, search, estimate; from ``WIDE`` candidates on a search takes a pass for some chosen terms."""
     columns, terms = spec.columns, spec.candidates
 
     def residual(idx: list[int], theta) -> float:
@@ -148,16 +148,23 @@ def fit(series: DataFrame, spec: Spec) -> Model:
         return float(psi.agg(F.var_samp(F.col("y") - value)).first()[0])
 
     solve = estimate.ESTIMATORS[spec.estimator]
-    if spec.search == "frols" and len(terms) >= WIDE:
+    if spec.search != "all" and len(terms) >= WIDE:
         held = wide.Columns(series, columns, terms, spec.bucket)
         try:
             _finite(series, columns, held.d, held.b)
-            order, err = wide.forward(held, spec.n_terms or spec.n_info_values, err_tol=spec.err_tol)
+            k = spec.n_terms or spec.n_info_values
+            if spec.search == "frols":
+                order, err = wide.forward(held, k, err_tol=spec.err_tol)
+            else:
+                order = select.accelerated(held, k)[0] if spec.search == "aols" else getattr(select.Floating(held), spec.search)(k)
             q = held.gram(order)
         finally:
             held.close()
         values: list[float] = []
-        if spec.n_terms is None:
+        if spec.search != "frols":
+            position, found = select.forward(q, len(order))
+            err = [dict(zip(position, found)).get(i, 0.0) for i in range(len(order))]
+        elif spec.n_terms is None:
             values = select.by_order(q, list(range(len(order))), spec.criterion, solve, lambda idx, theta: residual([order[i] for i in idx], theta))
             order = order[: select.best_order(values, spec.criterion)]
             err = err[: len(order)]

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagweave.functions.compiled import next_output
-from lagweave.operators import adaptive, loo, near, predict, qr, ranges, robust, scan
+from lagweave.functions import residuals
+from lagweave.operators import adaptive, loo, near, predict, qr, ranges, robust, scan, select
+from lagweave.operators.gram import Gram
 
 
 @pytest.fixture(scope="module")
@@ -223,3 +225,140 @@ def test_fewer_samples_than_neighbours(spark):
     d = spark.createDataFrame([("a", 1, 0.0, 1.0), ("a", 2, 1.0, 1.0)], "series_id string, k long, y double, u double")
     assert [r.r for r in near.radius(d, ["u", "y"], 2).collect()] == [math.inf, math.inf]
     assert [r.r for r in near.radius(d, ["u", "y"], 1).collect()] == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("length,lags", [(1024, None), (None, 20), (1024, 1500)])
+def test_lagged_products_of_stretches(spark, length, lags):
+    rng = np.random.default_rng(7)
+    data = {"a": rng.normal(size=(3000, 2)), "b": rng.normal(size=(5, 2))}
+    rows = [(s, k + 1, float(x), float(y)) for s, d in data.items() for k, (x, y) in enumerate(d)]
+    d = spark.createDataFrame(rows, "series_id string, k long, a double, b double")
+    found = {(r.series_id, r.lag): r.c for r in residuals.lagged_products(d, lags, length).collect()}
+    assert len(found) == sum(min(len(v), (lags or 3000) + 1) for v in data.values())
+    for s, v in data.items():
+        want = np.correlate(v[:, 1], v[:, 0], "full")[len(v) - 1 :]
+        assert all(abs(found[s, t] - want[t]) < 1e-8 for t in range(min(len(v), (lags or 3000) + 1)))
+
+
+class Plain:
+    """Floating searches with every set scored by a least-squares fit of its own."""
+
+    def __init__(self, x, y):
+        self.x, self.y, self.m = x, y, x.shape[1]
+
+    def score(self, terms):
+        fit = self.x[:, list(terms)] @ np.linalg.lstsq(self.x[:, list(terms)], self.y, rcond=None)[0] if terms else 0 * self.y
+        return float(1 - ((self.y - fit) ** 2).sum() / (self.y @ self.y))
+
+    def strongest(self, terms, pool):
+        return max(sorted(pool), key=lambda j: round(self.score((*terms, j)), 11))
+
+    def weakest(self, terms):
+        return max(sorted(terms), key=lambda j: round(self.score([t for t in terms if t != j]), 11))
+
+    def grow(self, base, count):
+        best, kept, terms, pool = {0: self.score(base)}, {0: []}, [], set(range(self.m)) - set(base)
+        while len(terms) < count and pool:
+            new = self.strongest([*base, *terms], pool)
+            size, score = len(terms) + 1, self.score([*base, *terms, new])
+            if score > best.get(size, -1) + 1e-9:
+                best[size], kept[size] = score, [*terms, new]
+            terms, just = list(kept[size]), new
+            pool -= set(terms)
+            while terms and len(base) + len(terms) > 2:
+                weak = self.weakest([*base, *terms])
+                less = [t for t in terms if t != weak]
+                if weak in base or weak == just or self.score([*base, *less]) <= best.get(len(less), -1) + 1e-9:
+                    break
+                terms, just = less, None
+                best[len(less)], kept[len(less)] = self.score([*base, *less]), less
+        return terms
+
+    def shrink(self, terms, count):
+        best, kept, left = {len(terms): self.score(terms)}, {len(terms): list(terms)}, list(terms)
+        while len(terms) - len(left) < count:
+            weak = self.weakest(left)
+            less = [t for t in left if t != weak]
+            if self.score(less) > best.get(len(less), -1) + 1e-9:
+                best[len(less)], kept[len(less)] = self.score(less), less
+            left, just = list(kept[len(less)]), weak
+            while len(terms) - len(left) > 1:
+                back = self.strongest(left, [t for t in terms if t not in left])
+                if back == just or self.score([*left, back]) <= best.get(len(left) + 1, -1) + 1e-9:
+                    break
+                left, just = [*left, back], None
+                best[len(left)], kept[len(left)] = self.score(left), list(left)
+        return left
+
+    def oos(self, k, limit):
+        now, depth = [], 1
+        while len(now) < k:
+            now.append(self.strongest(now, set(range(self.m)) - set(now)))
+        while depth <= limit:
+            gained = False
+            for up in (False, True):
+                if up:
+                    more = self.grow(now, depth)
+                    after = self.shrink([*now, *more], depth) if len(more) == depth else now
+                else:
+                    left = self.shrink(now, depth)
+                    more = self.grow(left, depth)
+                    after = [*left, *more] if len(more) == depth else now
+                if self.score(after) > self.score(now) + 1e-9:
+                    now, gained = after, True
+            depth = 1 if gained else depth + 1
+        return sorted(now)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_oscillating_search_equals_its_plain_form(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 14)) @ rng.normal(size=(14, 14))
+    y = x[:, :6] @ rng.normal(size=6) + rng.normal(size=60)
+    q = Gram(x.T @ x, x.T @ y, float(y @ y), x.sum(0), float(y.sum()), 60)
+    search = select.Floating(q)
+    plain = Plain(x, y)
+    for depth in (1, 3, 4):
+        found = search.oos(6, depth)
+        assert found == plain.oos(6, depth)
+    assert search.osf(6) == sorted(plain_osf(plain, 6))
+    assert len(search.oif(6)) == 6
+    greedy = select.forward(q, 6)[0]
+    assert search.score(found) >= search.score(greedy) - 1e-9
+
+
+def plain_osf(plain, k):
+    best, kept, terms = {0: 0.0}, {0: []}, []
+    while len(terms) < k:
+        new = plain.strongest(terms, set(range(plain.m)) - set(terms))
+        size, score = len(terms) + 1, plain.score([*terms, new])
+        if score > best.get(size, -1) + 1e-9:
+            best[size], kept[size] = score, [*terms, new]
+        terms, just = list(kept[size]), new
+        while len(terms) > 2:
+            weak = plain.weakest(terms)
+            less = [t for t in terms if t != weak]
+            if weak == just or plain.score(less) <= best.get(len(less), -1) + 1e-9:
+                break
+            terms, just = less, None
+            best[len(less)], kept[len(less)] = plain.score(less), less
+    return terms
+
+
+def test_accelerated_search_by_columns():
+    """Terms by their projected contribution, each recomputed from the residual of a fit."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 12)) @ rng.normal(size=(12, 12))
+    y = x[:, [2, 5, 9]] @ np.array([1.0, -2, 0.5]) + 0.3 * rng.normal(size=80)
+    q = Gram(x.T @ x, x.T @ y, float(y @ y), x.sum(0), float(y.sum()), 80)
+    for width in (1, 2):
+        chosen: list[int] = []
+        for _ in range(4):
+            basis = np.linalg.qr(x[:, chosen])[0] if chosen else np.zeros((80, 0))
+            left, rest = x - basis @ (basis.T @ x), y - basis @ (basis.T @ y)
+            gain = [0 if j in chosen else (left[:, j] @ rest) ** 2 / (left[:, j] @ left[:, j]) for j in range(12)]
+            chosen += np.argsort(gain)[::-1][:width].tolist()
+        theta = np.linalg.lstsq(x[:, chosen], y, rcond=None)[0]
+        chosen = [chosen[i] for i in np.argsort(-np.abs(theta))[:4]]
+        found, fitted = select.accelerated(q, 4, width)
+        assert found == sorted(chosen) and np.allclose(fitted, np.linalg.lstsq(x[:, found], y, rcond=None)[0])
