@@ -499,6 +499,18 @@ def rls_path_ar1(spark, sf):
     return _round(adaptive.rls(psi, 1, path=True, length=16).where("k > 3").select("series_id", "k", F.col("theta")[0].alias("t")))
 
 
+@query("extended_least_squares", f"""with {O}, p as (select k, y, lag(y) over (order by k) y1 from o), q as (select * from p where k > 1), s as (select sum(y1*y) / sum(y1*y1) t from q),
+ r as (select k, y, y1, coalesce(lag(y - t * y1) over (order by k), 0.0) e1 from q, s), g as (select sum(y1*y1) a, sum(y1*e1) c, sum(e1*e1) d, sum(y1*y) e, sum(e1*y) f from r),
+ u as (select (e*d-f*c)/(a*d-c*c) t, (a*f-c*e)/(a*d-c*c) v from g),
+ r2 as (select k, y, y1, coalesce(lag(y - t * y1 - v * e1) over (order by k), 0.0) e1 from r, u), g2 as (select sum(y1*y1) a, sum(y1*e1) c, sum(e1*e1) d, sum(y1*y) e, sum(e1*y) f from r2)
+ select 0 term, round((e*d-f*c)/(a*d-c*c), 6) + 0.0 theta from g2""")
+def extended_least_squares(spark, sf):
+    """Two rounds of extended least squares with one lag of the residuals."""
+    o, terms = series.orders(spark, sf), [("y_1", "y_1")]
+    theta = qr.solve(qr.factor(lagging.regressors(o, ["y_1"], terms), 1))
+    return _coefficients(spark, estimate.unbiased(o, ["y_1"], terms, theta, elag=1, rounds=2))
+
+
 @query("nfir_prediction", f"with {O}, z as (select k, y, lag(x1, 1) over (order by k) a, lag(x1, 2) over (order by k) b from o) select 0::bigint series_id, k, round(y, 6) + 0.0 y, round(case when k <= 2 then y else 0.5 * a - 0.25 * b end, 6) + 0.0 yhat from z")
 def nfir_prediction(spark, sf):
     m = model.given(series.orders(spark, sf), ["x1_1", "x1_2"], [0.5, -0.25])
@@ -597,7 +609,17 @@ def metamss_terms(spark, sf):
     cols = basis.lag_columns([1, 2], [[1, 2]])
     terms = Polynomial(2).terms(cols)
     train, valid = swarm.tail(series.split(series.orders(spark, sf), 0.25), "part", basis.max_lag(cols))
-    chosen, theta, _ = swarm.swarm_search(train, valid, cols, terms, agents=8, rounds=5)
+    chosen, theta, _ = swarm.swarm_search(train, valid, cols, terms)
+    return _round(spark.createDataFrame([(i, terms[c][0], float(t)) for i, (c, t) in enumerate(zip(chosen, theta))], "pos int, term string, theta double"))
+
+
+@query("metamss_by_users")
+def metamss_by_users(spark, sf):
+    """Swarm search of one structure over the series of all users at once."""
+    cols = ["y_1", "y_2"]
+    terms = Polynomial(2).terms(cols)
+    train, valid = swarm.tail(series.split(series.events(spark, sf), 0.25), "part", 2)
+    chosen, theta, _ = swarm.swarm_search(train, valid, cols, terms)
     return _round(spark.createDataFrame([(i, terms[c][0], float(t)) for i, (c, t) in enumerate(zip(chosen, theta))], "pos int, term string, theta double"))
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics
-from ..functions.basis import Term
+from ..functions.basis import Basis, Polynomial, Term
+from ..sources.scratch import materialize
+from . import qr
 from .gram import Gram, gram_of, grouped
-from .lagging import regressors
+from .lagging import lagged, regressors
 
 
 def least_squares(q: Gram) -> np.ndarray:
@@ -89,22 +92,35 @@ def by_series(psi: DataFrame, m: int, estimator: str = "least_squares", **option
     return grouped(psi, m).mapInPandas(run, f"series_id {kind}, theta array<double>")
 
 
-def unbiased(series: DataFrame, columns: list[str], terms: list[Term], theta: np.ndarray, elag: int = 2, rounds: int = 20, estimator=least_squares, tolerance: float = 1e-10) -> np.ndarray:
-    """Extended least squares: residuals at ``elag`` lags join the regressors, and the fit is repeated.
+def unbiased(series: DataFrame, columns: list[str], terms: list[Term], theta: np.ndarray, elag: int = 2, rounds: int = 20, estimator=None, tolerance: float = 1e-12, basis: Basis | None = None, bucket: int | None = None) -> np.ndarray:
+    """Extended least squares: the residuals' lags 1..elag, expanded by ``basis`` as if they were outputs, join the regressors, and the fit is repeated with the
+    residuals of the extended model, which are 0 before the first row.
 
-    Residuals are a column expression over the cached regressors; a round is one lag and one Gram pass.
+    basis: that of the model, by default its lags alone (a polynomial of degree 1 without a constant).  A round is one lag and one pass; the residuals travel
+    in a table.  ``estimator`` takes a Gram matrix; by default the fit is least squares by R factors, of least norm where
+    the basis repeats a column of the model.  Ends when no coefficient changes by more than ``tolerance``, after ``rounds`` at the latest.
     """
+    if elag < 1 or rounds < 1:
+        raise ValueError("needs an elag and a round at least")
     m = len(terms)
-    psi = regressors(series, columns, terms).persist()
-    try:
-        w = Window.partitionBy("series_id").orderBy("k")
-        for _ in range(rounds):
-            fit = sum((F.lit(float(a)) * F.col(f"t{i}") for i, a in enumerate(theta)), F.lit(0.0))
-            e = psi.withColumn("e", F.col("y") - fit)
-            wide = e.select("*", *(F.lag("e", j + 1, 0.0).over(w).alias(f"t{m + j}") for j in range(elag))).drop("e")
-            old, theta = theta, estimator(gram_of(wide, m + elag))[:m]
-            if np.abs(theta - old).max() <= tolerance:
-                break
-        return theta
-    finally:
-        psi.unpersist()
+    lags = [f"e_{j}" for j in range(1, elag + 1)]
+    expand = basis or Polynomial(1, False)
+    # a basis knows lags of y; its expressions are turned to those of e
+    extra = [re.sub(r"\by_(\d+)\b", r"e_\1", sql) for _, sql in expand.terms([f"y_{j}" for j in range(1, elag + 1)])]
+    names = [f"t{i}" for i in range(m)]
+    psi = materialize(regressors(series, columns, terms, bucket), "regressors")
+
+    def residual(frame: DataFrame, over: list[str], value: np.ndarray) -> DataFrame:
+        fit = sum((F.lit(float(a)) * F.col(c) for a, c in zip(value, over)), F.lit(0.0))
+        return materialize(frame.select("series_id", "k", "y", *names, (F.col("y") - fit).alias("e")), "residuals")
+
+    every = [f"t{i}" for i in range(m + len(extra))]
+    now, full = residual(psi, names, np.asarray(theta, float)), None
+    for _ in range(rounds):
+        wide = lagged(now, lags, bucket)
+        wide = wide.select("series_id", "k", "y", *names, *(F.expr(sql).cast("double").alias(f"t{m + j}") for j, sql in enumerate(extra)))
+        old, full = full, estimator(gram_of(wide, len(every))) if estimator else qr.solve(qr.factor(wide, len(every)))
+        if old is not None and np.abs(full - old).max() <= tolerance:
+            break
+        now = residual(wide, every, full)
+    return full[:m]

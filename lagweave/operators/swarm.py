@@ -1,8 +1,9 @@
-"""Binary swarm search over subsets of terms, its agents scored in parallel by Spark.
+"""Binary swarm search over subsets of terms, its agents scored where the data lies.
 
 The optimiser moves bit strings by gravity between agents (heavier ones score better) and towards the
 best found so far.  An agent's terms are fitted from the Gram matrix of the training part, those
-without significance go, and the rest is simulated over the validation part.
+without significance go.  The agents' coefficients, a small matrix, are then sent to the tasks, each of which keeps the validation part of its series
+between the rounds and runs all agents along it together; a few sums an agent come back.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.basis import Term, max_lag
-from ..functions.compiled import next_output
+from ..functions.compiled import design
 from ..functions.numerics import t_tail
+from ..sources.scratch import materialize
 from .estimate import least_squares
 from .gram import Gram, gram
 from .lagging import lagged
@@ -95,13 +97,7 @@ def t_test(q: Gram, theta: np.ndarray) -> np.ndarray:
     return np.array([t_tail(abs(t) / e, q.n - m) if e > 0 else 0.0 for t, e in zip(theta, error)])
 
 
-def rrse(y: np.ndarray, fit: np.ndarray) -> float:
-    spread = float(((y - y.mean()) ** 2).sum())
-    miss = float(((y - fit) ** 2).sum())
-    return math.sqrt(miss / spread) if spread > 0 else (0.0 if miss == 0 else math.inf)
-
-
-def swarm_loss(y: np.ndarray, fit: np.ndarray, n_terms: int, dimension: int) -> float:
+def swarm_loss(miss: float, spread: float, n: float, n_terms: int, dimension: int) -> float:
     """RRSE times a penalty that grows with the number of terms; 30 where that is not finite."""
     steep = 1 / math.log(n_terms + 1) / dimension
     u = steep * (np.arange(dimension + 1) - dimension / 2)
@@ -109,45 +105,72 @@ def swarm_loss(y: np.ndarray, fit: np.ndarray, n_terms: int, dimension: int) ->
     penalty = sigmoid * (1 + u * (1 - sigmoid))
     penalty = penalty - penalty.min()
     with np.errstate(all="ignore"):
-        out = rrse(y, fit) * penalty[min(n_terms, dimension)]
+        ratio = math.sqrt(miss / spread) if spread > 0 and math.isfinite(miss) else (0.0 if miss == 0 else math.inf)
+        out = ratio * penalty[min(n_terms, dimension)]
     return float(out) if np.isfinite(out) else 30.0
 
 
-def _criterion(y: np.ndarray, fit: np.ndarray, n_terms: int, weight: float) -> float:
-    with np.errstate(all="ignore"):
-        mse = max(float(((y - fit) ** 2).mean()), EPS)
-    return len(y) * math.log(mse) + weight * n_terms if math.isfinite(mse) else math.inf
+def _criterion(miss: float, n: float, n_terms: int, weight: float) -> float:
+    mse = max(miss / n, EPS) if n and math.isfinite(miss) else math.inf
+    return n * math.log(mse) + weight * n_terms if math.isfinite(mse) else math.inf
 
 
+#: Loss of a fit from its summed squares, those of y about the means of its series, the samples, the terms and the candidates.
 LOSSES: dict[str, Callable] = {
     "swarm": swarm_loss,
-    "aic": lambda y, fit, n, dimension: _criterion(y, fit, n, 2),
-    "bic": lambda y, fit, n, dimension: _criterion(y, fit, n, math.log(len(y))),
+    "aic": lambda miss, spread, n, n_terms, dimension: _criterion(miss, n, n_terms, 2),
+    "bic": lambda miss, spread, n, n_terms, dimension: _criterion(miss, n, n_terms, math.log(n) if n else 0.0),
 }
 
 
-def simulated(columns: list[str], terms: list[Term], theta: np.ndarray, head: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Free run from the outputs ``head`` over rows of input lags; not finite once it has run away."""
-    step, h, out = next_output(terms, columns), list(head), np.full(len(x), np.nan)
-    weights = theta.tolist()
-    for i, row in enumerate(x.tolist()):
-        try:
-            v = step(h, row, weights)
-        except OverflowError:
-            break
-        if not math.isfinite(v):
-            break
-        out[i] = v
-        h.append(v)
-        del h[0]
+def simulated(rows: DataFrame, columns: list[str], terms: list[Term], theta: np.ndarray) -> np.ndarray:
+    """Summed squares of each row of coefficients, run freely over all series of rows (series_id, k, y, input lags): each series from its first max_lag
+    outputs on, the coefficients all together.  Not finite once a run has run away.
+
+    Rows come dealt by series and sorted by k; a series passes through its task in constant memory.
+    """
+    p = max_lag(columns)
+    outputs = [int(c[2:]) for c in columns if c.startswith("y_")]
+    inputs = [c for c in columns if not c.startswith("y_")]
+    shared = rows.sparkSession.sparkContext.broadcast(theta)  # agents by candidates
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = shared.value
+        build, agents = design(terms, columns), len(weights)
+        at = [columns.index(f"y_{i}") for i in outputs], [columns.index(c) for c in inputs]
+        miss, series, h, seen = np.zeros(agents), run, None, 0
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                y = np.asarray(batch["y"], float)
+                x = np.column_stack([np.asarray(batch[c], float) for c in inputs]) if inputs else np.zeros((len(y), 0))
+                ids = batch["series_id"].to_pylist()
+                lags = np.empty((agents, len(columns)))
+                for i, v in enumerate(y):
+                    if ids[i] != series:
+                        series, h, seen = ids[i], np.zeros((agents, p)), 0
+                    if seen >= p:
+                        lags[:, at[0]] = h[:, [-j for j in outputs]]
+                        lags[:, at[1]] = x[i]
+                        now = np.einsum("ij,ij->i", build(lags), weights)
+                        miss += (v - now) ** 2
+                    else:
+                        now = np.full(agents, v)
+                    h = np.column_stack([h[:, 1:], now])
+                    seen += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(agents, dtype=np.int32)), pa.array(miss)], ["agent", "miss"])
+
+    sums = rows.mapInArrow(run, "agent int, miss double").groupBy("agent").agg(F.sum("miss").alias("miss"))
+    out = np.zeros(len(theta))
+    for r in sums.collect():
+        out[r["agent"]] = r["miss"]
     return out
 
 
-def swarm_search(train: DataFrame, valid: DataFrame, columns: list[str], terms: list[Term], loss: str = "swarm", p_value: float = 0.05, most: int = 100_000, **options) -> tuple[list[int], np.ndarray, Swarm]:
+def swarm_search(train: DataFrame, valid: DataFrame, columns: list[str], terms: list[Term], loss: str = "swarm", p_value: float = 0.05, **options) -> tuple[list[int], np.ndarray, Swarm]:
     """(terms, coefficients, the swarm): the subset whose free run over ``valid`` (series_id, k, y, x..) loses least.
 
-    Coefficients come from the Gram matrix of ``train``; ``valid`` follows it, one series of at most ``most`` samples beyond
-    the first max_lag, which only start the run.
+    Coefficients come from the Gram matrix of ``train``, all its series together; every series of ``valid`` is run on its own, from its
+    first max_lag samples, and their squares are summed.
     """
     if loss not in LOSSES or not 0 <= p_value <= 1:
         raise ValueError("unknown loss, or p_value outside [0, 1]")
@@ -156,44 +179,44 @@ def swarm_search(train: DataFrame, valid: DataFrame, columns: list[str], terms:
         raise ValueError("values must be finite")
     p, m = max_lag(columns), len(terms)
     inputs = [c for c in columns if not c.startswith("y_")]
-    rows = lagged(valid, inputs).select("k", "y", *inputs).orderBy("k").limit(most + p + 1).toArrow()
-    if rows.num_rows > most + p or rows.num_rows <= p:
-        raise ValueError(f"the validation part needs {p + 1} to {most + p} samples")
-    y = np.asarray(rows["y"], float)
-    x = np.column_stack([np.asarray(rows[c], float) for c in inputs])[p:] if inputs else np.zeros((len(y) - p, 0))
-    score = LOSSES[loss]
-
-    def judge(bits: np.ndarray, rng: np.random.Generator) -> tuple[float, np.ndarray]:
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy("k"))
+    rows = lagged(valid, inputs).select("series_id", "k", F.col("y").cast("double").alias("y"), *inputs, place.alias("row"))
+    # written once and kept by the tasks between the rounds; a lost task reads it again
+    rows = materialize(rows, "validation")
+    each = rows.where(F.col("row") > p).groupBy("series_id").agg(F.count("*").alias("n"), F.var_pop("y").alias("v"))
+    sums = each.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("spread")).first()
+    if not sums["n"]:
+        raise ValueError(f"the validation part needs a series of {p + 1} samples")
+    rows = rows.select("series_id", "k", "y", *inputs).repartition("series_id").sortWithinPartitions("series_id", "k").persist()
+    n, spread, score, seed = sums["n"], sums["spread"], LOSSES[loss], options.get("seed", 0)
+
+    def fitted(bits: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, int]:
+        """(bits without insignificant terms, coefficients of all candidates, terms that count)."""
+        theta = np.zeros(m)
         for _ in range(100):
             if not bits.any():
                 bits = (rng.random(m) < 0.5).astype(np.int8)
                 continue
             idx = np.flatnonzero(bits)
-            theta = least_squares(q.sub(idx))
-            drop = idx[t_test(q.sub(idx), theta) > p_value]
+            drop = idx[t_test(q.sub(idx), least_squares(q.sub(idx))) > p_value]
             bits[drop] = 0
             if not bits.any():
                 continue
             idx = np.flatnonzero(bits)
-            theta = least_squares(q.sub(idx))
-            fit = simulated(columns, [terms[i] for i in idx], theta, y[:p], x)
-            n = len(idx) + (len(drop) if loss == "swarm" else 0)
-            return score(y[p:], fit, n, m), bits
-        return math.inf, bits
-
-    spark, seed = train.sparkSession, options.get("seed", 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [judge(np.frombuffer(b, np.int8).copy(), np.random.default_rng([seed, a])) for a, b in zip(batch["agent"].to_pylist(), batch["bits"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["agent"], pa.array([v for v, _ in found], pa.float64()), pa.array([b.tobytes() for _, b in found], pa.binary())], ["agent", "value", "bits"])
+            theta[idx] = least_squares(q.sub(idx))
+            return bits, theta, len(idx) + (len(drop) if loss == "swarm" else 0)
+        return bits, theta, 0
 
     def objective(agents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        df = spark.createDataFrame([(i, b.astype(np.int8).tobytes()) for i, b in enumerate(agents)], "agent int, bits binary").repartition(len(agents), "agent")
-        got = {r["agent"]: r for r in df.mapInArrow(run, "agent int, value double, bits binary").collect()}
-        return np.array([got[i]["value"] for i in range(len(agents))]), np.array([np.frombuffer(got[i]["bits"], np.int8) for i in range(len(agents))])
-
-    swarm = Swarm(m, **options).run(objective)
+        found = [fitted(b.astype(np.int8).copy(), np.random.default_rng([seed, a])) for a, b in enumerate(agents)]
+        miss = simulated(rows, columns, terms, np.array([theta for _, theta, _ in found]))
+        value = [score(float(v), float(spread), float(n), used, m) if used else math.inf for v, (_, _, used) in zip(miss, found)]
+        return np.array(value), np.array([b for b, _, _ in found])
+
+    try:
+        swarm = Swarm(m, **options).run(objective)
+    finally:
+        rows.unpersist()
     idx = np.flatnonzero(swarm.best).tolist()
     return idx, least_squares(q.sub(idx)), swarm
 

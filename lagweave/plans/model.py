@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import basis as bases
 from ..functions.basis import Basis, Polynomial, Term, index_of, lag_columns, lags, product_terms
 from ..functions.equations import equation, results
-from ..operators import estimate, predict, select, wide
+from ..operators import estimate, predict, qr, select, wide
 from ..operators.gram import Gram, gram, packed, unpack
 from ..operators.lagging import regressors
 from ..sources.series import validate
 
 SEARCHES = ("frols", "aols", "osf", "oif", "oos", "all")
+EPS = float(np.finfo(float).eps)
 #: Candidates from which a search fetches columns of the Gram matrix as it needs them.
 WIDE = 1000
 
@@ -35,8 +37,16 @@ class Spec:
     estimator: str = "least_squares"
     err_tol: float | None = None
     bucket: int | None = None
+    #: "gram", or "qr" for least squares and ridge by R factors, which keep the digits that the Gram matrix loses.
+    solver: str = "gram"
+    #: Extended least squares with so many lags of the residuals, expanded by the basis; 0: none.
+    elag: int = 0
 
     def __post_init__(self):
+        if self.solver not in ("gram", "qr") or self.elag < 0:
+            raise ValueError("unknown solver, or elag below 0")
+        if self.solver == "qr" and self.estimator not in ("least_squares", "ridge", "total_least_squares"):
+            raise ValueError("no estimator of this name by R factors")
         if self.search not in SEARCHES or self.criterion not in select.CRITERIA or self.estimator not in estimate.ESTIMATORS:
             raise ValueError("unknown search, criterion or estimator")
         if self.n_terms is not None and self.n_terms < 1 or self.n_info_values < 1:
@@ -131,8 +141,6 @@ def choose(q: Gram, spec: Spec, residual=None) -> tuple[list[int], list[float],
 
 def _finite(series: DataFrame, columns: list[str], *sums) -> None:
     """An error that names the column if a sum shows that a value was null, NaN or infinite."""
-    import numpy as np
-
     if not all(np.isfinite(x).all() for x in sums):
         validate(series, sorted({"y", *(c.rpartition("_")[0] for c in columns)}))
         raise ValueError("a term overflows on these values")
@@ -174,8 +182,14 @@ def fit(series: DataFrame, spec: Spec) -> Model:
         _finite(series, columns, q.g, q.b)
         order, err, values = choose(q, spec, residual)
         q = q.sub(order)
-    estimate.check_rank(q)
-    theta = solve(q)
+    if spec.solver == "qr":
+        r = qr.factor(regressors(series, columns, [terms[i] for i in order], spec.bucket), len(order))
+        theta = qr.total(r) if spec.estimator == "total_least_squares" else qr.solve(r, EPS if spec.estimator == "ridge" else 0.0)
+    else:
+        estimate.check_rank(q)
+        theta = solve(q)
+    if spec.elag:
+        theta = estimate.unbiased(series, columns, [terms[i] for i in order], theta, spec.elag, basis=spec.basis, bucket=spec.bucket)
     return Model(columns, [terms[i] for i in order], [float(t) for t in theta], err, values)
 
 

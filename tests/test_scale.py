@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.compiled import next_output
 from lagweave.functions import residuals
-from lagweave.operators import adaptive, loo, near, predict, qr, ranges, robust, scan, select
+from lagweave.functions.basis import Polynomial
+from lagweave.operators import adaptive, estimate, loo, near, predict, qr, ranges, robust, scan, select, swarm
 from lagweave.operators.gram import Gram
 
 
@@ -362,3 +363,63 @@ def test_accelerated_search_by_columns():
         chosen = [chosen[i] for i in np.argsort(-np.abs(theta))[:4]]
         found, fitted = select.accelerated(q, 4, width)
         assert found == sorted(chosen) and np.allclose(fitted, np.linalg.lstsq(x[:, found], y, rcond=None)[0])
+
+
+@pytest.mark.parametrize("degree,bias", [(1, False), (2, True)])
+def test_extended_least_squares_equals_its_definition(spark, degree, bias):
+    """Residuals of the extended model, their lags through the basis, least norm where the basis repeats the constant."""
+    rng = np.random.default_rng(8)
+    nu = 0.3 * rng.normal(size=400)
+    x, y = rng.uniform(-1, 1, 400), np.zeros(400)
+    for k in range(2, 400):
+        y[k] = 0.2 * y[k - 1] + 0.9 * x[k - 2] + nu[k] + 0.8 * nu[k - 1]
+    d = spark.createDataFrame([(1, k + 1, float(b), float(a)) for k, (a, b) in enumerate(zip(x, y))], "series_id long, k long, y double, x1 double")
+    columns = ["y_1", "x1_2"]
+    terms = Polynomial(1, bias).terms(columns)
+    basis = Polynomial(degree, bias)
+    psi = np.column_stack([*([np.ones(398)] if bias else []), y[1:-1], x[:-2]])
+    target = y[2:]
+    e = target - psi @ np.linalg.lstsq(psi, target, rcond=None)[0]
+    for _ in range(20):
+        lag = np.column_stack([np.r_[np.zeros(j), e[:-j]] for j in (1, 2)])
+        wide = [lag] if degree == 1 else [lag, lag[:, :1] ** 2, lag[:, :1] * lag[:, 1:], lag[:, 1:] ** 2]
+        full = np.column_stack([psi, *([np.ones(398)] if bias else []), *wide])
+        theta = np.linalg.lstsq(full, target, rcond=None)[0]
+        e = target - full @ theta
+    start = np.linalg.lstsq(psi, target, rcond=None)[0]
+    found = estimate.unbiased(d, columns, terms, start, elag=2, basis=basis)
+    assert np.abs(found - theta[: len(terms)]).max() < 1e-8
+    if degree == 1:
+        from lagweave.plans.model import Spec, fit
+
+        held = fit(d, Spec([1], ([2],), basis=basis, search="all", elag=2, solver="qr"))
+        assert np.abs(np.array(held.theta) - theta[: len(terms)]).max() < 1e-8
+
+
+def test_agents_run_along_every_series(spark):
+    """Sums of squares over three series, one of them too short to run, equal runs one by one."""
+    rng = np.random.default_rng(9)
+    data = {s: rng.normal(size=(n, 2)) for s, n in (("a", 30), ("b", 17), ("c", 2))}
+    rows = [(s, k + 1, float(y), float(x)) for s, d in data.items() for k, (y, x) in enumerate(d)]
+    d = spark.createDataFrame(rows, "series_id string, k long, y double, x1 double")
+    columns, terms = ["y_1", "y_2", "x1_1"], [("1", "1D"), ("y_1*y_2", "y_1 * y_2"), ("x1_1", "x1_1"), ("cos", "cos(y_1)")]
+    theta = rng.normal(size=(5, 4)) * 0.3
+    theta[4] = 50.0
+    from lagweave.operators.lagging import lagged
+
+    held = lagged(d, ["x1_1"]).select("series_id", "k", "y", "x1_1").repartition("series_id").sortWithinPartitions("series_id", "k")
+    found = swarm.simulated(held, columns, terms, theta)
+    for a in range(5):
+        miss = 0.0
+        for v in data.values():
+            h = v[:2, 0].tolist()
+            for i in range(2, len(v)):
+                t = theta[a]
+                h.append(t[0] + t[1] * h[-1] * h[-2] + t[2] * v[i - 1, 1] + t[3] * math.cos(h[-1]) if math.isfinite(h[-1]) else math.nan)
+                miss += (v[i, 0] - h[-1]) ** 2 if abs(h[-1]) < 1e150 else math.nan
+        assert math.isclose(found[a], miss) if math.isfinite(miss) else not math.isfinite(found[a])
+    train = d.where("series_id <> 'c'")
+    chosen, _, held = swarm.swarm_search(train, d, columns, terms, agents=4, rounds=3, p_value=1.0)
+    assert chosen and math.isfinite(held.best_value)
+    with pytest.raises(ValueError):
+        swarm.swarm_search(train, d.where("series_id = 'c'"), columns, terms, agents=4, rounds=2)

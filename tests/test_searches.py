@@ -250,8 +250,10 @@ def test_swarm_search_of_the_known_system(spark, known):
     from lagweave.functions.numerics import t_tail
 
     assert np.allclose(swarm.t_test(q2, fit), [t_tail(abs(v), len(y) - 14) for v in t])
-    for loss in ("aic", "bic"):
-        assert np.isfinite(swarm.LOSSES[loss](y, noise, 3, 15))
+    miss, spread = ((y - noise) ** 2).sum(), ((y - y.mean()) ** 2).sum()
+    for loss in ("aic", "bic", "swarm"):
+        assert np.isfinite(swarm.LOSSES[loss](miss, spread, len(y), 3, 15))
+    assert swarm.LOSSES["swarm"](math.inf, spread, len(y), 3, 15) == 30.0 and swarm.LOSSES["aic"](math.nan, spread, len(y), 3, 15) == math.inf
 
 
 def test_objectives_at_rest(spark, known):
