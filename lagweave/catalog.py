@@ -599,7 +599,7 @@ def rmss_terms(spark, sf):
 def er_terms(spark, sf):
     """Entropic regression of every user's series on three lags."""
     cols = ["y_1", "y_2", "y_3"]
-    found = robust.entropic(lagging.regressors(series.events(spark, sf), cols, [basis.product((c,)) for c in cols]), 3, n_perm=20)
+    found = robust.entropic(lagging.regressors(series.events(spark, sf), cols, [basis.product((c,)) for c in cols]), 3)
     return found.select("series_id", F.array(*map(F.lit, cols))[F.col("term")].alias("term"))
 
 
@@ -629,6 +629,6 @@ def ails_weights(spark, sf):
     o = series.orders(spark, sf)
     _, terms = basis.product_terms(["1", "y_1", "x1_1", "x1_1*x1_1"])
     static = o.groupBy(F.expr("(k - 1) div 30").alias("month")).agg(F.avg("y").alias("y"), F.avg("x1").alias("x1"))
-    weighing = [tuple(r) for r in affine.weights(spark, gain=False, num=10).collect()]
+    weighing = [tuple(r) for r in affine.weights(spark, gain=False).collect()]
     found = affine.affine_least_squares(lagging.regressors(o, ["y_1", "x1_1"], terms), terms, weighing, static)
     return _round(spark.createDataFrame([(float(r["weights"][0]), r["theta"].tolist(), r["errors"].tolist(), r["norm"]) for r in found], "dynamic double, theta array<double>, errors array<double>, norm double"))

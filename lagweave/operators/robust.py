@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numerics import digamma
-from . import loo, near
+from . import entropy, loo, near
 from .gram import Gram, gram_of
 from .pieces import in_pieces
 from .select import best_order, by_order
@@ -224,47 +223,11 @@ def conditional_information(x: np.ndarray, y: np.ndarray, z: np.ndarray | None,
 
 
 def entropic(psi: DataFrame, m: int, k: int = 2, n_perm: int = 200, quantile: float = 0.99, seed: int = 0, constant: int | None = None, least: float = 0.01) -> DataFrame:
-    """(series_id, term): entropic regression for each series on its own, in parallel over series.
+    """(series_id, term): entropic regression for each series on its own; measurements and permutations are tasks (``entropy``).
 
     Forward: add the term whose fit together with those chosen shares most information with y given the present fit, while that
     exceeds the tolerance, a quantile of the information under ``n_perm`` permutations; backward: drop what adds nothing.  The
     term ``constant``, if given, is left out of the search, joins the terms found, and goes if its coefficient is below ``least``.
-    The estimate compares all pairs of a series' samples, so it is meant for short series.
+    The estimate compares all pairs of a series' samples inside a task; a series of over ``pieces.MOST`` samples is refused.
     """
-    by = psi.schema["series_id"].dataType.simpleString()
-
-    def run(pdf):
-        pdf = pdf.sort_values("k")
-        y = pdf["y"].to_numpy()
-        t = pdf[[f"t{i}" for i in range(m)]].to_numpy()
-        rng = np.random.default_rng(seed)
-
-        def coefficients(idx: list[int]) -> np.ndarray:
-            return np.linalg.lstsq(t[:, idx], y, rcond=None)[0]
-
-        def fit(idx: list[int]) -> np.ndarray:
-            return t[:, idx] @ coefficients(idx)
-
-        def tolerance(x: np.ndarray, z: np.ndarray | None) -> float:
-            return float(np.quantile([conditional_information(rng.permutation(x), y, z, k) for _ in range(n_perm)], quantile))
-
-        chosen: list[int] = []
-        free = [j for j in range(m) if j != constant]
-        while len(chosen) < len(free):
-            now = fit(chosen) if chosen else None
-            gain = {j: conditional_information(fit([*chosen, j]), y, now, k) for j in free if j not in chosen}
-            best = max(gain, key=lambda j: (gain[j], -j))
-            if gain[best] <= tolerance(fit([*chosen, best]), now):
-                break
-            chosen.append(best)
-        while len(chosen) > 1:
-            loss = {j: conditional_information(fit(chosen), y, fit([i for i in chosen if i != j]), k) for j in chosen}
-            worst = min(loss, key=lambda j: (loss[j], j))
-            if loss[worst] > tolerance(fit(chosen), fit([i for i in chosen if i != worst])):
-                break
-            chosen.remove(worst)
-        if constant is not None and abs(coefficients([constant, *chosen])[0]) >= least:
-            chosen.append(constant)
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]] * len(chosen), "term": np.array(sorted(chosen), np.int32)})
-
-    return psi.groupBy("series_id").applyInPandas(run, f"series_id {by}, term int")
+    return entropy.entropic(psi, m, conditional_information, k, n_perm, quantile, seed, constant, least)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lagweave.functions.compiled import next_output
 from lagweave.functions import residuals
 from lagweave.functions.basis import Polynomial
-from lagweave.operators import adaptive, estimate, loo, near, predict, qr, ranges, robust, scan, select, swarm
+from lagweave.operators import adaptive, entropy, estimate, loo, near, predict, qr, ranges, robust, scan, select, swarm
 from lagweave.operators.gram import Gram
 
 
@@ -423,3 +423,47 @@ def test_agents_run_along_every_series(spark):
     assert chosen and math.isfinite(held.best_value)
     with pytest.raises(ValueError):
         swarm.swarm_search(train, d.where("series_id = 'c'"), columns, terms, agents=4, rounds=2)
+
+
+def test_entropic_search_as_tasks(spark):
+    """The same search one by one, with the same permutations; long enough for several pieces and both waves."""
+    rng = np.random.default_rng(2)
+    series = {}
+    for s, n in (("a", 70), ("b", 45)):
+        t = rng.normal(size=(n, 3))
+        y = np.sin(2 * t[:, 0]) + (t[:, 2] if s == "b" else 0) + 0.1 * rng.normal(size=n)
+        series[s] = np.column_stack([y, t])
+    rows = [(s, k + 1, *map(float, r)) for s, d in series.items() for k, r in enumerate(d)]
+    d = spark.createDataFrame(rows, "series_id string, k long, y double, t0 double, t1 double, t2 double")
+    kept = entropy.PIECE
+    entropy.PIECE = 16
+    try:
+        found = sorted(map(tuple, robust.entropic(d, 3, n_perm=40, quantile=0.95).collect()))
+    finally:
+        entropy.PIECE = kept
+
+    def search(y, t):
+        chosen, free = [], [0, 1, 2]
+        fit = lambda idx: t[:, idx] @ np.linalg.lstsq(t[:, idx], y, rcond=None)[0]
+
+        def limit(x, z):
+            return np.quantile([robust.conditional_information(np.random.default_rng([0, i]).permutation(x), y, z) for i in range(40)], 0.95)
+
+        while len(chosen) < 3:
+            z = fit(chosen) if chosen else None
+            gain = {j: robust.conditional_information(fit([*chosen, j]), y, z) for j in free if j not in chosen}
+            best = max(gain, key=lambda j: (gain[j], -j))
+            if gain[best] <= limit(fit([*chosen, best]), z):
+                break
+            chosen.append(best)
+        while len(chosen) > 1:
+            loss = {j: robust.conditional_information(fit(chosen), y, fit([i for i in chosen if i != j])) for j in chosen}
+            worst = min(loss, key=lambda j: (loss[j], j))
+            if loss[worst] > limit(fit(chosen), fit([i for i in chosen if i != worst])):
+                break
+            chosen.remove(worst)
+        return chosen
+
+    assert found == sorted((s, j) for s, v in series.items() for j in search(v[:, 0], v[:, 1:])) and found
+    with pytest.raises(ValueError):
+        entropy.entropic(d, 3, robust.conditional_information, most=50)
