@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +178,27 @@ for _name, _b in _BASES.items():
     ORACLE[_name] = f"with {O01} select k, " + ", ".join(f"round(cast({x} as double), 5) + 0.0 t{i}" for i, x in enumerate(_order(_name))) + " from w where k > 1"
 
 
+def _bumps(lags: np.ndarray) -> np.ndarray:
+    """tanh of each lag, a bell over the first and the product of all."""
+    return np.column_stack([np.tanh(lags), np.exp(-lags[:, 0] ** 2), lags.prod(1)])
+
+
+BUMPS = basis.Vectorised(function=_bumps, names=("tanh(y_1)", "tanh(x1_1)", "bell(y_1)", "y_1 x1_1"))
+
+
+@query("basis_python", f"with {O01} select k, 1.0::double t0, round(tanh(y_1), 5) + 0.0 t1, round(tanh(x1_1), 5) + 0.0 t2, round(exp(-y_1 * y_1), 5) + 0.0 t3, round(y_1 * x1_1, 5) + 0.0 t4 from w where k > 1")
+def basis_python(spark, sf):
+    """A basis that is a Python function of the lags."""
+    return _basis(spark, sf, BUMPS)
+
+
+@query("basis_python_free_run", f"with recursive {O01}, f as (select k, 0.1 + 0.5 * tanh(y_1) + 0.2 * exp(-y_1 * y_1) + 0.3 * y_1 * x1_1 yhat from w where k = 2 union all select f.k + 1, 0.1 + 0.5 * tanh(f.yhat) + 0.2 * exp(-f.yhat * f.yhat) + 0.3 * f.yhat * w.x1_1 from f join w on w.k = f.k + 1) select 0::bigint series_id, k, round(yhat, 6) + 0.0 yhat from f")
+def basis_python_free_run(spark, sf):
+    """Its free run with given coefficients."""
+    scaled = series.scale(series.orders(spark, sf), ["y", "x1"], "minmax")
+    return _round(predict.free_run(scaled, _BASIS_COLS, BUMPS.terms(_BASIS_COLS), [0.1, 0.5, 0.0, 0.2, 0.3]).where("k > 1").select("series_id", "k", "yhat"))
+
+
 @query("gram_matrix", f"with {E}, z as (select series_id, k, y, {_lag_sql(COLS2)} from e window w as (partition by series_id order by k)), t as (select unnest([0, 1, 2, 3]) i, unnest([1.0, y_1, y_2, y]) v, series_id, k from z where k > 2) select a.i, b.i j, round(sum(a.v * b.v), 4) g from t a join t b using (series_id, k) where a.i <= b.i group by all")
 def gram_matrix(spark, sf):
     psi = lagging.regressors(series.events(spark, sf), COLS2, [basis.BIAS, *TERMS2])

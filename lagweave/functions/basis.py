@@ -7,13 +7,44 @@ Lag columns are named ``y_1``, ``x1_2``: variable and lag.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
-Term = tuple[str, str]
+import numpy as np
+
+
+@dataclass(frozen=True)
+class Computed:
+    """Stands where a term's SQL stands: column ``index`` of what a Python function makes of the lags."""
+
+    function: Callable
+    columns: tuple[str, ...]
+    index: int
+    size: int
+
+
+Term = tuple[str, "str | Computed"]
 BIAS: Term = ("1", "1D")
 
 
+def computed(terms: list[Term], columns: list[str], lags: np.ndarray) -> dict[int, np.ndarray]:
+    """Values of those terms that are computed, by place, for rows of lags with columns in the order of ``columns``; each function is called once."""
+    made: dict[tuple, np.ndarray] = {}
+    out = {}
+    for i, (name, c) in enumerate(terms):
+        if not isinstance(c, Computed):
+            continue
+        key = (c.function, c.columns)
+        if key not in made:
+            value = np.asarray(c.function(lags[:, [columns.index(x) for x in c.columns]]), float)
+            if value.shape != (len(lags), c.size):
+                raise ValueError(f"the function of {name} gave {value.shape} for {len(lags)} rows and {c.size} terms")
+            made[key] = value
+        out[i] = made[key][:, c.index]
+    return out
+
+
 def lag_columns(ylag: list[int], xlags: list[list[int]], model_type: str = "NARMAX") -> list[str]:
     """Lag columns of a model: y lags for NARMAX and NAR, input lags for NARMAX and NFIR."""
     if model_type not in ("NARMAX", "NAR", "NFIR"):
@@ -127,6 +158,26 @@ class Basis:
         raise NotImplementedError
 
 
+@dataclass(frozen=True)
+class Vectorised(Basis):
+    """A basis written in Python: ``function(lags)`` takes a NumPy matrix, a row for each sample and a column for each lag in the order of the model's lag columns, and gives
+    a matrix with a column for each name.
+
+    It runs over Arrow batches where the Gram matrix is summed, and over single rows where a prediction is fed back.  ``names`` are the terms' names, or a function from the lag
+    columns to these.
+    """
+
+    function: Callable | None = None
+    names: Callable | tuple[str, ...] = ()
+
+    def terms(self, columns: list[str]) -> list[Term]:
+        names = list(self.names(columns) if callable(self.names) else self.names)
+        if self.function is None or not names or len(set(names)) < len(names):
+            raise ValueError("needs a function and names of its terms, each once")
+        own = [(n, Computed(self.function, tuple(columns), i, len(names))) for i, n in enumerate(names)]
+        return [BIAS, *own] if self.include_bias else own
+
+
 @dataclass(frozen=True)
 class Polynomial(Basis):
     """All products of up to ``degree`` lag columns, in lexicographic order with 1 first."""

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .basis import Term
+from .basis import Computed, Term, computed
 
 _NUMBER = re.compile(r"(?<![\w.])([0-9]+(?:\.[0-9]+)?(?:e[+-]?[0-9]+)?)D\b")
 _INSIDE = re.compile(r"case when (\w+) between 0D and 1D then (.*?) else 0D end")
@@ -66,6 +66,8 @@ def next_output(terms: list[Term], columns: list[str]) -> Callable:
 
     It gives infinity or NaN where a term overflows or has no value, never an exception.
     """
+    if any(isinstance(sql, Computed) for _, sql in terms):
+        return _next_computed(terms, columns)
     inputs = {c: f"x[{i}]" for i, c in enumerate(c for c in columns if not c.startswith("y_"))}
 
     def place(match: re.Match) -> str:
@@ -86,6 +88,23 @@ def next_output(terms: list[Term], columns: list[str]) -> Callable:
     return run
 
 
+def _next_computed(terms: list[Term], columns: list[str]) -> Callable:
+    """As ``next_output`` with some terms computed by Python functions, which are called for one row."""
+    sql = [i for i, (_, x) in enumerate(terms) if not isinstance(x, Computed)]
+    rest = next_output([terms[i] for i in sql], columns)
+    order = [c for c in columns if not c.startswith("y_")]
+    back = [int(c[2:]) if c.startswith("y_") else 0 for c in columns]
+    from_x = [order.index(c) if c in order else 0 for c in columns]
+
+    def run(h: list[float], x: tuple, theta: list[float]) -> float:
+        lags = np.array([[h[-b] if b else x[i] for b, i in zip(back, from_x)]], float)
+        with np.errstate(all="ignore"):
+            made = computed(terms, columns, lags)
+            return rest(h, x, [theta[i] for i in sql]) + float(sum(theta[i] * v[0] for i, v in made.items()))
+
+    return run
+
+
 def design(terms: list[Term], columns: list[str]) -> Callable:
     """f(lags): the matrix of all terms for rows of lags, columns in the order of ``columns``.
 
@@ -97,6 +116,8 @@ def design(terms: list[Term], columns: list[str]) -> Callable:
     wanted: list[tuple[int, tuple[str, ...]]] = []
     other: list[tuple[int, Callable]] = []
     for i, (name, sql) in enumerate(terms):
+        if isinstance(sql, Computed):
+            continue
         factors = () if name == "1" else tuple(name.split("*"))
         if all(f in place for f in factors):
             wanted.append((i, factors))
@@ -116,12 +137,15 @@ def design(terms: list[Term], columns: list[str]) -> Callable:
         every = np.ones((len(lags), len(products)))
         for target, prefix, column in levels:
             every[:, target] = every[:, prefix] * lags[:, column]
-        if not other and len(at) == len(products) and np.array_equal(of, np.arange(len(of))):
+        made = computed(terms, columns, lags)
+        if not other and not made and len(at) == len(products) and np.array_equal(of, np.arange(len(of))):
             return every
         out = np.empty((len(lags), len(terms)))
         out[:, at] = every[:, of]
         for i, f in other:
             out[:, i] = f(lags)
+        for i, v in made.items():
+            out[:, i] = v
         return out
 
     return run

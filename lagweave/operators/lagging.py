@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.basis import Term, max_lag
+from ..functions.basis import Computed, Term, computed, max_lag
 
 
 def shift(column: str, lag: int, window) -> F.Column:
@@ -34,7 +38,25 @@ def lagged(series: DataFrame, columns: list[str], bucket: int | None = None) ->
     return out.where("_own").drop("_b", "_own") if bucket else out
 
 
+def expanded(rows: DataFrame, columns: list[str], terms: list[Term]) -> DataFrame:
+    """(series_id, k, y, t0..tm-1) of rows with lag columns: SQL terms as expressions, computed ones by their functions over Arrow batches."""
+    sql = {i: F.expr(x).alias(f"t{i}") for i, (_, x) in enumerate(terms) if not isinstance(x, Computed)}
+    if len(sql) == len(terms):
+        return rows.select("series_id", "k", "y", *sql.values())
+    ready = rows.select("series_id", "k", F.col("y").cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in columns), *(F.expr(terms[i][1]).cast("double").alias(f"t{i}") for i in sql))
+    schema = ready.select("series_id", "k", "y").schema
+    for i in range(len(terms)):
+        schema = schema.add(f"t{i}", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lags = np.column_stack([np.asarray(batch[c]) for c in columns]) if columns else np.zeros((batch.num_rows, 0))
+            made = computed(terms, columns, lags)
+            yield pa.RecordBatch.from_arrays([batch["series_id"], batch["k"], batch["y"], *(pa.array(made[i]) if i in made else batch[f"t{i}"] for i in range(len(terms)))], schema.names)
+
+    return ready.mapInArrow(run, schema)
+
+
 def regressors(series: DataFrame, columns: list[str], terms: list[Term], bucket: int | None = None) -> DataFrame:
     """(series_id, k, y, t0..tm-1): the term columns, without the first max_lag samples of each series."""
-    rows = lagged(series, columns, bucket).where(F.col("k") > max_lag(columns))
-    return rows.select("series_id", "k", "y", *(F.expr(sql).alias(f"t{i}") for i, (_, sql) in enumerate(terms)))
+    return expanded(lagged(series, columns, bucket).where(F.col("k") > max_lag(columns)), columns, terms)

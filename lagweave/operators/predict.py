@@ -14,15 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basis import Term, factors, max_lag
+from ..functions.basis import Computed, Term, factors, max_lag
 from ..functions.compiled import next_output
 from . import scan
 from .fold import ordered
-from .lagging import lagged
+from .lagging import expanded, lagged
 
 
 def one_step(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float], bucket: int | None = None) -> DataFrame:
     """(series_id, k, y, yhat); the first max_lag samples are the measured ones."""
+    if any(isinstance(sql, Computed) for _, sql in terms):
+        value = " + ".join(f"{float(t)!r}D * t{i}" for i, t in enumerate(theta)) or "0D"
+        return expanded(lagged(series, columns, bucket), columns, terms).select("series_id", "k", "y", F.expr(f"if(k <= {max_lag(columns)}, y, {value})").alias("yhat"))
     value = " + ".join(f"{float(t)!r}D * ({sql})" for t, (_, sql) in zip(theta, terms)) or "0D"
     rows = lagged(series, columns, bucket)
     return rows.select("series_id", "k", "y", F.expr(f"if(k <= {max_lag(columns)}, y, {value})").alias("yhat"))
@@ -30,8 +33,8 @@ def one_step(series: DataFrame, columns: list[str], terms: list[Term], theta: li
 
 def one_step_by_series(series: DataFrame, columns: list[str], terms: list[Term], models: DataFrame, column: str = "theta") -> DataFrame:
     """As ``one_step`` with an array of coefficients for each series in models (series_id, theta)."""
-    value = " + ".join(f"{column}[{i}] * ({sql})" for i, (_, sql) in enumerate(terms)) or "0D"
-    rows = lagged(series, columns).join(models, "series_id")
+    value = " + ".join(f"{column}[{i}] * t{i}" for i in range(len(terms))) or "0D"
+    rows = expanded(lagged(series, columns), columns, terms).join(models, "series_id")
     return rows.select("series_id", "k", "y", F.expr(f"if(k <= {max_lag(columns)}, y, {value})").alias("yhat"))
 
 
@@ -55,6 +58,8 @@ def n_steps(series: DataFrame, columns: list[str], terms: list[Term], theta: lis
         raise ValueError("steps must be an integer from 1")
     p = max_lag(columns)
     inputs = [c for c in columns if not c.startswith("y_")]
+    if any(isinstance(sql, Computed) for _, sql in terms):
+        return _blocks(series, columns, terms, theta, steps, models)
     rows = lagged(series, [*inputs, *(f"y_{i}" for i in range(1, p + 1))])
     names = [f"theta[{i}]" for i in range(len(terms))] if models is not None else [f"{float(t)!r}D" for t in theta or []]
     start = f"array({', '.join(f'y_{i}' for i in range(p, 0, -1))})"
@@ -70,10 +75,37 @@ def n_steps(series: DataFrame, columns: list[str], terms: list[Term], theta: lis
     return head.unionByName(out.select("series_id", "z.r.k", "z.r.y", F.col("z.o").alias("yhat")))
 
 
+def _blocks(series: DataFrame, columns: list[str], terms: list[Term], theta: list[float] | None, steps: int, models: DataFrame | None) -> DataFrame:
+    """``n_steps`` of terms that are Python functions: a fold for each series that starts anew from the measured outputs."""
+    p = max_lag(columns)
+    inputs = [c for c in columns if not c.startswith("y_")]
+    step_of, fixed = next_output(terms, columns), None if models is not None else [float(t) for t in theta or []]
+    rows = lagged(series, inputs).select("series_id", "k", F.col("y").cast("double").alias("y"), *inputs)
+    if models is not None:
+        rows = rows.join(models.select("series_id", "theta"), "series_id")
+
+    def step(state: dict, k: int, y: float, *row) -> float:
+        out = y
+        if state["n"] >= p:
+            if (state["n"] - p) % steps == 0:
+                state["h"] = list(state["y"])
+            x, coefficients = (row, fixed) if fixed is not None else (row[:-1], row[-1])
+            out = step_of(state["h"], x, coefficients)
+            state["h"] = [*state["h"][1:], out]
+        state["n"] += 1
+        state["y"] = [*state["y"][1:], y]
+        return out
+
+    out = ordered(rows, ["y", *inputs, *(["theta"] if models is not None else [])], lambda *row: {"h": [0.0] * p, "y": [0.0] * p, "n": 0}, step, "double")
+    return out.join(series.select("series_id", F.col("k").cast("long").alias("k"), "y"), ["series_id", "k"]).select("series_id", "k", "y", F.col("value").alias("yhat"))
+
+
 def affine_form(columns: list[str], terms: list[Term], theta: list[str]) -> tuple[list[str], str] | None:
     """(SQL of the factor of each output lag 1..max_lag, SQL of the rest), or None if the next output is not affine in them."""
     lags: list[list[str]] = [[] for _ in range(max_lag(columns))]
     rest: list[str] = []
+    if any(isinstance(sql, Computed) for _, sql in terms):
+        return None
     for value, (name, sql) in zip(theta, terms):
         parts = factors(name)
         if all(f in columns for f in parts):

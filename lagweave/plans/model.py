@@ -93,8 +93,8 @@ class Model:
             raise ValueError(f"the model needs {missing}")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(pos, term, expression, theta, err)."""
-        rows = [(i, n, s, float(t), float(e)) for i, ((n, s), t, e) in enumerate(zip(self.terms, self.theta, self.err))]
+        """(pos, term, expression, theta, err); a term that a Python function computes has no expression."""
+        rows = [(i, n, s if isinstance(s, str) else None, float(t), float(e)) for i, ((n, s), t, e) in enumerate(zip(self.terms, self.theta, self.err))]
         return spark.createDataFrame(rows, "pos int, term string, expression string, theta double, err double")
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -102,11 +102,16 @@ class Model:
         df.coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Model:
+    def load(spark: SparkSession, path: str, basis: Basis | None = None) -> Model:
+        """A saved model; terms without an expression are those of that name of ``basis``."""
         rows = spark.read.parquet(path).orderBy("pos").collect()
         if not rows:
             return Model([], [], [], [])
-        return Model(list(rows[0]["columns"]), [(r["term"], r["expression"]) for r in rows], [r["theta"] for r in rows], [r["err"] for r in rows])
+        known = dict(basis.terms(list(rows[0]["columns"]))) if basis is not None else {}
+        lost = [r["term"] for r in rows if r["expression"] is None and r["term"] not in known]
+        if lost:
+            raise ValueError(f"{lost} were computed by a Python function: give the basis")
+        return Model(list(rows[0]["columns"]), [(r["term"], r["expression"] if r["expression"] is not None else known[r["term"]]) for r in rows], [r["theta"] for r in rows], [r["err"] for r in rows])
 
     def equation(self, digits: int = 4, style: str = "text") -> str:
         """y(k) = ... in text, latex or ascii."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lagweave.functions.compiled import next_output
 from lagweave.functions import residuals
-from lagweave.functions.basis import Polynomial
+from lagweave.functions.basis import Basis, Polynomial, Vectorised
 from lagweave.operators import adaptive, entropy, estimate, loo, near, predict, qr, ranges, robust, scan, select, swarm
 from lagweave.operators.gram import Gram
 
@@ -467,3 +467,37 @@ def test_entropic_search_as_tasks(spark):
     assert found == sorted((s, j) for s, v in series.items() for j in search(v[:, 0], v[:, 1:])) and found
     with pytest.raises(ValueError):
         entropy.entropic(d, 3, robust.conditional_information, most=50)
+
+
+def test_python_basis_equals_the_same_in_sql(spark, noise, tmp_path):
+    from lagweave.plans import model
+
+    # what this module defines is not there for the workers to import, what is made here travels whole
+    class Waves(Basis):
+        def terms(self, columns):
+            a, b = columns
+            return [("1", "1D"), ("s", f"sin({a})"), ("p", f"{a} * {b}"), ("c", f"cos({b})")]
+
+    waves = lambda lags: np.column_stack([np.sin(lags[:, 0]), lags[:, 0] * lags[:, 1], np.cos(lags[:, 1])])
+    _, d = noise
+    made = Vectorised(function=waves, names=("s", "p", "c"))
+    specs = [model.Spec(1, (1,), basis=b, search="frols", n_terms=3) for b in (made, Waves())]
+    one, two = (model.fit(d, s) for s in specs)
+    assert [n for n, _ in one.terms] == [n for n, _ in two.terms] and np.allclose(one.theta, two.theta)
+    for steps in (1, 4, None):
+        a, b = ({(r.series_id, r.k): r.yhat for r in m.predict(d, steps).collect()} for m in (one, two))
+        assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], abs_tol=1e-9) for i in a)
+    future = d.withColumn("k", F.col("k") + 900)
+    a, b = ({(r.series_id, r.k): r.yhat for r in m.forecast(d, 5, future).collect()} for m in (one, two))
+    assert a.keys() == b.keys() and a and all(math.isclose(a[i], b[i], abs_tol=1e-9) for i in a)
+    one.save(spark, str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="basis"):
+        model.Model.load(spark, str(tmp_path / "m"))
+    again = model.Model.load(spark, str(tmp_path / "m"), made)
+    assert again.predict(d, 1).orderBy("series_id", "k").collect() == one.predict(d, 1).orderBy("series_id", "k").collect()
+    per = [{(r.series_id, r.term): r.theta for r in model.fit_by_series(d, s).collect()} for s in specs]
+    assert per[0].keys() == per[1].keys() and all(math.isclose(per[0][i], per[1][i], abs_tol=1e-9) for i in per[0])
+    with pytest.raises(Exception, match="gave"):
+        model.fit(d, model.Spec(1, (1,), basis=Vectorised(function=waves, names=("s", "p"))))
+    with pytest.raises(ValueError):
+        Vectorised(function=waves, names=("s", "s", "c")).terms(["y_1", "x1_1"])
