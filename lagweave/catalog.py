@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import basis, metrics, residuals
 from .functions.basis import Polynomial
-from .operators import adaptive, affine, estimate, gram, lagging, predict, qr, robust, select, swarm
+from .operators import adaptive, affine, estimate, gram, lagging, neural, predict, qr, robust, select, swarm
 from .plans import model
 from .sources import series
 
@@ -435,11 +435,6 @@ def ksg_distance_counts(spark, sf):
     return robust.neighbour_counts(series.orders(spark, sf), ["x1"], neighbours=2)
 
 
-@query("weights_grid", """with s as (select power(2.71::double, -0.01 + (-5 + 0.01) * i / 49) w from range(50) t(i)) select round(a.w, 6) dynamic, round(1 - (a.w + b.w), 6) + 0.0 "function", round(b.w, 6) gain from s a, s b where a.w + b.w <= 1""")
-def weights_grid(spark, sf):
-    return _round(affine.weights(spark))
-
-
 #: A model with an input whose coefficients are given, run freely from its first outputs.
 _GIVEN = ["1", "y_1", "y_2", "x1_1"]
 _THETA = [0.05, 0.4, -0.2, 0.03]
@@ -547,14 +542,6 @@ def legendre_free_run(spark, sf):
     return _round(predict.free_run(scaled, ["y_1", "x1_1"], terms, [0.3, 0.5]).where("k > 1").select("series_id", "k", "yhat"))
 
 
-@query("regressor_space", "with c as (select * from (values (0, '1'), (1, 'y_1'), (2, 'y_2'), (3, 'x1_1'), (4, 'x1_2')) t(i, n)) select row_number() over (order by a.i, b.i) - 1 pos, case when a.i = 0 then b.n else a.n || '*' || b.n end term, b.n like 'y%' or a.n like 'y%' has_output, b.n like 'x%' or a.n like 'x%' has_input from c a join c b on a.i <= b.i")
-def regressor_space(spark, sf):
-    """All candidates of degree 2 over two lags of output and input, in order, and which variables they hold."""
-    terms = Polynomial(2).terms(basis.lag_columns([1, 2], [[1, 2]]))
-    out, put = {n for n, _ in basis.output_terms(terms)}, {n for n, _ in basis.input_terms(terms)}
-    return spark.createDataFrame([(i, n, n in out, n in put) for i, (n, _) in enumerate(terms)], "pos long, term string, has_output boolean, has_input boolean")
-
-
 @query("series_vectors", "select vec_id series_id, i k, round(cast(embedding[i] as double), 6) + 0.0 y from (select *, unnest(range(1, len(embedding) + 1)) i from embeddings)")
 def series_vectors(spark, sf):
     return _round(series.vectors(spark, sf))
@@ -566,11 +553,6 @@ def series_scale_train(spark, sf):
     return _round(series.scale(series.split(series.events(spark, sf), 0.25), ["y"], "standard", "part = 'train'").select("series_id", "k", "y"))
 
 
-@query("count_regressors", "select * from (values ('NARMAX', 15), ('NAR', 6), ('NFIR', 6)) t(model_type, n)")
-def count_regressors(spark, sf):
-    return spark.createDataFrame([(t, len(model.Spec(2, (2,), t).candidates)) for t in ("NARMAX", "NAR", "NFIR")], "model_type string, n int")
-
-
 for _search in ("frols", "aols", "osf", "oif", "oos"):
     QUERIES[f"{_search}_terms"] = lambda spark, sf, s=_search: _round(model.fit(series.orders(spark, sf), model.Spec(2, (2,), basis=Polynomial(2), search=s, n_terms=4)).table(spark).drop("expression"))
 
@@ -645,6 +627,17 @@ def metamss_by_users(spark, sf):
     return _round(spark.createDataFrame([(i, terms[c][0], float(t)) for i, (c, t) in enumerate(zip(chosen, theta))], "pos int, term string, theta double"))
 
 
+@query("neural_one_step")
+def neural_one_step(spark, sf):
+    """A network over two lags of orders and their number, trained on three quarters of the days; one-step predictions of all days."""
+    o = series.orders(spark, sf)
+    parts = series.split(o, 0.25)
+    last = parts.where("part = 'train'").agg(F.max("k")).first()[0]
+    valid = parts.where("part = 'test'").withColumn("k", F.col("k") - last)
+    net = neural.train(parts.where("part = 'train'"), basis.lag_columns([1, 2], [[1, 2]]), valid, hidden=(6,), rounds=40)
+    return _round(net.predict(o, 1), 3)
+
+
 @query("ails_weights")
 def ails_weights(spark, sf):
     """Daily orders fitted together with a static curve through their monthly means, for a grid of weights."""
