@@ -62,13 +62,22 @@ def add_up(parts: DataFrame) -> dict[int, np.ndarray]:
     return {r["block"]: np.frombuffer(r["values"], float) for r in parts.groupBy("block").applyInArrow(run, "block int, values binary").collect()}
 
 
-#: Rows of the Gram matrix that are sent together.
+#: Rows of the Gram matrix that are sent together, and terms up to which it is summed in SQL.
 BLOCK = 64
+NARROW = 10
 
 
 def gram_of(psi: DataFrame, m: int) -> Gram:
-    """Collect the Gram matrix: (m + 2)^2 numbers, whatever the data, in blocks of rows."""
+    """Collect the Gram matrix: (m + 2)^2 numbers, whatever the data; of few terms as SQL sums, else in blocks of rows."""
     names = [*(f"t{i}" for i in range(m)), "y"]
+    if m <= NARROW:
+        # a null spoils the sums, as it does in NumPy
+        x = [*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in names), F.lit(1.0)]
+        sums = psi.agg(*(F.sum(x[i] * x[j]) for i in range(m + 2) for j in range(i, m + 2))).first()
+        full = np.zeros((m + 2, m + 2))
+        full[np.triu_indices(m + 2)] = [v or 0.0 for v in sums]
+        full += np.triu(full, 1).T
+        return Gram(full[:m, :m], full[:m, m], float(full[m, m]), full[:m, m + 1], float(full[m, m + 1]), int(round(full[m + 1, m + 1])))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((m + 2, m + 2))
