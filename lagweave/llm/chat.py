@@ -31,7 +31,7 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame | None = None, learner:
     turns: conv_id, turn, role, text.  pairs: pair_id, chosen, rejected (conversation ids); without
     it, conversations 2p and 2p + 1 are the chosen and the rejected one of pair p.  Turns go by
     (turn, role, text); a null role or text is rendered empty, and equals only null.  A pair of which one
-    side is missing has no common turn, and that side's completion is empty.  Repeated rows are turns
+    side is missing has no common turn, and that side's completion is empty; one of which both are missing gives no row.  Repeated rows are turns
     of their own.  Rows with a null conv_id belong to no conversation.
     """
     t = turns.where("conv_id is not null").select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("t"))

@@ -44,6 +44,8 @@ def targets(sources: DataFrame, max_epochs: int = 3, weights: Sequence[float] =
     Weights repeat over the sources in code point order, null last.  The common level starts at the share of an
     uncapped mix; sources whose cap is below it are clamped and the level of the others rises until no more are.
     """
+    if max_epochs < 1 or not weights or min(weights) <= 0:
+        raise ValueError("needs one epoch at least and positive weights")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     s = materialize(_ranked(sources).withColumn("w", weight).withColumn("cap", F.col("source_size") * float(max_epochs)), "source-weights")
     sums = s.agg(F.sum("source_size").alias("total"), F.sum("w").alias("rest"), F.count("*").alias("n")).first()

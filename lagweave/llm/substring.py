@@ -85,6 +85,10 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long")
 
 
+#: Runs are of like size within this factor.
+SPREAD = 10
+
+
 class WindowIndex:
     """Immutable runs (anchor, doc_id) in a folder, each sorted by anchor within its files; opening a folder finds the runs there.
 
@@ -122,16 +126,25 @@ class WindowIndex:
         met = materialize(self.read(older).join(ends.select("anchor"), "anchor", "left_semi"), "met-anchors")
         return inside.unionByName(met.select("anchor")).distinct(), met.select("doc_id").distinct()
 
+    def _like(self) -> list[str]:
+        """Runs of like size, ``fanout`` or more: the smallest that has so many within ``SPREAD`` times its bytes, with these; none: empty."""
+        size = {x: self._files.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(x)).getLength() for x in self.runs}
+        for least in sorted(size.values()):
+            like = [x for x in self.runs if least <= size[x] <= SPREAD * least]
+            if len(like) >= max(2, self.fanout):
+                return like
+        return []
+
     def compact(self) -> None:
-        """Merge the runs into one, once there are ``fanout`` of them."""
-        if len(self.runs) < max(2, self.fanout):
-            return
-        old = self.runs
-        merged = self.read(old)
-        self.runs = []
-        self._write(merged)
-        for path in old:
-            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        """Merge runs of like size, once there are ``fanout`` of them, so that an anchor is rewritten only as its run grows by a factor.
+
+        The merged run is written whole before the old ones go: what an interruption leaves is read as a set.
+        """
+        while old := self._like():
+            self._write(self.read(old))
+            self.runs = [x for x in self.runs if x not in old]
+            for path in old:
+                self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def _candidates(docs: DataFrame, window: int, passed) -> DataFrame:
