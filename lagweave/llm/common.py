@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,11 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "fold", "held", "slices", "tokens", "bit_filter", "xxhash64", "in_filter", "word_hashes"]
+#: glibc's malloc_trim, where there is one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+__all__ = ["materialize", "scratch_dir", "fold", "held", "slices", "tokens", "bit_filter", "xxhash64", "in_filter", "word_hashes", "hashed_words", "cells"]
+
 
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n (null ids: null)."""
@@ -34,6 +39,14 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that this process freed to the system: a Python worker outlives its task and shares the executor's memory with the next ones."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def tokens(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -103,3 +116,88 @@ def in_filter(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def word_hashes(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
     """64-bit hash of each distinct word."""
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in dictionary.to_pylist()), np.uint64, len(dictionary))
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+#: Bytes hashed at a time.
+_BLOCK = 1 << 21
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n-1, at least, of an odd factor and of its inverse modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, _BLOCK)
+        both = [np.full(size, f % (1 << 64), np.uint64) for f in (_FACTOR, pow(_FACTOR, -1, 1 << 64))]
+        for x in both:
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        _POWERS[:] = both
+    return _POWERS[0], _POWERS[1]
+
+
+def hashed_words(texts: pa.Array, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word of the texts, one text after the other, words per text).
+
+    Words are those of ``tokens``.  The hashes come from running sums of random values of the bytes times powers of an odd factor, with no string made.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    heads = offsets - offsets[0]
+    inside = ~_SPACE[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # a text's end parts words, too
+    some = heads[:-1][heads[:-1] < heads[1:]]
+    first[some] = inside[some]
+    last[some[some > 0] - 1] = inside[some[some > 0] - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    per = np.diff(np.searchsorted(start, heads))
+    value = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    if lower:
+        value[65:91] = value[97:123]
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(stop, start[at] + _BLOCK, "right")))
+        low, high = start[at], stop[to - 1]
+        power, inverse = _powers(int(high - low))
+        upto = np.cumsum(value[raw[low:high]] * power[: high - low])
+        a, b = start[at:to] - low, stop[at:to] - low
+        before = np.where(a > 0, upto[a - 1], np.uint64(0))
+        out[at:to] = (upto[b - 1] - before) * inverse[a] + (b - a).astype(np.uint64)
+        at = to
+    return xxhash64(out, seed), per.astype(np.int64)
+
+
+def cells(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches whose rows are sorted by ``keys``, cut and put together again as one batch for each value of the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([np.asarray(batch[c]).astype(np.int64) for c in keys])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            now = values[:, a].tolist()
+            if held and now != last:
+                yield whole()
+                held = []
+            last = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield whole()
+    give_back()

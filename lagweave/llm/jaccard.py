@@ -9,8 +9,9 @@ sets which share one of 20 bands of four min-hashes are candidates too: that mis
 sets themselves (64-bit hashes of the runs).
 
 What scales: equal sets are grouped first; sets with near fingerprints and neighbours in a band are checked and joined to groups
-before any pairs are formed, and pairs only between different groups of a band, so that a
-large band of mutual copies costs no pairs.
+at once, so that a large band of mutual copies costs no more.  What a band then still holds of different groups is compared inside a
+task, set by set against all before it, and only a spanning forest of the links comes out, never the pairs.  The sets of a large band
+are dealt in blocks, and each two blocks meet in a task of their own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, tokens, word_hashes
+from .common import cells, hashed_words, materialize, slices
 from .simhash import components, links
 
 WORDS = 5
@@ -31,6 +32,9 @@ BANDS = 20
 ROWS = 4
 #: Text worked on at a time.
 SLICE_BYTES = 1 << 20
+#: Members of a band's sets in one block, and in one row of a set.
+BLOCK = 1 << 20
+PIECE = 1 << 10
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = np.uint64(0x9E3779B97F4A7C17)
 
@@ -42,15 +46,15 @@ def _mix(h: np.ndarray, factor: np.uint64 = np.uint64(0xBF58476D1CE4E5B9)) -> np
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashes of all texts one after the other, how many each text has)."""
-    codes, dictionary, per_text = tokens(texts, lower=True)
-    value = np.append(word_hashes(dictionary)[codes], np.uint64(0))
+    value, per_text = hashed_words(texts, lower=True)
+    value = np.append(value, np.uint64(0))
     runs = np.where(per_text > 0, np.maximum(per_text - words + 1, 1), 0)
     owner = np.repeat(np.arange(len(runs)), runs)
     stop = np.cumsum(per_text)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs) + (stop - per_text)[owner]
     h = np.zeros(len(owner), np.uint64)
     for j in range(words):
-        h = h * _FACTOR + value[np.where(at + j < stop[owner], at + j, len(codes))]
+        h = h * _FACTOR + value[np.where(at + j < stop[owner], at + j, len(value) - 1)]
     h = _mix(h)
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
@@ -144,7 +148,75 @@ def _anchored(reps: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _compared(cell: pa.RecordBatch, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between the sets of a cell that are not yet in one group.
+
+    A cell holds the sets of one block of a band, or of two, whose sets of role 0 then meet those of role 1 only.  Two sets are compared in the
+    first band that they share.
+    """
+    first = np.flatnonzero(np.asarray(cell["piece"]) == 0)
+    fp, root, size, role = (np.asarray(cell[c])[first] for c in ("fp", "root", "n", "role"))
+    band = np.asarray(cell["bands"].take(pa.array(first)).flatten()).reshape(len(first), BANDS)
+    key = cell["key"][0].as_py()
+    _, group = np.unique(root, return_inverse=True)
+    lists = cell["members"]
+    _, code = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    start = np.cumsum(size) - size
+    # of each set the bands that come before this one
+    here = np.argmax(band == key, axis=1)
+    two = cell["a"][0].as_py() != cell["b"][0].as_py()
+    if two and role[0] == role[-1]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = int(np.searchsorted(role, 1))
+    flag = np.zeros(len(code) + 1, bool)
+    out = ([], [])
+    for i in range(cut if two else 1, len(fp)):
+        upto = cut if two else i
+        n = size[:upto]
+        some = np.flatnonzero((group[:upto] != group[i]) & (np.minimum(n, size[i]) >= similarity * np.maximum(n, size[i])))
+        if len(some):
+            some = some[~((band[some] == band[i]) & (np.arange(BANDS) < here[i])).any(1)]
+        if not len(some):
+            continue
+        own = code[start[i] : start[i] + size[i]]
+        flag[own] = True
+        per = size[some]
+        ends = np.cumsum(per)
+        at = np.arange(ends[-1]) + np.repeat(start[some] - (ends - per), per)
+        common = np.add.reduceat(flag[code[at]], ends - per, dtype=np.int64)
+        flag[own] = False
+        for j in some[common / (per + size[i] - common) >= similarity].tolist():
+            if group[j] != group[i]:
+                out[0].append(i)
+                out[1].append(j)
+                group[group == group[j]] = group[i]
+    return fp[out[0]].astype(np.int64), fp[out[1]].astype(np.int64)
+
+
+def _met(mixed: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """(u, v): links between sets of different groups that share a band; mixed: (key, fp, n, root, members), members those of the whole band."""
+    sets = mixed.select("fp").distinct()
+    first = reps.join(sets, "fp", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    whole = _sets(docs.join(materialize(first, "band-documents"), "doc_id", "left_semi"), words).dropDuplicates(["fp"])
+    # long sets come in pieces, so that no batch of rows is large
+    pieces = F.expr(f"transform(sequence(0, greatest(size(members) - 1, 0), {PIECE}), i -> slice(members, i + 1, {PIECE}))")
+    pieces = materialize(whole.join(reps.select("fp", "bands"), "fp").select("fp", "bands", F.posexplode(pieces).alias("piece", "members")), "band-sets")
+    salts = F.ceil(F.col("members") / block)
+    dealt = mixed.select("key", "fp", "n", "root", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("salt"))
+    dealt = dealt.select("key", "fp", "n", "root", F.least("own", "salt").alias("a"), F.greatest("own", "salt").alias("b"), F.expr("cast(own > salt as byte)").alias("role"))
+    rows = dealt.join(pieces, "fp").select("key", "a", "b", "role", "fp", "n", "root", "piece", F.when(F.col("piece") == 0, F.col("bands")).alias("bands"), "members")
+    rows = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "role", "fp", "piece")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches, ["key", "a", "b"]):
+            u, v = _compared(cell, similarity)
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of every row of docs (doc_id, text) that has a doc_id.
 
     component_id: the least doc_id among documents reachable over links.  Texts without words
@@ -165,12 +237,9 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     stars = components(_verified(near, reps, rows, words, similarity), "band-stars")
     rooted = keys.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted-bands")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rooted = materialize(rooted.join(mixed, "key", "left_semi"), "mixed-bands")
-    other = rooted.select("key", F.col("fp").alias("o"), F.col("n").alias("m"), F.col("root").alias("other"))
-    left = rooted.join(other, "key").where(f"root < other and {close}").select(F.greatest("fp", "o").alias("u"), F.least("fp", "o").alias("v")).distinct()
-    left = materialize(left.join(near, ["u", "v"], "left_anti"), "band-pairs")
-    stars = components(stars.unionByName(_verified(left, reps, rows, words, similarity)), "near-stars")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("members")).where("low < high").select("key", "members")
+    mixed = materialize(rooted.join(mixed, "key"), "mixed-bands")
+    stars = components(stars.unionByName(_met(mixed, reps, rows, words, similarity, block)), "near-stars")
     rooted = reps.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return signed.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import cells, materialize
 
 #: Anchors and rows of a cell: what a task holds.
 ANCHORS = 1024
@@ -60,7 +60,8 @@ def read_negatives(score: np.ndarray, ids: np.ndarray, labels: np.ndarray, label
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
+    flat = np.asarray(column.flatten())
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,34 +85,12 @@ def _cells(rows: DataFrame, anchors: DataFrame, work: Callable, schema: str, siz
     columns = ["i", "j", "width", "role", "vec_id", "label", "v", *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def cell(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            role = np.asarray(table["role"])
-            cut = int(np.searchsorted(role, 1))
-            sides = []
-            for part in (table.slice(0, cut), table.slice(cut)):
-                sides.append({"id": np.asarray(part["vec_id"]), "label": np.asarray(part["label"]), "v": _matrix(part["v"])} | {c: part[c] for c in extra})
-            if cut and cut < len(role):
+        for cell in cells(batches, ["i", "j", "width"]):
+            cut = int(np.searchsorted(np.asarray(cell["role"]), 1))
+            if 0 < cut < cell.num_rows:
+                sides = [{"id": np.asarray(part["vec_id"]), "label": np.asarray(part["label"]), "v": _matrix(part["v"])} | {c: part[c] for c in extra} for part in (cell.slice(0, cut), cell.slice(cut))]
                 yield from work(*sides)
 
-        key = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([np.asarray(batch[c]) for c in ("i", "j", "width")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                now = tuple(keys[:, a].tolist())
-                if now != key and held:
-                    yield from cell(held)
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from cell(held)
-
     return both.select(*columns).mapInArrow(run, schema)
 
 

@@ -1,6 +1,7 @@
 """The pipeline's near-duplicate stage against all pairs."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from lagweave.llm import jaccard
@@ -57,5 +58,18 @@ def test_long_band_of_copies_and_an_unlike_text_between(spark):
     assert {r.doc_id: r.component_id for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 3000])
+def test_large_band_of_texts_that_are_nearly_alike(spark, block):
+    """A group about 0.7 alike, in which few pairs link, as one block and as many; one text is longer than a piece."""
+    rng = np.random.default_rng(5)
+    of = " ".join(f"w{i}" for i in rng.integers(0, 3000, 200))
+    rows = [(i, edited(rng, of, 2 + i % 3)) for i in range(70)]
+    long = " ".join(f"v{i}" for i in rng.integers(0, 9000, 2500))
+    rows += [(100 + i, edited(rng, long, 10 + 30 * i)) for i in range(4)]
+    want = brute(rows)
+    assert len(set(want.values())) > 10 and len({want[100 + i] for i in range(4)}) < 4
+    assert {r.doc_id: r.component_id for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()} == want
+
+
 def test_no_rows(spark):
     assert jaccard.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
