@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, in_filter, materialize, slices, tokens, word_hashes, xxhash64
+from .common import bit_filter, hashed_words, in_filter, materialize, slices, xxhash64
 
 WORD_SEED = 7
 #: Hashes that stand for the end and start marks, and what parts a state's key from that of a symbol.
@@ -108,14 +108,15 @@ def _may_hold(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct words and of the end mark, which of them each symbol of the texts is, one text after
     the other with an end mark after each, the place of each symbol in its text, symbols per text)."""
-    codes, dictionary, per = tokens(texts, lower=True)
+    words, per = hashed_words(texts, lower=True, seed=WORD_SEED)
+    key, codes = np.unique(words, return_inverse=True)
     ends = np.cumsum(per + 1) - 1
-    which = np.full(len(codes) + len(per), len(dictionary), np.int64)
+    which = np.full(len(codes) + len(per), len(key), np.int64)
     inner = np.ones(len(which), bool)
     inner[ends] = False
     which[inner] = codes
     at = np.arange(len(which)) - np.repeat(ends - per, per + 1)
-    return np.r_[word_hashes(dictionary, WORD_SEED), END], which, at, per + 1
+    return np.r_[key, END], which, at, per + 1
 
 
 def contexts(symbol: np.ndarray, at: np.ndarray, depth: int, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
