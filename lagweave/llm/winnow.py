@@ -1,7 +1,9 @@
 """Document fingerprints by winnowing, with SQL functions only.
 
 A text is cut into pieces: words in parts of at most four characters, and each character of a script
-that puts no spaces between words.  The hashes of all runs of ``k`` consecutive pieces are taken; of every
+that puts no spaces between words.  Every piece is hashed once, and the hashes of all runs of ``k`` consecutive pieces are the values of a rolling hash over these (the
+cyclic polynomial: the run's hashes, each turned by one bit for every piece after it, in exclusive or; one step on turns the value by a bit, takes the leaving
+piece out and the entering one in).  Of every
 ``w`` consecutive hashes the least is selected, the rightmost of equal ones, and kept with its position.
 Any run of w + k - 1 pieces that two texts share, which is any run of so many characters without spaces or about four times as many
 from a word's start on, therefore gives them a common fingerprint entry; runs under k pieces never match.
@@ -17,6 +19,9 @@ from .common import materialize
 #: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han and Hangul, as ranges of code points.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF"
 PIECE = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,4}}"
+#: The same for texts without a character from the first of these scripts on, and what tells others.
+PLAIN = r"[^\x20\x09-\x0D]{1,4}"
+BEYOND = r"[^\x00-\u0DFF]"
 #: An entry packs 35 bits of hash above 28 bits of (largest position - position).
 POSITION_BITS = 28
 LAST = (1 << POSITION_BITS) - 1
@@ -24,12 +29,17 @@ LAST = (1 << POSITION_BITS) - 1
 
 def selected(text: str, k: int = 4, w: int = 6) -> Column:
     """Entries of a text column as an array of longs; a text under k pieces has one entry over all of them, one without pieces none."""
-    gram = f"(xxhash64(slice(ws, i + 1, {k})) & {(1 << 35) - 1}L)"
-    keys = f"transform(sequence(0, greatest(size(ws) - {k}, 0)), i -> shiftleft({gram}, {POSITION_BITS}) | ({LAST}L - i))"
-    least = f"array_distinct(transform(sequence(1, greatest(size(ks) - {w} + 1, 1)), i -> array_min(slice(ks, i, {w}))))"
-    per_text = f"if(size(ws) = 0, cast(array() as array<bigint>), element_at(transform(array({keys}), ks -> {least}), 1))"
-    pieces = "regexp_extract_all(coalesce({}, ''), '{}', 0)".format(text, PIECE.replace("\\", "\\\\"))
-    return F.expr(f"element_at(transform(array({pieces}), ws -> {per_text}), 1)")
+    turned = [f"hs[i + {j}]" if j == k - 1 else f"(shiftleft(hs[i + {j}], {k - 1 - j}) | shiftrightunsigned(hs[i + {j}], {65 - k + j}))" for j in range(k)]
+    short = "aggregate(hs, 0L, (a, h) -> (shiftleft(a, 1) | shiftrightunsigned(a, 63)) ^ h)"
+    entry = lambda gram, i: f"(shiftleft({gram} & {(1 << 35) - 1}L, {POSITION_BITS}) | ({LAST}L - {i}))"
+    keys = f"if(size(hs) < {k}, array({entry(short, 0)}), transform(sequence(0, size(hs) - {k}), i -> {entry('(' + ' ^ '.join(turned) + ')', 'i')}))"
+    window = ", ".join(f"ks[i + {j}]" for j in range(w)) if w > 1 else "ks[i], ks[i]"
+    least = f"if(size(ks) < {w}, array(array_min(ks)), array_distinct(transform(sequence(0, size(ks) - {w}), i -> least({window}))))"
+    per_text = f"if(size(hs) = 0, cast(array() as array<bigint>), element_at(transform(array({keys}), ks -> {least}), 1))"
+    # the pattern with scripts without spaces is slow, and few texts hold any
+    every, plain = ("regexp_extract_all(coalesce({}, ''), '{}', 0)".format(text, p.replace("\\", "\\\\")) for p in (PIECE, PLAIN))
+    pieces = "if({} rlike '{}', {}, {})".format(text, BEYOND.replace("\\", "\\\\"), every, plain)
+    return F.expr(f"element_at(transform(array(transform({pieces}, p -> xxhash64(p))), hs -> {per_text}), 1)")
 
 
 def hashes(entries: str) -> Column:

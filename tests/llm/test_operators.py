@@ -245,12 +245,15 @@ def plain_winnow(text, k=4, w=6):
     pieces = [p for p in re.findall(winnow.PIECE, text or "")]
     if not pieces:
         return []
-    hashes = []
-    for i in range(max(1, len(pieces) - k + 1)):
-        h = 42
-        for p in pieces[i : i + k]:
-            h = xxhash.xxh64_intdigest(p.encode(), h)
-        hashes.append(h & ((1 << 35) - 1))
+    turn = lambda h, by: ((h << by) | (h >> (64 - by))) & ((1 << 64) - 1)
+    each = [xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces]
+    rolled, hashes = 0, []
+    for i, h in enumerate(each):
+        rolled = turn(rolled, 1) ^ h
+        if i >= k:
+            rolled ^= turn(each[i - k], k)
+        if i >= k - 1 or i == len(each) - 1:
+            hashes.append(rolled & ((1 << 35) - 1))
     out = []
     for i in range(max(1, len(hashes) - w + 1)):
         least = min(hashes[i : i + w])
@@ -443,3 +446,50 @@ def test_empty_tables(spark):
     assert winnow.edited_likeness(d).count() == 0
     assert mixing.mix(d).count() == 0
     assert chat.preference_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_index_keeps_tiers_and_takes_a_third_batch(spark, corpus, tmp_path):
+    """Batches of very different sizes are not merged; three batches, one after a compaction that was cut short, remove what one batch does."""
+    rows = [(i, t, None, None) for i, t, *_ in corpus if i is not None and i != 88]
+    want = {r.doc_id: (r.n_removed, r.text) for r in substring.remove_repeats(docs(spark, rows)).collect()}
+    path, found = str(tmp_path / "index"), {}
+    cuts = [(-1, 60), (60, 78), (78, 1000)]
+    for k, (low, high) in enumerate(cuts):
+        index = substring.WindowIndex(spark, path)
+        older = docs(spark, [r for r in rows if r[0] <= low]) if low >= 0 else None
+        batch = docs(spark, [r for r in rows if low < r[0] <= high])
+        for r in substring.remove_repeats(batch, batches=1, index=index, older=older).collect():
+            found[r.doc_id] = (r.n_removed, r.text)
+        if k == 1:
+            # a compaction that wrote its run and was stopped before it removed the old ones
+            before = list(index.runs)
+            index._write(index.read(before))
+            assert len(substring.WindowIndex(spark, path).runs) == len(before) + 1
+    assert found == want
+    index = substring.WindowIndex(spark, str(tmp_path / "tiers"))
+    ids = lambda a, n: spark.range(a, a + n, 1, 2).selectExpr("xxhash64(id) as anchor", "id as doc_id")
+    index.append(ids(0, 60_000))
+    index.append(ids(60_000, 50))
+    index.compact()
+    assert len(index.runs) == 2
+    index.append(ids(60_050, 50))
+    index.compact()
+    assert len(index.runs) == 2 and index.read(index.runs).count() == 60_100
+
+
+def test_pairs_given_by_a_table(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (5, 0, "user", "hi"), (5, 1, "assistant", "no " * 50_000), (5, 1, "assistant", "no " * 50_000), (9, 0, "user", "x")]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(100, 1, 5), (101, 9, 77), (102, 70, 71), (103, 5, 5), (104, None, 1)], "pair_id long, chosen long, rejected long")
+    got = {r.pair_id: r for r in chat.preference_pairs(t, pairs).collect()}
+    assert sorted(got) == [100, 101, 103, 104]
+    assert got[100].n_common == 1 and got[100].rejected.count("no no") and got[100].rejected_mask.count(":1") == 2
+    assert got[101].n_common == 0 and got[101].rejected == "" and got[101].chosen
+    assert got[103].n_common == 3 and got[103].chosen == got[103].rejected == ""
+    assert got[104].chosen == "" and got[104].n_common == 0
+
+
+def test_mix_refuses_what_has_no_meaning(spark, corpus):
+    for wrong in ({"max_epochs": 0}, {"weights": ()}, {"weights": (1.0, 0.0)}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs(spark, corpus), **wrong)
