@@ -26,7 +26,7 @@ BUCKETS = 10_000
 #: A word: ASCII digits and letters (lower-cased before) and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of text that DuckDB holds at a time (one text at least); some forty times as much is its peak.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

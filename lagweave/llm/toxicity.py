@@ -31,7 +31,7 @@ EDGE = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 SLICE_BYTES = 4 << 20
 #: Marks beyond count as this.
 TOP = 60.0
-KNOTS = (-1e-6, 2.0, 6.0)
+KNOTS = (-1e-6, 2.0, 6.0, 9.0)
 BINS_A_UNIT = 4
 
 
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 50_000, most: int
     y = np.array([r["toxic"] for r in bins], float)
     sampled = {q: sum(r["count"] for r in bins if r["toxic"] == q) for q in (0, 1)}
     w = np.array([r["count"] * count[r["toxic"]] / sampled[r["toxic"]] for r in bins], float)
-    weights = calibrate(x, y, KNOTS, w, ridge=0.5)
+    weights = calibrate(x, y, KNOTS, w)
     return ToxicityModel(counts.keys[kept], score[kept], drift, lam, k, level, weights)
 
 
