@@ -53,11 +53,16 @@ def mean_absolute_error(y: str = "y", p: str = "yhat") -> Column:
     return F.avg(F.abs(forecast_error(y, p)))
 
 
+def _log1p(c: str) -> Column:
+    """As IEEE has it: NaN below -1, minus infinity at -1."""
+    v = F.col(c)
+    return F.when(v < -1, float("nan")).when(v == -1, float("-inf")).otherwise(F.log1p(v))
+
+
 def mean_squared_log_error(y: str = "y", p: str = "yhat") -> Column:
-    """A value of -1 or less is an error."""
-    wrong = (F.col(y) <= -1) | (F.col(p) <= -1)
-    d = F.log1p(F.col(y)) - F.log1p(F.col(p))
-    return F.avg(F.when(wrong, F.raise_error(F.lit("values must exceed -1")).cast("double")).otherwise(d * d))
+    """NaN for a group with a value below -1, infinite for one that reaches -1; other groups keep their error."""
+    d = _log1p(y) - _log1p(p)
+    return F.avg(d * d)
 
 
 def median_absolute_error(y: str = "y", p: str = "yhat") -> Column:

@@ -340,6 +340,17 @@ def test_zero_denominators_of_metrics(spark):
         metrics.mean_absolute_scaled_error(flat, flat, 0)
 
 
+def test_logarithmic_error_of_groups_without_a_logarithm(spark):
+    """A forecast below -1 in one series leaves the others their error."""
+    from lagweave.functions import metrics
+
+    rows = [("a", 1.0, 3.0), ("a", 0.0, 0.0), ("b", 1.0, -1.5), ("b", 0.0, 0.0), ("c", 1.0, -1.0), ("d", -2.0, 1.0), ("e", 1.0, None), ("e", 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, y double, yhat double")
+    got = {r.series_id: r.v for r in df.groupBy("series_id").agg(metrics.mean_squared_log_error().alias("v")).collect()}
+    assert math.isclose(got["a"], math.log(2) ** 2 / 2) and math.isclose(got["e"], math.log(2) ** 2)
+    assert math.isnan(got["b"]) and math.isnan(got["d"]) and got["c"] == math.inf
+
+
 def test_online_updates_equal_the_batch_fold(spark, tmp_path):
     from lagweave.streaming.online import online_lms
 
