@@ -77,6 +77,9 @@ def scale(series: DataFrame, columns: list[str], method: str, train: str | None
     """Columns scaled by series with statistics of the rows where ``train`` holds: standard, minmax or maxabs; a zero spread leaves the centred value."""
     if method not in ("standard", "minmax", "maxabs"):
         raise ValueError(f"unknown method {method}")
+    if method == "minmax":
+        # a sum that is computed again may differ in its last bit, which would put the largest value past its own maximum
+        series = materialize(series, "unscaled")
     stats = []
     for i, c in enumerate(columns):
         v = F.when(F.expr(train), F.col(c)) if train else F.col(c)

@@ -1,6 +1,7 @@
 """Searches, simulation and forecasts against plain NumPy."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -351,6 +352,15 @@ def test_logarithmic_error_of_groups_without_a_logarithm(spark):
     assert math.isnan(got["b"]) and math.isnan(got["d"]) and got["c"] == math.inf
 
 
+def test_minmax_of_values_that_differ_each_time_they_are_computed(spark):
+    """As sums do in their last bits: the scaled values still run from exactly 0 to exactly 1, where Bernstein terms end."""
+    jitter = F.udf(lambda v: v + random.SystemRandom().random() * 1e-9, "double").asNondeterministic()
+    d = spark.range(1, 201).select(F.lit(0).alias("series_id"), F.col("id").alias("k"), (F.col("id") % 2).cast("double").alias("v"))
+    found = series.scale(d.withColumn("y", jitter("v")), ["y"], "minmax")
+    r = found.agg(F.min("y").alias("low"), F.max("y").alias("high")).first()
+    assert (r.low, r.high) == (0.0, 1.0)
+
+
 def test_online_updates_equal_the_batch_fold(spark, tmp_path):
     from lagweave.streaming.online import online_lms
 
