@@ -1,7 +1,7 @@
 """Importance resampling towards a target: hashed n-gram features, counted in DuckDB inside each partition.
 
-A task hands its texts to an in-memory DuckDB, slice by slice.  SQL unnests the words, a window puts the
-next ones beside each, and a registered function takes zlib's CRC-32 of every run of 1 to ``order`` words;
+A task hands its texts to an in-memory DuckDB, slice by slice.  SQL unnests the words, each beside the
+next ones, and a registered function takes zlib's CRC-32 of every run of 1 to ``order`` words;
 what comes back for a text are its buckets with their counts.  Spark writes these as Parquet, merges them
 into the counts of the corpus and of the target, and scores every text by the sum of its buckets' gains
 floor(1000 ln((t + 1)(S + B) / ((s + 1)(T + B)))).  A Gumbel number from the id's hash, added to the
@@ -32,16 +32,22 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def feature_sql(order: int) -> str:
     """(row, bucket, n) of the view ``texts`` (row, text)."""
-    after = ", ".join(f"lead(w0, {j}) over after_it w{j}" for j in range(1, order))
+    shifted = ", ".join(f"unnest(w[{j + 1}:]) w{j}" for j in range(order))  # shorter ones end in nulls
     runs = ", ".join(" || ' ' || ".join(f"w{i}" for i in range(j + 1)) for j in range(order))
     return f"""
         with words as (select row, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{WORD}') w from texts),
-        placed as (select row, unnest(w) w0, generate_subscripts(w, 1) i from words),
-        beside as (select row, w0{", " + after if after else ""} from placed window after_it as (partition by row order by i)),
+        beside as (select row, {shifted} from words),
         runs as (select row, unnest([{runs}]) f from beside)
         select row, bucket(encode(f)) b, cast(count(*) as integer) n from runs where f is not null group by all order by row, b"""
 
 
+def words_of(features: np.ndarray, order: int) -> np.ndarray:
+    """Number of words of texts with so many runs of 1 to ``order`` words."""
+    full = (features + order * (order - 1) // 2) // order
+    short = np.floor((np.sqrt(8.0 * np.minimum(features, order * order) + 1) - 1) / 2 + 1e-9).astype(np.int64)
+    return np.where(full < order, short, full)
+
+
 def _database(buckets: int) -> duckdb.DuckDBPyConnection:
     """One thread and no file: what a slice needs must fit in memory."""
     base = duckdb.connect(config={"threads": 1, "temp_directory": ""})
@@ -59,7 +65,6 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, order: int = 3) -> Da
     and how often its features fall there."""
     if not 1 <= buckets < 1 << 31 or order < 1:
         raise ValueError("needs 1 to 2**31 - 1 buckets and runs from 1 word")
-    words_sql = f"select row, len(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{WORD}')) n from texts order by row"
     names = ["doc_id", "n_words", "n_features", "bucket", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,14 +74,13 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, order: int = 3) -> Da
                 for part in slices(batch, "text", SLICE_BYTES):
                     rows = part.num_rows
                     base.register("texts", pa.table([pa.array(np.arange(rows)), part["text"].fill_null("")], ["row", "text"]))
-                    words = np.asarray(base.sql(words_sql).to_arrow_table()["n"]).astype(np.int64)
                     found = base.sql(feature_sql(order)).to_arrow_table()
                     base.unregister("texts")
                     row, b, n = (np.asarray(found[c]) for c in ("row", "b", "n"))
                     ends = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
                     total = np.bincount(row, weights=n, minlength=rows).astype(np.int64)
                     lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (b, n)]
-                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(words), pa.array(total), *lists], names)
+                    yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(words_of(total, order)), pa.array(total), *lists], names)
         finally:
             base.close()
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lagweave.llm import queries, resample
@@ -76,3 +77,13 @@ def test_repeats_nulls_and_empty_tables(spark):
 def features_gain():
     """The one feature of a corpus of one word without a target."""
     return math.floor(1000 * math.log(1 * 10_001 / (2 * 10_000)))
+
+
+def test_words_from_runs_and_one_pass_over_the_text():
+    """The number of words follows from that of the runs; a text is split once and put in no order."""
+    for order in range(1, 6):
+        n = np.arange(0, 3000)
+        runs = sum(np.maximum(n - j, 0) for j in range(order))
+        assert (resample.words_of(runs, order) == n).all()
+        sql = resample.feature_sql(order)
+        assert sql.count("regexp_extract_all") == 1 and " over " not in sql
