@@ -121,8 +121,8 @@ def word_hashes(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _FACTOR = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
-#: Bytes hashed at a time.
-_BLOCK = 1 << 21
+#: Bytes hashed at a time; a worker keeps 16 bytes for each, and needs some forty more while it hashes.
+_BLOCK = 1 << 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -38,8 +38,9 @@ WORD_SEED = 7
 END, START, STATE = np.uint64(0x8F3C1D5A96E2B471), np.uint64(0x2B9D64E07A51CF3D), np.uint64(0x5DEECE66D1B54A35)
 #: Bits of a frequent word's number.
 TURN = 22
-#: Text bytes taken at a time, and symbols of them worked on at a time.
+#: Text bytes taken at a time: many where equal edges are counted together, fewer where texts are scored one by one; and symbols of them worked on at a time.
 SLICE = 2 << 20
+SCORED = 1 << 20
 WINDOW = 1 << 20
 
 
@@ -294,11 +295,15 @@ def grow(docs: DataFrame, depth: int = 2, min_count: int = 32, min_edge: int = 4
 
 @dataclass(frozen=True)
 class _Hot:
-    """The most frequent keys but those of frequent words, with their values, and a filter of all such keys."""
+    """The most frequent keys but those of frequent words, with their values, and a filter of all such keys.
+
+    Words alone have a base; ``based`` are the places of those that have one.
+    """
 
     keys: np.ndarray
-    base: np.ndarray
     score: np.ndarray
+    based: np.ndarray
+    base: np.ndarray
     every: np.ndarray
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,17 +311,21 @@ class _Hot:
         base, score, cold = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys), bool)
         some = np.flatnonzero(_may_hold(self.every, keys))
         i, there = _find(self.keys, keys[some])
-        base[some[there]], score[some[there]] = self.base[i[there]], self.score[i[there]]
+        score[some[there]] = self.score[i[there]]
+        if len(self.based):
+            j, word = _find(self.based, i[there])
+            base[some[there][word]] = self.base[j[word]]
         cold[some[~there]] = True
         return base, score, cold
 
 
 def _hot(tree: SuffixTree, least: int, most_bits: int) -> _Hot:
-    """24 bytes for each frequent key."""
+    """16 bytes for each frequent key; every task's process holds its own copy."""
     few = tree.table.where(F.col("n") >= least).select("key", "base", "score").toArrow()
-    key = np.asarray(few["key"]).view(np.uint64)
+    key, base = np.asarray(few["key"]).view(np.uint64), np.asarray(few["base"])
     order = np.argsort(key)
-    return _Hot(key[order], np.asarray(few["base"])[order], np.asarray(few["score"])[order], _filter(tree.table, most_bits))
+    based = np.flatnonzero(base[order] != 0)
+    return _Hot(key[order], np.asarray(few["score"])[order], based, base[order][based], _filter(tree.table, most_bits))
 
 
 def _rows(docs: DataFrame, tree: SuffixTree, least: int, most_bits: int) -> DataFrame:
@@ -331,7 +340,7 @@ def _rows(docs: DataFrame, tree: SuffixTree, least: int, most_bits: int) -> Data
         vocabulary, hot = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text", SCORED):
                 hashed, which, at, per = stream(part["text"])
                 owner = np.repeat(np.arange(len(per)), per)
                 word, count = vocabulary.encode(hashed)

@@ -130,3 +130,25 @@ def test_gains_on_held_out_texts_over_base_and_over_single_words(spark):
     n, v = sum(count.values()), len(count)
     single = sum(math.log10((count[x] or v) / (n + v)) for i, w in rows if i in held for x in [*w, "</s>"])
     assert got.score > 0.98 * single > got.base and single > got.base
+
+
+def test_memory_of_a_worker(monkeypatch):
+    """Two megabytes of text are hashed with little more than the hashes, whatever the block, and frequent keys without a base keep none."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lagweave.llm import common
+
+    text = pa.array(["some words of a text " * 100_000])
+    whole = common.hashed_words(text)
+    monkeypatch.setattr(common, "_POWERS", [])
+    tracemalloc.start()
+    found = common.hashed_words(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found[0] == whole[0]).all() and most < 60_000_000
+    keys = np.arange(0, 40, 4, dtype=np.uint64)
+    hot = pst._Hot(keys, np.arange(10.0), np.array([2, 7]), np.array([0.5, 0.25]), np.full(8192, 255, np.uint8))
+    base, score, cold = hot.look_up(np.array([8, 28, 12, 9], np.uint64))
+    assert base.tolist() == [0.5, 0.25, 0, 0] and score.tolist() == [2, 7, 3, 0] and cold.tolist() == [False, False, False, True]
