@@ -123,11 +123,22 @@ LOSSES: dict[str, Callable] = {
 }
 
 
+def _turns(series: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in groups that hold a series once at most: the first row of every series, the second, and so on."""
+    order = np.argsort(series, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(series[order]) != 0]) if len(series) else np.zeros(0, np.int64)
+    turn = np.empty(len(series), np.int64)
+    turn[order] = np.arange(len(series)) - np.repeat(first, np.diff(np.r_[first, len(series)]))
+    if len(series):
+        yield from np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn))[:-1])
+
+
 def simulated(rows: DataFrame, columns: list[str], terms: list[Term], theta: np.ndarray) -> np.ndarray:
     """Summed squares of each row of coefficients, run freely over all series of rows (series_id, k, y, input lags): each series from its first max_lag
     outputs on, the coefficients all together.  Not finite once a run has run away.
 
-    Rows come dealt by series and sorted by k; a series passes through its task in constant memory.
+    Rows come dealt by series, those of a series by k.  The next samples of all series at hand are computed together, so that a task does best where rows are sorted by
+    their place in the series first; it keeps the last outputs of its series only.
     """
     p = max_lag(columns)
     outputs = [int(c[2:]) for c in columns if c.startswith("y_")]
@@ -137,26 +148,33 @@ def simulated(rows: DataFrame, columns: list[str], terms: list[Term], theta: np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         build, agents = design(terms, columns), len(weights)
-        at = [columns.index(f"y_{i}") for i in outputs], [columns.index(c) for c in inputs]
-        miss, series, h, seen = np.zeros(agents), run, None, 0
+        at_y, at_x = [columns.index(f"y_{i}") for i in outputs], [columns.index(c) for c in inputs]
+        miss, places = np.zeros(agents), {}
+        h, seen = np.zeros((64, agents, p)), np.zeros(64, np.int64)
         with np.errstate(all="ignore"):
             for batch in batches:
                 y = np.asarray(batch["y"], float)
                 x = np.column_stack([np.asarray(batch[c], float) for c in inputs]) if inputs else np.zeros((len(y), 0))
-                ids = batch["series_id"].to_pylist()
-                lags = np.empty((agents, len(columns)))
-                for i, v in enumerate(y):
-                    if ids[i] != series:
-                        series, h, seen = ids[i], np.zeros((agents, p)), 0
-                    if seen >= p:
-                        lags[:, at[0]] = h[:, [-j for j in outputs]]
-                        lags[:, at[1]] = x[i]
-                        now = np.einsum("ij,ij->i", build(lags), weights)
-                        miss += (v - now) ** 2
-                    else:
-                        now = np.full(agents, v)
-                    h = np.column_stack([h[:, 1:], now])
-                    seen += 1
+                coded = batch["series_id"].dictionary_encode()
+                names = [*coded.dictionary.to_pylist(), None]
+                place = np.array([places.setdefault(v, len(places)) for v in (names if coded.null_count else names[:-1])], np.int64)
+                if len(places) > len(h):
+                    more = max(len(places), 2 * len(h)) - len(h)
+                    h, seen = np.concatenate([h, np.zeros((more, agents, p))]), np.r_[seen, np.zeros(more, np.int64)]
+                series = place[np.asarray(coded.indices.fill_null(len(place) - 1))]
+                for now in _turns(series):
+                    s, v = series[now], np.repeat(y[now, None], agents, 1)
+                    live = np.flatnonzero(seen[s] >= p)
+                    if len(live):
+                        lags = np.empty((len(live), agents, len(columns)))
+                        lags[:, :, at_y] = h[s[live]][:, :, [-j for j in outputs]]
+                        lags[:, :, at_x] = x[now[live], None]
+                        made = build(lags.reshape(-1, len(columns))).reshape(len(live), agents, -1)
+                        out = np.einsum("sat,at->sa", made, weights)
+                        miss += ((v[live] - out) ** 2).sum(0)
+                        v[live] = out
+                    h[s, :, :-1], h[s, :, -1] = h[s, :, 1:], v
+                    seen[s] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(agents, dtype=np.int32)), pa.array(miss)], ["agent", "miss"])
 
     sums = rows.mapInArrow(run, "agent int, miss double").groupBy("agent").agg(F.sum("miss").alias("miss"))
@@ -187,7 +205,7 @@ def swarm_search(train: DataFrame, valid: DataFrame, columns: list[str], terms:
     sums = each.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("spread")).first()
     if not sums["n"]:
         raise ValueError(f"the validation part needs a series of {p + 1} samples")
-    rows = rows.select("series_id", "k", "y", *inputs).repartition("series_id").sortWithinPartitions("series_id", "k").persist()
+    rows = rows.select("series_id", "k", "y", *inputs, "row").repartition("series_id").sortWithinPartitions("row", "series_id").persist()
     n, spread, score, seed = sums["n"], sums["spread"], LOSSES[loss], options.get("seed", 0)
 
     def fitted(bits: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, int]:

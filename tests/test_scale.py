@@ -501,3 +501,15 @@ def test_python_basis_equals_the_same_in_sql(spark, noise, tmp_path):
         model.fit(d, model.Spec(1, (1,), basis=Vectorised(function=waves, names=("s", "p"))))
     with pytest.raises(ValueError):
         Vectorised(function=waves, names=("s", "s", "c")).terms(["y_1", "x1_1"])
+
+
+def test_agents_take_the_next_samples_of_all_series_together(spark):
+    """Rows may come by their place in the series first; a group of rows holds a series once at most and keeps its order."""
+    rng = np.random.default_rng(4)
+    rows = [(None if s == 40 else s, k, float(rng.normal()), k) for s in range(41) for k in range(1, 4 + s % 7)]
+    d = spark.createDataFrame(rows, "series_id long, k long, y double, row long").repartition(3, "series_id").persist()
+    columns, terms, theta = ["y_1", "y_2"], [("y_1", "y_1"), ("y_1*y_2", "y_1 * y_2")], rng.normal(size=(6, 2)) * 0.4
+    by_series = swarm.simulated(d.sortWithinPartitions("series_id", "k"), columns, terms, theta)
+    assert np.allclose(swarm.simulated(d.sortWithinPartitions("row", "series_id"), columns, terms, theta), by_series)
+    turns = list(swarm._turns(np.array([7, 7, 3, 7, 3, 9])))
+    assert [t.tolist() for t in turns] == [[0, 2, 5], [1, 4], [3]] and not list(swarm._turns(np.zeros(0, np.int64)))
