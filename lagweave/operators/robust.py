@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -200,18 +201,128 @@ def neighbour_counts(rows: DataFrame, columns: list[str], y: str = "y", neighbou
     return near.neighbour_counts(rows, columns, [y], neighbours)
 
 
+#: Samples up to which all pairs are compared at once.
+SHORT = 256
+#: Rows compared at a time, times the points they are compared with.
+BLOCK = 1 << 18
+
+
+def _sorted(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, columns): points by the column with most distinct values, which comes first, equal points next to each other."""
+    distinct = [len(np.unique(c)) for c in points.T]
+    columns = np.argsort([-d for d in distinct], kind="stable")
+    return np.lexsort(points.T[columns[::-1]]), columns
+
+
+def _radius(points: np.ndarray, k: int) -> np.ndarray:
+    """Chebyshev distance of every point to its k-th nearest other one: among those near it in one column, as many as are needed to be sure."""
+    n = len(points)
+    order, columns = _sorted(points)
+    s = np.ascontiguousarray(points[order][:, columns])
+    out, left, width = np.empty(n), np.arange(n), min(n, max(32, 4 * k + 1))
+    while len(left):
+        rest = []
+        for a in range(0, len(left), max(1, BLOCK // width)):
+            i = left[a : a + max(1, BLOCK // width)]
+            low = np.clip(i - width // 2, 0, n - width)
+            near = low[:, None] + np.arange(width)
+            d = np.abs(s[i, 0][:, None] - s[near, 0])
+            ends = d[:, 0].copy(), d[:, -1].copy()
+            for c in range(1, s.shape[1]):
+                np.maximum(d, np.abs(s[i, c][:, None] - s[near, c]), out=d)
+            r = np.partition(d, k, axis=1)[:, k]
+            out[order[i]] = r
+            # points past an end are as far as the end at least
+            rest.append(i[((low > 0) & (ends[0] < r)) | ((low + width < n) & (ends[1] < r))])
+        left, width = np.concatenate(rest), min(n, 2 * width)
+    return out
+
+
+def _between(x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, from, to): places in the order of x of the points nearer to each x than its radius."""
+    order = np.argsort(x, kind="stable")
+    value, start = np.unique(x[order], return_index=True)
+    start = np.r_[start, len(x)]
+    low, high = np.searchsorted(value, x - radius), np.searchsorted(value, x + radius, "right")
+    m = len(value)
+    inside = lambda j: np.abs(x - value[np.clip(j, 0, m - 1)]) < radius
+    # the differences decide, as they are rounded
+    while (move := (low > 0) & inside(low - 1)).any():
+        low = low - move
+    while (move := (low < high) & ~inside(low)).any():
+        low = low + move
+    while (move := (high < m) & inside(high)).any():
+        high = high + move
+    while (move := (high > low) & ~inside(high - 1)).any():
+        high = high - move
+    return order, start[low], start[high]
+
+
+def _within(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many other points lie nearer to each point than its radius."""
+    best = max(range(points.shape[1]), key=lambda c: len(np.unique(points[:, c])))
+    order, low, high = _between(points[:, best], radius)
+    size = high - low
+    if points.shape[1] == 1:
+        return np.maximum(size - 1, 0)
+    s, out = points[order], np.zeros(len(points), np.int64)
+    other = [c for c in range(points.shape[1]) if c != best]
+    by = np.argsort(size, kind="stable")
+    by = by[size[by] > 1]
+    a = 0
+    while a < len(by):
+        # points with about as many candidates each
+        b = min(len(by), a + max(1, BLOCK // int(size[by[a]])))
+        while b - a > 1 and (b - a) * int(size[by[b - 1]]) > 2 * BLOCK:
+            b = a + (b - a) // 2
+        i, width = by[a:b], int(size[by[b - 1]])
+        near = low[i][:, None] + np.arange(width)
+        counted = near < high[i][:, None]
+        near = np.minimum(near, len(s) - 1)
+        for c in other:
+            counted &= np.abs(points[i, c][:, None] - s[near, c]) < radius[i][:, None]
+        out[i] = counted.sum(1)
+        a = b
+    return np.maximum(out - 1, 0)
+
+
+@lru_cache(32)
+def _digammas(bits: int) -> np.ndarray:
+    """Of 1 to 2**bits."""
+    return digamma(np.arange(1, (1 << bits) + 1))
+
+
+def _apart(x: np.ndarray) -> np.ndarray:
+    d = np.abs(x[:, 0, None] - x[None, :, 0])
+    for c in range(1, x.shape[1]):
+        np.maximum(d, np.abs(x[:, c, None] - x[None, :, c]), out=d)
+    return d
+
+
+def _all_pairs(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a short series in x and in y."""
+    dx, dy, at = _apart(x), _apart(y), np.arange(len(x))
+    d = np.maximum(dx, dy)
+    d[at, at] = np.inf
+    for _ in range(k - 1):
+        d[at, d.argmin(1)] = np.inf
+    radius = d.min(1)
+    return tuple(np.maximum((e < radius).sum(0, dtype=np.int32) - 1, 0) for e in (dx, dy))
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 2) -> float:
-    """Nearest-neighbour estimate from Chebyshev distances, in blocks of rows: memory grows with n, not its square."""
+    """Nearest-neighbour estimate from Chebyshev distances, exact; points of a long series are compared with those near them in one column, in blocks."""
     n = len(x)
+    if n <= k:
+        raise ValueError(f"{n} samples have no {k} neighbours")
     x, y = x.reshape(n, -1), y.reshape(n, -1)
-    nx, ny = np.zeros(n), np.zeros(n)
-    for a in range(0, n, 256):
-        dx = np.abs(x[a : a + 256, None] - x[None]).max(-1)
-        dy = np.abs(y[a : a + 256, None] - y[None]).max(-1)
-        radius = np.partition(np.maximum(dx, dy), k, axis=1)[:, k]
-        nx[a : a + 256] = np.maximum((dx < radius[:, None]).sum(1) - 1, 0)
-        ny[a : a + 256] = np.maximum((dy < radius[:, None]).sum(1) - 1, 0)
-    return float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - (digamma(nx + 1) + digamma(ny + 1)).mean())
+    if n <= SHORT:
+        nx, ny = _all_pairs(x, y, k)
+    else:
+        radius = _radius(np.column_stack([x, y]), k)
+        nx, ny = _within(x, radius), _within(y, radius)
+    psi = _digammas(n.bit_length())
+    return float(psi[k - 1] + psi[n - 1] - (psi[nx] + psi[ny]).mean())
 
 
 def conditional_information(x: np.ndarray, y: np.ndarray, z: np.ndarray | None, k: int = 2) -> float:

@@ -513,3 +513,31 @@ def test_agents_take_the_next_samples_of_all_series_together(spark):
     assert np.allclose(swarm.simulated(d.sortWithinPartitions("row", "series_id"), columns, terms, theta), by_series)
     turns = list(swarm._turns(np.array([7, 7, 3, 7, 3, 9])))
     assert [t.tolist() for t in turns] == [[0, 2, 5], [1, 4], [3]] and not list(swarm._turns(np.zeros(0, np.int64)))
+
+
+@pytest.mark.parametrize("n", [3, 67, 300, 900])
+def test_information_equals_all_pairs_without_comparing_them(n):
+    """The estimate from near points equals that from all pairs, repeated values and constants included; a long series takes a small part of the pairs."""
+    import time
+
+    from lagweave.functions.numerics import digamma
+
+    def plain(x, y, k):
+        dx, dy = (np.abs(v[:, None] - v[None]).max(-1) for v in (x, y))
+        r = np.sort(np.maximum(dx, dy), axis=1)[:, k]
+        nx, ny = (np.maximum((d < r[:, None]).sum(1) - 1, 0) for d in (dx, dy))
+        return float(digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - (digamma(nx + 1) + digamma(ny + 1)).mean())
+
+    rng = np.random.default_rng(n)
+    for width in (1, 2):
+        x, y = rng.normal(size=(n, 1)), rng.normal(size=(n, width))
+        for a, b in ((x, y), (np.round(x, 1), np.round(y, 1)), (np.repeat(x, 6, 0)[:n], np.repeat(y, 6, 0)[:n]), (np.zeros_like(x), y)):
+            for k in (1, 2):
+                assert np.isclose(robust.mutual_information(a, b, k), plain(a, b, k), rtol=1e-12, atol=1e-12)
+    with pytest.raises(ValueError):
+        robust.mutual_information(x, y, n)
+    if n == 900:
+        z = rng.normal(size=20_000)
+        start = time.process_time()
+        robust.mutual_information(rng.permutation(z), z)
+        assert time.process_time() - start < 3
